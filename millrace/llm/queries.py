@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, sharding
+from . import decontaminate, langid, licenses, mixing, sharding
 from .common import table
 
 QUERIES, ORACLE = {}, {}
@@ -50,6 +50,11 @@ def op7(spark, sf_dir):
     )
 
 
+@query("op8_positional_licence_scan")
+def op8(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op9_prefix_decontamination")
 def op9(spark, sf_dir):
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
