@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, licenses, mixing, sharding
+from . import decontaminate, jaccard, langid, licenses, mixing, sharding, suffixdedup
 from .common import table
 
 QUERIES, ORACLE = {}, {}
@@ -68,3 +68,8 @@ def op9(spark, sf_dir):
         "doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest().alias("items_sha256"),
         decontaminate.contaminated().alias("contaminated"),
     )
+
+
+@query("op10_suffix_dedup")
+def op10(spark, sf_dir):
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
