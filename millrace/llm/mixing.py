@@ -41,7 +41,7 @@ def mix(
     docs: DataFrame, weights: tuple = (5, 2, 1), cap: float = 3.0, ramps: tuple = (-0.5, 0.0, 0.5),
     doc_id: str = "doc_id", text: str = "text", source: str = "source", scratch: Scratch | None = None,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source, passes, first_position, last_position.
+    """doc_id, th, size, source_size, target, taken, source, passes, positions (of each pass).
 
     Source i asks for tokens at the rate f_i(t) = 1 + ramp_i*(2t - 1) over training time t
     in 0..1, scaled to its target; its demand up to t is target*(t + ramp*(t*t - t)).
@@ -64,7 +64,7 @@ def mix(
     most = sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     targets = scratch.write(source_targets(sizes.drop("n"), weights, cap, ramps).withColumnRenamed("source", "_source"), "targets")
     placed = running_sums(rows, scratch, "source", ["doc_id", "th"], "size", buckets=max(512, most // 50_000))
-    placed = placed.join(targets, placed["source"].eqNullSafe(targets["_source"])).drop("_source", "th")
+    placed = placed.join(targets, placed["source"].eqNullSafe(targets["_source"])).drop("_source")
     full = F.when(F.col("capped"), F.lit(float(cap)).cast("long")).otherwise(F.floor(F.col("target") / F.greatest("source_size", F.lit(1))))
     left = F.round("target").cast("long") - F.col("full") * F.col("source_size")
     ramp = F.col("ramp")
@@ -80,17 +80,32 @@ def mix(
         .withColumn("taken", F.col("full") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("_before"))))
         .withColumn("passes", F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0)))
     )
-    some = F.col("taken") > 0
     mid = F.col("_before") + F.col("size") / 2.0
+    each = F.transform(F.sequence(F.lit(0), F.greatest(F.col("passes").cast("int"), F.lit(1)) - 1), lambda e: position(mid + e * F.col("source_size")))
     return placed.select(
-        "doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "source",
-        F.col("passes").cast("int").alias("passes"),
-        F.when(some, position(mid)).alias("first_position"),
-        F.when(some, position(mid + (F.col("passes") - 1) * F.col("source_size"))).alias("last_position"),
+        "doc_id", "th", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "source",
+        F.col("passes").cast("int").alias("passes"), F.when(F.col("taken") > 0, each).alias("positions"),
     )
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
     """Range-sorts by position; what isn't taken comes last."""
-    keys = [F.col("first_position").asc_nulls_last(), F.col("doc_id").asc_nulls_last()]
+    first = F.get("positions", F.lit(0))
+    keys = [first.asc_nulls_last(), F.col("doc_id").asc_nulls_last()]
     return mixed.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
+def mix_stage(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix passes over it, in training order.
+
+    A document that is cut where its source's demand ends stays whole here.
+    """
+    mixed = mix(docs, **options).where("passes > 0")
+    order = lambda d, t: F.row_number().over(Window.partitionBy(d, t).orderBy(F.lit(0)))
+    # rows that repeat id and text are interchangeable: they are numbered on both sides
+    right = mixed.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "positions").withColumn("_k", order("_id", "_th"))
+    left = docs.withColumn("_h", F.xxhash64("text")).withColumn("_n", order("doc_id", "_h"))
+    both = left.join(right, left["doc_id"].eqNullSafe(right["_id"]) & (left["_h"] == right["_th"]) & (left["_n"] == right["_k"]))
+    placed = both.select(*docs.columns, F.explode("positions").alias("_at"))
+    keys = [F.col("_at"), F.col("doc_id").asc_nulls_last()]
+    return placed.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*docs.columns)
