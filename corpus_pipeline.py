@@ -1 +1,66 @@
-STAGES = []
+"""From documents to training shards: five stages, each written and read again."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from millrace.llm import decontaminate, jaccard, langid, mixing, sharding
+from millrace.llm.common import Scratch, table
+from millrace.llm.queries import fold
+
+
+def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, under their own names."""
+    return out.select(*(F.col(f"input_{c}" if f"input_{c}" in out.columns and f"input_{c}" not in docs.columns else c).alias(c) for c in docs.columns))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language is found; null texts and texts without a letter go."""
+    model = langid.fit(langid.training_sample(docs.where(fold(4) != 2).select("doc_id", "text", "lang")))
+    return _columns(langid.identify(docs, model).where("lang_pred <> 'und'"), docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar word shingles stays, that of the smallest id."""
+    keep = jaccard.jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    one = Window.partitionBy("doc_id").orderBy(F.lit(0))
+    kept = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("_id"), "left_semi")
+    kept = kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold too much of the benchmark go."""
+    out = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return _columns(out.where(~decontaminate.contaminated()), docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources by weight, documents in training order; documents left out go, others repeat."""
+    return mixing.mix_stage(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds ``shard``."""
+    return sharding.shard_stage(docs)
+
+
+STAGES = [
+    ("language ID", language),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mix),
+    ("sharding", shards),
+]
+#: Trained labels and packing can't be written as SQL; tests compare with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{k}")
+    return docs
