@@ -27,7 +27,7 @@ def fold(k: int):
 
 def language_model(docs):
     """Fitted on a bounded sample of the documents outside the held-out fold."""
-    return langid.fit(langid.training_sample(docs.where(fold(4) != 2).select("text", "lang")))
+    return langid.fit(langid.training_sample(docs.where(fold(4) != 2).select("doc_id", "text", "lang")))
 
 
 @query("op1_crf_language_id")
@@ -51,7 +51,7 @@ def op6(spark, sf_dir):
 def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.training_order(mixing.mix(docs)).select(
-        "doc_id", "size", "source_size", "target", "taken", "source", "passes", "first_position", "last_position"
+        "doc_id", "size", "source_size", "target", "taken", "source", "passes", "positions"
     )
 
 
