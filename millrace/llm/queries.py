@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, licenses, mixing, sharding, suffixdedup
+from . import decontaminate, jaccard, langid, licenses, mixing, pqdedup, sharding, suffixdedup
 from .common import table
 
 QUERIES, ORACLE = {}, {}
@@ -42,6 +42,11 @@ def op3(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op5_pq_near_duplicates")
+def op5(spark, sf_dir):
+    return pqdedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 @query("op6_jaccard_join")
 def op6(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
