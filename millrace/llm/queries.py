@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, licenses, mixing, pqdedup, sharding, suffixdedup
+from . import decontaminate, jaccard, langid, licenses, mixing, ngramlm, pqdedup, sharding, suffixdedup
 from .common import table
 
 QUERIES, ORACLE = {}, {}
@@ -37,6 +37,15 @@ def op1(spark, sf_dir):
     return out.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "word_counts")
 
 
+@query("op2_elias_fano_lm")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ngramlm.train(docs.where(fold(5) != 1).select("text"))
+    return ngramlm.score(docs, model).select(
+        "doc_id", (fold(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", F.col("lm_score").alias("score")
+    )
+
+
 @query("op3_vector_bin_packing")
 def op3(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
