@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, licenses, mixing, ngramlm, pqdedup, sharding, suffixdedup
+from . import decontaminate, jaccard, langid, licenses, mixing, ngramlm, pqdedup, sharding, suffixdedup, toolcalls
 from .common import table
 
 QUERIES, ORACLE = {}, {}
@@ -51,6 +51,18 @@ def op3(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: Tools whose calls are validated.
+TOOLS = [
+    ("search", '{"properties":{"query":{"type":"string"},"limit":{"type":"integer"}},"required":["query"]}'),
+    ("calculator", '{"properties":{"expression":{"type":"string"}},"required":["expression"],"additionalProperties":false}'),
+]
+
+
+@query("op4_tool_call_linking")
+def op4(spark, sf_dir):
+    return toolcalls.link(table(spark, sf_dir, "conversations"), spark.createDataFrame(TOOLS, "name string, schema string"))
+
+
 @query("op5_pq_near_duplicates")
 def op5(spark, sf_dir):
     return pqdedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
