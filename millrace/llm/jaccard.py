@@ -13,6 +13,8 @@ from .components import connected_components
 
 #: Words remembered with their hashes in a task.
 REMEMBER = 1_000_000
+#: Earlier prefix tokens by which a pair that was met before is recognised.
+RECALL = 32
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -91,7 +93,7 @@ def _sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
 def _more(first: int) -> int:
     """Tokens by which the prefix is lengthened."""
-    return first // 2
+    return first
 
 
 def _shingles(docs: DataFrame, shingle: int) -> DataFrame:
@@ -107,11 +109,12 @@ def _shingles(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity is high enough."""
-    sa = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-    sb = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
+    """The pairs (a, b) that also share prefix tokens under the second order and whose
+    exact Jaccard similarity is high enough."""
+    side = lambda k: sets.select(F.col("id").alias(k), F.col("set").alias(f"set_{k}"), F.col("pb").alias(f"pb_{k}"))
     both = F.size(F.array_intersect("set_a", "set_b"))
-    return pairs.join(sa, "a").join(sb, "b").where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("pb_a", "pb_b"))
+    return near.where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
 def jaccard_components(
@@ -122,10 +125,11 @@ def jaccard_components(
     1. Every text becomes its set of hashed shingles; equal sets form a class.
     2. Under the hash order, a set that has a partner shares a known number of the tokens
        of its lengthened prefix with it.  Sets with too few tokens that any other class
-       has in its own prefix have no partner and go.
-    3. The remaining sets are ordered by (frequency, hash) and by (frequency, another
-       hash).  Candidates share prefix tokens under both orders, at lengths and positions
-       that allow the similarity.
+       has in its own prefix have no partner and go; so do sets with too few tokens that
+       any other remaining set has.
+    3. The sets left are ordered by (frequency, hash) and by (frequency, another hash).
+       Candidates share prefix tokens under both orders, at lengths and positions that
+       allow the similarity.
     4. Candidates are verified in two rounds.  First each token's sets against its
        smallest; this joins groups of near copies without pairing them all.  Then the
        pairs that are still in different components.
@@ -148,7 +152,7 @@ def jaccard_components(
     # a prefix lengthened by m tokens shares 1 + m with a partner's of as many; a partner
     # may be smaller, down to the needed overlap, and its own prefix shorter
     first = _first(F.col("n"), percent)
-    due = 1 + F.floor(_first(_due(F.col("n"), percent), percent) / 2)
+    due = 1 + _first(_due(F.col("n"), percent), percent)
     hits = tokens.join(shared, tokens["token"] == shared["t"], "left_semi").groupBy("f1", "n").agg(F.count("*").alias("hits"))
     able = classes.join(hits, ["f1", "n"]).where(F.col("hits") >= due * F.col("copies"))
     ids = scratch.write(able.select(F.col("rep").alias("id")), "able")
@@ -156,22 +160,28 @@ def jaccard_components(
         _shingles(source.join(ids, source["doc_id"] == ids["id"], "left_semi").select("doc_id", "text"), shingle).dropDuplicates(["id"]), "able-sets"
     )
 
-    # 3. prefixes under two orders by frequency
+    # 3. prefixes under two orders by frequency; what no other set has uses up the prefix
     flat = sets.select("id", F.size("set").cast("long").alias("n"), F.explode("set").alias("token"))
     often = scratch.write(flat.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1").select(F.col("token").alias("t"), "freq"), "often")
-    known = flat.join(often, flat["token"] == often["t"]).select("id", "n", "token", "freq")
-    ordered = known.groupBy("id", "n").agg(
-        F.array_sort(F.collect_list(F.struct("freq", F.xxhash64("token", F.lit(1)).alias("h"), "token"))).alias("by_a"),
-        F.array_sort(F.collect_list(F.struct("freq", F.xxhash64("token", F.lit(2)).alias("h"), "token"))).alias("by_b"),
-    )  # a set's own tokens
-    # tokens that no other set has come first in either order: they use up the prefix
-    alone = F.col("n") - F.size("by_a")
+    known = flat.join(often, flat["token"] == often["t"])
+    ids = known.groupBy("id", "n").agg(F.count("*").alias("known")).where(F.col("known") >= _due(F.col("n"), percent)).select(F.col("id").alias("able"))
+    left = scratch.write(sets.join(scratch.write(ids, "able"), F.col("id") == F.col("able"), "left_semi"), "left-sets")
+    scratch.drop(sets)
+    flat = left.select("id", F.explode("set").alias("token"))
+    lists = flat.join(often, flat["token"] == often["t"]).groupBy("id").agg(F.collect_list(F.struct("freq", "token")).alias("tokens"))  # of one set
+    ordered = left.join(lists.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).withColumn("n", F.size("set").cast("long"))
+    alone = F.col("n") - F.size("tokens")
     keep = F.greatest(F.lit(0), first - alone).cast("int")
-    cut = lambda c: F.transform(F.slice(c, 1, keep), lambda x: x["token"])
-    prefixes = scratch.write(
-        ordered.where(keep > 0).select("id", "n", alone.cast("long").alias("alone"), cut("by_a").alias("pa"), cut("by_b").alias("pb")), "prefixes"
-    )
-    posted = scratch.write(prefixes.select("id", "n", "pb", F.posexplode("pa").alias("k", "token"), "alone").withColumn("pos", F.col("alone") + F.col("k")).drop("k", "alone"), "posted")
+
+    def prefix(seed: int) -> Column:
+        keyed = F.transform("tokens", lambda x: F.struct(x["freq"].alias("f"), F.xxhash64(x["token"], F.lit(seed)).alias("h"), x["token"].alias("token")))
+        return F.transform(F.slice(F.array_sort(keyed), 1, keep), lambda x: x["token"])
+
+    sets = scratch.write(ordered.select("id", "n", "set", alone.cast("long").alias("alone"), prefix(1).alias("pa"), prefix(2).alias("pb")), "prefixes")
+    # a token carries the few before it: a pair is taken at its first common token
+    before = F.slice("pa", F.greatest(F.lit(1), F.col("k") - RECALL + 1), F.least(F.col("k"), F.lit(RECALL)))
+    posted = sets.select("id", "n", "alone", "pa", F.posexplode("pa").alias("k", "token"))
+    posted = scratch.write(posted.select("id", "n", "token", (F.col("alone") + F.col("k")).alias("pos"), before.alias("before")), "posted")
 
     # 4. round one: each token's sets against its smallest
     least = posted.groupBy("token").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").select(F.col("token").alias("t"), "a")
@@ -183,7 +193,7 @@ def jaccard_components(
     # round two: pairs of different components; the largest of a token is not paired with itself
     owner = comp.select(F.col("node"), F.col("component"))
     posted = scratch.write(
-        posted.join(owner, posted["id"] == owner["node"], "left").select("id", "n", "pb", "token", "pos", F.coalesce("component", "id").alias("comp")), "owned"
+        posted.join(owner, posted["id"] == owner["node"], "left").select("id", "n", "before", "token", "pos", F.coalesce("component", "id").alias("comp")), "owned"
     )
     parts = posted.groupBy("token", "comp").agg(F.count("*").alias("c"))
     main = parts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
@@ -192,12 +202,12 @@ def jaccard_components(
     x, y = mixed.where("comp <> main").alias("x"), mixed.alias("y")
     lo, hi = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     need = F.ceil((lo + hi) * percent / F.lit(100 + percent))
-    left_over = 1 + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - 1
+    left_over = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     upto = F.least("x.pos", "y.pos")
     candidates = (
         x.join(y, F.col("x.token") == F.col("y.token"))
         .where((F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))))
-        .where((100 * lo >= percent * hi) & (upto + left_over >= need) & F.arrays_overlap("x.pb", "y.pb"))
+        .where((100 * lo >= percent * hi) & (upto + left_over >= need) & (F.size(F.array_intersect("x.before", "y.before")) == 0))
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     )
     more = _verify(candidates, sets, percent)
