@@ -48,10 +48,10 @@ def user_record_count(spark, d):
 
 
 @query("runs_with_logs", f"""with {RUNS}, logs as (select event_id log_id, user_id log_run_id, event_type from events)
-  select run_id, log_id, event_type from runs left join logs on run_id = log_run_id and log_id > 500 where run_id < 200""")
+  select run_id, log_id, event_type from runs left join logs on run_id = log_run_id and log_id > 500 """)
 def runs_with_logs(spark, d):
     logs = table(spark, d, "events").select(F.col("event_id").alias("log_id"), F.col("user_id").alias("log_run_id"), "event_type")
-    return relational.runs_with_logs(runs(spark, d).where("run_id < 200"), logs, 500).select("run_id", "log_id", "event_type")
+    return relational.runs_with_logs(runs(spark, d), logs, 500).select("run_id", "log_id", "event_type")
 
 
 @query("log_cursor", "select event_id as log_id, event_type from events where event_id > 700 order by event_id limit 100")
@@ -59,10 +59,10 @@ def log_cursor(spark, d):
     return table(spark, d, "events").where("event_id > 700").orderBy("event_id").limit(100).select(F.col("event_id").alias("log_id"), "event_type")
 
 
-@query("commit_edits", f"""with {RECORDS} select record_id, flag as old_value, case when line = 1 then 'X' else flag end as new_value, line = 1 and flag <> 'X' as changed from records where record_id % 7 = 0 qualify count(*) over (partition by record_id) = 1""")
+@query("commit_edits", f"""with {RECORDS}, r as (select record_id, min(flag) flag, min(line) line from records group by 1)
+  select record_id, flag as old_value, case when line = 1 then 'X' else flag end as new_value, line = 1 and flag <> 'X' as changed from r""")
 def commit_edits(spark, d):
-    r = records(spark, d).where("record_id % 7 = 0")
-    r = r.join(r.groupBy("record_id").count().where("count = 1").select("record_id"), "record_id")
+    r = records(spark, d).groupBy("record_id").agg(F.min("flag").alias("flag"), F.min("line").alias("line"))
     edits = r.select("record_id", F.when(F.col("line") == 1, "X").otherwise(F.col("flag")).alias("new_value"))
     return relational.commit_edits(edits, r.select("record_id", F.col("flag").alias("old_value"))).select("record_id", "old_value", "new_value", "changed")
 
