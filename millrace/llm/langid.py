@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 16
 MAX_FIT_DOCS = 3000
 MAX_FIT_WORDS = 300_000
+MAX_FIT_CHARS = 2_000
 EPOCHS = 6
 #: Words labelled at once in a task, and words remembered with their emission scores.
 CHUNK_WORDS = 400_000
@@ -176,11 +177,21 @@ def fit(rows: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 7, max_wo
     return Model(labels, emit[:BUCKETS], trans)
 
 
-def training_sample(labelled: DataFrame, max_docs: int = MAX_FIT_DOCS) -> list[tuple[str, str]]:
-    """At most ``max_docs`` rows (text, lang) with both present, the first by a hash of the text."""
+def training_sample(labelled: DataFrame, max_docs: int = MAX_FIT_DOCS, max_chars: int = MAX_FIT_CHARS, by: str = "doc_id") -> list[tuple[str, str]]:
+    """About ``max_docs`` pairs (text, lang), chosen by a hash of ``by``, both present.
+
+    A chosen text gives one passage of at most ``max_chars`` characters, at a hashed place,
+    so that what the driver gets is bounded.
+    """
     some = labelled.where("text is not null and lang is not null")
-    rows = some.orderBy(F.xxhash64("text", "lang"), "lang").limit(max_docs).collect()
-    return [(r["text"], r["lang"]) for r in rows]
+    n = some.count()
+    h = F.xxhash64(F.coalesce(F.col(by).cast("string"), F.lit("")))
+    if n > max_docs:
+        some = some.where(F.pmod(h, F.lit(1 << 40)) < F.lit(int((1 << 40) * max_docs / n)))
+    room = F.greatest(F.length("text") - max_chars, F.lit(0)) + 1
+    start = F.pmod(F.xxhash64(h), room.cast("long")).cast("int") + 1
+    rows = some.select(F.substring(F.col("text"), start, F.lit(max_chars)).alias("text"), "lang", h.alias("h")).collect()
+    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["h"], r["text"], r["lang"]))]
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
