@@ -49,11 +49,16 @@ def excluded_fields(surface: str) -> list[str]:
 
 
 def resolve_aliases(df: DataFrame, raw: str, surface: str) -> DataFrame:
-    """Renames the keys of a map to canonical fields; the first of rival keys stays."""
-    lookup = F.create_map(*(F.lit(x) for f in SURFACES[surface] for a in (f, *ALIASES.get(f, ())) for x in (a, f)))
-    entries = F.transform(F.map_entries(raw), lambda e: F.struct(F.coalesce(F.element_at(lookup, text.field_key(e["key"])), e["key"]).alias("key"), e["value"].alias("value")))
+    """Renames the keys of a map to canonical fields; of rival keys the field's own name
+    wins, then the aliases in their order."""
+    names = [(a, f, i) for f in SURFACES[surface] for i, a in enumerate((f, *ALIASES.get(f, ())))]
+    lookup = F.create_map(*(F.lit(x) for a, f, _ in names for x in (a, f)))
+    order = F.create_map(*(F.lit(x) for a, _, i in names for x in (a, i)))
+    entries = F.array_sort(F.transform(F.map_entries(raw), lambda e: F.struct(
+        F.coalesce(F.element_at(order, text.field_key(e["key"])), F.lit(len(names))).alias("rank"), F.coalesce(F.element_at(lookup, text.field_key(e["key"])), e["key"]).alias("key"), e["value"].alias("value")
+    )))
     first = F.filter(entries, lambda e, i: F.array_position(F.transform(entries, lambda x: x["key"]), e["key"]) == i + 1)
-    return df.withColumn(raw, F.map_from_entries(first))
+    return df.withColumn(raw, F.map_from_entries(F.transform(first, lambda e: F.struct(e["key"], e["value"]))))
 
 
 def project_surface(df: DataFrame, raw: str, surface: str, requested: tuple[str, ...] = ()) -> DataFrame:

@@ -38,8 +38,10 @@ class Page(HTMLParser):
         self.open, self.sinks, self.script, self.table, self.term, self.scopes = [], [], None, [], None, []
         self.feed(html)
         self.close()
-        for sink in list(self.sinks):
-            self._end(sink[0])
+        while self.sinks:  # what the page left open
+            self._end(self.sinks[-1][0])
+        while self.table:
+            self._finish_table(self.table.pop())
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
