@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, licenses, mixing, ngramlm, pqdedup, sharding, suffixdedup, toolcalls
+from . import decontaminate, jaccard, langid, licenses, mixing, ngramlm, oracle, pqdedup, sharding, suffixdedup, toolcalls
 from .common import table
 
 QUERIES, ORACLE = {}, {}
@@ -63,12 +63,12 @@ def op4(spark, sf_dir):
     return toolcalls.link(table(spark, sf_dir, "conversations"), spark.createDataFrame(TOOLS, "name string, schema string"))
 
 
-@query("op5_pq_near_duplicates")
+@query("op5_pq_near_duplicates", oracle.COSINE)
 def op5(spark, sf_dir):
     return pqdedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-@query("op6_jaccard_join")
+@query("op6_jaccard_join", oracle.JACCARD)
 def op6(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -86,7 +86,7 @@ def op8(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query("op9_prefix_decontamination")
+@query("op9_prefix_decontamination", oracle.CONTAMINATION)
 def op9(spark, sf_dir):
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     out = decontaminate.find_contamination(docs.select("doc_id", "text"), bench)

@@ -369,3 +369,18 @@ def test_pipeline(spark, tmp_path):
         if k == 3:
             assert set(ids) <= {r.doc_id for r in before.collect()}
     assert d.columns == [*columns, "shard"] and {r.shard for r in d.collect()} <= set(range(40))
+
+
+@pytest.mark.parametrize("name", ["op5_pq_near_duplicates", "op6_jaccard_join", "op9_prefix_decontamination"])
+def test_queries_match_sql(spark, name):
+    import duckdb
+
+    from millrace.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    cur = con.execute(queries.ORACLE[name])
+    head = [x[0] for x in cur.description]
+    assert sorted(map(repr, cur.fetchall())) == sorted(repr(tuple(r)) for r in queries.QUERIES[name](spark, sf).select(*head).collect())
