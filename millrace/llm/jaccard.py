@@ -15,6 +15,8 @@ from .components import connected_components
 REMEMBER = 1_000_000
 #: Earlier prefix tokens by which a pair that was met before is recognised.
 RECALL = 32
+#: Cells of a set's sketch: how many of its tokens fall in each.
+SKETCH = 128
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -103,9 +105,12 @@ def _shingles(docs: DataFrame, shingle: int) -> DataFrame:
             s = [cut(raw.as_py()) for raw in batch.column(1).cast(pa.binary())]
             sizes = np.cumsum([0, *map(len, s)]).astype(np.int32)
             flat = np.concatenate(s) if s else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], ["id", "set"])
+            sketch = [np.bincount(x % SKETCH, minlength=SKETCH) for x in s]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), pa.array(sketch, pa.list_(pa.int32()))], ["id", "set", "sketch"]
+            )
 
-    return docs.mapInArrow(make, "id long, `set` array<long>")
+    return docs.mapInArrow(make, "id long, `set` array<long>, sketch array<int>")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -132,7 +137,8 @@ def jaccard_components(
        allow the similarity.
     4. Candidates are verified in two rounds.  First each token's sets against its
        smallest; this joins groups of near copies without pairing them all.  Then the
-       pairs that are still in different components.
+       pairs that are still in different components, unless the counts of their tokens in
+       the cells of a hash already bound the overlap below what is needed.
 
     Links found are exact; pairs that are left out are of one component already.  Null or
     empty text has no shingles and is alone.  Rows without doc_id are alone, component null.
@@ -177,7 +183,7 @@ def jaccard_components(
         keyed = F.transform("tokens", lambda x: F.struct(x["freq"].alias("f"), F.xxhash64(x["token"], F.lit(seed)).alias("h"), x["token"].alias("token")))
         return F.transform(F.slice(F.array_sort(keyed), 1, keep), lambda x: x["token"])
 
-    sets = scratch.write(ordered.select("id", "n", "set", alone.cast("long").alias("alone"), prefix(1).alias("pa"), prefix(2).alias("pb")), "prefixes")
+    sets = scratch.write(ordered.select("id", "n", "set", "sketch", alone.cast("long").alias("alone"), prefix(1).alias("pa"), prefix(2).alias("pb")), "prefixes")
     # a token carries the few before it: a pair is taken at its first common token
     before = F.slice("pa", F.greatest(F.lit(1), F.col("k") - RECALL + 1), F.least(F.col("k"), F.lit(RECALL)))
     posted = sets.select("id", "n", "alone", "pa", F.posexplode("pa").alias("k", "token"))
@@ -198,16 +204,20 @@ def jaccard_components(
     parts = posted.groupBy("token", "comp").agg(F.count("*").alias("c"))
     main = parts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     main = scratch.write(main.select(F.col("token").alias("t"), "main"), "main")
+    sketches = sets.select(F.col("id").alias("_id"), "sketch")
     mixed = scratch.write(posted.join(main, posted["token"] == main["t"]).drop("t"), "mixed")
+    mixed = scratch.write(mixed.join(sketches, mixed["id"] == sketches["_id"]).drop("_id"), "sketched")
     x, y = mixed.where("comp <> main").alias("x"), mixed.alias("y")
     lo, hi = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     need = F.ceil((lo + hi) * percent / F.lit(100 + percent))
     left_over = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     upto = F.least("x.pos", "y.pos")
+    # tokens can only be shared within a cell
+    cells = F.aggregate(F.zip_with("x.sketch", "y.sketch", lambda a, b: F.least(a, b)), F.lit(0), lambda n, k: n + k)
     candidates = (
         x.join(y, F.col("x.token") == F.col("y.token"))
         .where((F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))))
-        .where((100 * lo >= percent * hi) & (upto + left_over >= need) & (F.size(F.array_intersect("x.before", "y.before")) == 0))
+        .where((100 * lo >= percent * hi) & (upto + left_over >= need) & (cells >= need) & (F.size(F.array_intersect("x.before", "y.before")) == 0))
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     )
     more = _verify(candidates, sets, percent)
