@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import pages, products, relational, rollups  # noqa: F401  (they register)
+from . import more, pages, products, relational, rollups  # noqa: F401  (they register)
 from .registry import ORACLE, QUERIES  # noqa: F401
