@@ -51,13 +51,34 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Folders of this process's scratch tables.
+ROOTS: list[str] = []
+
+
+def release(spark: SparkSession, keep: list[str]) -> None:
+    """Deletes all scratch folders but ``keep``: for callers that have written what they
+    read from them."""
+    for root in [r for r in ROOTS if r not in keep]:
+        _delete(spark, root)
+        ROOTS.remove(root)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive executors."""
+    """Tables written to the shared folder: they cut lineage and outlive executors.
+
+    They stay until ``drop`` or ``release``, since results are read from them lazily.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
+        ROOTS.append(self.root)
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -73,8 +94,7 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
         for t in tables:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(self.spark, t._scratch_path)
 
 
 def running_sums(df: DataFrame, scratch: Scratch, key: str, order: list[str], value: str, buckets: int) -> DataFrame:
