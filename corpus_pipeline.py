@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.llm import decontaminate, jaccard, langid, mixing, sharding
-from millrace.llm.common import Scratch, table
+from millrace.llm.common import ROOTS, Scratch, release, table
 from millrace.llm.queries import fold
 
 
@@ -59,8 +59,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage wrote on its way goes when its result is written."""
+    before = list(ROOTS)
     scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{k}")
+        release(spark, [*before, scratch.root])
+        if last is not None:
+            scratch.drop(last)
+        last = docs
     return docs
