@@ -75,20 +75,20 @@ def _sliding(x: np.ndarray, w: int, of) -> np.ndarray:
     return of(tail[:n], head[w - 1 : w - 1 + n])
 
 
-def anchors(raw: bytes, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the anchors: minima of some window of the anchors' hashes.
+def anchors(raw: bytes, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes, least hash of each start) of the anchors: minima of some window.
 
     A string of ``length`` bytes holds the minimum of its own anchors' hashes, so equal
     strings hold equal chosen anchors at equal offsets.
     """
     if len(raw) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     h = window_hashes(raw, anchor)
     w = length - anchor + 1
     low = _sliding(h, w, np.minimum)
     edge = np.zeros(w - 1, np.uint64)
     at = np.flatnonzero(_sliding(np.concatenate([edge, low, edge]), w, np.maximum) == h)
-    return at, h[at]
+    return at, h[at], low
 
 
 def sort_block(anchor: np.ndarray, at: np.ndarray, contexts: list[bytes], starts: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
@@ -154,18 +154,6 @@ def sort_block(anchor: np.ndarray, at: np.ndarray, contexts: list[bytes], starts
     return np.split(hit, np.cumsum(starts)[:-1])
 
 
-def _runs(flags: np.ndarray) -> list[int]:
-    """[first, last, first, last, ...] of the runs of true values."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    edge[1::2] -= 1
-    return edge.tolist()
-
-
-def _starts(context_length: int, left: int, length: int) -> int:
-    """Starts of a whole string that holds the anchor."""
-    return max(0, min(left, context_length - length) + 1)
-
-
 def _profiles(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     def make(batches):
         for batch in batches:
@@ -187,7 +175,11 @@ def _profiles(docs: DataFrame, length: int, anchor: int) -> DataFrame:
 
 
 def _contexts(texts: DataFrame, length: int, anchor: int) -> DataFrame:
-    """Per text, anchor and distinct context: the positions it stands at and its bytes."""
+    """Per text, anchor and distinct context: the positions it stands at and its bytes.
+
+    Every start belongs to the first least anchor of its string; a context is what the
+    strings of one anchor cover.
+    """
     reach = length - anchor
 
     def make(batches):
@@ -195,16 +187,23 @@ def _contexts(texts: DataFrame, length: int, anchor: int) -> DataFrame:
             out = {k: [] for k in ("h1", "h2", "v", "c1", "c2", "at", "skip", "context")}
             for i, raw in enumerate(batch.column("raw")):
                 raw = raw.as_py()
-                pos, h = anchors(raw, length, anchor)
+                pos, h, low = anchors(raw, length, anchor)
                 wanted = np.isin(h.view(np.int64), np.array(batch.column("values")[i].as_py(), np.int64))
                 seen: dict[tuple, list] = {}
-                for p, v in zip(pos[wanted].tolist(), h.view(np.int64)[wanted].tolist(), strict=True):
-                    a = max(0, p - reach)
-                    context = raw[a : p + length]
-                    d = xxhash.xxh3_128_digest(context)
-                    seen.setdefault((v, p - a, d), [context]).append(p)
+                last: dict[int, int] = {}
+                for p, v in zip(pos[wanted].tolist(), h[wanted], strict=True):
+                    v = int(v.view(np.int64))
+                    a = max(0, p - reach, last.get(v, -1) + 1)
+                    last[v] = p
+                    own = np.flatnonzero(low[a : p + 1].view(np.int64) == v)
+                    if not len(own):
+                        continue
+                    first, end = a + int(own[0]), a + int(own[-1]) + length
+                    context = raw[first:end]
+                    seen.setdefault((v, p - first, xxhash.xxh3_128_digest(context)), [context]).append(first)
                 for (v, left, d), (context, *at) in seen.items():
-                    for k, x in zip(out, (batch.column("h1")[i].as_py(), batch.column("h2")[i].as_py(), v, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), at, left, context), strict=True):
+                    row = (batch.column("h1")[i].as_py(), batch.column("h2")[i].as_py(), v, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), at, left, context)
+                    for k, x in zip(out, row, strict=True):
                         out[k].append(x)
                 if len(out["v"]) > 20_000:
                     yield pack(out)
@@ -221,17 +220,22 @@ def _contexts(texts: DataFrame, length: int, anchor: int) -> DataFrame:
 
 
 def _sorted_buckets(contexts: DataFrame, length: int, block: int) -> DataFrame:
-    """(v, c1, c2, skip, runs): the starts of each context whose string is repeated."""
+    """(v, c1, c2, skip, first, last): the outer starts of each context that are repeated.
+
+    Strings at those cover all between: a context's starts are closer than their length.
+    """
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
-        starts = np.array([_starts(len(r[4]), r[3], length) for r in rows])
+        starts = np.array([len(r[4]) - length + 1 for r in rows])
         _, bucket = np.unique(np.array([r[0] for r in rows]), return_inverse=True)
-        hits = sort_block(bucket, np.array([r[3] for r in rows]), [r[4] for r in rows], starts, length) if starts.any() else [np.zeros(0, bool)] * len(rows)
-        runs = [_runs(h | (r[5] > 1)) for h, r in zip(hits, rows, strict=True)]
+        hits = sort_block(bucket, np.array([r[3] for r in rows]), [r[4] for r in rows], starts, length)
+        ends = [np.flatnonzero(h | (r[5] > 1)) for h, r in zip(hits, rows, strict=True)]
+        some = [k for k, e in enumerate(ends) if len(e)]
         return pa.RecordBatch.from_arrays(
-            [*(pa.array([r[k] for r in rows], pa.int64() if k < 3 else pa.int32()) for k in range(4)), pa.array(runs, pa.list_(pa.int32()))],
-            ["v", "c1", "c2", "skip", "runs"],
-        )
+            [*(pa.array([rows[i][k] for i in some], pa.int64() if k < 3 else pa.int32()) for k in range(4)),
+             *(pa.array([ends[i][k] for i in some], pa.int32()) for k in (0, -1))],
+            ["v", "c1", "c2", "skip", "first", "last"],
+        )
 
     def make(batches) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -246,7 +250,7 @@ def _sorted_buckets(contexts: DataFrame, length: int, block: int) -> DataFrame:
             yield flush(rows)
 
     out = contexts.repartition("v").sortWithinPartitions("v")
-    return out.mapInArrow(make, "v long, c1 long, c2 long, skip int, runs array<int>")
+    return out.mapInArrow(make, "v long, c1 long, c2 long, skip int, first int, last int")
 
 
 def _hot_windows(contexts: DataFrame, scratch: Scratch, length: int) -> DataFrame:
@@ -256,7 +260,7 @@ def _hot_windows(contexts: DataFrame, scratch: Scratch, length: int) -> DataFram
         for batch in batches:
             out = {k: [] for k in ("v", "c1", "c2", "skip", "start", "w1", "w2", "copies")}
             for v, c1, c2, skip, context, copies in zip(*(batch.column(k).to_pylist() for k in ("v", "c1", "c2", "skip", "context", "copies")), strict=True):
-                for s in range(_starts(len(context), skip, length)):
+                for s in range(len(context) - length + 1):
                     d = xxhash.xxh3_128_digest(context[s : s + length])
                     for k, x in zip(out, (v, c1, c2, skip, s, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), copies), strict=True):
                         out[k].append(x)
@@ -266,11 +270,10 @@ def _hot_windows(contexts: DataFrame, scratch: Scratch, length: int) -> DataFram
     windows = windows.withColumn("off", F.col("skip") - F.col("start"))
     twice = windows.groupBy("v", "off", "w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1").drop("n")
     found = windows.join(scratch.write(twice, "hot-twice"), ["v", "off", "w1", "w2"])
-    ordered = found.groupBy("v", "c1", "c2", "skip").agg(F.array_sort(F.collect_list("start")).alias("s"))  # at most length starts
-    return ordered.select("v", "c1", "c2", "skip", F.flatten(F.transform("s", lambda x: F.array(x, x))).alias("runs"))
+    return found.groupBy("v", "c1", "c2", "skip").agg(F.min("start").alias("first"), F.max("start").alias("last"))
 
 
-def _cut(texts: DataFrame) -> DataFrame:
+def _cut(texts: DataFrame, length: int) -> DataFrame:
     """Removes the spans: h1, h2, n_removed, n_spans, sha of what is left."""
 
     def make(batches):
@@ -278,7 +281,7 @@ def _cut(texts: DataFrame) -> DataFrame:
             removed, count, sha = [], [], []
             for raw, spans in zip(batch.column("raw"), batch.column("spans"), strict=True):
                 raw = raw.as_py()
-                pairs = sorted((s["a"], s["b"]) for s in spans.as_py())
+                pairs = sorted({(p + s["first"], p + s["last"] + length) for s in spans.as_py() for p in s["at"]})
                 merged: list[list[int]] = []
                 for a, b in pairs:
                     if merged and a <= merged[-1][1]:
@@ -319,6 +322,8 @@ def remove_repeats(
 
     Null text is empty.  Rows that repeat a doc_id are separate documents.
     """
+    if not PERIOD <= length or not 0 < anchor <= length:
+        raise ValueError(f"length must be {PERIOD} or more, and anchors at most as long")
     scratch = scratch or Scratch(docs.sparkSession, "repeats")
     t = F.coalesce(F.col(text), F.lit(""))
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), t.cast("binary").alias("raw"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(1), t).alias("h2"))
@@ -342,21 +347,17 @@ def remove_repeats(
     sizes = scratch.write(contexts.groupBy(F.col("v").alias("w")).agg(F.count("*").alias("m")), "sizes")
     sized = contexts.join(sizes, contexts["v"] == sizes["w"]).drop("w")
     alone = sized.where((F.col("m") == 1) & (F.col("copies") > 1))
-    last = F.least(F.col("skip"), F.length("context") - length).cast("int")
-    found = alone.select("v", "c1", "c2", "skip", F.array(F.lit(0), last).alias("runs"))
+    last = (F.length("context") - length).cast("int")
+    found = alone.select("v", "c1", "c2", "skip", F.lit(0).alias("first"), last.alias("last"))
     found = found.union(_sorted_buckets(sized.where((F.col("m") > 1) & (F.col("m") <= hot)), length, block))
     crowd = sized.where(F.col("m") > hot)
     if not sizes.where(F.col("m") > hot).isEmpty():
         found = found.union(_hot_windows(crowd.drop("m"), scratch, length))
-    found = scratch.write(found.where(F.size("runs") > 0), "found")
+    found = scratch.write(found, "found")
 
     placed = occurs.select("h1", "h2", "v", "c1", "c2", "skip", "at").join(found, ["v", "c1", "c2", "skip"])
-    spans = placed.select("h1", "h2", F.explode("at").alias("p"), "skip", "runs").select(
-        "h1", "h2", F.explode(F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2))).alias("k"), "runs", (F.col("p") - F.col("skip")).alias("from")
-    )
-    spans = spans.select("h1", "h2", F.struct((F.col("from") + F.get("runs", F.col("k"))).alias("a"), (F.col("from") + F.get("runs", F.col("k") + 1) + length).alias("b")).alias("s"))
-    spans = spans.groupBy(F.col("h1").alias("k1"), F.col("h2").alias("k2")).agg(F.collect_set("s").alias("spans"))  # of one text
-    cut = _cut(able.drop("values").join(spans, (able["h1"] == spans["k1"]) & (able["h2"] == spans["k2"])).select("h1", "h2", "raw", "spans"))
+    spans = placed.groupBy(F.col("h1").alias("k1"), F.col("h2").alias("k2")).agg(F.collect_list(F.struct("at", "first", "last")).alias("spans"))  # of one text
+    cut = _cut(able.drop("values").join(spans, (able["h1"] == spans["k1"]) & (able["h2"] == spans["k2"])).select("h1", "h2", "raw", "spans"), length)
     several = classes.where("rows > 1").select(
         "h1", "h2", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256")
     )
