@@ -77,13 +77,17 @@ class EliasFano:
         lx = x & _U((1 << self.width) - 1)
         i = np.where(hx > 0, self._select(np.maximum(hx - 1, 0), False) + 1, 0) - hx
         end = self._select(hx, False) - hx
+        last = end.copy()
+        while True:  # binary search among the values of equal high bits
+            live = np.flatnonzero(i < end)
+            if not len(live):
+                break
+            mid = (i[live] + end[live]) >> 1
+            less = self._low(mid) < lx[live]
+            i[live[less]] = mid[less] + 1
+            end[live[~less]] = mid[~less]
         out = np.full(len(x), -1, np.int64)
-        live = np.flatnonzero(i < end)
-        while len(live):
-            v = self._low(i[live])
-            hit = v == lx[live]
-            out[live[hit]] = i[live[hit]]
-            live = live[v < lx[live]]
-            i[live] += 1
-            live = live[i[live] < end[live]]
+        some = np.flatnonzero(i < last)
+        some = some[self._low(i[some]) == lx[some]]
+        out[some] = i[some]
         return out

@@ -29,7 +29,7 @@ MIN_PAIR = 2
 #: Quantised probabilities: LEVELS steps of equal log10 from FLOOR to 0.
 LEVELS, FLOOR = 255, -8.0
 SHARD_TOKENS = 2_000_000
-CHUNK_TOKENS = 300_000
+CHUNK_TOKENS = 500_000
 REMEMBER = 500_000
 #: The token after the last word; it is also the context of the first.
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end"))
@@ -100,13 +100,13 @@ def _load(where: str, name: str, types: str) -> list[np.ndarray]:
     fs, root = pa.fs.FileSystem.from_uri(where)
     path = f"{root}/{name}"
     if isinstance(fs, pa.fs.LocalFileSystem):
-        words = np.memmap(path, np.uint64, "r")
+        words = np.asarray(np.memmap(path, np.uint64, "r"))
     else:
         with fs.open_input_stream(path) as f, tempfile.TemporaryFile() as copy:
             while block := f.read(1 << 24):
                 copy.write(block)
             copy.flush()
-            words = np.memmap(copy, np.uint64, "r")
+            words = np.asarray(np.memmap(copy, np.uint64, "r"))
     n = int(words[0])
     out = []
     for k in range(n):
