@@ -384,3 +384,16 @@ def test_queries_match_sql(spark, name):
     cur = con.execute(queries.ORACLE[name])
     head = [x[0] for x in cur.description]
     assert sorted(map(repr, cur.fetchall())) == sorted(repr(tuple(r)) for r in queries.QUERIES[name](spark, sf).select(*head).collect())
+
+
+def test_pipeline_links_near_copies_between_both_laws(spark):
+    import corpus_pipeline
+
+    base = [f"w{k}" for k in range(200)]
+    copy = [f"edit{k}" if k in (20, 70, 120, 170) else w for k, w in enumerate(base)]
+    cut = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    jac = lambda n: len(cut(base, n) & cut(copy, n)) / len(cut(base, n) | cut(copy, n))
+    assert jac(3) < 0.9 and 0.8 < jac(5) < 0.9
+    rows = [(1, " ".join(base)), (2, " ".join(copy)), (3, " ".join(f"x{k}" for k in range(200)))]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, d, "").collect()) == [1, 3]
