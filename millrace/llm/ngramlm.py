@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .eliasfano import EliasFano
 
-#: Absolute discount, and the least count of a stored pair.
+#: Absolute discount, and the least count of a stored pair unless the caller gives one.
 DISCOUNT = 0.75
 MIN_PAIR = 2
 #: Quantised probabilities: LEVELS steps of equal log10 from FLOOR to 0.
@@ -285,14 +285,14 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(a, run), low.view("<u8").ravel(), n
 
 
-def _write_level_two(pairs: DataFrame, model: Trie, shared) -> DataFrame:
+def _write_level_two(pairs: DataFrame, model: Trie, shared, min_pair: int) -> DataFrame:
     """Packed pairs -> files; (shard, pairs, bytes).  Every shard of level one gets one."""
 
     def put(trie: Trie, s: int, blobs: list[bytes], tops: np.ndarray):
         size = int(trie.offsets[s + 1] - trie.offsets[s])
         a, b, n = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True)) if blobs else (np.zeros(0, np.uint64),) * 3
         a, b, n = _merge(a, b, n)
-        keep = n >= MIN_PAIR
+        keep = n >= min_pair
         a, b, n = a[keep], b[keep], n[keep]
         ids, count = trie.lookup(a)
         rank = ids - trie.offsets[s]
@@ -354,8 +354,11 @@ def _resolve(trie: Trie, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cut, ids
 
 
-def train(docs: DataFrame, text: str = "text", shard_tokens: int = SHARD_TOKENS, scratch: Scratch | None = None) -> Trie:
-    """Counts all tokens and pairs of ``docs`` and writes the trie to the shared folder."""
+def train(docs: DataFrame, text: str = "text", shard_tokens: int = SHARD_TOKENS, scratch: Scratch | None = None, min_pair: int = MIN_PAIR) -> Trie:
+    """Counts all tokens and pairs of ``docs`` and writes the trie to the shared folder.
+
+    Pairs seen less than ``min_pair`` times are not stored; 1 stores all.
+    """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lm")
     texts = docs.select(F.col(text).alias("text"))
@@ -367,7 +370,7 @@ def train(docs: DataFrame, text: str = "text", shard_tokens: int = SHARD_TOKENS,
     offsets = [0, *np.cumsum([sizes.get(s, 0) for s in range(1 << bits)]).tolist()]
     model = Trie(where, bits, offsets, total["v"], total["n"])
     shared = spark.sparkContext.broadcast(model)  # paths and shard sizes, no counts
-    _write_level_two(_pairs(texts, bits), model, shared).agg(F.sum("bytes")).collect()
+    _write_level_two(_pairs(texts, bits), model, shared, min_pair).agg(F.sum("bytes")).collect()
     return model
 
 

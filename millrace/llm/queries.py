@@ -40,7 +40,7 @@ def op1(spark, sf_dir):
 @query("op2_elias_fano_lm")
 def op2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = ngramlm.train(docs.where(fold(5) != 1).select("text"))
+    model = ngramlm.train(docs.where(fold(5) != 1).select("text"), min_pair=1)
     return ngramlm.score(docs, model).select(
         "doc_id", (fold(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", F.col("lm_score").alias("score")
     )

@@ -187,6 +187,21 @@ def test_language_model(docs, empty):
     assert ngramlm.score(docs, ngramlm.train(empty.select("text"))).where("n_known > 0").count() == 0
 
 
+def test_language_model_query_keeps_pairs_seen_once(spark, tmp_path):
+    from millrace.llm import queries
+
+    texts = [f"a{i} b{i} c{i} d{i}" for i in range(20)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["op2_elias_fano_lm"](spark, str(tmp_path)).collect()}
+    train = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5 != 1]
+    n, v, k = 5 * len(train), 4 * len(train) + 1, len(train)
+    p = lambda count: (count + 0.5) / (n + 0.5 * (v + 1))
+    for i in train:
+        first = 0.25 / k + 0.75 * p(1)  # the end is the context, seen k times with k successors
+        want = math.log10(first) + 3 * math.log10(0.25 + 0.75 * p(1)) + math.log10(0.25 + 0.75 * p(k))
+        assert not got[i].held_out and abs(got[i].score - want) < 0.06 * 5
+
+
 def test_language_id(docs, empty):
     model = langid.fit([(t, lang) for d, t, lang, _ in corpus() if t and lang and d is not None and d % 4])
     got = langid.identify(docs, model).collect()
