@@ -17,8 +17,14 @@ def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; null texts and texts without a letter go."""
+    """Texts with a letter stay; null texts and texts without a letter go.
+
+    Which language is found, and how surely, decides nothing.  Where no labelled row is
+    left to learn from, no language is found and texts with a letter stay all the same.
+    """
     model = langid.fit(langid.training_sample(docs.where(fold(4) != 2).select("doc_id", "text", "lang")))
+    if not model.labels:
+        return langid.with_letters(docs)
     return _columns(langid.identify(docs, model).where("lang_pred <> 'und'"), docs)
 
 

@@ -194,6 +194,17 @@ def training_sample(labelled: DataFrame, max_docs: int = MAX_FIT_DOCS, max_chars
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["h"], r["text"], r["lang"]))]
 
 
+def with_letters(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows whose text has a letter, as ``identify`` finds letters."""
+    at = docs.columns.index(text)
+
+    def keep(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([bool(LETTERS.search((t or "").lower())) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The input rows with lang_pred, score and word_counts (label -> words labelled so).
 

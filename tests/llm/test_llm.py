@@ -412,3 +412,12 @@ def test_pipeline_links_near_copies_between_both_laws(spark):
     rows = [(1, " ".join(base)), (2, " ".join(copy)), (3, " ".join(f"x{k}" for k in range(200)))]
     d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, d, "").collect()) == [1, 3]
+
+
+def test_pipeline_keeps_texts_without_any_label(spark):
+    import corpus_pipeline
+
+    texts = ["some words here", "élan", "12 34 !!", "", None, "one"]
+    d = spark.createDataFrame([(i, t, None, "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.language(spark, d, "")
+    assert out.columns == d.columns and sorted(r.doc_id for r in out.collect()) == [0, 1, 5]
