@@ -4,49 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 from .components import connected_components
+from .shingles import _M1, _M3, mix, shingle_sets
 
-#: Words remembered with their hashes in a task.
-REMEMBER = 1_000_000
 #: Earlier prefix tokens by which a pair that was met before is recognised.
 RECALL = 32
-#: Cells of a set's sketch: how many of its tokens fall in each.
-SKETCH = 128
-_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _M2
-    x = (x ^ (x >> np.uint64(29))) * _M3
-    return x ^ (x >> np.uint64(32))
-
-
-class Shingler:
-    """Distinct hashed shingles of ``n`` words; fewer words make one shingle, none make none."""
-
-    def __init__(self, n: int):
-        self.n, self.known = n, {}
-
-    def __call__(self, raw: bytes | None) -> np.ndarray:
-        words = (raw or b"").lower().split()
-        if not words:
-            return np.zeros(0, np.int64)
-        known = self.known
-        if len(known) > REMEMBER:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        n = min(self.n, len(h))
-        out = np.full(len(h) - n + 1, n, np.uint64)
-        for k in range(n):
-            out = _mix(out * _M1 + h[k : len(h) - n + 1 + k])
-        return np.unique(out.view(np.int64))
+#: A prefix token of the first order that more sets share is split by prefix tokens of the second.
+SPLIT = 256
 
 
 def _needed(n, percent: int):
@@ -63,96 +31,72 @@ def _first(n: Column, percent: int) -> Column:
     return n - _due(n, percent) + 1
 
 
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    sizes = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+
+
 def _sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, n, f1, f2 (fingerprint of the set) and the long prefix in hash order."""
+    """doc_id, th, n, f1, f2 (fingerprint of the set) and the long prefix in hash order."""
 
     def make(batches):
-        cut = Shingler(shingle)
         for batch in batches:
-            n, f1, f2, prefix, sizes = [], [], [], [], [0]
-            for raw in batch.column(1).cast(pa.binary()):
-                s = cut(raw.as_py())
-                u = s.view(np.uint64)
-                n.append(len(s))
-                with np.errstate(over="ignore"):
-                    f1.append(int(_mix(u + _M1).sum(dtype=np.uint64).view(np.int64)))
-                    f2.append(int(_mix(u * _M3).sum(dtype=np.uint64).view(np.int64)))
-                first = len(s) - _needed(len(s), percent) + 1
-                # one more shared token is due for each token added to the prefix; a set
-                # that only its equals can match needs no prefix
-                p = s[: first + _more(first)] if 100 * len(s) >= percent * (len(s) + 1) else s[:0]
-                prefix.append(p)
-                sizes.append(sizes[-1] + len(p))
-            flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))],
-                ["doc_id", "n", "f1", "f2", "prefix"],
-            )
-
-    return docs.mapInArrow(make, "doc_id long, n long, f1 long, f2 long, prefix array<long>")
-
-
-def _more(first: int) -> int:
-    """Tokens by which the prefix is lengthened."""
-    return first
-
-
-def _shingles(docs: DataFrame, shingle: int) -> DataFrame:
+            at = 0
+            for sets in shingle_sets(batch.column(2), shingle):
+                n, f1, f2, prefix = [], [], [], []
+                for s in sets:
+                    u = s.view(np.uint64)
+                    n.append(len(s))
+                    f1.append(int(mix(u + _M1).sum(dtype=np.uint64).view(np.int64)))
+                    f2.append(int(mix(u * _M3).sum(dtype=np.uint64).view(np.int64)))
+                    first = len(s) - _needed(len(s), percent) + 1
+                    # one more shared token is due for each token added to the prefix; a set
+                    # that only its equals can match needs no prefix
+                    prefix.append(s[: 2 * first] if 100 * len(s) >= percent * (len(s) + 1) else s[:0])
+                ids, hashes = batch.column(0).slice(at, len(sets)), batch.column(1).slice(at, len(sets))
+                at += len(sets)
+                yield pa.RecordBatch.from_arrays([ids, hashes, *(pa.array(x, pa.int64()) for x in (n, f1, f2)), _lists(prefix)], ["doc_id", "th", "n", "f1", "f2", "prefix"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(make, "doc_id long, th long, n long, f1 long, f2 long, prefix array<long>")
+
+
+def _shingles(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, set) of (id, text); the set is in hash order."""
+
     def make(batches):
-        cut = Shingler(shingle)
         for batch in batches:
-            s = [cut(raw.as_py()) for raw in batch.column(1).cast(pa.binary())]
-            sizes = np.cumsum([0, *map(len, s)]).astype(np.int32)
-            flat = np.concatenate(s) if s else np.zeros(0, np.int64)
-            sketch = [np.bincount(x % SKETCH, minlength=SKETCH) for x in s]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), pa.array(sketch, pa.list_(pa.int32()))], ["id", "set", "sketch"]
-            )
+            at = 0
+            for sets in shingle_sets(batch.column(1), shingle):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), _lists(sets)], ["id", "set"])
+                at += len(sets)
 
-    return docs.mapInArrow(make, "id long, `set` array<long>, sketch array<int>")
+    return texts.mapInArrow(make, "id long, `set` array<long>")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that also share prefix tokens under the second order and whose
-    exact Jaccard similarity is high enough."""
-    side = lambda k: sets.select(F.col("id").alias(k), F.col("set").alias(f"set_{k}"), F.col("pb").alias(f"pb_{k}"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("pb_a", "pb_b"))
-    return near.where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
-
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) that pass the second order's filter too, and then the exact test.
 
-def jaccard_components(
-    docs: DataFrame, shingle: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None
-) -> DataFrame:
-    """doc_id, n_shingles, component_id, one row per input row.
+    In hash order, prefixes of twice the least length share one token more than that
+    length: only prefixes are joined for this.  The sets are joined for what is left.
+    """
+    side = lambda k, c: sets.select(F.col("id").alias(k), F.col(c).alias(f"{c}_{k}"), F.col("n").alias(f"n_{k}"))
+    due = 1 + F.least(_first(F.col("n_a"), percent), _first(F.col("n_b"), percent))
+    left = pairs.join(side("a", "pb"), "a").join(side("b", "pb"), "b").where(F.size(F.array_intersect("pb_a", "pb_b")) >= due)
+    left = scratch.write(left.select("a", "b"), "candidates")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    return left.join(side("a", "set"), "a").join(side("b", "set"), "b").where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
-    1. Every text becomes its set of hashed shingles; equal sets form a class.
-    2. Under the hash order, a set that has a partner shares a known number of the tokens
-       of its lengthened prefix with it.  Sets with too few tokens that any other class
-       has in its own prefix have no partner and go; so do sets with too few tokens that
-       any other remaining set has.
-    3. The sets left are ordered by (frequency, hash) and by (frequency, another hash).
-       Candidates share prefix tokens under both orders, at lengths and positions that
-       allow the similarity.
-    4. Candidates are verified in two rounds.  First each token's sets against its
-       smallest; this joins groups of near copies without pairing them all.  Then the
-       pairs that are still in different components, unless the counts of their tokens in
-       the cells of a hash already bound the overlap below what is needed.
 
-    Links found are exact; pairs that are left out are of one component already.  Null or
-    empty text has no shingles and is alone.  Rows without doc_id are alone, component null.
-    """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "jaccard")
+def _labels(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str, scratch: Scratch) -> DataFrame:
+    """doc_id, th, n, node (its set), component (a node): one row per input row."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     all_sets = scratch.write(_sets(source, shingle, percent), "sets")
-    classes = scratch.write(
-        all_sets.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes"
-    )
+    # a class is known by its fingerprint; one text stands for it
+    classes = all_sets.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("th").alias("th"), F.count("*").alias("copies"))
+    classes = scratch.write(classes, "classes")
 
-    # 2. which sets can have a partner
-    tokens = all_sets.where("doc_id is not null").select("f1", "n", F.explode("prefix").alias("token"))
+    # which sets can have a partner
+    tokens = all_sets.select("f1", "n", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"))
     shared = scratch.write(shared, "shared")
     # a prefix lengthened by m tokens shares 1 + m with a partner's of as many; a partner
@@ -161,12 +105,12 @@ def jaccard_components(
     due = 1 + _first(_due(F.col("n"), percent), percent)
     hits = tokens.join(shared, tokens["token"] == shared["t"], "left_semi").groupBy("f1", "n").agg(F.count("*").alias("hits"))
     able = classes.join(hits, ["f1", "n"]).where(F.col("hits") >= due * F.col("copies"))
-    ids = scratch.write(able.select(F.col("rep").alias("id")), "able")
-    sets = scratch.write(
-        _shingles(source.join(ids, source["doc_id"] == ids["id"], "left_semi").select("doc_id", "text"), shingle).dropDuplicates(["id"]), "able-sets"
-    )
+    ids = scratch.write(able.select(F.col("f1").alias("id"), F.col("th").alias("_th")), "able")
+    texts = source.withColumn("th", F.xxhash64("text")).join(ids, F.col("th") == F.col("_th")).select("id", "text")
+    sets = scratch.write(_shingles(texts, shingle), "able-sets").dropDuplicates(["id"])
+    sets = scratch.write(sets, "one-each")
 
-    # 3. prefixes under two orders by frequency; what no other set has uses up the prefix
+    # the first order: by frequency; what no other set has uses up the prefix
     flat = sets.select("id", F.size("set").cast("long").alias("n"), F.explode("set").alias("token"))
     often = scratch.write(flat.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1").select(F.col("token").alias("t"), "freq"), "often")
     known = flat.join(often, flat["token"] == often["t"])
@@ -174,26 +118,25 @@ def jaccard_components(
     left = scratch.write(sets.join(scratch.write(ids, "able"), F.col("id") == F.col("able"), "left_semi"), "left-sets")
     scratch.drop(sets)
     flat = left.select("id", F.explode("set").alias("token"))
-    lists = flat.join(often, flat["token"] == often["t"]).groupBy("id").agg(F.collect_list(F.struct("freq", "token")).alias("tokens"))  # of one set
+    lists = flat.join(often, flat["token"] == often["t"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("tokens"))  # of one set
     ordered = left.join(lists.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).withColumn("n", F.size("set").cast("long"))
     alone = F.col("n") - F.size("tokens")
     keep = F.greatest(F.lit(0), first - alone).cast("int")
-
-    def prefix(seed: int) -> Column:
-        keyed = F.transform("tokens", lambda x: F.struct(x["freq"].alias("f"), F.xxhash64(x["token"], F.lit(seed)).alias("h"), x["token"].alias("token")))
-        return F.transform(F.slice(F.array_sort(keyed), 1, keep), lambda x: x["token"])
-
-    sets = scratch.write(ordered.select("id", "n", "set", "sketch", alone.cast("long").alias("alone"), prefix(1).alias("pa"), prefix(2).alias("pb")), "prefixes")
+    # the second order: by hash, in which the set stands already; its prefix is twice as long
+    sets = scratch.write(
+        ordered.select("id", "n", "set", alone.cast("long").alias("alone"), F.transform(F.slice("tokens", 1, keep), lambda x: x["token"]).alias("pa"), F.slice("set", F.lit(1), (2 * first).cast("int")).alias("pb")),
+        "prefixes",
+    )
     # a token carries the few before it: a pair is taken at its first common token
     before = F.slice("pa", F.greatest(F.lit(1), F.col("k") - RECALL + 1), F.least(F.col("k"), F.lit(RECALL)))
     posted = sets.select("id", "n", "alone", "pa", F.posexplode("pa").alias("k", "token"))
     posted = scratch.write(posted.select("id", "n", "token", (F.col("alone") + F.col("k")).alias("pos"), before.alias("before")), "posted")
 
-    # 4. round one: each token's sets against its smallest
+    # round one: each token's sets against its smallest
     least = posted.groupBy("token").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").select(F.col("token").alias("t"), "a")
     least = scratch.write(least, "least")
     stars = posted.join(least, posted["token"] == least["t"]).where("id > a").select("a", F.col("id").alias("b")).distinct()
-    near = scratch.write(_verify(stars, sets, percent), "near")
+    near = scratch.write(_verify(stars, sets, percent, scratch), "near")
     comp = connected_components(near, scratch)
 
     # round two: pairs of different components; the largest of a token is not paired with itself
@@ -202,30 +145,76 @@ def jaccard_components(
         posted.join(owner, posted["id"] == owner["node"], "left").select("id", "n", "before", "token", "pos", F.coalesce("component", "id").alias("comp")), "owned"
     )
     parts = posted.groupBy("token", "comp").agg(F.count("*").alias("c"))
-    main = parts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    main = scratch.write(main.select(F.col("token").alias("t"), "main"), "main")
-    sketches = sets.select(F.col("id").alias("_id"), "sketch")
+    main = parts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("parts"), F.sum("c").alias("all")).where("parts > 1")
+    main = scratch.write(main.select(F.col("token").alias("t"), "main", (F.col("all") > SPLIT).alias("split")), "main")
     mixed = scratch.write(posted.join(main, posted["token"] == main["t"]).drop("t"), "mixed")
-    mixed = scratch.write(mixed.join(sketches, mixed["id"] == sketches["_id"]).drop("_id"), "sketched")
+    # partners also share a token of the second order's short prefix: it splits common tokens
+    by_hash = sets.select(F.col("id").alias("_id"), F.slice("pb", F.lit(1), first.cast("int")).alias("short"))
+    split = mixed.where("split").join(by_hash, F.col("id") == F.col("_id")).select("*", F.posexplode("short").alias("j", "second"))
+    split = split.withColumn("earlier", F.slice("short", F.lit(1), F.col("j"))).drop("_id", "short", "j")
+    whole = mixed.where("not split").select("*", F.lit(0).cast("long").alias("second"), F.array().cast("array<bigint>").alias("earlier"))
+    mixed = scratch.write(whole.unionByName(split), "keyed")
     x, y = mixed.where("comp <> main").alias("x"), mixed.alias("y")
     lo, hi = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     need = F.ceil((lo + hi) * percent / F.lit(100 + percent))
     left_over = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     upto = F.least("x.pos", "y.pos")
-    # tokens can only be shared within a cell
-    cells = F.aggregate(F.zip_with("x.sketch", "y.sketch", lambda a, b: F.least(a, b)), F.lit(0), lambda n, k: n + k)
+    fresh = lambda c: ~F.arrays_overlap(f"x.{c}", f"y.{c}")
     candidates = (
-        x.join(y, F.col("x.token") == F.col("y.token"))
+        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.second") == F.col("y.second")))
         .where((F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))))
-        .where((100 * lo >= percent * hi) & (upto + left_over >= need) & (cells >= need) & (F.size(F.array_intersect("x.before", "y.before")) == 0))
+        .where((100 * lo >= percent * hi) & (upto + left_over >= need) & fresh("before") & fresh("earlier"))
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     )
-    more = _verify(candidates, sets, percent)
+    more = _verify(candidates, sets, percent, scratch)
     comp = connected_components(near.union(more), scratch)
-
-    labelled = classes.join(comp, classes["rep"] == comp["node"], "left").where("copies > 1 or component is not null").select(
-        F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), F.col("n").alias("_n"), F.coalesce("component", "rep").alias("component")
+    return all_sets.join(comp, all_sets["f1"] == comp["node"], "left").select(
+        "doc_id", "th", "n", F.col("f1").alias("node"), F.coalesce("component", "f1").alias("component")
     )
-    labelled = scratch.write(labelled, "labelled")
-    out = all_sets.join(labelled, (all_sets["f1"] == labelled["_f1"]) & (all_sets["f2"] == labelled["_f2"]) & (all_sets["n"] == labelled["_n"]), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def jaccard_components(
+    docs: DataFrame, shingle: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None
+) -> DataFrame:
+    """doc_id, n_shingles, component_id, one row per input row.
+
+    1. Every text becomes its set of hashed shingles; equal sets form a class.
+    2. Under the hash order, a set that has a partner shares a known number of the tokens
+       of its lengthened prefix with it.  Sets with too few tokens that any other class
+       has in its own prefix have no partner and go; so do sets with too few tokens that
+       any other remaining set has.
+    3. The sets left are ordered by frequency and by hash, two unlike orders.  Candidates
+       share prefix tokens under both, at lengths and positions that allow the similarity.
+       A token of the first order that many sets share is split by tokens of the second.
+    4. Candidates are verified in two rounds.  First each token's sets against its
+       smallest; this joins groups of near copies without pairing them all.  Then the
+       pairs that are still in different components.
+
+    Links found are exact; pairs that are left out are of one component already.  Null or
+    empty text has no shingles and is alone.  Rows of one doc_id with different texts are
+    separate documents.  Rows without doc_id link like others, but name no component: a
+    component is null only if none of its rows has a doc_id.  Other columns are not read.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "jaccard")
+    rows = scratch.write(_labels(docs, shingle, percent, doc_id, text, scratch), "labelled")
+    least = scratch.write(rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least")).withColumnRenamed("component", "_c"), "least-ids")
+    out = rows.join(least, F.when(F.col("n") > 0, F.col("component")) == F.col("_c"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``docs`` with one row of each component: that of the smallest
+    (doc_id, hash of the text), null ids last; of repeated rows one stays.
+
+    Rows without words are alone and stay.  All columns are kept under their names.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "jaccard-one")
+    rows = scratch.write(_labels(docs, shingle, percent, doc_id, text, scratch), "labelled")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
+    best = rows.where("n > 0").groupBy("component").agg(F.min(place).alias("best"))
+    chosen = scratch.write(best.select(F.xxhash64("best.doc_id", "best.th").alias("row")), "chosen")
+    # one struct holds the input row, so that no name can clash
+    row = F.xxhash64(F.col(doc_id).cast("long"), F.xxhash64(F.col(text)))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("held"), row.alias("row"), F.col(text).rlike(r"[^\x20\x09-\x0D]").alias("worded"))
+    kept = held.where("worded").join(chosen, "row", "left_semi").groupBy("row").agg(F.first("held").alias("held"))
+    return kept.select("held.*").unionByName(held.where("not coalesce(worded, false)").select("held.*"))
