@@ -32,3 +32,25 @@ COSINE = """with recursive e as (select vec_id, embedding::double[] e from embed
  n as (select a vec_id, count(*) n from l group by 1), r(vec_id, c) as (select vec_id, vec_id from embeddings union select l.b, r.c from r join l on l.a = r.vec_id),
  m as (select vec_id, min(c) c from r group by 1)
  select vec_id, coalesce(n, 0)::bigint as n_links, c as component_id, vec_id = c as kept from m left join n using (vec_id)"""
+
+#: The rule of ``queries.with_tool_calls`` said again; a call refers to one other at most, so its level is the length of its path.
+TOOL_CALLS = """with recursive m as (select conv_id c, turn t, role, coalesce(text, '') x, conv_id + turn k from conversations),
+ a as (select c, t, k, case when k % 11 = 0 then 'weather' when k % 3 = 0 then 'calculator' else 'search' end as name,
+   'c' || case when c % 19 = 0 and t >= 3 then t - 2 else t end id, case when k % 7 = 0 then '"three"' else t::varchar end lim,
+   case when c % 13 = 0 then 'c' || (case when t % 4 < 2 then t + 2 else t - 2 end) when t >= 2 and c % 3 = 0 then 'c' || (t - 2) end ref from m where role = 'assistant' and k % 29 <> 0),
+ b as (select *, row_number() over (partition by c, id order by t) n, case when name = 'search' and k % 17 <> 0 then ref end need,
+   case name when 'weather' then '{}' when 'calculator' then '{"expression":"' || c || '+' || t || '"' || case when k % 5 = 0 then ',"unit":"m"' else '' end || '}'
+    else '{"limit":' || lim || case when k % 17 <> 0 then ',"query":"' || coalesce('$' || ref, 'turn ' || t) || '"' else '' end || '}' end args,
+   case when name = 'weather' then 'unknown tool' when name = 'calculator' then case when k % 5 = 0 then 'unknown unit' end
+    when k % 17 = 0 then 'missing query' when k % 7 = 0 then 'type of limit' when t > 6 then 'range of limit' end complaint from a),
+ h as (select * from b where n = 1), e as (select h.c, h.id, h.need from h join h g on g.c = h.c and g.id = h.need),
+ w(c, id, now, d) as (select c, id, id, 0 from h union all select w.c, w.id, e.need, d + 1 from w join e on e.c = w.c and e.id = w.now where d < 40),
+ l as (select c, id, case when max(d) < 40 then max(d) end lv from w group by 1, 2),
+ r as (select c, t, 'c' || case when c % 23 = 0 then t + 1 else t - 1 end id, length(x) n from m where role = 'user' and t > 0 and (c % 23 = 0 or c % 5 <> 0))
+ select c as conv_id, t as turn, 0 as part, 'message' as kind, null::varchar as call_id, null::varchar as name, null::int as level, false as linked, null::varchar as problem, json_object('content', x, 'role', role)::varchar as canonical from m
+ union all select c, t, 1, 'call', null, null, null, false, 'malformed', null from m where role = 'assistant' and k % 29 = 0
+ union all select b.c, b.t, 1, 'call', b.id, b.name, (case when n = 1 then 2 * lv end)::int, n = 1 and q.id is not null,
+  case when n > 1 then 'duplicate id' when complaint is not null then complaint when lv is null then 'cycle' when q.id is null then 'unanswered' end,
+  '{"arguments":' || args || ',"id":"' || b.id || '","name":"' || name || '"}' from b join l on l.c = b.c and l.id = b.id left join (select distinct c, id from r) q on q.c = b.c and q.id = b.id
+ union all select r.c, r.t, 1, 'result', r.id, h.name, (2 * lv + 1)::int, h.id is not null, case when h.id is null then 'orphan result' when r.t < h.t then 'result before its call' end,
+  '{"content":' || r.n || ',"id":"' || r.id || '"}' from r left join h on h.c = r.c and h.id = r.id left join l on l.c = r.c and l.id = r.id"""

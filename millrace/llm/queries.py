@@ -53,14 +53,44 @@ def op3(spark, sf_dir):
 
 #: Tools whose calls are validated.
 TOOLS = [
-    ("search", '{"properties":{"query":{"type":"string"},"limit":{"type":"integer"}},"required":["query"]}'),
+    ("search", '{"properties":{"query":{"type":"string"},"limit":{"type":"integer","maximum":6}},"required":["query"]}'),
     ("calculator", '{"properties":{"expression":{"type":"string"}},"required":["expression"],"additionalProperties":false}'),
 ]
 
 
-@query("op4_tool_call_linking")
+def with_tool_calls(conversations):
+    """The table holds no tool calls, so each message gets one by a rule on c (conv_id) and t (turn).
+
+    An assistant's turn calls ``c<t>``: weather, which no schema knows, where 11 divides c + t,
+    else the calculator where 3 does, else search.  A search asks for ``turn <t>``, or, where 3
+    divides c, for the result of the call two turns before, or, where 13 does, of a call that asks
+    back.  Where 7, 17 or 5 divides c + t its limit is text, its query is missing, or the
+    calculator gets an argument too many; where 29 does, the call is cut off.  Where 19 divides c,
+    later calls repeat an identifier.  A user's turn after the first answers the turn before it,
+    not at all where 5 divides c, and the turn after it where 23 does.
+    """
+    c, t = F.col("conv_id"), F.col("turn")
+    k, text = c + t, lambda x: x.cast("string")
+    name = F.when(k % 11 == 0, "weather").when(k % 3 == 0, "calculator").otherwise("search")
+    back = F.when((c % 13 == 0) & (t % 4 < 2), t + 2).when((c % 13 == 0) | (t >= 2) & (c % 3 == 0), t - 2)
+    asks = F.coalesce(F.concat(F.lit("$c"), text(back)), F.concat(F.lit("turn "), text(t)))
+    limit = F.when(k % 7 == 0, F.lit('"three"')).otherwise(text(t))
+    search = F.when(k % 17 == 0, F.format_string('{"limit": %s}', limit)).otherwise(F.format_string('{"query": "%s", "limit": %s}', asks, limit))
+    unit = F.when(k % 5 == 0, F.lit(', "unit": "m"')).otherwise(F.lit(""))
+    arguments = F.when(name == "search", search).when(name == "calculator", F.format_string('{"expression": "%s+%s"%s}', text(c), text(t), unit)).otherwise(F.lit("{}"))
+    own = F.when((c % 19 == 0) & (t >= 3), t - 2).otherwise(t)
+    call = F.when(k % 29 == 0, F.lit("<tool_call>{</tool_call>")).otherwise(
+        F.format_string('<tool_call>{"name": "%s", "id": "c%s", "arguments": %s}</tool_call>', name, text(own), arguments)
+    )
+    answers = F.when(c % 23 == 0, t + 1).when(c % 5 != 0, t - 1)
+    result = F.format_string('<tool_result>{"id": "c%s", "content": %s}</tool_result>', text(answers), text(F.length(F.coalesce("text", F.lit("")))))
+    block = F.when(F.col("role") == "assistant", call).when((F.col("role") == "user") & (t > 0) & answers.isNotNull(), result)
+    return conversations.select("conv_id", "turn", "role", F.concat(F.coalesce("text", F.lit("")), F.coalesce(block, F.lit(""))).alias("text"))
+
+
+@query("op4_tool_call_linking", oracle.TOOL_CALLS)
 def op4(spark, sf_dir):
-    return toolcalls.link(table(spark, sf_dir, "conversations"), spark.createDataFrame(TOOLS, "name string, schema string"))
+    return toolcalls.link(with_tool_calls(table(spark, sf_dir, "conversations")), spark.createDataFrame(TOOLS, "name string, schema string"))
 
 
 @query("op5_pq_near_duplicates", oracle.COSINE)

@@ -18,6 +18,8 @@ from .common import Scratch
 BLOCK = re.compile(r"<tool_(call|result)>(.*?)</tool_\1>", re.S)
 #: A string argument "$id" stands for the result of an earlier call.
 REFERENCE = re.compile(r"\$([A-Za-z0-9_.-]+)\Z")
+#: References of a conversation that are settled in one pass.
+LIMIT = 100_000
 TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
 
 ITEMS = "conv_id long, turn long, part int, kind string, call_id string, name string, arguments string, needs array<string>, canonical string, problem string"
@@ -36,27 +38,44 @@ def references(value) -> set[str]:
     return set().union(*map(references, parts))
 
 
-def schema_problem(arguments, schema: dict) -> str | None:
-    """The first way, by name, in which arguments miss a schema's required, type or enum."""
-    if not isinstance(arguments, dict):
-        return "arguments are no object"
-    for k in sorted(schema.get("required", [])):
-        if k not in arguments:
-            return f"missing {k}"
-    known = schema.get("properties", {})
-    for k in sorted(arguments):
-        rule, v = known.get(k), arguments[k]
-        if rule is None:
-            if schema.get("additionalProperties", True) is False:
-                return f"unknown {k}"
-            continue
-        kind = rule.get("type")
-        if isinstance(v, str) and REFERENCE.match(v):
-            continue  # its type is known when the call is answered
-        if kind in TYPES and (not isinstance(v, TYPES[kind]) or isinstance(v, bool) and kind in ("integer", "number")):
-            return f"type of {k}"
-        if "enum" in rule and v not in rule["enum"]:
-            return f"value of {k}"
+def schema_problem(value, schema: dict, met: frozenset[str] = frozenset(), at: str = "") -> str | None:
+    """The first way, by name, in which a value misses a schema.
+
+    Keywords: type, enum, required, properties, additionalProperties (false), items,
+    minimum, maximum, minLength, maxLength, pattern; others are ignored.  A string that
+    refers to one of the calls ``met`` passes: its value is known when that call is answered.
+    """
+    if isinstance(value, str) and (m := REFERENCE.match(value)) and m[1] in met:
+        return None
+    name = at or "arguments"
+    kinds = schema.get("type", "object" if not at else [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    fits = lambda k: k not in TYPES or isinstance(value, TYPES[k]) and not (isinstance(value, bool) and k in ("integer", "number"))
+    if kinds and not any(map(fits, kinds)):
+        return f"type of {name}"
+    if "enum" in schema and value not in schema["enum"]:
+        return f"value of {name}"
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        if value < schema.get("minimum", value) or value > schema.get("maximum", value):
+            return f"range of {name}"
+    if isinstance(value, str):
+        if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
+            return f"length of {name}"
+        if "pattern" in schema and not re.search(schema["pattern"], value):
+            return f"pattern of {name}"
+    if isinstance(value, list) and isinstance(schema.get("items"), dict):
+        return next((x for i, v in enumerate(value) if (x := schema_problem(v, schema["items"], met, f"{name}[{i}]"))), None)
+    if isinstance(value, dict):
+        inside = lambda k: f"{at}.{k}" if at else k
+        for k in sorted(schema.get("required", [])):
+            if k not in value:
+                return f"missing {inside(k)}"
+        known = schema.get("properties", {})
+        for k in sorted(value):
+            if k not in known and schema.get("additionalProperties", True) is False:
+                return f"unknown {inside(k)}"
+            if k in known and (x := schema_problem(value[k], known[k], met, inside(k))):
+                return x
     return None
 
 
@@ -98,23 +117,60 @@ def parse(conversations: DataFrame, conv_id: str, turn: str, role: str, text: st
 
 
 @F.pandas_udf(T.StringType())
-def _problem(arguments: pd.Series, schema: pd.Series) -> pd.Series:
-    return pd.Series([None if s is None else schema_problem(json.loads(a), json.loads(s)) for a, s in zip(arguments, schema, strict=True)], dtype=object)
-
-
-def _levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
+def _problem(arguments: pd.Series, schema: pd.Series, met: pd.Series) -> pd.Series:
+    check = lambda a, s, m: None if s is None else schema_problem(json.loads(a), json.loads(s), frozenset(m if m is not None else ()))
+    return pd.Series([check(*x) for x in zip(arguments, schema, met, strict=True)], dtype=object)
+
+
+def settle(needs: dict[str, set[str]]) -> dict[str, int]:
+    """Levels of calls: one more than the highest level they need; calls on or behind a cycle have none."""
+    asked: dict[str, list[str]] = {}
+    for call, what in needs.items():
+        for x in what:
+            asked.setdefault(x, []).append(call)
+    waiting = {call: len(what) for call, what in needs.items()}
+    level = {x: 0 for x in asked if x not in needs}
+    front = list(level)
+    while front:
+        done = front.pop()
+        for call in asked.get(done, ()):
+            level[call] = max(level.get(call, 0), level[done] + 1)
+            waiting[call] -= 1
+            if not waiting[call]:
+                front.append(call)
+    return {call: level[call] for call in needs if not waiting[call]}
+
+
+def _levels(heads: DataFrame, needs: DataFrame, scratch: Scratch, limit: int) -> DataFrame:
     """(conv_id, call_id, level): 0 for calls that need nothing, else one more than the
     highest level they need.  Calls on a cycle, or behind one, get none.
 
-    A round settles the calls whose needs are settled; rounds are as many as levels.
+    ``needs`` (conv_id, call_id, need) are references to calls that exist.  Conversations
+    of at most ``limit`` references are settled each in one pass; in longer ones a round
+    settles the calls whose needs are settled, so rounds are as many as levels.
     """
-    needs = scratch.write(
-        calls.select("conv_id", "call_id", F.explode("needs").alias("need"))
-        .join(calls.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("need")), ["need"]).where("conv_id = _c").drop("_c"),
-        "needs",
-    )  # only needs that some call of the conversation meets
+    sized = needs.groupBy("conv_id").agg(F.count("*").alias("n"))
+    long = scratch.write(sized.where(F.col("n") > limit).select("conv_id"), "long")
+    free = heads.join(needs.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"))
+
+    def short(batches):
+        for batch in batches:
+            out = []
+            for conv, edges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own: dict[str, set[str]] = {}
+                for e in edges:
+                    own.setdefault(e["call_id"], set()).add(e["need"])
+                out += [(conv, call, n) for call, n in settle(own).items()]
+            cols = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32()), strict=True)], ["conv_id", "call_id", "level"])
+
+    packed = needs.join(long, "conv_id", "left_anti").groupBy("conv_id").agg(F.collect_list(F.struct("call_id", "need")).alias("edges"))
+    settled = free.union(packed.mapInArrow(short, "conv_id long, call_id string, level int"))
+    if long.isEmpty():
+        return settled
+    needs = scratch.write(needs.join(long, "conv_id", "left_semi"), "long-needs")
     waiting = scratch.write(needs.groupBy("conv_id", "call_id").agg(F.count("*").alias("open")), "waiting")
-    settled = done = scratch.write(calls.join(waiting, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level")), "level")
+    done = scratch.write(free.join(long, "conv_id", "left_semi"), "level")
     level = 0
     while not waiting.isEmpty():
         level += 1
@@ -130,7 +186,7 @@ def _levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
 
 def link(
     conversations: DataFrame, schemas: DataFrame | None = None, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
-    scratch: Scratch | None = None,
+    scratch: Scratch | None = None, limit: int = LIMIT,
 ) -> DataFrame:
     """One row per message, call and result: conv_id, turn, part, kind, call_id, name,
     level, linked, problem, canonical.
@@ -142,9 +198,10 @@ def link(
     have none.  ``problem``: malformed, duplicate id, unknown tool, a schema's complaint,
     cycle, unanswered, orphan result, or result before its call.
 
-    Items stay rows: no conversation is gathered, however long.  Null role or text makes
+    Items stay rows; of a conversation only its references (pairs of identifiers) are
+    gathered, and only where they are at most ``limit``.  Null role or text makes
     an empty message; rows without conv_id link with nothing; repeated rows are kept, and
-    their calls are duplicates.
+    their calls are duplicates.  Other columns of the input are not read.
     """
     spark = conversations.sparkSession
     scratch = scratch or Scratch(spark, "tools")
@@ -152,16 +209,23 @@ def link(
     ok = F.col("problem").isNull() & F.col("conv_id").isNotNull()
     first = Window.partitionBy("conv_id", "call_id").orderBy("turn", "part", "canonical")
     calls = items.where((F.col("kind") == "call")).withColumn("_n", F.when(ok, F.row_number().over(first)))
+    heads = calls.where("_n = 1").select("conv_id", "call_id", F.col("call_id").alias("need"))
+    # a call's references to calls that exist in its conversation
+    asked = calls.where(ok).select("conv_id", "turn", "part", "call_id", "_n", F.explode("needs").alias("need")).distinct()
+    needs = scratch.write(asked.join(heads.select("conv_id", "need"), ["conv_id", "need"]), "needs")
+    met = needs.groupBy("conv_id", "turn", "part", "call_id").agg(F.collect_set("need").alias("met"))
+    calls = calls.join(met, ["conv_id", "turn", "part", "call_id"], "left")
     if schemas is not None:
         known = schemas.where("name is not null").groupBy("name").agg(F.min("schema").alias("schema"))
         calls = calls.join(known, "name", "left")
-        complaint = F.when(F.col("schema").isNull(), F.lit("unknown tool")).otherwise(_problem("arguments", "schema"))
+        complaint = F.when(F.col("schema").isNull(), F.lit("unknown tool")).otherwise(_problem("arguments", "schema", "met"))
         calls = calls.withColumn("_complaint", F.when(ok, complaint))
     else:
         calls = calls.withColumn("_complaint", F.lit(None).cast("string"))
-    calls = scratch.write(calls.select("conv_id", "turn", "part", "kind", "call_id", "name", "needs", "canonical", "problem", "_n", "_complaint"), "calls")
+    calls = scratch.write(calls.select("conv_id", "turn", "part", "kind", "call_id", "name", "canonical", "problem", "_n", "_complaint"), "calls")
     heads = calls.where("_n = 1")
-    levels = scratch.write(_levels(heads.select("conv_id", "call_id", "needs"), scratch), "levels")
+    edges = needs.where("_n = 1").select("conv_id", "call_id", "need")
+    levels = scratch.write(_levels(heads.select("conv_id", "call_id"), edges, scratch, limit), "levels")
     results = items.where("kind = 'result'").select("conv_id", "turn", "part", "kind", "call_id", "canonical", "problem")
     answered = results.where(ok).select("conv_id", "call_id").distinct().withColumn("_answered", F.lit(True))
     out_calls = calls.join(levels, ["conv_id", "call_id"], "left").join(answered, ["conv_id", "call_id"], "left").select(
