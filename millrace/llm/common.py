@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +38,25 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(WORD_BYTES).split()
 
 
+def set_aside(docs: DataFrame, new: list[str] | tuple[str, ...]) -> dict[str, str]:
+    """New names of the columns of ``docs`` that are called like one of ``new``:
+    ``input_<name>``, with ``input_`` again where that is taken.  Case makes no difference."""
+    taken, out = {c.lower() for c in (*docs.columns, *new)}, {}
+    for c in docs.columns:
+        if c.lower() in {n.lower() for n in new}:
+            name = f"input_{c}"
+            while name.lower() in taken:
+                name = f"input_{name}"
+            taken.add(name.lower())
+            out[c] = name
+    return out
+
+
+def packed(docs: DataFrame) -> Column:
+    """A row of ``docs`` as one struct: inside it no name can clash with an operator's."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
@@ -51,16 +73,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-#: Folders of this process's scratch tables.
-ROOTS: list[str] = []
+#: Folders of the scratch tables made in the innermost ``scratch_scope``.
+_OWNED: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
-def release(spark: SparkSession, keep: list[str]) -> None:
-    """Deletes all scratch folders but ``keep``: for callers that have written what they
-    read from them."""
-    for root in [r for r in ROOTS if r not in keep]:
-        _delete(spark, root)
-        ROOTS.remove(root)
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the scratch tables made inside it by this thread: for callers
+    that write what they read from them before.  Other callers' tables stay."""
+    own: list[str] = []
+    before = _OWNED.set(own)
+    try:
+        yield
+    finally:
+        _OWNED.reset(before)
+        for root in own:
+            _delete(spark, root)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -71,14 +99,16 @@ def _delete(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive executors.
 
-    They stay until ``drop`` or ``release``, since results are read from them lazily.
+    They stay until ``drop`` or the end of a ``scratch_scope``, since results are read from
+    them lazily.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
-        ROOTS.append(self.root)
+        if (own := _OWNED.get()) is not None:
+            own.append(self.root)
 
     def path(self, name: str) -> str:
         self.n += 1

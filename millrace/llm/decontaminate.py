@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, words_of
+from .common import Scratch, set_aside, words_of
 
 WINDOW = 13
 SHINGLE = 3
@@ -19,6 +19,8 @@ SHINGLE = 3
 BLOCK_WORDS = 2_000_000
 #: Words of documents handled at once in a task.
 CHUNK_WORDS = 400_000
+#: Columns that ``find_contamination`` adds, and those it uses on the way.
+NEW = ("n_words", "n_hit", "n_items", "items", "spans", "_spans", "_items", "_n")
 
 
 class Windows:
@@ -227,13 +229,12 @@ def find_contamination(
 ) -> DataFrame:
     """The input rows with n_words, n_hit, n_items, items (sorted), spans (start, end, ...).
 
-    Columns of those names that the input has are kept as ``input_<name>``.  Null text has
-    no words; items without an id or without words are skipped; repeated items count once.
+    Columns of those names that the input has are kept under the names of ``set_aside``.
+    Null text has no words; items without an id or without words are skipped; repeated items count once.
     """
     scratch = scratch or Scratch(docs.sparkSession, "decontaminate")
     spark = docs.sparkSession
-    new = ("n_words", "n_hit", "n_items", "items", "spans", "_spans", "_items", "_n")
-    work = docs.withColumnsRenamed({c: f"input_{c}" for c in docs.columns if c in new})
+    work = docs.withColumnsRenamed(set_aside(docs, NEW))
     plain = work
     work = work.select(
         "*", F.array().cast("array<int>").alias("_spans"), F.array().cast("array<string>").alias("_items"), F.lit(0).alias("_n")

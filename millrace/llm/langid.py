@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import set_aside
+
 #: Feature space and bounds of the fit; prediction has no bound.
 BUCKETS = 1 << 16
 MAX_FIT_DOCS = 3000
@@ -19,6 +21,8 @@ EPOCHS = 6
 #: Words labelled at once in a task, and words remembered with their emission scores.
 CHUNK_WORDS = 400_000
 REMEMBER = 400_000
+#: Columns that ``identify`` adds.
+NEW = ("lang_pred", "score", "word_counts")
 #: A word is a run of letters.
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -210,12 +214,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     Every word of the whole text is labelled; lang_pred has the highest mean posterior,
     which is the score.  Text that is null or has no letter gives ``und`` with score 0.
-    Columns of those names in the input are kept as ``input_<name>``.
+    Columns of those names in the input are kept under the names of ``set_aside``.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.labels, model.emit, model.trans))
-    new = ("lang_pred", "score", "word_counts")
-    work = docs.withColumnsRenamed({c: f"input_{c}" for c in docs.columns if c in new})
+    new = NEW
+    work = docs.withColumnsRenamed(set_aside(docs, new))
     at = work.columns.index(text)
     schema = work.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("array<int>").alias("word_counts")).schema
 

@@ -69,6 +69,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", coverage:
     offset, and a template is found where the words that agree on one offset hold the
     given share of its IDF and its key phrase occurs.  Phrases labelled in BASE always
     count.  Null text is empty: no words, no labels, score 0.  Repeated rows are kept.
+    Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "licences")

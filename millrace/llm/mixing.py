@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_TOKEN, Scratch, running_sums
+from .common import SPACE_TOKEN, Scratch, packed, running_sums
 
 
 def source_targets(sizes: DataFrame, weights: tuple = (5, 2, 1), cap: float = 3.0, ramps: tuple = (-0.5, 0.0, 0.5)) -> DataFrame:
@@ -51,6 +51,7 @@ def mix(
     from the first documents, the last of which is cut where the demand ends.
 
     Null text has no words and is never taken.  Rows of one doc_id are separate documents.
+    Other columns are not read.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mix")
     rows = scratch.write(
@@ -98,14 +99,15 @@ def training_order(mixed: DataFrame) -> DataFrame:
 def mix_stage(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix passes over it, in training order.
 
-    A document that is cut where its source's demand ends stays whole here.
+    A document that is cut where its source's demand ends stays whole here.  All columns
+    keep their names and values; texts without words are never taken.
     """
     mixed = mix(docs, **options).where("passes > 0")
-    order = lambda d, t: F.row_number().over(Window.partitionBy(d, t).orderBy(F.lit(0)))
+    order = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0)))
     # rows that repeat id and text are interchangeable: they are numbered on both sides
-    right = mixed.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "positions").withColumn("_k", order("_id", "_th"))
-    left = docs.withColumn("_h", F.xxhash64("text")).withColumn("_n", order("doc_id", "_h"))
-    both = left.join(right, left["doc_id"].eqNullSafe(right["_id"]) & (left["_h"] == right["_th"]) & (left["_n"] == right["_k"]))
-    placed = both.select(*docs.columns, F.explode("positions").alias("_at"))
-    keys = [F.col("_at"), F.col("doc_id").asc_nulls_last()]
-    return placed.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*docs.columns)
+    right = mixed.select(F.col("doc_id").alias("id"), "th", "positions").withColumn("k", order("id", "th"))
+    left = docs.select(packed(docs).alias("held"), F.col("doc_id").alias("l_id"), F.xxhash64("text").alias("l_th")).withColumn("l_k", order("l_id", "l_th"))
+    both = left.join(right, F.col("l_id").eqNullSafe(F.col("id")) & (F.col("l_th") == F.col("th")) & (F.col("l_k") == F.col("k")))
+    keys = [F.col("at"), F.col("id").asc_nulls_last()]
+    placed = both.select("held", "id", F.explode("positions").alias("at")).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return placed.select("held.*")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, set_aside
 from .eliasfano import EliasFano
 
 #: Absolute discount, and the least count of a stored pair unless the caller gives one.
@@ -378,10 +378,10 @@ def score(docs: DataFrame, model: Trie, text: str = "text") -> DataFrame:
     """The input rows with n_tokens, n_known, train_tokens, base_score, lm_score (log10).
 
     Null text is empty: one token, the end.  Columns of those names in the input are kept
-    as ``input_<name>``.
+    under the names of ``set_aside``.
     """
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "lm_score"]
-    work = docs.withColumnsRenamed({c: f"input_{c}" for c in docs.columns if c in new})
+    work = docs.withColumnsRenamed(set_aside(docs, new))
     at = work.columns.index(text)
     zero = F.lit(0).cast("long")
     schema = work.select("*", *(zero.alias(c) for c in new[:3]), *(F.lit(0.0).alias(c) for c in new[3:])).schema

@@ -54,3 +54,14 @@ TOOL_CALLS = """with recursive m as (select conv_id c, turn t, role, coalesce(te
   '{"arguments":' || args || ',"id":"' || b.id || '","name":"' || name || '"}' from b join l on l.c = b.c and l.id = b.id left join (select distinct c, id from r) q on q.c = b.c and q.id = b.id
  union all select r.c, r.t, 1, 'result', r.id, h.name, (2 * lv + 1)::int, h.id is not null, case when h.id is null then 'orphan result' when r.t < h.t then 'result before its call' end,
   '{"content":' || r.n || ',"id":"' || r.id || '"}' from r left join h on h.c = r.c and h.id = r.id left join l on l.c = r.c and l.id = r.id"""
+
+#: Every 400-byte window of every text is compared, as hexadecimal text.
+REPEATS = """with d as (select row_number() over () r, doc_id, hex(encode(coalesce(text, ''))) x from documents), e as (select *, (len(x) // 2)::bigint n from d),
+ w as (select r, i, md5_number(substr(x, 2 * i + 1, 800)) m from (select r, x, unnest(range(n - 399)) i from e)),
+ s as (select r, i from w where m in (select m from w group by m having count(*) > 1)),
+ g as (select r, i, sum(fresh) over (partition by r order by i) k from (select r, i, case when i <= lag(i) over (partition by r order by i) + 400 then 0 else 1 end fresh from s)),
+ c as (select r, min(i) a, max(i) + 400 b from g group by r, k),
+ p as (select r, coalesce(lag(b) over (partition by r order by a), 0) f, a t from c union all select r, max(b), 1000000000 from c group by r),
+ o as (select r, string_agg(substr(x, 2 * f + 1, 2 * (t - f)), '' order by f) kept from p join e using (r) group by r),
+ q as (select r, sum(b - a)::bigint gone, count(*) spans from c group by r)
+ select doc_id, n as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, x))) as kept_sha256 from e left join q using (r) left join o using (r)"""

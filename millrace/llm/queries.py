@@ -126,6 +126,6 @@ def op9(spark, sf_dir):
     )
 
 
-@query("op10_suffix_dedup")
+@query("op10_suffix_dedup", oracle.REPEATS)
 def op10(spark, sf_dir):
     return suffixdedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_TOKEN, Scratch, running_sums
+from .common import SPACE_TOKEN, Scratch, packed, running_sums, set_aside
 
 DIMS = ("size", "tokens", "rows")
 
@@ -79,9 +79,9 @@ def assign_shards(
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, one row per input row.
 
     Documents of equal text form a group and go to one shard, but a group that would fill
-    more than half a shard is split by a hash of doc_id.  Null text has no bytes, no crc
-    and one group of its own; an empty table gives an empty result.  Repeated rows are
-    kept and get slots of their own.
+    more than half a shard is split by a hash of doc_id.  Null text has no bytes, the crc of
+    no bytes (0) and one group of its own; an empty table gives an empty result.  Repeated
+    rows are kept and get slots of their own.  Other columns are not read.
     """
     scratch = scratch or Scratch(docs.sparkSession, "shards")
     t = F.col(text)
@@ -90,7 +90,7 @@ def assign_shards(
             F.col(doc_id).alias("doc_id"),
             (F.coalesce(F.octet_length(t), F.lit(0)) + 16).cast("long").alias("size"),
             F.coalesce(F.regexp_count(t, F.lit(SPACE_TOKEN)), F.lit(0)).cast("long").alias("tokens"),
-            F.crc32(t.cast("binary")).cast("long").alias("text_crc32"),
+            F.coalesce(F.crc32(t.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
             F.xxhash64(t).alias("grp"),
             F.xxhash64(F.col(doc_id), F.lit(5)).alias("dh"),
             F.lit(1).cast("long").alias("rows"),
@@ -132,19 +132,21 @@ def place(rows: DataFrame, hot: DataFrame, units: DataFrame, lots: int) -> DataF
 
 
 def shard_stage(docs: DataFrame, shards: int = 40, lots_per_shard: int = 256) -> DataFrame:
-    """The input rows, with ``shard``: texts are not shuffled."""
+    """The input rows, with ``shard``: texts are not shuffled.
+
+    A column of that name in the input is kept under the name of ``set_aside``; all others
+    keep their names and values.
+    """
     scratch = Scratch(docs.sparkSession, "shard-stage")
+    named = docs.withColumnsRenamed(set_aside(docs, ["shard"]))
     t = F.col("text")
-    keyed = docs.withColumn("_grp", F.xxhash64(t)).withColumn("_dh", F.xxhash64("doc_id", F.lit(5)))
+    keyed = named.select(packed(named).alias("held"), t.alias("text"), F.xxhash64(t).alias("grp"), F.xxhash64("doc_id", F.lit(5)).alias("dh"))
     rows = scratch.write(
         keyed.select(
             (F.coalesce(F.octet_length(t), F.lit(0)) + 16).cast("long").alias("size"),
-            F.coalesce(F.regexp_count(t, F.lit(SPACE_TOKEN)), F.lit(0)).cast("long").alias("tokens"),
-            F.col("_grp").alias("grp"), F.col("_dh").alias("dh"), F.lit(1).cast("long").alias("rows"),
+            F.coalesce(F.regexp_count(t, F.lit(SPACE_TOKEN)), F.lit(0)).cast("long").alias("tokens"), "grp", "dh", F.lit(1).cast("long").alias("rows"),
         ),
         "rows",
     )
     hot, units, _ = _assignment(rows, shards, lots_per_shard)
-    clash = [c for c in docs.columns if c in ("shard", "grp", "dh")]
-    named = keyed.withColumnsRenamed({c: f"input_{c}" for c in clash}).withColumnsRenamed({"_grp": "grp", "_dh": "dh"})
-    return place(named, hot, units, shards * lots_per_shard).drop("grp", "dh")
+    return place(keyed.select("held", "grp", "dh"), hot, units, shards * lots_per_shard).select("held.*", "shard")
