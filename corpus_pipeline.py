@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, jaccard, langid, mixing, sharding
-from millrace.llm.common import ROOTS, Scratch, release, table
+from millrace.llm.common import Scratch, scratch_scope, set_aside, table
 from millrace.llm.queries import fold
 
 
-def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``, under their own names."""
-    return out.select(*(F.col(f"input_{c}" if f"input_{c}" in out.columns and f"input_{c}" not in docs.columns else c).alias(c) for c in docs.columns))
+def _columns(out: DataFrame, docs: DataFrame, new: tuple[str, ...]) -> DataFrame:
+    """The columns of ``docs``, under their own names, of a result that added ``new``."""
+    aside = set_aside(docs, new)
+    return out.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(langid.training_sample(docs.where(fold(4) != 2).select("doc_id", "text", "lang")))
     if not model.labels:
         return langid.with_letters(docs)
-    return _columns(langid.identify(docs, model).where("lang_pred <> 'und'"), docs)
+    return _columns(langid.identify(docs, model).where("lang_pred <> 'und'"), docs, langid.NEW)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold too much of the benchmark go."""
     out = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _columns(out.where(~decontaminate.contaminated()), docs)
+    return _columns(out.where(~decontaminate.contaminated()), docs, decontaminate.NEW)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,12 +64,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; what a stage wrote on its way goes when its result is written."""
-    before = list(ROOTS)
     scratch = Scratch(spark, "pipeline")
     docs, last = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{k}")
-        release(spark, [*before, scratch.root])
+        with scratch_scope(spark):
+            docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{k}")
         if last is not None:
             scratch.drop(last)
         last = docs
