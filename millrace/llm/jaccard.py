@@ -7,14 +7,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, packed
 from .components import connected_components
 from .shingles import _M1, _M3, mix, shingle_sets
 
 #: Earlier prefix tokens by which a pair that was met before is recognised.
 RECALL = 32
-#: A prefix token of the first order that more sets share is split by prefix tokens of the second.
-SPLIT = 256
+#: Cells of a set's sketch: how many of its tokens fall in each.
+SKETCH = 128
 
 
 def _needed(n, percent: int):
@@ -61,16 +61,19 @@ def _sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
 
 def _shingles(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, set) of (id, text); the set is in hash order."""
+    """(id, set, sketch) of (id, text); the set is in hash order."""
 
     def make(batches):
         for batch in batches:
             at = 0
             for sets in shingle_sets(batch.column(1), shingle):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), _lists(sets)], ["id", "set"])
+                cells = np.concatenate([np.bincount(s % SKETCH, minlength=SKETCH) for s in sets]).astype(np.int32)
+                ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH)
+                sketch = pa.ListArray.from_arrays(ends, pa.array(cells))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), _lists(sets), sketch], ["id", "set", "sketch"])
                 at += len(sets)
 
-    return texts.mapInArrow(make, "id long, `set` array<long>")
+    return texts.mapInArrow(make, "id long, `set` array<long>, sketch array<int>")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -124,7 +127,7 @@ def _labels(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str,
     keep = F.greatest(F.lit(0), first - alone).cast("int")
     # the second order: by hash, in which the set stands already; its prefix is twice as long
     sets = scratch.write(
-        ordered.select("id", "n", "set", alone.cast("long").alias("alone"), F.transform(F.slice("tokens", 1, keep), lambda x: x["token"]).alias("pa"), F.slice("set", F.lit(1), (2 * first).cast("int")).alias("pb")),
+        ordered.select("id", "n", "set", "sketch", alone.cast("long").alias("alone"), F.transform(F.slice("tokens", 1, keep), lambda x: x["token"]).alias("pa"), F.slice("set", F.lit(1), (2 * first).cast("int")).alias("pb")),
         "prefixes",
     )
     # a token carries the few before it: a pair is taken at its first common token
@@ -145,25 +148,22 @@ def _labels(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str,
         posted.join(owner, posted["id"] == owner["node"], "left").select("id", "n", "before", "token", "pos", F.coalesce("component", "id").alias("comp")), "owned"
     )
     parts = posted.groupBy("token", "comp").agg(F.count("*").alias("c"))
-    main = parts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("parts"), F.sum("c").alias("all")).where("parts > 1")
-    main = scratch.write(main.select(F.col("token").alias("t"), "main", (F.col("all") > SPLIT).alias("split")), "main")
+    main = parts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    main = scratch.write(main.select(F.col("token").alias("t"), "main"), "main")
+    sketches = sets.select(F.col("id").alias("_id"), "sketch")
     mixed = scratch.write(posted.join(main, posted["token"] == main["t"]).drop("t"), "mixed")
-    # partners also share a token of the second order's short prefix: it splits common tokens
-    by_hash = sets.select(F.col("id").alias("_id"), F.slice("pb", F.lit(1), first.cast("int")).alias("short"))
-    split = mixed.where("split").join(by_hash, F.col("id") == F.col("_id")).select("*", F.posexplode("short").alias("j", "second"))
-    split = split.withColumn("earlier", F.slice("short", F.lit(1), F.col("j"))).drop("_id", "short", "j")
-    whole = mixed.where("not split").select("*", F.lit(0).cast("long").alias("second"), F.array().cast("array<bigint>").alias("earlier"))
-    mixed = scratch.write(whole.unionByName(split), "keyed")
+    mixed = scratch.write(mixed.join(sketches, mixed["id"] == sketches["_id"]).drop("_id"), "sketched")
     x, y = mixed.where("comp <> main").alias("x"), mixed.alias("y")
     lo, hi = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     need = F.ceil((lo + hi) * percent / F.lit(100 + percent))
     left_over = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     upto = F.least("x.pos", "y.pos")
-    fresh = lambda c: ~F.arrays_overlap(f"x.{c}", f"y.{c}")
+    # tokens can only be shared within a cell
+    cells = F.aggregate(F.zip_with("x.sketch", "y.sketch", lambda a, b: F.least(a, b)), F.lit(0), lambda n, k: n + k)
     candidates = (
-        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.second") == F.col("y.second")))
+        x.join(y, F.col("x.token") == F.col("y.token"))
         .where((F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))))
-        .where((100 * lo >= percent * hi) & (upto + left_over >= need) & fresh("before") & fresh("earlier"))
+        .where((100 * lo >= percent * hi) & (upto + left_over >= need) & (cells >= need) & (F.size(F.array_intersect("x.before", "y.before")) == 0))
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     )
     more = _verify(candidates, sets, percent, scratch)
@@ -185,10 +185,10 @@ def jaccard_components(
        any other remaining set has.
     3. The sets left are ordered by frequency and by hash, two unlike orders.  Candidates
        share prefix tokens under both, at lengths and positions that allow the similarity.
-       A token of the first order that many sets share is split by tokens of the second.
     4. Candidates are verified in two rounds.  First each token's sets against its
        smallest; this joins groups of near copies without pairing them all.  Then the
-       pairs that are still in different components.
+       pairs that are still in different components, unless the counts of their tokens in
+       the cells of a hash already bound the overlap below what is needed.
 
     Links found are exact; pairs that are left out are of one component already.  Null or
     empty text has no shingles and is alone.  Rows of one doc_id with different texts are
@@ -213,8 +213,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: st
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
     best = rows.where("n > 0").groupBy("component").agg(F.min(place).alias("best"))
     chosen = scratch.write(best.select(F.xxhash64("best.doc_id", "best.th").alias("row")), "chosen")
-    # one struct holds the input row, so that no name can clash
     row = F.xxhash64(F.col(doc_id).cast("long"), F.xxhash64(F.col(text)))
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("held"), row.alias("row"), F.col(text).rlike(r"[^\x20\x09-\x0D]").alias("worded"))
+    held = docs.select(packed(docs).alias("held"), row.alias("row"), F.col(text).rlike(r"[^\x20\x09-\x0D]").alias("worded"))
     kept = held.where("worded").join(chosen, "row", "left_semi").groupBy("row").agg(F.first("held").alias("held"))
     return kept.select("held.*").unionByName(held.where("not coalesce(worded, false)").select("held.*"))
