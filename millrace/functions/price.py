@@ -135,3 +135,39 @@ def next_run(now: Column, hours: Column) -> Column:
 
 def salary_text(code: Column, least: Column, most: Column, unit: Column) -> Column:
     return F.concat_ws(" ", code, F.when(most.isNull() | (least == most), least.cast("string")).otherwise(F.concat(least.cast("string"), F.lit(" - "), most.cast("string"))), unit)
+
+
+def listing_price(p: Column, sale: Column, original: Column) -> Column:
+    """A listing's price: its own, else the sale price, else the original one."""
+    return F.coalesce(*(F.when(F.trim(x) != "", x) for x in (p, sale, original)))
+
+
+def valid_discounts(p: Column, sale: Column, original: Column, amount: Column, percent: Column) -> dict[str, Column]:
+    """Sale price, discount amount and percentage, null where they can't be."""
+    bad = (amount <= 0) | (F.coalesce(amount > p, F.lit(False))) | F.coalesce(amount > original, F.lit(False))
+    return {
+        "sale_price": F.when(~F.coalesce(sale >= p, F.lit(False)), sale), "discount_amount": F.when(~bad, amount), "discount_percentage": F.when((percent > 0) & (percent <= 100), percent),
+    }
+
+
+def cent_copy(a: Column, b: Column) -> Column:
+    """a is b in cents."""
+    return F.coalesce((b > 0) & (F.abs(a - b * 100) < 0.005), F.lit(False))
+
+
+def magnitudes(parent: Column, variants: Column, strict: Column) -> tuple[Column, Column]:
+    """(parent, variants) without copies in cents: variants that agree repair the parent,
+    unless its source is strict; then the parent repairs each variant."""
+    one = unanimous(variants)
+    fixed = F.when(cent_copy(parent, one) & ~strict, one).otherwise(parent)
+    return fixed, F.transform(variants, lambda v: F.when(cent_copy(v, fixed), fixed).otherwise(v))
+
+
+def zero_price(p: Column, weak: Column, stocked_out: Column, others: Column) -> Column:
+    """Zero from weak sources, or of what is sold out, is no price unless another price backs the product."""
+    return F.when(~((p == 0) & (weak | stocked_out) & ~F.exists(others, lambda x: x > 0)), p)
+
+
+def currency_by_url(given: Column, hint: Column, weak: Column) -> Column:
+    """The page's currency where none is given, or where the given one comes from a weak source."""
+    return F.when(hint.isNotNull() & (given.isNull() | weak), hint).otherwise(given)

@@ -140,3 +140,83 @@ def signature(c: Column) -> Column:
 def surface(c: Column) -> Column:
     """The kind of page that a URL points to."""
     return F.when(job_posting(c), "job_detail").when(F.lower(path(c)).rlike(JOB_MARKS) | job_hub(c), "job_listing").when(detail_like(c), "ecommerce_detail").otherwise("ecommerce_listing")
+
+
+#: Query keys that a canonical record URL drops, and their prefixes (fixed values).
+CANONICAL_KEYS, CANONICAL_PREFIX = ("variant", "color", "colour", "size", "sku", "pos", "position", "sort"), "utm_"
+#: Second-level labels under which sites register below country domains.
+SHARED_LABELS = "co|com|org|net|gov|edu|ac"
+#: Top-level domains whose shops price in one currency (fixed values).
+COUNTRY_CURRENCIES = {"uk": "GBP", "in": "INR", "de": "EUR", "fr": "EUR", "es": "EUR", "it": "EUR", "jp": "JPY", "ca": "CAD", "au": "AUD"}
+
+
+def _resolved_path(p: Column) -> Column:
+    """A path without "." and ".." segments."""
+    steps = F.split(p, "/")
+    walk = F.aggregate(
+        steps, F.array().cast("array<string>"),
+        lambda out, s: F.when(s == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(1)))).when(s == ".", out).otherwise(F.array_append(out, s)),
+    )
+    tail = F.when(F.element_at(steps, -1).isin(".", ".."), "/").otherwise("")
+    return F.concat(F.array_join(walk, "/"), tail)
+
+
+def absolute(base: Column, c: Column) -> Column:
+    """A link as found on a page, resolved against the page's URL; empty for no link.
+
+    ``&amp;`` is decoded; a bare host gets https.
+    """
+    t = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")), "(?i)&(amp|#38|#x26);", "&")
+    root = F.concat(scheme(base), F.lit("://"), F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    folder = F.regexp_extract(path(base), r"^(.*/)", 1)
+    here = F.concat(root, path(base))
+    own = F.regexp_extract(t, r"^([^?#]*)", 1)
+    rest = F.substr(t, F.length(own) + 1)
+    folder = F.when(folder == "", "/").otherwise(folder)
+    return (
+        F.when(t == "", "").when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), t).when(t.startswith("//"), F.concat(scheme(base), F.lit(":"), t))
+        .when(t.startswith("#"), F.concat(here, F.when(query(base) != "", F.concat(F.lit("?"), query(base))).otherwise(""), t)).when(t.startswith("?"), F.concat(here, t))
+        .when(t.rlike(r"^([A-Za-z0-9-]+\.)+[A-Za-z]{2,}(/\S*)?$") & ~F.lower(t).rlike(r"\.(html?|php|aspx?|jsp)$"), F.concat(F.lit("https://"), t))
+        .when(t.startswith("/"), F.concat(root, _resolved_path(own), rest)).otherwise(F.concat(root, _resolved_path(F.concat(folder, own)), rest))
+    )
+
+
+def found_in(c: Column, page: Column) -> Column:
+    """All URLs of a text: several absolute ones each, else the whole text resolved.
+
+    Distinct whatever their case, the first one stays; templates and placeholders go.
+    """
+    many = F.regexp_extract_all(c, F.lit(r"(https?://(?:(?!https?://)[^\s,])+)"), F.lit(1))
+    each = F.when(F.size(many) >= 2, many).otherwise(F.array(absolute(page, c)))
+    each = F.transform(each, lambda x: F.regexp_replace(x, r"[.,;:!)\]}>'\"]+$", ""))
+    fine = F.filter(each, lambda x: (x != "") & ~x.rlike(r"\{\{|\}\}|\$\{|<%") & ~F.lower(x).rlike("placeholder|/blank\\.|spacer\\.gif"))
+    lows = F.transform(fine, F.lower)
+    glued_text = c.rlike(r"[^\s,]https?://")
+    return F.when(c.isNull() | (F.trim(c) == "") | glued_text, F.array().cast("array<string>")).otherwise(F.filter(fine, lambda x, i: F.array_position(lows, F.lower(x)) == i + 1))
+
+
+def canonical_record(c: Column) -> Column:
+    """A record's own URL: without query keys that only choose a view of it."""
+    keep = F.filter(F.split(query(c), "&"), lambda kv: ~F.lower(F.split_part(kv, F.lit("="), F.lit(1))).isin(*CANONICAL_KEYS) & ~F.lower(kv).startswith(CANONICAL_PREFIX))
+    left, had = F.array_join(keep, "&"), F.split(query(c), "&")
+    base, fragment = F.regexp_extract(c, r"^([^?#]*)", 1), F.regexp_extract(c, "(#.*)$", 1)
+    return F.when((query(c) == "") | (F.size(keep) == F.size(had)), c).otherwise(F.concat(base, F.when(left != "", F.concat(F.lit("?"), left)).otherwise(""), fragment))
+
+
+def registrable(c: Column) -> Column:
+    """The part of a host that is registered: two labels, three under shared ones; addresses stay."""
+    h = hostname(c)
+    three = F.regexp_extract(h, rf"([^.]+\.(?:{SHARED_LABELS})\.[a-z]{{2}})$", 1)
+    return F.when(h.rlike(r"^[0-9.]+$"), h).when(three != "", three).otherwise(F.coalesce(F.nullif(F.regexp_extract(h, r"([^.]+\.[^.]+)$", 1), F.lit("")), h))
+
+
+def same_site(a: Column, b: Column) -> Column:
+    return (registrable(b) != "") & (registrable(a) == registrable(b))
+
+
+def currency_hint(c: Column) -> Column:
+    """Currency of a URL's country: its top-level domain, else a two-letter path segment."""
+    codes = F.create_map(*(F.lit(x) for kv in COUNTRY_CURRENCIES.items() for x in kv))
+    top = F.regexp_extract(hostname(c), r"\.([a-z]{2})$", 1)
+    at = F.filter(segments(c), lambda s: F.array_contains(F.map_keys(codes), F.regexp_extract(s, "^(?:[a-z]{2}-)?([a-z]{2})$", 1)))
+    return F.coalesce(F.element_at(codes, top), F.element_at(codes, F.regexp_extract(F.get(at, F.lit(0)), "^(?:[a-z]{2}-)?([a-z]{2})$", 1)))
