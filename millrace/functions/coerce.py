@@ -76,7 +76,7 @@ def long_text_noise(c: Column) -> Column:
 
 def sanitize_long_text(c: Column, title: Column) -> Column:
     """Sentences and lines without noise, repeats and the title alone, joined again."""
-    chunks = F.transform(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?<=[.!?])\s+| : |\n+", "\x01"), "\x01"), F.trim)
+    chunks = F.transform(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?<=[.!?])\s+| : |\n+", "\x01"), "\x01"), lambda s: F.trim(s))
     kept = F.filter(chunks, lambda s: ~long_text_noise(s) & (F.lower(s) != F.lower(F.trim(F.coalesce(title, F.lit(""))))))
     lows = F.transform(kept, F.lower)
     return F.nullif(F.array_join(F.filter(kept, lambda s, i: F.array_position(lows, F.lower(s)) == i + 1), " "), F.lit(""))

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import coercions, exports, more, pages, products, relational, rollups  # noqa: F401  (they register)
+from . import coercions, enrichment, exports, extraction, more, pages, products, relational, rollups, trees  # noqa: F401  (they register)
 from .registry import ORACLE, QUERIES  # noqa: F401

@@ -49,7 +49,7 @@ def product_pairs(spark, d):
 
 @query("structured_sources", """select p_partkey, 'json_ld' as source, p_name as name from part union all select p_partkey, 'microdata', p_brand from part union all select p_partkey, 'opengraph', p_name from part""")
 def structured_sources(spark, d):
-    rows = html.structured_rows(html.parse_pages(product_pages(spark, d), "p_partkey"), "p_partkey")
+    rows = html.structured_rows(product_pages(spark, d), "p_partkey")
     name = F.coalesce(F.get_json_object("payload", "$.name"), F.get_json_object("payload", "$['og:title']"), F.get_json_object("payload", "$['Product.brand.0']"))
     return rows.select("p_partkey", "source", name.alias("name"))
 

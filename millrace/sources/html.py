@@ -35,6 +35,7 @@ class Page(HTMLParser):
         self.title = self.h1 = self.lang = ""
         self.parts, self.headings, self.links, self.images, self.meta = [], [], [], [], {}
         self.json_ld, self.embedded, self.tables, self.pairs, self.items = [], [], [], [], []
+        self.labels: set[str] = set()
         self.open, self.sinks, self.script, self.table, self.term, self.scopes = [], [], None, [], None, []
         self.feed(html)
         self.close()
@@ -67,6 +68,8 @@ class Page(HTMLParser):
         if tag in ("title", "h1", "h2", "h3", "h4", "h5", "h6", "a", "td", "th", "dt", "dd"):
             if tag in ("td", "th", "dt", "dd"):
                 self._end_cells()
+            if tag == "a":  # links don't nest: a new one closes the last
+                self._end("a")
             self.sinks.append((tag, tag, a.get("href", ""), []))
         if tag == "table":
             self.table.append([])
@@ -138,7 +141,8 @@ class Page(HTMLParser):
     def _pair(self, label, value):
         if label and value and len(label) <= 40 and len(value) <= 250:
             label = label.rstrip(":").strip()
-            if label.lower() not in {p["label"].lower() for p in self.pairs}:
+            if label.lower() not in self.labels:
+                self.labels.add(label.lower())
                 self.pairs.append({"label": label, "value": value})
 
     def _finish_table(self, rows):
@@ -231,18 +235,29 @@ def ld_nodes(json_ld: list[str]) -> list[dict]:
     return sorted((resolve(n, frozenset()) for n in nodes), key=lambda n: (order.get(kind(n), 9), str(n.get("@id", ""))))
 
 
-def structured_rows(parsed: DataFrame, key: str) -> DataFrame:
-    """(key, source, ord, payload): JSON-LD nodes, microdata and Open Graph, in that order."""
+def _payloads(row: dict) -> list[tuple[str, int, str]]:
+    """(source, ord, JSON) of one page's structured data."""
+    dump = lambda x: json.dumps(x, sort_keys=True, ensure_ascii=False)
+    out = [("json_ld", i, dump(n)) for i, n in enumerate(ld_nodes(row["json_ld"]))]
+    named = {".".join(filter(None, (x["type"], x["name"], str(i)))): x["value"] for i, x in enumerate(row["items"])}
+    graph = {k: v for k, v in row["meta"] if k.startswith(("og:", "product:"))}
+    return out + [(name, 0, dump(x)) for name, x in (("microdata", named), ("opengraph", graph)) if x]
 
-    def nodes(batches):
+
+def structured_rows(pages: DataFrame, key: str, html: str = "html", url: str | None = "url") -> DataFrame:
+    """(key, source, ord, payload): JSON-LD nodes, microdata and Open Graph, in that order.
+
+    Each page is parsed once and gives one list of payloads, which is exploded.
+    """
+    kind = pages.select(key).schema[0].dataType.simpleString()
+    picked = pages.select(key, F.col(html).cast("string").alias("_html"), (F.col(url) if url else F.lit("")).alias("_base"))
+    each = pa.struct([("source", pa.string()), ("ord", pa.int32()), ("payload", pa.string())])
+
+    def run(batches):
         for batch in batches:
-            rows = [(k, i, json.dumps(n, sort_keys=True, ensure_ascii=False)) for k, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, n in enumerate(ld_nodes(s or []))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.schema[0].type), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], [key, "ord", "payload"])
-
-    kind = parsed.select(key).schema[0].dataType.simpleString()
-    ld = parsed.where(F.size("json_ld") > 0).select(key, "json_ld").mapInArrow(nodes, f"{key} {kind}, ord int, payload string").select(key, F.lit("json_ld").alias("source"), "ord", "payload")
-    items = F.to_json(F.map_from_entries(F.transform("items", lambda x, i: F.struct(F.concat_ws(".", F.nullif(x["type"], F.lit("")), x["name"], i.cast("string")), x["value"]))))
-    micro = parsed.where(F.size("items") > 0).select(key, F.lit("microdata").alias("source"), F.lit(0).alias("ord"), items.alias("payload"))
-    og = F.map_filter("meta", lambda k, v: k.startswith("og:") | k.startswith("product:"))
-    graph = parsed.where(F.size(og) > 0).select(key, F.lit("opengraph").alias("source"), F.lit(0).alias("ord"), F.to_json(og).alias("payload"))
-    return ld.unionByName(micro).unionByName(graph)
+            found = [_payloads(Page(h or "", b or "").row()) for h, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            rows = [[dict(zip(("source", "ord", "payload"), x, strict=True)) for x in page] for page in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(each))], [key, "found"])
+
+    parsed = picked.mapInArrow(run, f"{key} {kind}, found array<struct<source:string,ord:int,payload:string>>")
+    return parsed.select(key, F.inline("found"))

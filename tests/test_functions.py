@@ -100,7 +100,7 @@ def test_page(spark):
     assert [(i.type, i["name"], i.value) for i in p["items"]] == [("Product", "name", "Micro"), ("Product", "sku", "s1")]
     rows = html.table_rows(parsed.where("id = 1"), "id").collect()
     assert [x.row for x in rows] == [{"A": "1", "B": "2"}, {"A": "3", "B": "4"}]
-    nodes = [json.loads(x.payload) for x in html.structured_rows(parsed.where("id = 1"), "id").where("source = 'json_ld'").orderBy("ord").collect()]
+    nodes = [json.loads(x.payload) for x in html.structured_rows(pages, "id").where("id = 1 and source = 'json_ld'").orderBy("ord").collect()]
     assert nodes[0]["@type"] == "Product" and nodes[0]["offers"]["price"] == 5
     assert html.content(parsed, "id").where("id = 1").first().summary == "sum"
     assert r[2].text == "" and r[3].tables[0].rows == [["x"]]
