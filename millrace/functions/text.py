@@ -49,12 +49,12 @@ def term_present(c: Column, term: str) -> Column:
 
 
 def split_values(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"[,/|]"), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(c, r"[,/|]"), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def split_rows(c: Column) -> Column:
     """Lines and bullets as separate values."""
-    return F.filter(F.transform(F.split(c, "[\n\r•]+"), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(c, "[\n\r•]+"), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def normalize_brand(c: Column, aliases: dict[str, str] | None = None) -> Column:

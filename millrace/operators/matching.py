@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import price, text
 
@@ -29,12 +33,26 @@ def match_score(title: Column, brand: Column, identifier: Column, in_band: Colum
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s)), 4)
 
 
-def score_pairs(pairs: DataFrame) -> DataFrame:
-    """Pairs with s_ and c_ columns (title, brand, sku, price) and source_type -> scored.
+@F.pandas_udf(T.DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How much of two texts their longest common runs cover, twice the matched over the whole."""
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
-    The similarity of titles is the Jaccard index of their token sets.
-    """
-    similarity = text.jaccard(text.token_set(F.col("s_title")), text.token_set(F.col("c_title")))
+
+def title_similarity(a: Column, b: Column, fuzzy: bool = True) -> Column:
+    """The Jaccard index of the token sets or, if that is more, the sequence ratio of the
+    sorted tokens; 0 where either has no token."""
+    x, y = text.token_set(a), text.token_set(b)
+    overlap = text.jaccard(x, y)
+    if not fuzzy:
+        return overlap
+    line = lambda t: F.array_join(F.sort_array(t), " ")
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.greatest(overlap, sequence_ratio(line(x), line(y)))).otherwise(F.lit(0.0))
+
+
+def score_pairs(pairs: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """Pairs with s_ and c_ columns (title, brand, sku, price) and source_type -> scored."""
+    similarity = title_similarity(F.col("s_title"), F.col("c_title"), fuzzy)
     brand = equal_present(text.normalize_brand(F.col("s_brand")), text.normalize_brand(F.col("c_brand")))
     same = equal_present(F.col("s_sku"), F.col("c_sku"))
     band = price.within_band(F.col("s_price"), F.col("c_price"))

@@ -90,7 +90,7 @@ def coverage(df: DataFrame, item: str, attribute: str, wanted: list[str], total:
     spark = df.sparkSession
     seen = df.where(F.col(attribute).isin(*wanted)).groupBy(F.col(attribute).alias("attribute")).agg(F.count_distinct(item).alias("items"))
     every = spark.createDataFrame([(w,) for w in wanted], "attribute string")
-    rate = F.coalesce("items", F.lit(0)) / F.lit(total)
+    rate = F.coalesce("items", F.lit(0)) / (total if isinstance(total, Column) else F.lit(total))
     return every.join(seen, "attribute", "left").select("attribute", F.coalesce("items", F.lit(0)).alias("items"), F.round(rate, 4).alias("coverage"), (F.round(rate, 4) < least).alias("gap"))
 
 

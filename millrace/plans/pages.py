@@ -9,16 +9,16 @@ from millrace.sources import html, readers, sinks
 from .registry import RECORDS, query, records, table
 
 
-@query("page_titles", "select page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as title, len(regexp_extract_all(html, '<a href=')) as links from pages")
+@query("page_titles", "select page_id, trim(regexp_replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), '\\s+', ' ', 'g')) as title, len(regexp_extract_all(html, '<a href=')) as links from pages")
 def page_titles(spark, d):
-    p = table(spark, d, "pages")
-    return p.select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<a href=")).cast("bigint").alias("links"))
+    p = html.parse_pages(table(spark, d, "pages"), "page_id")
+    return p.select("page_id", "title", F.size("links").cast("bigint").alias("links"))
 
 
 @query("page_links", "with l as (select page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) h from pages) select page_id, h as href, count(*) as n from l group by 1, 2")
 def page_links(spark, d):
-    found = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
-    return table(spark, d, "pages").select("page_id", F.explode(found).alias("href")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
+    p = html.parse_pages(table(spark, d, "pages"), "page_id", url=None)
+    return html.link_rows(p, "page_id").groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
 @query("page_content")

@@ -61,13 +61,13 @@ def forms(spark, d):
 
 @query("price_features", f"""with {FORMS} select id, x as price_text,
    case k when 0 then v::varchar when 1 then v || '.50' when 2 then v || '.99' when 3 then '1' || v when 4 then null when 5 then '1' || v || '.25' when 6 then v::varchar else null end as decimal_price,
-   case k when 0 then v when 1 then v + 0.5 when 2 then v + 0.99 when 3 then 1 + v / 1000 when 4 then v + 0.99 when 5 then 1000 + v + 0.25 when 6 then null else v end::double as as_float,
+   case k when 0 then v when 1 then v + 0.5 when 2 then v + 0.99 when 3 then 1 + v / 1000 when 4 then v + 0.99 when 5 then 1000 + v + 0.25 when 6 then ('0.' || v)::double else v end::double as as_float,
    case k when 0 then 'USD' when 2 then 'EUR' when 3 then 'EUR' when 5 then 'USD' else '' end as currency,
    case k when 4 then -(v + 0.99) when 1 then v + 0.5 when 3 then (1 + v / 1000) when 5 then 1 else v end::double as first_number from t""")
 def price_features(spark, d):
     x = F.col("x")
     return forms(spark, d).select(
-        "id", x.alias("price_text"), price.decimal_price(x).alias("decimal_price"), F.when(~x.startswith("Rs"), price.as_float(x)).alias("as_float"), price.currency(x).alias("currency"), price.first_number(x).alias("first_number")
+        "id", x.alias("price_text"), price.decimal_price(x).alias("decimal_price"), price.as_float(x).alias("as_float"), price.currency(x).alias("currency"), price.first_number(x).alias("first_number")
     )
 
 
@@ -78,6 +78,16 @@ def price_features(spark, d):
   z as (select s, c, ts, round(ts * 0.34 + 0.24 + case when ss = cs then 0.25 else 0 end + case when abs(sp - cp) / sp <= 0.25 then 0.05 else 0 end + case st when 'retailer' then 0.1 when 'marketplace' then 0.06 else 0.12 end, 4) score from r)
   select s as source_id, c as candidate_id, round(ts, 4) as title_similarity, score, case when score >= 0.85 then 'high' when score >= 0.6 then 'medium' when score >= 0.4 then 'low' else 'uncertain' end as label from z""")
 def match_scores(spark, d):
+    return scored_pairs(spark, d, fuzzy=False)
+
+
+@query("match_scores_fuzzy")
+def match_scores_fuzzy(spark, d):
+    """With the sequence ratio of the titles, which SQL has no function for; a test compares it."""
+    return scored_pairs(spark, d, fuzzy=True)
+
+
+def scored_pairs(spark, d, fuzzy):
     # candidates: the next three products of the brand by title, so pairs grow with the table
     w = Window.partitionBy("p_brand").orderBy("p_name", "p_partkey")
     side = F.struct("p_partkey", "p_name", "p_size", "p_retailprice")
@@ -87,26 +97,26 @@ def match_scores(spark, d):
         F.col("p_size").cast("string").alias("s_sku"), F.col("c.p_size").cast("string").alias("c_sku"), F.col("p_retailprice").alias("s_price"), F.col("c.p_retailprice").alias("c_price"),
         F.when(F.col("c.p_partkey") % 3 == 0, "retailer").when(F.col("c.p_partkey") % 3 == 1, "marketplace").otherwise("brand_dtc").alias("source_type"),
     )
-    return matching.score_pairs(pairs).select("source_id", "candidate_id", "title_similarity", "score", "label")
+    return matching.score_pairs(pairs, fuzzy).select("source_id", "candidate_id", "title_similarity", "score", "label")
 
 
-@query("taxonomy_candidates", """with c as (select distinct p_type category, w from (select p_type, unnest(string_split(lower(p_name), ' ')) w from part where p_size < 10)), i as (select p_partkey item, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda t: t <> '')) t from part),
+@query("taxonomy_candidates", """with c as (select distinct p_type category, w from (select p_type, unnest(string_split(lower(p_name), ' ')) w from part)), i as (select p_partkey item, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda t: t <> '')) t from part),
   h as (select item, len(t) n, category, count(distinct w) k from (select item, t, unnest(t) w from i) join c using (w) group by all),
   s as (select item, category, round(k / n, 4) as overlap from h where k / n >= 0.5), r as (select *, row_number() over (partition by item order by overlap desc, category) as rank from s) select item, category, overlap, rank::int as rank from r where rank <= 3""")
 def taxonomy_candidates(spark, d):
     p = table(spark, d, "part")
-    categories = p.where("p_size < 10").select(F.col("p_type").alias("category"), F.explode(text.slug_tokens(F.col("p_name"))).alias("token")).distinct()
+    categories = p.select(F.col("p_type").alias("category"), F.explode(text.slug_tokens(F.col("p_name"))).alias("token")).distinct()
     return matching.taxonomy_candidates(p.select(F.col("p_partkey").alias("item"), "p_name"), "item", text.slug_tokens(F.col("p_name")), categories)
 
 
-@query("exact_category", """with c as (select distinct p_type || ' > ' || p_name path, p_name leaf from part where p_size < 5), u as (select lower(leaf) l, count(*) n, min(path) m from c group by 1 having count(*) = 1),
-  i as (select p_partkey item, case when p_partkey % 2 = 0 then upper(p_name) else p_type || ' > ' || p_name end v from part)
+@query("exact_category", """with c as (select distinct p_type || ' > ' || p_name path, p_name leaf from part), u as (select lower(leaf) l, count(*) n, min(path) m from c group by 1 having count(*) = 1),
+  i as (select p_partkey item, case when p_partkey % 5 = 0 then 'no ' || p_name when p_partkey % 2 = 0 then upper(p_name) else p_type || ' > ' || p_name end v from part)
   select item, v as value, coalesce(c.path, u.m) as category, case when c.path is not null then 'path' when u.m is not null then 'leaf' end as matched_by from i left join c on lower(v) = lower(c.path) left join u on lower(v) = l""")
 def exact_category(spark, d):
     p = table(spark, d, "part")
     full = F.concat("p_type", F.lit(" > "), "p_name")
-    categories = p.where("p_size < 5").select(full.alias("path"), F.col("p_name").alias("leaf")).distinct()
-    items = p.select(F.col("p_partkey").alias("item"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(full).alias("value"))
+    categories = p.select(full.alias("path"), F.col("p_name").alias("leaf")).distinct()
+    items = p.select(F.col("p_partkey").alias("item"), F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("no "), F.col("p_name"))).when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(full).alias("value"))
     return matching.exact_category(items, "item", "value", categories)
 
 

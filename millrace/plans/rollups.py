@@ -109,7 +109,7 @@ def compliance_scores(spark, d):
 def attribute_coverage(spark, d):
     p = table(spark, d, "part")
     a = p.select(F.col("p_partkey").alias("item"), F.col("p_type").alias("attribute")).unionByName(p.select(F.col("p_partkey").alias("item"), F.when(F.col("p_size") > 25, "size").otherwise("other").alias("attribute")))
-    return rollup.coverage(a, "item", "attribute", ["ECONOMY", "SMALL", "size", "color"], p.count())
+    return rollup.coverage(a, "item", "attribute", ["ECONOMY", "SMALL", "size", "color"], p.agg(F.count("*")).scalar())
 
 
 @query("case_clusters", "with v as (select case p_partkey % 3 when 0 then upper(p_name) when 1 then ' ' || p_name else p_name end x from part) select lower(trim(x)) as key, count(distinct x) as spellings, count(*) as n from v group by 1 having count(distinct x) > 1")

@@ -48,18 +48,23 @@ def windowed_failures(events: DataFrame, watermark: str = "1 hour", window: str
     return failed.groupBy(F.window("ts", window).alias("w"), F.col("event_type").alias("provider")).agg(F.count("*").alias("failures"))
 
 
-def snapshot_changes(path: str, key: str, fields: list[str], order: str):
+def snapshot_changes(path: str, key: str, fields: list[str], order: str, complete: bool = True):
     """A ``foreachBatch`` function: compares each batch with the snapshot kept at ``path``
-    (one folder a batch, so a batch that runs again gives the same) and appends events."""
+    (one folder a batch, so a batch that runs again gives the same) and appends events.
+
+    A ``complete`` batch holds all pages, so those absent from it are removed.  Otherwise
+    it holds some: only its pages are compared, and the snapshot keeps the others.
+    """
     from millrace.operators.diff import snapshot_diff
     from millrace.operators.ranking import best_per_key
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        current = best_per_key(batch, [key], [F.desc(order)]).select(key, *fields)
-        last = batch_id - 1
-        previous = spark.read.parquet(f"{path}/snapshot/{last}") if batch_id else current.limit(0)
-        snapshot_diff(previous, current, key, fields).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/events/batch_id={batch_id}")
-        current.write.mode("overwrite").parquet(f"{path}/snapshot/{batch_id}")
+        current = best_per_key(batch, [key], [F.desc(order), *(F.col(f) for f in fields)]).select(key, *fields)
+        previous = spark.read.parquet(f"{path}/snapshot/{batch_id - 1}") if batch_id else current.limit(0)
+        met = previous if complete else previous.join(current.select(key), key, "left_semi")
+        snapshot_diff(met, current, key, fields).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/events/batch_id={batch_id}")
+        kept = current if complete else current.unionByName(previous.join(current.select(key), key, "left_anti"))
+        kept.write.mode("overwrite").parquet(f"{path}/snapshot/{batch_id}")
 
     return run

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -123,8 +124,10 @@ def test_matching(spark):
     row = spark.createDataFrame([("Acme shoe red", "ACME red shoe", "Acme", "acme ", "s1", "S1", 100.0, 120.0, "brand_dtc")], "s_title string, c_title string, s_brand string, c_brand string, s_sku string, c_sku string, s_price double, c_price double, source_type string")
     r = matching.score_pairs(row).first()
     assert (r.score, r.label) == (1.0, "high")
-    far = matching.score_pairs(row.withColumn("c_sku", F.lit("")).withColumn("s_sku", F.lit("")).withColumn("c_brand", F.lit("")).withColumn("c_title", F.lit("hat")).withColumn("c_price", F.lit(0.0)).withColumn("source_type", F.lit("unknown"))).first()
+    away = (row.withColumn("c_sku", F.lit("")).withColumn("s_sku", F.lit("")).withColumn("c_brand", F.lit("")).withColumn("c_title", F.lit("hat")).withColumn("c_price", F.lit(0.0)).withColumn("source_type", F.lit("unknown")))
+    far = matching.score_pairs(away, fuzzy=False).first()
     assert (far.score, far.label) == (0.0, "uncertain")
+    assert matching.score_pairs(away).first().score == 0.0425  # 0.34 of one shared letter, 2 / 16
 
 
 keys = st.dictionaries(st.integers(0, 6), st.tuples(st.sampled_from(["a", "A ", "b", "", None]), st.sampled_from(["$5", "5.0", "7 EUR", None])), max_size=6)
@@ -181,3 +184,43 @@ def test_empty_inputs(spark, kind):
     assert rollup.homogeneity(df, "k", "v").count() <= 1
     assert rollup.fill_rates(df, ["k", "v"]).count() == 2
     assert ranking.latest_per_key(df.withColumn("t", F.lit(1)), ["k"], "v", "t").count() <= 1
+
+
+def test_title_similarity_is_the_larger_of_overlap_and_sequence(spark):
+    from difflib import SequenceMatcher
+
+    from millrace.operators import matching
+
+    rows = [("red runing shoe", "red running shoe"), ("shoe red", "red shoe"), ("", "x y"), ("a1 b2 c3", "zz"), (None, "red")]
+    got = spark.createDataFrame(rows, "a string, b string").select(matching.title_similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    for (a, b), r in zip(rows, got, strict=True):
+        x, y = ({t for t in re.split("[^a-z0-9]+", s or "") if len(t) > 1} for s in (a, b))
+        want = max(len(x & y) / len(x | y), SequenceMatcher(None, " ".join(sorted(x)), " ".join(sorted(y))).ratio()) if x and y else 0.0
+        assert abs(r.s - want) < 1e-9
+
+
+def test_json_trees():
+    from millrace.sources import json_tree as t
+
+    assert t.fragment('x = {"a": "}", "b": [1, {"c": 2}]}; y = {}') == '{"a": "}", "b": [1, {"c": 2}]}' and t.fragment("none") == "" and t.fragment("{[}") == ""
+    assert t.revive([["Reactive", 1], {"a": 2, "b": 3, "me": 1}, "x", [2, 9]])["b"] == ["x", None]
+    assert t.revive([["Ref", 0]]) is None and t.revive("x") == "x" and t.revive([]) == []
+    deep = {"a": {"b": {"c": {"items": [{"title": 1}]}}}, "big": [{"k": 1}] * 3}
+    assert t.best_list(deep) == [{"title": 1}] and t.best_list({"a": [1, 2]}) == [] and t.best_list(None) == []
+    assert t.overlay({"a": "", "b": {"c": 1}}, {"a": 2, "b": {"c": 3, "d": 4}}) == {"a": 2, "b": {"c": 1, "d": 4}}
+    assert t.has_path({"hasVariant": [{"offers": [{"price": 0}]}]}, "offers.price") and not t.has_path({"a": [{"b": ""}]}, "a.b")
+    assert t.leaves({"a": [1, {"b": {"c": {"d": {"e": 9}}}}], "z": None}, depth=3) == [1]
+
+
+def test_blank_and_null_values(spark):
+    from millrace.functions import coerce, url
+
+    rows = [(None,), ("",), ("  ",), ("\\",), ("http://",), ("[",), ("{}",)]
+    df = spark.createDataFrame(rows, "c string")
+    c, page = F.col("c"), F.lit("https://a.example.com/x/")
+    out = df.select(
+        coerce.coerce_text(c).alias("t"), coerce.coerce_long_text(c), coerce.title_noise(c).alias("n"), coerce.location(c), coerce.sanitize_long_text(c, c), coerce.decode_escapes(c), url.found_in(c, page).alias("u"), url.absolute(page, c).alias("a"),
+        url.registrable(c), url.currency_hint(c), *(coerce.field(f, c, page).alias(f) for f in coerce.KINDS),
+    ).collect()
+    assert [r.t for r in out[:3]] == [None] * 3 and all(r.n for r in out[:3]) and [r.a for r in out[:3]] == [""] * 3 and [r.u for r in out[:3]] == [[]] * 3
+    assert all(r.price is None and r.url is None for r in out[:3])
