@@ -132,10 +132,11 @@ def running_sums(df: DataFrame, scratch: Scratch, key: str, order: list[str], va
     earlier by (bucket of the first order column's hash, order columns).
 
     A plain window would put each key in one task.  Here a key is dealt into ``buckets``
-    hash buckets; bucket totals are summed in order and each bucket is windowed alone.
+    buckets by the md5 of the first order column; bucket totals are summed in order and each bucket is windowed alone.
     Keys compare null-safe.
     """
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order[:1], F.lit(11)), F.lit(buckets)).cast("int"))
+    digits = F.conv(F.substring(F.md5(F.col(order[0]).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    df = df.withColumn("_bucket", F.coalesce(F.pmod(digits, F.lit(buckets)), F.lit(0)).cast("int"))
     sums = df.groupBy(key, "_bucket").agg(F.sum(value).alias("_sum"))
     upto = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = scratch.write(

@@ -68,7 +68,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", coverage:
     are joined to the template postings, file position less template position is the
     offset, and a template is found where the words that agree on one offset hold the
     given share of its IDF and its key phrase occurs.  Phrases labelled in BASE always
-    count.  Null text is empty: no words, no labels, score 0.  Repeated rows are kept.
+    count; the score is the best template's share, 1 for a base phrase, to six places.  Null text is empty: no words, no labels, score 0.  Repeated rows are kept.
     Other columns are not read.
     """
     spark = docs.sparkSession
@@ -134,7 +134,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", coverage:
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
         F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
         F.array_join(F.array_sort("base"), ",").alias("base_labels"), F.array_join(every, ",").alias("labels"),
-        F.greatest(F.when(F.size("places") > 0, 1.0).otherwise(0.0), F.coalesce("covered", F.lit(0.0))).alias("score"),
+        F.round(F.greatest(F.when(F.size("places") > 0, 1.0).otherwise(0.0), F.coalesce("covered", F.lit(0.0))), 6).alias("score"),
     )
 
 

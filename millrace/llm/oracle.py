@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import LOWER, SPACE_TOKEN, UPPER, WORD
+from .licenses import COVERAGE, TEMPLATES, _postings, vocabulary
 
 _LOW = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
@@ -55,9 +56,9 @@ TOOL_CALLS = """with recursive m as (select conv_id c, turn t, role, coalesce(te
  union all select r.c, r.t, 1, 'result', r.id, h.name, (2 * lv + 1)::int, h.id is not null, case when h.id is null then 'orphan result' when r.t < h.t then 'result before its call' end,
   '{"content":' || r.n || ',"id":"' || r.id || '"}' from r left join h on h.c = r.c and h.id = r.id left join l on l.c = r.c and l.id = r.id"""
 
-#: Every 400-byte window of every text is compared, as hexadecimal text.
-REPEATS = """with d as (select row_number() over () r, doc_id, hex(encode(coalesce(text, ''))) x from documents), e as (select *, (len(x) // 2)::bigint n from d),
- w as (select r, i, md5_number(substr(x, 2 * i + 1, 800)) m from (select r, x, unnest(range(n - 399)) i from e)),
+#: Every 400-byte window of every text is compared by its md5.
+REPEATS = """with d as (select row_number() over () r, doc_id, encode(coalesce(text, '')) y from documents), e as (select *, hex(y) x, octet_length(y)::bigint n from d),
+ w as (select r, i, md5_number(y[i + 1 : i + 400]) m from (select r, y, unnest(range(n - 399)) i from e)),
  s as (select r, i from w where m in (select m from w group by m having count(*) > 1)),
  g as (select r, i, sum(fresh) over (partition by r order by i) k from (select r, i, case when i <= lag(i) over (partition by r order by i) + 400 then 0 else 1 end fresh from s)),
  c as (select r, min(i) a, max(i) + 400 b from g group by r, k),
@@ -65,3 +66,29 @@ REPEATS = """with d as (select row_number() over () r, doc_id, hex(encode(coales
  o as (select r, string_agg(substr(x, 2 * f + 1, 2 * (t - f)), '' order by f) kept from p join e using (r) group by r),
  q as (select r, sum(b - a)::bigint gone, count(*) spans from c group by r)
  select doc_id, n as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, x))) as kept_sha256 from e left join q using (r) left join o using (r)"""
+
+#: Sources share all words by weight up to their cap; positions invert each source's demand.
+MIXING = f"""with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '{SPACE_TOKEN}')), 0)::bigint size, list_reduce(list_transform(string_split(md5(doc_id::varchar)[1:8], ''), lambda c: (instr('0123456789abcdef', c) - 1)::bigint), lambda a, b: a * 16 + b) % 512 bucket from documents),
+ s as (select source, sum(size)::bigint ss, row_number() over (order by source is null, source) - 1 k from d group by 1),
+ w as (select *, ([5.0, 2.0, 1.0]::double[])[k % 3 + 1] weight, ([-0.5, 0.0, 0.5]::double[])[k % 3 + 1] ramp, ss * 3.0::double own from s), a as (select *, own / weight cap from w),
+ l as (select *, ((sum(ss) over ())::double - coalesce(sum(own) over (order by cap, source is null, source rows between unbounded preceding and 1 preceding), 0::double)) / sum(weight) over (order by cap, source is null, source rows between current row and unbounded following) level from a),
+ x as (select min_by(level, cap) x from l where level <= cap), t as (select source, ss, ramp, coalesce(least(own, x * weight), own) target, coalesce(x * weight >= own, true) capped from l left join x on true),
+ p as (select d.*, t.* exclude (source), coalesce(sum(size) over (partition by d.source order by bucket, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint b, case when capped then 3 else floor(target / greatest(ss, 1))::bigint end n from d join t on d.source is not distinct from t.source),
+ q as (select *, n * size + greatest(0, least(size, round(target)::bigint - n * ss - b)) taken from p), r as (select *, case when size > 0 then ceil(taken / size)::int else 0 end passes from q)
+ select doc_id, size, ss as source_size, target, taken::bigint as taken, source, passes, case when taken > 0 then list_transform(list_transform(range(greatest(passes, 1)), lambda e: least(1::double, (b + size / 2.0::double + e * ss) / target)),
+  lambda u: case when ramp = 0 then u else (sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * u) - (1 - ramp)) / (2 * ramp) end) end as positions from r"""
+
+_TEXT = ", ".join(f"({t}, '{label}', ' {key} ')" for t, (label, _, key) in enumerate(TEMPLATES))
+_POSTINGS = ", ".join(f"('{w}', {t}, {p})" for w, t, p in _postings())
+_VOCABULARY = ", ".join(f"('{w}')" for w in vocabulary())
+#: Every place of a phrase, and every offset at which enough of a template's IDF agrees.
+LICENCES = f"""with d as (select row_number() over () r, doc_id, regexp_extract_all({_LOW}, '{WORD}') w from documents), post(word, t, place) as (values {_POSTINGS}), tpl(t, label, phrase) as (values {_TEXT}), vocab(word) as (values {_VOCABULARY}),
+ e as (select r, i - 1 pos, w[i] a, w[i + 1] b, w[i + 2] c from (select r, w, unnest(range(1, len(w) + 1)) i from d)),
+ base as (select r, pos, case when a = 'mit' then 'mit' when a = 'apache' then 'apache' else 'gpl' end label from e where (a in ('mit', 'apache') and b = 'license') or (a = 'general' and b = 'public' and c = 'license')),
+ df as (select word, count(distinct r) n from vocab left join e on a = word group by 1), idf as (select word, ln(1 + ((select count(*) from d) + 1)::double / (n + 1)) v from df),
+ total as (select t, sum(v) total from post join idf using (word) group by 1),
+ votes as (select r, t, sum(v) agreed from e join post on a = word join idf on idf.word = post.word group by r, t, pos - place),
+ found as (select votes.r, label, agreed / total part from votes join total using (t) join tpl using (t) join d on d.r = votes.r where agreed >= {COVERAGE} * total and contains(' ' || array_to_string(w, ' ') || ' ', phrase)),
+ more as (select r, list(label) labels, least(1.0, max(part)) covered from found group by 1), own as (select r, count(*) n, min(pos) a, max(pos) z, list(label) labels from base group by 1)
+ select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_base, a::bigint as first_word, z::bigint as last_word, array_to_string(list_sort(list_distinct(coalesce(own.labels, []))), ',') as base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(own.labels, []), coalesce(more.labels, [])))), ',') as labels, round(greatest(case when n > 0 then 1.0 else 0.0 end, coalesce(covered, 0)), 6)::double as score from d left join own using (r) left join more using (r)"""

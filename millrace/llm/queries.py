@@ -103,7 +103,7 @@ def op6(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query("op7_curriculum_mix")
+@query("op7_curriculum_mix", oracle.MIXING)
 def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.training_order(mixing.mix(docs)).select(
@@ -111,7 +111,7 @@ def op7(spark, sf_dir):
     )
 
 
-@query("op8_positional_licence_scan")
+@query("op8_positional_licence_scan", oracle.LICENCES)
 def op8(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
