@@ -12,7 +12,7 @@ from .components import connected_components
 from .shingles import _M1, _M3, mix, shingle_sets
 
 #: Earlier prefix tokens by which a pair that was met before is recognised.
-RECALL = 32
+RECALL = 8
 #: Cells of a set's sketch: how many of its tokens fall in each.
 SKETCH = 128
 
@@ -99,15 +99,15 @@ def _labels(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str,
     classes = scratch.write(classes, "classes")
 
     # which sets can have a partner
-    tokens = all_sets.select("f1", "n", F.explode("prefix").alias("token"))
+    tokens = all_sets.select("f1", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"))
     shared = scratch.write(shared, "shared")
     # a prefix lengthened by m tokens shares 1 + m with a partner's of as many; a partner
     # may be smaller, down to the needed overlap, and its own prefix shorter
     first = _first(F.col("n"), percent)
     due = 1 + _first(_due(F.col("n"), percent), percent)
-    hits = tokens.join(shared, tokens["token"] == shared["t"], "left_semi").groupBy("f1", "n").agg(F.count("*").alias("hits"))
-    able = classes.join(hits, ["f1", "n"]).where(F.col("hits") >= due * F.col("copies"))
+    hits = tokens.join(shared, tokens["token"] == shared["t"], "left_semi").groupBy("f1").agg(F.count("*").alias("hits"))
+    able = classes.join(hits, "f1").where(F.col("hits") >= due * F.col("copies"))
     ids = scratch.write(able.select(F.col("f1").alias("id"), F.col("th").alias("_th")), "able")
     texts = source.withColumn("th", F.xxhash64("text")).join(ids, F.col("th") == F.col("_th")).select("id", "text")
     sets = scratch.write(_shingles(texts, shingle), "able-sets").dropDuplicates(["id"])

@@ -96,3 +96,23 @@ def test_schemas_are_followed_inside():
     assert check({"a": {"b": 2}, "c": ["x", "y"]}) == "pattern of c[1]" and check({"a": {"b": 2}, "c": ["xxxx"]}) == "length of c[0]"
     assert check({"a": {"b": 2}, "d": 3}) == "value of d" and check({"a": {"b": 2}, "e": 3}) == "unknown e"
     assert check({"a": "$k"}) == "type of a" and check({"a": "$k"}, ["k"]) is None
+
+
+def test_repeats_of_400_bytes_go_and_shorter_ones_stay(spark):
+    """Production lengths: passages of more than 50 words, some under 400 bytes, planted in two texts each."""
+    from millrace.llm import suffixdedup
+
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows, want = [], {}
+    for k in range(24):
+        passage = " ".join(word(rng.choice((4, 5, 7, 9) if k % 3 else (4, 5, 6))) for _ in range(51 + 2 * k))
+        for copy in range(2):
+            rows.append((2 * k + copy, f"{' '.join(word(6) for _ in range(20))} {passage} {' '.join(word(6) for _ in range(20))}"))
+            want[2 * k + copy] = len(passage) >= 400
+    rows += [(100 + i, " ".join(word(6) for _ in range(120))) for i in range(20)]
+    got = {r.doc_id: r for r in suffixdedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {False, True} == set(want.values())
+    for i, t in rows:
+        assert (got[i].n_removed > 0) == want.get(i, False) or want.get(i) is False and abs(400 - 2 - max(len(t) - 280, 0)) < 5
+        assert got[i].n_bytes == len(t.encode())
