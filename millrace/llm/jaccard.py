@@ -109,17 +109,20 @@ def _labels(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str,
     hits = tokens.join(shared, tokens["token"] == shared["t"], "left_semi").groupBy("f1").agg(F.count("*").alias("hits"))
     able = classes.join(hits, "f1").where(F.col("hits") >= due * F.col("copies"))
     ids = scratch.write(able.select(F.col("f1").alias("id"), F.col("th").alias("_th")), "able")
+    scratch.drop(classes, shared)
     texts = source.withColumn("th", F.xxhash64("text")).join(ids, F.col("th") == F.col("_th")).select("id", "text")
-    sets = scratch.write(_shingles(texts, shingle), "able-sets").dropDuplicates(["id"])
-    sets = scratch.write(sets, "one-each")
+    each = scratch.write(_shingles(texts, shingle), "able-sets")
+    sets = scratch.write(each.dropDuplicates(["id"]), "one-each")
+    scratch.drop(ids, each)
 
     # the first order: by frequency; what no other set has uses up the prefix
     flat = sets.select("id", F.size("set").cast("long").alias("n"), F.explode("set").alias("token"))
     often = scratch.write(flat.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1").select(F.col("token").alias("t"), "freq"), "often")
     known = flat.join(often, flat["token"] == often["t"])
     ids = known.groupBy("id", "n").agg(F.count("*").alias("known")).where(F.col("known") >= _due(F.col("n"), percent)).select(F.col("id").alias("able"))
-    left = scratch.write(sets.join(scratch.write(ids, "able"), F.col("id") == F.col("able"), "left_semi"), "left-sets")
-    scratch.drop(sets)
+    ids = scratch.write(ids, "able")
+    left = scratch.write(sets.join(ids, F.col("id") == F.col("able"), "left_semi"), "left-sets")
+    scratch.drop(sets, ids)
     flat = left.select("id", F.explode("set").alias("token"))
     lists = flat.join(often, flat["token"] == often["t"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("tokens"))  # of one set
     ordered = left.join(lists.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).withColumn("n", F.size("set").cast("long"))
@@ -130,6 +133,7 @@ def _labels(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str,
         ordered.select("id", "n", "set", "sketch", alone.cast("long").alias("alone"), F.transform(F.slice("tokens", 1, keep), lambda x: x["token"]).alias("pa"), F.slice("set", F.lit(1), (2 * first).cast("int")).alias("pb")),
         "prefixes",
     )
+    scratch.drop(left, often)
     # a token carries the few before it: a pair is taken at its first common token
     before = F.slice("pa", F.greatest(F.lit(1), F.col("k") - RECALL + 1), F.least(F.col("k"), F.lit(RECALL)))
     posted = sets.select("id", "n", "alone", "pa", F.posexplode("pa").alias("k", "token"))
@@ -144,15 +148,17 @@ def _labels(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str,
 
     # round two: pairs of different components; the largest of a token is not paired with itself
     owner = comp.select(F.col("node"), F.col("component"))
-    posted = scratch.write(
+    owned = scratch.write(
         posted.join(owner, posted["id"] == owner["node"], "left").select("id", "n", "before", "token", "pos", F.coalesce("component", "id").alias("comp")), "owned"
     )
-    parts = posted.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    scratch.drop(posted, least)
+    parts = owned.groupBy("token", "comp").agg(F.count("*").alias("c"))
     main = parts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     main = scratch.write(main.select(F.col("token").alias("t"), "main"), "main")
     sketches = sets.select(F.col("id").alias("_id"), "sketch")
-    mixed = scratch.write(posted.join(main, posted["token"] == main["t"]).drop("t"), "mixed")
-    mixed = scratch.write(mixed.join(sketches, mixed["id"] == sketches["_id"]).drop("_id"), "sketched")
+    shared = scratch.write(owned.join(main, owned["token"] == main["t"]).drop("t"), "mixed")
+    mixed = scratch.write(shared.join(sketches, shared["id"] == sketches["_id"]).drop("_id"), "sketched")
+    scratch.drop(owned, main, shared)
     x, y = mixed.where("comp <> main").alias("x"), mixed.alias("y")
     lo, hi = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     need = F.ceil((lo + hi) * percent / F.lit(100 + percent))
@@ -167,7 +173,9 @@ def _labels(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str,
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     )
     more = _verify(candidates, sets, percent, scratch)
+    scratch.drop(mixed)
     comp = connected_components(near.union(more), scratch)
+    scratch.drop(sets, near)
     return all_sets.join(comp, all_sets["f1"] == comp["node"], "left").select(
         "doc_id", "th", "n", F.col("f1").alias("node"), F.coalesce("component", "f1").alias("component")
     )
