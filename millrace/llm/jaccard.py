@@ -37,13 +37,13 @@ def _lists(sets: list[np.ndarray]) -> pa.ListArray:
 
 
 def _sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, th, n, f1, f2 (fingerprint of the set) and the long prefix in hash order."""
+    """doc_id, th, n, f1, f2 (fingerprint of the set), the long prefix in hash order, sketch."""
 
     def make(batches):
         for batch in batches:
             at = 0
             for sets in shingle_sets(batch.column(2), shingle):
-                n, f1, f2, prefix = [], [], [], []
+                n, f1, f2, prefix, cells = [], [], [], [], []
                 for s in sets:
                     u = s.view(np.uint64)
                     n.append(len(s))
@@ -53,53 +53,67 @@ def _sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                     # one more shared token is due for each token added to the prefix; a set
                     # that only its equals can match needs no prefix
                     prefix.append(s[: 2 * first] if 100 * len(s) >= percent * (len(s) + 1) else s[:0])
+                    cells.append(np.bincount(s % SKETCH, minlength=SKETCH))
                 ids, hashes = batch.column(0).slice(at, len(sets)), batch.column(1).slice(at, len(sets))
                 at += len(sets)
-                yield pa.RecordBatch.from_arrays([ids, hashes, *(pa.array(x, pa.int64()) for x in (n, f1, f2)), _lists(prefix)], ["doc_id", "th", "n", "f1", "f2", "prefix"])
+                ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH)
+                sketch = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(cells).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [ids, hashes, *(pa.array(x, pa.int64()) for x in (n, f1, f2)), _lists(prefix), sketch], ["doc_id", "th", "n", "f1", "f2", "prefix", "sketch"]
+                )
 
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(make, "doc_id long, th long, n long, f1 long, f2 long, prefix array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(
+        make, "doc_id long, th long, n long, f1 long, f2 long, prefix array<long>, sketch array<int>"
+    )
 
 
 def _shingles(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, set, sketch) of (id, text); the set is in hash order."""
+    """(id, set) of (id, text)."""
 
     def make(batches):
         for batch in batches:
             at = 0
             for sets in shingle_sets(batch.column(1), shingle):
-                cells = np.concatenate([np.bincount(s % SKETCH, minlength=SKETCH) for s in sets]).astype(np.int32)
-                ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH)
-                sketch = pa.ListArray.from_arrays(ends, pa.array(cells))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), _lists(sets), sketch], ["id", "set", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), _lists(sets)], ["id", "set"])
                 at += len(sets)
 
-    return texts.mapInArrow(make, "id long, `set` array<long>, sketch array<int>")
+    return texts.mapInArrow(make, "id long, `set` array<long>")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) that pass the second order's filter too, and then the exact test.
+def _verify(pairs: DataFrame, sets: DataFrame, source: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) that pass the hash order's filter too, and then the exact test.
 
     In hash order, prefixes of twice the least length share one token more than that
-    length: only prefixes are joined for this.  The sets are joined for what is left.
+    length: only prefixes are joined for this.  Whole sets are made again from the texts,
+    and only for the pairs that are left.
     """
-    side = lambda k, c: sets.select(F.col("id").alias(k), F.col(c).alias(f"{c}_{k}"), F.col("n").alias(f"n_{k}"))
+    side = lambda k: sets.select(F.col("id").alias(k), F.col("pb").alias(f"pb_{k}"), F.col("n").alias(f"n_{k}"))
     due = 1 + F.least(_first(F.col("n_a"), percent), _first(F.col("n_b"), percent))
-    left = pairs.join(side("a", "pb"), "a").join(side("b", "pb"), "b").where(F.size(F.array_intersect("pb_a", "pb_b")) >= due)
+    left = pairs.join(side("a"), "a").join(side("b"), "b").where(F.size(F.array_intersect("pb_a", "pb_b")) >= due)
     left = scratch.write(left.select("a", "b"), "candidates")
+    nodes = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
+    nodes = scratch.write(sets.select("id", "th").join(nodes, "id", "left_semi").withColumnRenamed("th", "_th"), "nodes")
+    texts = source.withColumn("th", F.xxhash64("text")).join(nodes, F.col("th") == F.col("_th")).select("id", "text")
+    whole = scratch.write(_shingles(texts, shingle).dropDuplicates(["id"]), "whole-sets")
     both = F.size(F.array_intersect("set_a", "set_b"))
-    return left.join(side("a", "set"), "a").join(side("b", "set"), "b").where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
+    one = lambda k: whole.select(F.col("id").alias(k), F.col("set").alias(f"set_{k}"))
+    enough = 100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)
+    links = scratch.write(left.join(one("a"), "a").join(one("b"), "b").where(enough).select("a", "b"), "links")
+    scratch.drop(left, nodes, whole)
+    return links
 
 
 def _labels(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str, scratch: Scratch) -> DataFrame:
     """doc_id, th, n, node (its set), component (a node): one row per input row."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    all_sets = scratch.write(_sets(source, shingle, percent), "sets")
+    made = scratch.write(_sets(source, shingle, percent), "sets")
+    all_sets = scratch.write(made.select("doc_id", "th", "n", "f1"), "rows")
     # a class is known by its fingerprint; one text stands for it
-    classes = all_sets.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("th").alias("th"), F.count("*").alias("copies"))
+    classes = made.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("th").alias("th"), F.count("*").alias("copies"))
     classes = scratch.write(classes, "classes")
 
     # which sets can have a partner
-    tokens = all_sets.select("f1", F.explode("prefix").alias("token"))
+    tokens = made.select("f1", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"))
     shared = scratch.write(shared, "shared")
     # a prefix lengthened by m tokens shares 1 + m with a partner's of as many; a partner
@@ -110,69 +124,59 @@ def _labels(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str,
     able = classes.join(hits, "f1").where(F.col("hits") >= due * F.col("copies"))
     ids = scratch.write(able.select(F.col("f1").alias("id"), F.col("th").alias("_th")), "able")
     scratch.drop(classes, shared)
-    texts = source.withColumn("th", F.xxhash64("text")).join(ids, F.col("th") == F.col("_th")).select("id", "text")
-    each = scratch.write(_shingles(texts, shingle), "able-sets")
-    sets = scratch.write(each.dropDuplicates(["id"]), "one-each")
-    scratch.drop(ids, each)
+    of = made.join(ids, (made["f1"] == ids["id"]) & (made["th"] == ids["_th"]))
+    sets = scratch.write(of.select("id", "th", "n", F.col("prefix").alias("pb"), "sketch").dropDuplicates(["id"]), "able-sets")
+    scratch.drop(ids, made)
 
-    # the first order: by frequency; what no other set has uses up the prefix
-    flat = sets.select("id", F.size("set").cast("long").alias("n"), F.explode("set").alias("token"))
+    # the other order: by frequency, within the long prefixes, of which a pair shares the
+    # tokens that are due; what no other prefix has uses up the prefix in this order
+    flat = sets.select("id", F.explode("pb").alias("token"))
     often = scratch.write(flat.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1").select(F.col("token").alias("t"), "freq"), "often")
-    known = flat.join(often, flat["token"] == often["t"])
-    ids = known.groupBy("id", "n").agg(F.count("*").alias("known")).where(F.col("known") >= _due(F.col("n"), percent)).select(F.col("id").alias("able"))
-    ids = scratch.write(ids, "able")
-    left = scratch.write(sets.join(ids, F.col("id") == F.col("able"), "left_semi"), "left-sets")
-    scratch.drop(sets, ids)
-    flat = left.select("id", F.explode("set").alias("token"))
     lists = flat.join(often, flat["token"] == often["t"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("tokens"))  # of one set
-    ordered = left.join(lists.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).withColumn("n", F.size("set").cast("long"))
-    alone = F.col("n") - F.size("tokens")
-    keep = F.greatest(F.lit(0), first - alone).cast("int")
-    # the second order: by hash, in which the set stands already; its prefix is twice as long
-    sets = scratch.write(
-        ordered.select("id", "n", "set", "sketch", alone.cast("long").alias("alone"), F.transform(F.slice("tokens", 1, keep), lambda x: x["token"]).alias("pa"), F.slice("set", F.lit(1), (2 * first).cast("int")).alias("pb")),
-        "prefixes",
-    )
-    scratch.drop(left, often)
+    lists = sets.select("id", "n", F.size("pb").alias("size")).join(lists, "id").where(F.size("tokens") >= due)
+    alone = F.col("size") - F.size("tokens")
+    keep = F.greatest(F.lit(0), F.col("size") - due + 1 - alone).cast("int")
+    ordered = lists.select("id", "n", "size", alone.alias("alone"), F.transform(F.slice("tokens", 1, keep), lambda x: x["token"]).alias("pa"))
     # a token carries the few before it: a pair is taken at its first common token
     before = F.slice("pa", F.greatest(F.lit(1), F.col("k") - RECALL + 1), F.least(F.col("k"), F.lit(RECALL)))
-    posted = sets.select("id", "n", "alone", "pa", F.posexplode("pa").alias("k", "token"))
-    posted = scratch.write(posted.select("id", "n", "token", (F.col("alone") + F.col("k")).alias("pos"), before.alias("before")), "posted")
+    posted = ordered.select("id", "n", "size", "alone", "pa", F.posexplode("pa").alias("k", "token"))
+    posted = scratch.write(posted.select("id", "n", "size", "token", (F.col("alone") + F.col("k") + 1).alias("pos"), before.alias("before")), "posted")
+    scratch.drop(often)
 
     # round one: each token's sets against its smallest
     least = posted.groupBy("token").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").select(F.col("token").alias("t"), "a")
     least = scratch.write(least, "least")
     stars = posted.join(least, posted["token"] == least["t"]).where("id > a").select("a", F.col("id").alias("b")).distinct()
-    near = scratch.write(_verify(stars, sets, percent, scratch), "near")
+    near = _verify(stars, sets, source, shingle, percent, scratch)
     comp = connected_components(near, scratch)
 
     # round two: pairs of different components; the largest of a token is not paired with itself
     owner = comp.select(F.col("node"), F.col("component"))
     owned = scratch.write(
-        posted.join(owner, posted["id"] == owner["node"], "left").select("id", "n", "before", "token", "pos", F.coalesce("component", "id").alias("comp")), "owned"
+        posted.join(owner, posted["id"] == owner["node"], "left").select("id", "n", "size", "before", "token", "pos", F.coalesce("component", "id").alias("comp")), "owned"
     )
     scratch.drop(posted, least)
     parts = owned.groupBy("token", "comp").agg(F.count("*").alias("c"))
     main = parts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     main = scratch.write(main.select(F.col("token").alias("t"), "main"), "main")
     sketches = sets.select(F.col("id").alias("_id"), "sketch")
-    shared = scratch.write(owned.join(main, owned["token"] == main["t"]).drop("t"), "mixed")
-    mixed = scratch.write(shared.join(sketches, shared["id"] == sketches["_id"]).drop("_id"), "sketched")
-    scratch.drop(owned, main, shared)
+    mixed_rows = scratch.write(owned.join(main, owned["token"] == main["t"]).drop("t"), "mixed")
+    mixed = scratch.write(mixed_rows.join(sketches, mixed_rows["id"] == sketches["_id"]).drop("_id"), "sketched")
+    scratch.drop(owned, main, mixed_rows)
     x, y = mixed.where("comp <> main").alias("x"), mixed.alias("y")
     lo, hi = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     need = F.ceil((lo + hi) * percent / F.lit(100 + percent))
-    left_over = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    upto = F.least("x.pos", "y.pos")
+    # what the long prefixes can share, by the places of this token in the order
+    can = F.least("x.pos", "y.pos") + F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
     # tokens can only be shared within a cell
     cells = F.aggregate(F.zip_with("x.sketch", "y.sketch", lambda a, b: F.least(a, b)), F.lit(0), lambda n, k: n + k)
     candidates = (
         x.join(y, F.col("x.token") == F.col("y.token"))
         .where((F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))))
-        .where((100 * lo >= percent * hi) & (upto + left_over >= need) & (cells >= need) & (F.size(F.array_intersect("x.before", "y.before")) == 0))
+        .where((100 * lo >= percent * hi) & (can >= 1 + _first(lo, percent)) & (F.size(F.array_intersect("x.before", "y.before")) == 0) & (cells >= need))
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     )
-    more = _verify(candidates, sets, percent, scratch)
+    more = _verify(candidates, sets, source, shingle, percent, scratch)
     scratch.drop(mixed)
     comp = connected_components(near.union(more), scratch)
     scratch.drop(sets, near)
@@ -189,11 +193,11 @@ def jaccard_components(
     1. Every text becomes its set of hashed shingles; equal sets form a class.
     2. Under the hash order, a set that has a partner shares a known number of the tokens
        of its lengthened prefix with it.  Sets with too few tokens that any other class
-       has in its own prefix have no partner and go; so do sets with too few tokens that
-       any other remaining set has.
-    3. The sets left are ordered by frequency and by hash, two unlike orders.  Candidates
-       share prefix tokens under both, at lengths and positions that allow the similarity.
-    4. Candidates are verified in two rounds.  First each token's sets against its
+       has in its own prefix have no partner and go.
+    3. The lengthened prefixes left are ordered by frequency: whatever shares that number
+       of tokens shares one of the first in this order.  Candidates share prefix tokens
+       under both orders, at lengths and positions that allow the similarity.
+    4. Candidates are verified in two rounds, on sets made from the texts again.  First each token's sets against its
        smallest; this joins groups of near copies without pairing them all.  Then the
        pairs that are still in different components, unless the counts of their tokens in
        the cells of a hash already bound the overlap below what is needed.
