@@ -122,9 +122,18 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that no later plan reads."""
+        """Delete tables that no later plan reads, and the shuffle files behind them."""
         for t in tables:
             _delete(self.spark, t._scratch_path)
+        self.release()
+
+    def release(self) -> None:
+        """Let go of the shuffle files of finished writes.
+
+        Spark deletes a shuffle's files once the driver has collected the plan that made
+        them; a driver with memory to spare does that long after the files are of use.
+        """
+        self.spark._jvm.System.gc()
 
 
 def running_sums(df: DataFrame, scratch: Scratch, key: str, order: list[str], value: str, buckets: int) -> DataFrame:

@@ -31,6 +31,16 @@ def _first(n: Column, percent: int) -> Column:
     return n - _due(n, percent) + 1
 
 
+def _overlap(n: Column, m: Column, percent: int) -> Column:
+    """Smallest overlap of similar sets of n and m."""
+    return F.ceil((n + m) * percent / F.lit(100 + percent))
+
+
+def _at_most(x: str, y: str) -> Column:
+    """Most tokens that sets of these sketches can share: tokens are shared within a cell."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.least(a, b)), F.lit(0), lambda n, k: n + k)
+
+
 def _lists(sets: list[np.ndarray]) -> pa.ListArray:
     sizes = np.cumsum([0, *map(len, sets)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
@@ -81,15 +91,17 @@ def _shingles(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, source: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) that pass the hash order's filter too, and then the exact test.
+    """The pairs (a, b) that pass the hash order's filter and the sketches' too, and then
+    the exact test.
 
     In hash order, prefixes of twice the least length share one token more than that
     length: only prefixes are joined for this.  Whole sets are made again from the texts,
     and only for the pairs that are left.
     """
-    side = lambda k: sets.select(F.col("id").alias(k), F.col("pb").alias(f"pb_{k}"), F.col("n").alias(f"n_{k}"))
+    side = lambda k: sets.select(F.col("id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "pb", "sketch")))
     due = 1 + F.least(_first(F.col("n_a"), percent), _first(F.col("n_b"), percent))
-    left = pairs.join(side("a"), "a").join(side("b"), "b").where(F.size(F.array_intersect("pb_a", "pb_b")) >= due)
+    shares = F.size(F.array_intersect("pb_a", "pb_b")) >= due
+    left = pairs.join(side("a"), "a").join(side("b"), "b").where(shares & (_at_most("sketch_a", "sketch_b") >= _overlap(F.col("n_a"), F.col("n_b"), percent)))
     left = scratch.write(left.select("a", "b"), "candidates")
     nodes = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
     nodes = scratch.write(sets.select("id", "th").join(nodes, "id", "left_semi").withColumnRenamed("th", "_th"), "nodes")
@@ -116,6 +128,7 @@ def _labels(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str,
     tokens = made.select("f1", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"))
     shared = scratch.write(shared, "shared")
+    scratch.release()
     # a prefix lengthened by m tokens shares 1 + m with a partner's of as many; a partner
     # may be smaller, down to the needed overlap, and its own prefix shorter
     first = _first(F.col("n"), percent)
@@ -165,15 +178,13 @@ def _labels(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str,
     scratch.drop(owned, main, mixed_rows)
     x, y = mixed.where("comp <> main").alias("x"), mixed.alias("y")
     lo, hi = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    need = F.ceil((lo + hi) * percent / F.lit(100 + percent))
     # what the long prefixes can share, by the places of this token in the order
     can = F.least("x.pos", "y.pos") + F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
-    # tokens can only be shared within a cell
-    cells = F.aggregate(F.zip_with("x.sketch", "y.sketch", lambda a, b: F.least(a, b)), F.lit(0), lambda n, k: n + k)
+    cells = _at_most("x.sketch", "y.sketch")
     candidates = (
         x.join(y, F.col("x.token") == F.col("y.token"))
         .where((F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))))
-        .where((100 * lo >= percent * hi) & (can >= 1 + _first(lo, percent)) & (F.size(F.array_intersect("x.before", "y.before")) == 0) & (cells >= need))
+        .where((100 * lo >= percent * hi) & (can >= 1 + _first(lo, percent)) & (F.size(F.array_intersect("x.before", "y.before")) == 0) & (cells >= _overlap(lo, hi, percent)))
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     )
     more = _verify(candidates, sets, source, shingle, percent, scratch)
