@@ -41,13 +41,19 @@ def _at_most(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: F.least(a, b)), F.lit(0), lambda n, k: n + k)
 
 
+def _unlike(x: str, y: str) -> Column:
+    """Fewest tokens that only one of two sets has: one in each cell of unlike parity."""
+    return sum(F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in ("odd1", "odd2"))
+
+
 def _lists(sets: list[np.ndarray]) -> pa.ListArray:
     sizes = np.cumsum([0, *map(len, sets)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
 
 
 def _sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, th, n, f1, f2 (fingerprint of the set), the long prefix in hash order, sketch."""
+    """doc_id, th, n, f1, f2 (fingerprint of the set), the long prefix in hash order,
+    sketch, odd1, odd2 (which of its cells are odd)."""
 
     def make(batches):
         for batch in batches:
@@ -68,12 +74,14 @@ def _sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 at += len(sets)
                 ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH)
                 sketch = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(cells).astype(np.int32)))
+                odd = np.packbits(np.stack(cells) & 1, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, hashes, *(pa.array(x, pa.int64()) for x in (n, f1, f2)), _lists(prefix), sketch], ["doc_id", "th", "n", "f1", "f2", "prefix", "sketch"]
+                    [ids, hashes, *(pa.array(x, pa.int64()) for x in (n, f1, f2)), _lists(prefix), sketch, pa.array(odd[:, 0].copy()), pa.array(odd[:, 1].copy())],
+                    ["doc_id", "th", "n", "f1", "f2", "prefix", "sketch", "odd1", "odd2"],
                 )
 
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(
-        make, "doc_id long, th long, n long, f1 long, f2 long, prefix array<long>, sketch array<int>"
+        make, "doc_id long, th long, n long, f1 long, f2 long, prefix array<long>, sketch array<int>, odd1 long, odd2 long"
     )
 
 
@@ -138,7 +146,7 @@ def _labels(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str,
     ids = scratch.write(able.select(F.col("f1").alias("id"), F.col("th").alias("_th")), "able")
     scratch.drop(classes, shared)
     of = made.join(ids, (made["f1"] == ids["id"]) & (made["th"] == ids["_th"]))
-    sets = scratch.write(of.select("id", "th", "n", F.col("prefix").alias("pb"), "sketch").dropDuplicates(["id"]), "able-sets")
+    sets = scratch.write(of.select("id", "th", "n", F.col("prefix").alias("pb"), "sketch", "odd1", "odd2").dropDuplicates(["id"]), "able-sets")
     scratch.drop(ids, made)
 
     # the other order: by frequency, within the long prefixes, of which a pair shares the
@@ -172,7 +180,7 @@ def _labels(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str,
     parts = owned.groupBy("token", "comp").agg(F.count("*").alias("c"))
     main = parts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     main = scratch.write(main.select(F.col("token").alias("t"), "main"), "main")
-    sketches = sets.select(F.col("id").alias("_id"), "sketch")
+    sketches = sets.select(F.col("id").alias("_id"), "sketch", "odd1", "odd2")
     mixed_rows = scratch.write(owned.join(main, owned["token"] == main["t"]).drop("t"), "mixed")
     mixed = scratch.write(mixed_rows.join(sketches, mixed_rows["id"] == sketches["_id"]).drop("_id"), "sketched")
     scratch.drop(owned, main, mixed_rows)
@@ -184,7 +192,8 @@ def _labels(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str,
     candidates = (
         x.join(y, F.col("x.token") == F.col("y.token"))
         .where((F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))))
-        .where((100 * lo >= percent * hi) & (can >= 1 + _first(lo, percent)) & (F.size(F.array_intersect("x.before", "y.before")) == 0) & (cells >= _overlap(lo, hi, percent)))
+        .where((100 * lo >= percent * hi) & (can >= 1 + _first(lo, percent)) & (_unlike("x", "y") <= lo + hi - 2 * _overlap(lo, hi, percent)))
+        .where((F.size(F.array_intersect("x.before", "y.before")) == 0) & (cells >= _overlap(lo, hi, percent)))
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     )
     more = _verify(candidates, sets, source, shingle, percent, scratch)
