@@ -12,9 +12,11 @@ from .components import connected_components
 from .shingles import _M1, _M3, mix, shingle_sets
 
 #: Earlier prefix tokens by which a pair that was met before is recognised.
-RECALL = 8
-#: Cells of a set's sketch: how many of its tokens fall in each.
-SKETCH = 128
+RECALL = 4
+#: Cells of a set's sketch: how many of its tokens fall in each, FULL at most.
+SKETCH, FULL = 128, 127
+#: Rounds of pairs whose number is at most twice that of the prefix tokens.
+ROUNDS = 2
 
 
 def _needed(n, percent: int):
@@ -37,8 +39,10 @@ def _overlap(n: Column, m: Column, percent: int) -> Column:
 
 
 def _at_most(x: str, y: str) -> Column:
-    """Most tokens that sets of these sketches can share: tokens are shared within a cell."""
-    return F.aggregate(F.zip_with(x, y, lambda a, b: F.least(a, b)), F.lit(0), lambda n, k: n + k)
+    """Most tokens that sets of these sketches can share: tokens are shared within a cell.
+    ``over`` counts those beyond FULL in their cell."""
+    cells = F.aggregate(F.zip_with(f"{x}.sketch", f"{y}.sketch", lambda a, b: F.least(a, b)), F.lit(0), lambda n, k: n + k.cast("int"))
+    return cells + F.least(f"{x}.over", f"{y}.over")
 
 
 def _unlike(x: str, y: str) -> Column:
@@ -53,7 +57,7 @@ def _lists(sets: list[np.ndarray]) -> pa.ListArray:
 
 def _sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """doc_id, th, n, f1, f2 (fingerprint of the set), the long prefix in hash order,
-    sketch, odd1, odd2 (which of its cells are odd)."""
+    sketch, over, odd1, odd2 (which of its cells are odd)."""
 
     def make(batches):
         for batch in batches:
@@ -73,15 +77,18 @@ def _sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 ids, hashes = batch.column(0).slice(at, len(sets)), batch.column(1).slice(at, len(sets))
                 at += len(sets)
                 ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH)
-                sketch = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(cells).astype(np.int32)))
-                odd = np.packbits(np.stack(cells) & 1, axis=1).view(np.int64)
+                counts = np.stack(cells)
+                held = np.minimum(counts, FULL)
+                sketch = pa.ListArray.from_arrays(ends, pa.array(held.reshape(-1).astype(np.int8)))
+                over = pa.array((counts - held).sum(axis=1).astype(np.int64))
+                odd = np.packbits(counts & 1, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, hashes, *(pa.array(x, pa.int64()) for x in (n, f1, f2)), _lists(prefix), sketch, pa.array(odd[:, 0].copy()), pa.array(odd[:, 1].copy())],
-                    ["doc_id", "th", "n", "f1", "f2", "prefix", "sketch", "odd1", "odd2"],
+                    [ids, hashes, *(pa.array(x, pa.int64()) for x in (n, f1, f2)), _lists(prefix), sketch, over, pa.array(odd[:, 0].copy()), pa.array(odd[:, 1].copy())],
+                    ["doc_id", "th", "n", "f1", "f2", "prefix", "sketch", "over", "odd1", "odd2"],
                 )
 
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(
-        make, "doc_id long, th long, n long, f1 long, f2 long, prefix array<long>, sketch array<int>, odd1 long, odd2 long"
+        make, "doc_id long, th long, n long, f1 long, f2 long, prefix array<long>, sketch array<tinyint>, over long, odd1 long, odd2 long"
     )
 
 
@@ -98,18 +105,20 @@ def _shingles(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(make, "id long, `set` array<long>")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, source: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) that pass the hash order's filter and the sketches' too, and then
-    the exact test.
+def _verify(pairs: DataFrame, sets: DataFrame, source: DataFrame, shingle: int, percent: int, scratch: Scratch, sketched: bool = True) -> DataFrame:
+    """The pairs (a, b) that pass the hash order's filter and, if ``sketched``, the
+    sketches' too, and then the exact test.
 
     In hash order, prefixes of twice the least length share one token more than that
     length: only prefixes are joined for this.  Whole sets are made again from the texts,
     and only for the pairs that are left.
     """
-    side = lambda k: sets.select(F.col("id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "pb", "sketch")))
-    due = 1 + F.least(_first(F.col("n_a"), percent), _first(F.col("n_b"), percent))
-    shares = F.size(F.array_intersect("pb_a", "pb_b")) >= due
-    left = pairs.join(side("a"), "a").join(side("b"), "b").where(shares & (_at_most("sketch_a", "sketch_b") >= _overlap(F.col("n_a"), F.col("n_b"), percent)))
+    of = sets.select("id", "n", "pb", *(["sketch", "over"] if sketched else []))
+    due = 1 + F.least(_first(F.col("x.n"), percent), _first(F.col("y.n"), percent))
+    left = pairs.join(of.alias("x"), F.col("a") == F.col("x.id")).join(of.alias("y"), F.col("b") == F.col("y.id"))
+    left = left.where(F.size(F.array_intersect("x.pb", "y.pb")) >= due)
+    if sketched:
+        left = left.where(_at_most("x", "y") >= _overlap(F.col("x.n"), F.col("y.n"), percent))
     left = scratch.write(left.select("a", "b"), "candidates")
     nodes = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
     nodes = scratch.write(sets.select("id", "th").join(nodes, "id", "left_semi").withColumnRenamed("th", "_th"), "nodes")
@@ -123,6 +132,25 @@ def _verify(pairs: DataFrame, sets: DataFrame, source: DataFrame, shingle: int,
     return links
 
 
+def _mixed(posted: DataFrame, comp: DataFrame | None, turn: int, scratch: Scratch) -> DataFrame:
+    """The rows of ``posted`` whose token has sets of several components, with comp (``id``
+    where it has none yet), main and drawn: the token's largest component and one that a
+    hash of its number and ``turn`` draws, each as (comp, id, n) of one of its sets."""
+    if comp is None:
+        owned = posted.withColumn("comp", F.col("id"))
+    else:
+        of = comp.select("node", "component")
+        owned = posted.join(of, posted["id"] == of["node"], "left").withColumn("comp", F.coalesce("component", "id")).drop("node", "component")
+        owned = scratch.write(owned, "owned")
+    one = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n"))
+    parts = owned.groupBy("token", "comp").agg(F.count("*").alias("c"), one.alias("one"))
+    parts = parts.select("token", "c", F.struct("comp", "one.id", "one.n").alias("part"))
+    drawn = F.min_by("part", F.struct(F.xxhash64("part.comp", F.lit(turn)), "part.comp"))
+    heads = parts.groupBy("token").agg(F.max_by("part", F.struct("c", "part.comp")).alias("main"), drawn.alias("drawn"), F.count("*").alias("parts"))
+    heads = scratch.write(heads.where("parts > 1").select(F.col("token").alias("t"), "main", "drawn"), "heads")
+    return owned.join(heads, owned["token"] == heads["t"]).drop("t")
+
+
 def _labels(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str, scratch: Scratch) -> DataFrame:
     """doc_id, th, n, node (its set), component (a node): one row per input row."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -146,7 +174,7 @@ def _labels(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str,
     ids = scratch.write(able.select(F.col("f1").alias("id"), F.col("th").alias("_th")), "able")
     scratch.drop(classes, shared)
     of = made.join(ids, (made["f1"] == ids["id"]) & (made["th"] == ids["_th"]))
-    sets = scratch.write(of.select("id", "th", "n", F.col("prefix").alias("pb"), "sketch", "odd1", "odd2").dropDuplicates(["id"]), "able-sets")
+    sets = scratch.write(of.select("id", "th", "n", F.col("prefix").alias("pb"), "sketch", "over", "odd1", "odd2").dropDuplicates(["id"]), "able-sets")
     scratch.drop(ids, made)
 
     # the other order: by frequency, within the long prefixes, of which a pair shares the
@@ -164,42 +192,40 @@ def _labels(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str,
     posted = scratch.write(posted.select("id", "n", "size", "token", (F.col("alone") + F.col("k") + 1).alias("pos"), before.alias("before")), "posted")
     scratch.drop(often)
 
-    # round one: each token's sets against its smallest
-    least = posted.groupBy("token").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").select(F.col("token").alias("t"), "a")
-    least = scratch.write(least, "least")
-    stars = posted.join(least, posted["token"] == least["t"]).where("id > a").select("a", F.col("id").alias("b")).distinct()
-    near = _verify(stars, sets, source, shingle, percent, scratch)
-    comp = connected_components(near, scratch)
-
-    # round two: pairs of different components; the largest of a token is not paired with itself
-    owner = comp.select(F.col("node"), F.col("component"))
-    owned = scratch.write(
-        posted.join(owner, posted["id"] == owner["node"], "left").select("id", "n", "size", "before", "token", "pos", F.coalesce("component", "id").alias("comp")), "owned"
-    )
-    scratch.drop(posted, least)
-    parts = owned.groupBy("token", "comp").agg(F.count("*").alias("c"))
-    main = parts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    main = scratch.write(main.select(F.col("token").alias("t"), "main"), "main")
-    sketches = sets.select(F.col("id").alias("_id"), "sketch", "odd1", "odd2")
-    mixed_rows = scratch.write(owned.join(main, owned["token"] == main["t"]).drop("t"), "mixed")
+    # rounds of few pairs: each token's sets against one of its components, drawn anew each
+    # time, and against its largest; both by one set
+    near = comp = None
+    for turn in range(ROUNDS):
+        mixed = scratch.write(_mixed(posted, comp, turn, scratch), "mixed")
+        fits = lambda one: (100 * F.least("n", f"{one}.n") >= percent * F.greatest("n", f"{one}.n")) & (F.col("comp") != F.col(f"{one}.comp"))
+        others = F.array(*(F.when(fits(one), F.col(f"{one}.id")) for one in ("drawn", "main")))
+        stars = mixed.select("id", F.explode(F.array_compact(others)).alias("other")).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+        found = _verify(stars.distinct(), sets, source, shingle, percent, scratch)
+        near = found if near is None else near.union(found)
+        comp = connected_components(near, scratch)
+        scratch.drop(mixed)
+
+    # the last round: pairs of different components; the largest of a token is not paired with itself
+    mixed_rows = scratch.write(_mixed(posted, comp, ROUNDS, scratch).withColumn("in_main", F.expr("comp = main.comp")).drop("main", "drawn"), "mixed")
+    scratch.drop(posted)
+    sketches = sets.select(F.col("id").alias("_id"), "sketch", "over", "odd1", "odd2")
     mixed = scratch.write(mixed_rows.join(sketches, mixed_rows["id"] == sketches["_id"]).drop("_id"), "sketched")
-    scratch.drop(owned, main, mixed_rows)
-    x, y = mixed.where("comp <> main").alias("x"), mixed.alias("y")
+    scratch.drop(mixed_rows)
+    x, y = mixed.where("not in_main").drop("in_main").alias("x"), mixed.alias("y")
     lo, hi = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     # what the long prefixes can share, by the places of this token in the order
     can = F.least("x.pos", "y.pos") + F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
-    cells = _at_most("x.sketch", "y.sketch")
     candidates = (
         x.join(y, F.col("x.token") == F.col("y.token"))
-        .where((F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))))
+        .where((F.col("x.comp") != F.col("y.comp")) & (F.col("y.in_main") | (F.col("x.id") < F.col("y.id"))))
         .where((100 * lo >= percent * hi) & (can >= 1 + _first(lo, percent)) & (_unlike("x", "y") <= lo + hi - 2 * _overlap(lo, hi, percent)))
-        .where((F.size(F.array_intersect("x.before", "y.before")) == 0) & (cells >= _overlap(lo, hi, percent)))
+        .where((F.size(F.array_intersect("x.before", "y.before")) == 0) & (_at_most("x", "y") >= _overlap(lo, hi, percent)))
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     )
-    more = _verify(candidates, sets, source, shingle, percent, scratch)
+    more = _verify(candidates, sets, source, shingle, percent, scratch, sketched=False)
     scratch.drop(mixed)
     comp = connected_components(near.union(more), scratch)
-    scratch.drop(sets, near)
+    scratch.drop(sets)
     return all_sets.join(comp, all_sets["f1"] == comp["node"], "left").select(
         "doc_id", "th", "n", F.col("f1").alias("node"), F.coalesce("component", "f1").alias("component")
     )
@@ -217,10 +243,11 @@ def jaccard_components(
     3. The lengthened prefixes left are ordered by frequency: whatever shares that number
        of tokens shares one of the first in this order.  Candidates share prefix tokens
        under both orders, at lengths and positions that allow the similarity.
-    4. Candidates are verified in two rounds, on sets made from the texts again.  First each token's sets against its
-       smallest; this joins groups of near copies without pairing them all.  Then the
-       pairs that are still in different components, unless the counts of their tokens in
-       the cells of a hash already bound the overlap below what is needed.
+    4. Candidates are verified on sets made from the texts again.  In the first ROUNDS each
+       token's sets meet one set drawn from them and one of its largest component; this
+       joins groups of near copies without pairing them all.  Then the pairs that are
+       still in different components, unless the counts of their tokens in the cells of a
+       hash already bound the overlap below what is needed.
 
     Links found are exact; pairs that are left out are of one component already.  Null or
     empty text has no shingles and is alone.  Rows of one doc_id with different texts are
