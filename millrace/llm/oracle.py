@@ -92,3 +92,33 @@ LICENCES = f"""with d as (select row_number() over () r, doc_id, regexp_extract_
  more as (select r, list(label) labels, least(1.0, max(part)) covered from found group by 1), own as (select r, count(*) n, min(pos) a, max(pos) z, list(label) labels from base group by 1)
  select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_base, a::bigint as first_word, z::bigint as last_word, array_to_string(list_sort(list_distinct(coalesce(own.labels, []))), ',') as base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(own.labels, []), coalesce(more.labels, [])))), ',') as labels, round(greatest(case when n > 0 then 1.0 else 0.0 end, coalesce(covered, 0)), 6)::double as score from d left join own using (r) left join more using (r)"""
+
+#: Hexadecimal digits of a text as a number.
+_HEX = "list_reduce(list_transform(string_split({}, ''), lambda c: (instr('0123456789abcdef', c) - 1)::bigint), lambda a, b: a * 16 + b)"
+
+#: Units as one list, cut by slices.
+FILL_IN_MIDDLE = f"""with d as (select doc_id, coalesce(text, '') x, sha256('42:' || coalesce(doc_id::varchar, '')) h, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') u from documents),
+ k as (select doc_id, x, u, len(u) n, {_HEX.format("h[1:8]")} h1, {_HEX.format("h[9:16]")} h2, {_HEX.format("h[17:24]")} h3, {_HEX.format("h[25:32]")} h4 from d),
+ f as (select *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b, case when x = '' or contains(x, '<P>') or contains(x, '<S>') or contains(x, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end form from k),
+ p as (select *, array_to_string(u[1:a], '') pre, array_to_string(u[a + 1:b], '') mid, array_to_string(u[b + 1:], '') suf from f)
+ select doc_id, n::bigint as n, form, case when form <> 'plain' then length(pre)::bigint end as prefix_chars, case when form <> 'plain' then length(mid)::bigint end as middle_chars,
+  sha256(case form when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid when 'spm' then '<S>' || suf || '<P>' || pre || '<M>' || mid else x end) as output_sha256, sha256(x) as restored_sha256 from p"""
+
+_BYTE_STEP = "list_transform(range(256), lambda b: list_reduce(range(8), lambda r, i: case when r % 2 = 1 then xor(r // 2, 3988292384) else r // 2 end, b))"
+_WORD_STEP = "list_reduce({}, lambda r, y: xor(r // 256, t[(xor(r, y) & 255) + 1]), {})"
+#: The crc register goes on from word to word; each distinct run is hashed once.
+IMPORTANCE = f"""with step as materialized (select {_BYTE_STEP} t),
+ d as (select row_number() over () r, doc_id, regexp_extract_all({_LOW}, '{WORD}') w from documents),
+ e as (select row_number() over () r, regexp_extract_all({_LOW}, '{WORD}') w from benchmark),
+ seen as materialized (select 0 own, r, i, w[i] a, w[i + 1] b, w[i + 2] c from (select r, w, unnest(range(1, len(w) + 1)) i from d) union all select 1, r, i, w[i], w[i + 1], w[i + 2] from (select r, w, unnest(range(1, len(w) + 1)) i from e)),
+ word as materialized (select a, list_transform(range(1, len(hex(encode(a))) + 1, 2), lambda i: ((instr('0123456789ABCDEF', hex(encode(a))[i]) - 1) * 16 + instr('0123456789ABCDEF', hex(encode(a))[i + 1]) - 1)::bigint) y from (select distinct a from seen)),
+ one as materialized (select a, {_WORD_STEP.format("y", "4294967295")} v from word, step),
+ two as materialized (select p.a, p.b, {_WORD_STEP.format("list_concat([32], y)", "v")} v from (select distinct a, b from seen where b is not null) p join one on one.a = p.a join word on word.a = p.b, step),
+ three as materialized (select p.a, p.b, p.c, {_WORD_STEP.format("list_concat([32], y)", "v")} v from (select distinct a, b, c from seen where c is not null) p join two on two.a = p.a and two.b = p.b join word on word.a = p.c, step),
+ hit as materialized (select own, r, xor(v, 4294967295) % 10000 k, count(*) n from (select own, r, v from seen join one using (a) union all select own, r, v from seen join two using (a, b) union all select own, r, v from seen join three using (a, b, c)) group by all),
+ num as (select sum(n) filter (own = 0) s, sum(n) filter (own = 1) t from hit),
+ gain as (select k, floor(1000 * ln((coalesce(sum(n) filter (own = 1), 0) + 1)::double * (coalesce(any_value(s), 0) + 10000)::double / ((coalesce(sum(n) filter (own = 0), 0) + 1)::double * (coalesce(any_value(t), 0) + 10000)::double)))::bigint g from hit, num group by k),
+ x as (select r, sum(n * g)::bigint weight, sum(n)::bigint n from hit join gain using (k) where own = 0 group by r),
+ y as (select doc_id, len(w) words, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(({_HEX.format("sha256('42:' || coalesce(doc_id::varchar, ''))[1:8]")} + 0.5::double) / 4294967296::double)))::bigint as score from d left join x using (r)),
+ z as (select *, row_number() over (partition by words >= 20 order by score desc, doc_id nulls first) rank, count(*) over (partition by words >= 20) of_all from y)
+ select doc_id, n_features::bigint as n_features, weight::bigint as weight, score::bigint as score, case when words >= 20 and rank <= 5 * of_all // 100 then rank end as rank from z"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, licenses, mixing, ngramlm, oracle, pqdedup, sharding, suffixdedup, toolcalls
+from . import decontaminate, fim, importance, jaccard, langid, licenses, mixing, ngramlm, oracle, pqdedup, sharding, suffixdedup, toolcalls
 from .common import table
 
 QUERIES, ORACLE = {}, {}
@@ -129,3 +129,19 @@ def op9(spark, sf_dir):
 @query("op10_suffix_dedup", oracle.REPEATS)
 def op10(spark, sf_dir):
     return suffixdedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op12_importance_resampling", oracle.IMPORTANCE)
+def op12(spark, sf_dir):
+    docs, bench = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text")
+    weighted = importance.importance(docs, bench).select("doc_id", "n_words", "n_features", "weight")
+    return importance.draw(weighted).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_fill_in_middle", oracle.FILL_IN_MIDDLE)
+def op13(spark, sf_dir):
+    out = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2(F.col("fim_text").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("fim_text"), F.col("form")).cast("binary"), 256).alias("restored_sha256"),
+    )
