@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, fim, importance, jaccard, langid, licenses, mixing, ngramlm, oracle, pqdedup, sharding, suffixdedup, toolcalls
+from . import decontaminate, fim, importance, jaccard, langid, licenses, mixing, ngramlm, oracle, pii, pqdedup, sharding, suffixdedup, toolcalls
 from .common import table
 
 QUERIES, ORACLE = {}, {}
@@ -131,6 +131,16 @@ def op10(spark, sf_dir):
     return suffixdedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op11_pii_candidate_boosting")
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.detect(docs, pii.fit(docs)).select("doc_id", "pii", F.filter("pii", lambda s: s["base"]).alias("own"))
+    return out.select(
+        "doc_id", *(pii.count(F.col("own"), k).alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(pii.digest(F.col("own")).cast("binary"), 256).alias("base_sha256"), pii.digest(F.col("pii")).alias("spans"),
+    )
+
+
 @query("op12_importance_resampling", oracle.IMPORTANCE)
 def op12(spark, sf_dir):
     docs, bench = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text")
