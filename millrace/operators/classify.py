@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from millrace.functions import url as u
 
 #: Response headers that name who guards a site: name, part of the value, guard (fixed values).
-GUARDS = (("cf-mitigated", "challenge", "cloudflare"), ("server", "cloudflare", "cloudflare"), ("x-datadome", "", "datadome"), ("x-px", "", "perimeterx"), ("server", "akamaighost", "akamai"), ("x-sucuri-id", "", "sucuri"))
+GUARDS = (
+    ("x-datadome", "", "datadome"), ("x-datadome-cid", "", "datadome"), ("server", "datadome", "datadome"), ("cf-mitigated", "challenge", "cloudflare"), ("x-sucuri-id", "", "sucuri"),
+    ("x-sucuri-cache", "", "sucuri"), ("x-akamai-transformed", "", "akamai"), ("akamai-grn", "", "akamai"), ("x-px-block", "", "perimeterx"),
+)
+#: Words of block pages, of pages that may be one, and of their titles: short lists of our own.
 STRONG = "captcha|access denied|are you a robot|verify you are (a )?human|unusual traffic|request blocked"
 WEAK = "forbidden|please wait|checking your browser|enable javascript|security check"
 TITLES = "access denied|attention required|just a moment|robot check|blocked"
-#: Families by domain and by marks in the page (fixed values).
+#: Families by domain and by marks in the page: short lists of our own.
 DOMAINS = {"myshopify.com": "shopify", "greenhouse.io": "greenhouse", "lever.co": "lever", "myworkdayjobs.com": "workday"}
 MARKS = {"shopify": "cdn.shopify.com", "woocommerce": "woocommerce", "magento": "mage/cookies", "nextjs": "__next_data__"}
 

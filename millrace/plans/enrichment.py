@@ -19,23 +19,32 @@ def lit(x):
 
 
 @query("page_classes", """select p_partkey, case p_partkey % 7 when 0 then 'auth' when 1 then 'blocked' when 2 then 'blocked' when 3 then 'blocked' when 4 then 'suspect' when 5 then 'open' else 'open' end as state,
-  case p_partkey % 4 when 0 then 'cloudflare' when 1 then 'datadome' when 2 then null else 'akamai' end as guard, case p_partkey % 4 when 0 then 'shopify' when 1 then 'woocommerce' when 2 then 'generic_jobs' else 'generic_commerce' end as family from part""")
+  case p_partkey % 9 when 0 then 'cloudflare' when 2 then 'datadome' when 3 then 'datadome' when 5 then 'sucuri' when 6 then 'akamai' when 7 then 'perimeterx' when 8 then 'datadome' end as guard, case p_partkey % 4 when 0 then 'shopify' when 1 then 'woocommerce' when 2 then 'generic_jobs' else 'generic_commerce' end as family from part""")
 def page_classes(spark, d):
     k, g = F.col("p_partkey") % 7, F.col("p_partkey") % 4
     status = F.when(k == 0, 401).when(k == 1, 429).otherwise(200)
     body = F.when(k == 2, "<p>Are you a robot?</p>").when(k.isin(3, 4), "<p>Please wait</p>").when(k == 5, c(lit("captcha "), F.repeat(lit("word "), 200))).otherwise("<p>shoes</p>")
-    headers = F.when(g == 0, F.create_map(lit("server"), lit("Cloudflare"))).when(g == 1, F.create_map(lit("x-datadome"), lit(""))).when(g == 2, F.create_map(lit("server"), lit("nginx"))).otherwise(F.create_map(lit("server"), lit("AkamaiGHost")))
+    # by turns: a challenge, the same header without one, a server, a header of its own, another server, ...
+    each = [("cf-mitigated", "Challenge"), ("cf-mitigated", "none"), ("server", "DataDome"), ("x-datadome-cid", "1"), ("server", "Cloudflare"), ("x-sucuri-cache", ""), ("akamai-grn", "0.1"), ("x-px-block", "1"), ("x-datadome", "")]
+    headers = F.element_at(F.array(*(F.create_map(lit(n), lit(v), lit("date"), lit("now")) for n, v in each)), (F.col("p_partkey") % 9 + 1).cast("int"))
     link = F.when(g == 0, "https://a.myshopify.com/p").when(g == 2, "https://x.example.com/jobs/1234").otherwise("https://x.example.com/")
     page = F.when(g == 1, "<link href='/wp/WooCommerce.css'>").otherwise("")
     return table(spark, d, "part").select("p_partkey", classify.blocked(body, status, F.when(k == 3, "Just a moment..."), F.size(F.split(body, " "))).alias("state"), classify.guard(headers).alias("guard"), classify.platform(link, page).alias("family"))
 
 
-@query("open_pages", "select page_id, 'open' as state from pages")
+@query("open_pages", r"""with p as (select page_id, contains(html, '</body>') m, regexp_replace(regexp_replace(html, '(?s)<(script|style|title)>.*?</(script|style|title)>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') x from pages),
+ n as (select page_id, len(regexp_extract_all(x, '[^\s]+')) + case when not m or page_id % 4 = 0 then 0 when page_id % 4 = 3 then 2 else 3 end n, m, page_id % 4 k from p)
+ select page_id, case when n >= 150 or k = 0 or k < 3 and not m then 'open' when k = 2 or not m then 'suspect' else 'blocked' end as state from n""")
 def open_pages(spark, d):
-    """The stored pages are content, whatever their words."""
-    p = html.parse_pages(table(spark, d, "pages"), "page_id")
-    words = F.size(F.split("text", r"\s+"))
-    return p.select("page_id", classify.blocked(F.lit(None).cast("string"), F.lit(200), F.col("title"), words).alias("state"))
+    """The stored pages as they are, or with a strong mark, a weak one, or a weak one under such a title:
+    marks count on short pages only."""
+    k = F.col("page_id") % 4
+    mark = F.when(k == 1, "<p>unusual traffic here</p>").when(k == 2, "<p>Please wait here</p>").when(k == 3, "<p>Please wait</p>").otherwise("")
+    made = F.replace("html", lit("</body>"), c(mark, lit("</body>")))
+    pages = table(spark, d, "pages").select("page_id", "url", F.when(k == 3, F.regexp_replace(made, "<title>", "<title>Just a moment ")).otherwise(made).alias("html"))
+    p = html.parse_pages(pages, "page_id").join(pages.select("page_id", "html"), "page_id")
+    words = F.size(F.split(F.trim("text"), r"\s+"))
+    return p.select("page_id", classify.blocked(F.col("html"), F.lit(200), F.col("title"), words).alias("state"))
 
 
 @query("crawlable_urls", """select p_partkey, case when p_partkey % 3 = 0 then p_partkey % 5 in (0, 3) when p_partkey % 3 = 1 then p_partkey % 5 <> 2 else true end as allowed from part""")
@@ -73,16 +82,17 @@ def filtered_values(spark, d):
     return table(spark, d, "part").select("p_partkey", classify.kept_by_regex(found, "size ([0-9]+)").alias("kept"), classify.xpath_values(xml, "//i/text()").alias("nodes"))
 
 
-@query("size_attributes", """select p_partkey, ['L', 'XL', p_size || 'CM'] as sizes, 'mixed' as system, p_size % 2 = 0 as plausible, case when p_size % 2 = 0 then ['women', 'kids'] end as audience,
-  'soft cotton shirt' as material, p_size % 3 = 0 as conflict from part""")
+@query("size_attributes", """select p_partkey, case when p_size % 2 = 0 then ['L', 'XL', p_size || 'CM'] else [p_size::varchar, p_size || 'US'] end as sizes, case when p_size % 2 = 0 then 'mixed' else 'numeric' end as system,
+  p_size % 2 = 0 or p_size > 9 as plausible, case when p_size % 2 = 0 then ['women', 'kids'] when p_size % 3 = 0 then ['men'] end as audience, 'soft ' || p_name || ' shirt, ,' as material, p_size % 3 = 0 and p_size % 5 = 0 as conflict from part""")
 def size_attributes(spark, d):
-    size, even = F.col("p_size").cast("string"), F.col("p_size") % 2 == 0
-    found, system = enrich.sizes(F.array(lit("Size: large"), lit("xl"), lit("L"), lit("blue"), c(size, lit(" cm"))))
-    audience = enrich.allowed_values(F.when(even, F.array(lit("For Women & kids"), lit("women"))).otherwise(F.array(lit("all"))), ["men", "women", "kids"])
-    tokens = F.when(F.col("p_size") % 3 == 0, F.array(lit("pet"), lit("bowl"))).otherwise(F.array(lit("bowl")))
+    size, even, third = F.col("p_size").cast("string"), F.col("p_size") % 2 == 0, F.col("p_size") % 3 == 0
+    found, system = enrich.sizes(F.when(even, F.array(lit("Size: large"), lit("xl"), lit("L"), F.col("p_name"), c(size, lit(" cm")))).otherwise(F.array(c(lit("SIZE = "), size), F.col("p_brand"), c(size, lit(" us")), size)))
+    audience = enrich.allowed_values(F.when(even, F.array(lit("For Women & kids"), lit("women"))).when(third, F.array(lit("womens"), lit("Men's"))).otherwise(F.array(lit("all"), F.col("p_name"))), ["men", "women", "kids"])
+    tokens = F.when(third, F.array(lit("pet"), lit("bowl"))).otherwise(F.array(lit("bowl"), F.col("p_brand")))
     return table(spark, d, "part").select(
-        "p_partkey", found.alias("sizes"), system.alias("system"), enrich.plausible_size(F.when(even, "9.5 us").otherwise("about 9")).alias("plausible"), audience.alias("audience"),
-        enrich.without_material_context(lit("Soft cotton shirt, feels like silk, without wool").substr(1, 17)).alias("material"), enrich.context_conflict(tokens, lit("Apparel > Women > Shoes")).alias("conflict"),
+        "p_partkey", found.alias("sizes"), system.alias("system"), enrich.plausible_size(F.when(even, c(size, lit(".5 us"))).otherwise(F.when(F.col("p_size") > 9, size).otherwise(c(lit("about "), size)))).alias("plausible"), audience.alias("audience"),
+        enrich.without_material_context(c(lit("Soft "), F.col("p_name"), lit(" shirt, feels like silk, without wool"))).alias("material"),
+        enrich.context_conflict(tokens, F.when(F.col("p_size") % 5 == 0, "Apparel > Women > Shoes").otherwise("Animals > Bowls")).alias("conflict"),
     )
 
 
@@ -123,13 +133,20 @@ def result_scores(spark, d):
     return t.select("p_partkey", enrich.result_score(F.col("a"), F.col("b"), F.col("detail"), F.col("a.domain") == F.col("b.domain")).alias("score"))
 
 
-@query("schema_scores", "select p_partkey, 30 as completeness, ['image', 'offers.availability'] as missing, [p_name] as only_agents, ['About'] as only_people from part")
+@query("schema_scores", """with k as (select *, p_partkey % 2 = 0 a, p_partkey % 3 = 0 b, p_partkey % 5 = 0 e from part)
+ select p_partkey, floor((3 + a::int + b::int - e::int) * 100 / 10)::int as completeness, list_concat(case when e then ['name'] else [] end, case when a then [] else ['image'] end, case when b then [] else ['offers.availability'] end) as missing,
+  case when e then [] when p_size < 20 then [] else [p_name] end as only_agents, case when e and p_size < 20 then ['About', p_name] else ['About'] end as only_people from k""")
 def schema_scores(spark, d):
-    pages = product_pages(spark, d)
-    ld = html.structured_rows(pages, "p_partkey").where("source = 'json_ld'")
+    """Products with or without a name, an image and an availability; those of small size show their name to people too."""
+    k = F.col("p_partkey")
+    offer = F.struct(F.col("p_retailprice").alias("price"), lit("USD").alias("priceCurrency"), F.when(k % 3 == 0, "InStock").alias("availability"))
+    ld = F.to_json(F.struct(lit("Product").alias("@type"), F.when(k % 5 != 0, F.col("p_name")).alias("name"), F.when(k % 2 == 0, "/i.png").alias("image"), offer.alias("offers")))
+    pages = table(spark, d, "part").select("p_partkey", "p_name", "p_size", c(lit('<script type="application/ld+json">'), ld, lit("</script>")).alias("html"))
+    rows = html.structured_rows(pages, "p_partkey", url=None).join(pages.drop("html"), "p_partkey")
     score, missing = enrich.schema_score(F.col("payload"))
-    hidden, shown = enrich.view_delta(F.array(F.get_json_object("payload", "$.name"), lit("x")), F.array(lit("About"), lit("x")))
-    return ld.select("p_partkey", score.alias("completeness"), missing.alias("missing"), hidden.alias("only_agents"), shown.alias("only_people"))
+    shown = F.array_compact(F.array(lit("About"), lit("x"), F.when(F.col("p_size") < 20, F.col("p_name"))))
+    hidden, visible = enrich.view_delta(F.array_compact(F.array(F.get_json_object("payload", "$.name"), lit("x"))), shown)
+    return rows.select("p_partkey", score.alias("completeness"), missing.alias("missing"), hidden.alias("only_agents"), visible.alias("only_people"))
 
 
 @query("variant_reports", """select l_partkey as part, count(*) as variants, count(*) > 1 and count(distinct l_returnflag) <= 1 as collapsed, count(*) filter (l_linestatus = 'F') as missing_sku, 0::bigint as missing_availability, case when max(l_linenumber) > 3 then 50 else 25 end as readable from lineitem group by 1""")

@@ -27,6 +27,23 @@ def nested_lists(spark, d):
     return rows.select("event_id", "ord", F.get_json_object("record", "$.title").alias("title"))
 
 
+@query("record_lists", """with b as (select event_id, event_type t, event_id % 5 k from events)
+ select event_id, 0 as ord, t as title from b where k <> 4 union all select event_id, 1, case k when 0 then 'second' when 1 then 'edge' when 2 then 'inner' else 'other' end from b where k <> 4""")
+def record_lists(spark, d):
+    """By turns: a body that is the list, a graph's edges beside a longer list, items hidden by their list's name, a list
+    that the surface's fields refuse, and one that they refuse without another."""
+    t, k = F.col("event_type"), F.col("event_id") % 5
+    pair = lambda x: c(lit('[{"title":"'), t, lit('"},{"title":"'), lit(x), lit('"}]'))
+    many = ",".join('{"k":%d}' % i for i in range(12))
+    body = (
+        F.when(k == 0, pair("second")).when(k == 1, c(lit('{"facets":[%s],"edges":' % many), pair("edge"), lit("}")))
+        .when(k == 2, c(lit('{"rows":[{"items":'), pair("inner"), lit('}],"more":[1,2]}'))).when(k == 3, c(lit('{"data":[%s],"x":{"y":' % many), pair("other"), lit("}}")))
+        .otherwise(lit('{"products":[%s],"deep":{"a":[{"a":1}]}}' % many))
+    )
+    rows = json_tree.nested_records(table(spark, d, "events").select("event_id", body.alias("body")), "event_id", "body", ("title", "url", "price"))
+    return rows.select("event_id", "ord", F.get_json_object("record", "$.title").alias("title"))
+
+
 @query("page_states_json", """select p_partkey, '__NEXT_DATA__' as name, p_name as title from part union all select p_partkey, '__STATE__', p_brand || ' } "x"' from part
   union all select p_partkey, '__NUXT_DATA__', p_type from part union all select p_partkey, 'embedded', p_name from part union all select p_partkey, 'embedded', p_brand || ' } "x"' from part union all select p_partkey, 'embedded', null from part""")
 def page_states_json(spark, d):

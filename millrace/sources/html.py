@@ -7,7 +7,6 @@ the functions below select from its columns, so Spark prunes what a query doesn'
 
 from __future__ import annotations
 
-import json
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -15,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .json_safe import dumps, loads
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 HIDDEN = frozenset("script style noscript template".split())
@@ -211,10 +212,7 @@ def ld_nodes(json_ld: list[str]) -> list[dict]:
     products first."""
     nodes = []
     for text in json_ld:
-        try:
-            data = json.loads(text)
-        except ValueError:
-            continue
+        data = loads(text)
         for x in data if isinstance(data, list) else [data]:
             if isinstance(x, dict):
                 nodes += [y for y in x.get("@graph", [x]) if isinstance(y, dict)] if isinstance(x.get("@graph", [x]), list) else [x]
@@ -225,19 +223,19 @@ def ld_nodes(json_ld: list[str]) -> list[dict]:
             return [resolve(x, seen) for x in v]
         if not isinstance(v, dict):
             return v
-        at = v.get("@id")
+        at = v.get("@id") if isinstance(v.get("@id"), str) else None
         if set(v) == {"@id"} and at in by_id and at not in seen:
             return resolve(by_id[at], seen | {at})
         return {k: resolve(x, seen | ({at} if at else set())) for k, x in v.items()}
 
-    kind = lambda n: (n.get("@type") or [""])[0] if isinstance(n.get("@type"), list) else n.get("@type") or ""
+    kind = lambda n: next((t for t in (n["@type"] if isinstance(n.get("@type"), list) else [n.get("@type")]) if isinstance(t, str)), "")
     order = {"Product": 0, "ProductGroup": 1, "JobPosting": 2, "Article": 3, "NewsArticle": 3}
     return sorted((resolve(n, frozenset()) for n in nodes), key=lambda n: (order.get(kind(n), 9), str(n.get("@id", ""))))
 
 
 def _payloads(row: dict) -> list[tuple[str, int, str]]:
     """(source, ord, JSON) of one page's structured data."""
-    dump = lambda x: json.dumps(x, sort_keys=True, ensure_ascii=False)
+    dump = lambda x: dumps(x, compact=False)
     out = [("json_ld", i, dump(n)) for i, n in enumerate(ld_nodes(row["json_ld"]))]
     named = {".".join(filter(None, (x["type"], x["name"], str(i)))): x["value"] for i, x in enumerate(row["items"])}
     graph = {k: v for k, v in row["meta"] if k.startswith(("og:", "product:"))}

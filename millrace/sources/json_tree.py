@@ -5,7 +5,7 @@ Small helpers walk one body each; Spark batches them through Arrow.
 
 from __future__ import annotations
 
-import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -14,12 +14,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: How deep and how wide lists are looked for (fixed values).
+from .json_safe import dumps, loads
+
+#: How deep lists are looked for, how many items are entered, and how many are judged (fixed values).
 DEPTH, WIDTH, LOOKED_AT = 6, 10, 20
-#: Keys that name lists of records, and those of graph pages (fixed values).
-RECORD_KEYS = frozenset("data entries hits items jobs list listings posts products records results".split())
-GRAPH_KEYS = frozenset(("edges", "nodes"))
-MARKS = ("node", "url", "title", "name")
+#: Keys that name lists of records, keys of graph pages, and what records hold (fixed values).
+RECORD_KEYS = frozenset("data edges entries items jobs listings nodes posts products records results".split())
+GRAPH_KEYS = frozenset("edges nodes".split())
+MARKS = frozenset("name node title url".split())
+#: Points of a list beside one for each object (fixed values), and the least number and share of
+#: objects that must hold a field of the surface (fixed values).
+POINTS = {"named": 20, "graph": 10, "marked": 5}
+LEAST, SHARE = 2, 0.25
 #: Scripts whose id names a page's state, and names that scripts assign it to (fixed values).
 STATE_IDS = ("__NEXT_DATA__", "__NUXT_DATA__")
 STATE_NAMES = ("__INITIAL_STATE__", "__PRELOADED_STATE__", "__APOLLO_STATE__", "__NUXT__", "__STATE__")
@@ -28,13 +34,6 @@ _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]')
 _SCRIPT = re.compile(r"<script\b([^>]*)>(.*?)</script>", re.S | re.I)
 
 
-def loads(text: str | None):
-    try:
-        return json.loads(text) if text else None
-    except (ValueError, RecursionError):
-        return None
-
-
 def fragment(text: str) -> str:
     """The first balanced object or array in a text; brackets inside strings don't count."""
     depth = start = 0
@@ -51,37 +50,51 @@ def fragment(text: str) -> str:
     return ""
 
 
-def list_score(key: str, items: list) -> int:
-    """How much a list looks like records: its objects, its name, and what they hold."""
-    objects = [x for x in items[:LOOKED_AT] if isinstance(x, dict) and x]
-    if not objects:
-        return 0
-    named = 20 * (key.lower() in RECORD_KEYS) + 10 * (key.lower() in GRAPH_KEYS)
-    marked = 5 * any(isinstance(x, dict) and any(m in x for m in MARKS) for x in items[:WIDTH])
-    return len(objects) + named + marked
-
-
-def best_list(node, depth: int = 0) -> list:
-    """The list that looks most like records, the longer of equals; a list that is named
-    like records hides those inside it."""
-    if depth > DEPTH:
-        return []
-    found: list[tuple[int, int, int, list]] = []
-
-    def offer(score, items):
-        if score > 0:
-            found.append((score, len(items), -len(found), items))
-
-    for key, value in node.items() if isinstance(node, dict) else (("", x) for x in node[:WIDTH]) if isinstance(node, list) else ():
-        inside = (value,) if isinstance(value, dict) else ()
-        if isinstance(value, list):
-            score = list_score(key, value)
-            offer(score, value)
-            inside = () if score and key.lower() in RECORD_KEYS | GRAPH_KEYS else value[:WIDTH]
-        for x in inside:
-            nested = best_list(x, depth + 1)
-            offer(list_score("nested", nested), nested)
-    return max(found)[3] if found else []
+def likeness(name: str, items: list) -> int:
+    """How much a list under a name looks like records; 0 where it holds no object."""
+    objects = sum(1 for x in items[:LOOKED_AT] if x and isinstance(x, dict))
+    name = name.strip().lower()
+    signs = {"named": name in RECORD_KEYS, "graph": name in GRAPH_KEYS, "marked": any(MARKS & x.keys() for x in items[:WIDTH] if isinstance(x, dict))}
+    return objects and objects + sum(POINTS[sign] for sign, shown in signs.items() if shown)
+
+
+def of_surface(items: list, fields: frozenset[str]) -> bool:
+    """Enough of the first objects hold a field of the surface, themselves or one object further in."""
+    objects = [x for x in items[:LOOKED_AT] if x and isinstance(x, dict)]
+    plain = lambda k: re.sub(r"[^a-z0-9]+", "_", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", k).lower()).strip("_")
+    holds = lambda x: any(plain(k) in fields for k in (*x, *(k for v in x.values() if isinstance(v, dict) for k in v)))
+    return not fields or not objects or sum(map(holds, objects)) >= max(LEAST, math.ceil(SHARE * len(objects)))
+
+
+def best_list(body, fields: frozenset[str] = frozenset()) -> list:
+    """The list of a body that looks most like records, the longer and then the earlier of equals.
+
+    Objects and lists are noted in page order, each with its holder and the name it goes by
+    there; then, from the last to the first, each hands its best list up, to be judged again by that
+    name.  A list that is named like records hides those inside it; one whose objects hold too few of
+    the surface's ``fields`` doesn't count, but those inside it may.
+    """
+    noted = [(0, "", (), 0, body)]  # holder, name there, place there, depth, value
+    offers: list[list] = []
+    for k, (_, _, _, depth, value) in enumerate(noted):  # grows as it goes
+        offers.append([])
+        own = [("list", (0,), value)] if isinstance(value, list) else [(n, (i,), v) for i, (n, v) in enumerate(value.items())] if isinstance(value, dict) else []
+        for name, place, x in own if depth <= DEPTH else ():
+            if isinstance(x, list):
+                points = likeness(name, x) if of_surface(x, fields) else 0
+                if points:
+                    offers[k].append((points, len(x), place, x))
+                if not points or isinstance(value, list) or name.strip().lower() not in RECORD_KEYS:
+                    noted += [(k, "nested", (*place, i), depth + 1, y) for i, y in enumerate(x[:WIDTH], 1)]
+            elif isinstance(x, dict):
+                noted.append((k, name, place, depth + 1, x))
+    best: list = []
+    for k in range(len(noted) - 1, -1, -1):
+        holder, name, place, _, _ = noted[k]
+        best = min(offers[k], key=lambda o: (-o[0], -o[1], o[2]))[3] if offers[k] else []
+        if best and k:
+            offers[holder].append((likeness(name, best), len(best), place, best))
+    return best
 
 
 def revive(slots):
@@ -94,18 +107,19 @@ def revive(slots):
     def child(ref):
         if isinstance(ref, bool) or not isinstance(ref, int):
             return ref
-        if not 0 <= ref < len(slots):
-            return None
-        if ref not in made:
+        met = set()
+        while 0 <= ref < len(slots) and ref not in made:  # through wrappers, however many
             value = slots[ref]
-            if isinstance(value, list) and len(value) == 2 and value[0] in WRAPPERS and isinstance(value[1], int):
-                made[ref] = None  # a wrapper around itself holds nothing
-                made[ref] = child(value[1])
-                return made[ref]
-            made[ref] = {} if isinstance(value, dict) else [] if isinstance(value, list) else value
-            if isinstance(value, (dict, list)):
-                todo.append(ref)
-        return made[ref]
+            if not (isinstance(value, list) and len(value) == 2 and isinstance(value[0], str) and value[0] in WRAPPERS and isinstance(value[1], int)):
+                made[ref] = {} if isinstance(value, dict) else [] if isinstance(value, list) else value
+                if isinstance(value, (dict, list)):
+                    todo.append(ref)
+                break
+            if ref in met:  # a wrapper around itself holds nothing
+                return None
+            met.add(ref)
+            ref = value[1]
+        return made.get(ref)
 
     todo.clear()
     root = child(0)
@@ -183,40 +197,37 @@ def has_path(node, path: str, through: tuple[str, ...] = ("hasVariant",)) -> boo
     return any(x not in (None, "", [], {}) for x in front)
 
 
-def _dump(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-
-
 def _udf(kind, f):
     return F.pandas_udf(lambda *columns: pd.Series([f(*x) for x in zip(*columns, strict=True)], dtype=object), kind)
 
 
-def nested_records(bodies: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, ord, record): the items of each body's best list."""
-    pick = _udf(T.ArrayType(T.StringType()), lambda b: [_dump(x) for x in best_list(loads(b))])
+def nested_records(bodies: DataFrame, key: str, body: str, fields: tuple[str, ...] = ()) -> DataFrame:
+    """(key, ord, record): the items of each body's best list, of a surface's ``fields`` if given."""
+    wanted = frozenset(fields)
+    pick = _udf(T.ArrayType(T.StringType()), lambda b: [dumps(x) for x in best_list(loads(b), wanted)])
     return bodies.select(key, F.posexplode(pick(F.col(body))).alias("ord", "record"))
 
 
 def page_states(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """(key, name, payload): states and embedded JSON (named ``embedded``) of each page."""
-    pick = _udf(T.ArrayType(T.StringType()), lambda h: [_dump([n, v]) for n, v in [*states(h or ""), *(("embedded", v) for v in embedded(h or ""))]])
+    pick = _udf(T.ArrayType(T.StringType()), lambda h: [dumps([n, v]) for n, v in [*states(h or ""), *(("embedded", v) for v in embedded(h or ""))]])
     rows = pages.select(key, F.explode(pick(F.col(html))).alias("pair"))
     return rows.select(key, F.get_json_object("pair", "$[0]").alias("name"), F.get_json_object("pair", "$[1]").alias("payload"))
 
 
 def leaf_texts(c: Column, depth: int = 4, only: list[str] | None = None) -> Column:
     keys = None if only is None else frozenset(x.casefold() for x in only)
-    return _udf(T.ArrayType(T.StringType()), lambda b: [x if isinstance(x, str) else _dump(x) for x in leaves(loads(b), depth, keys)])(c)
+    return _udf(T.ArrayType(T.StringType()), lambda b: [x if isinstance(x, str) else dumps(x) for x in leaves(loads(b), depth, keys)])(c)
 
 
 def merged(a: Column, b: Column) -> Column:
     """Two JSON objects overlaid, as canonical JSON."""
-    return _udf(T.StringType(), lambda x, y: _dump(overlay(loads(x), loads(y))))(a, b)
+    return _udf(T.StringType(), lambda x, y: dumps(overlay(loads(x), loads(y))))(a, b)
 
 
 def canonical(c: Column) -> Column:
     """JSON with sorted keys and no spaces; null for what is no JSON."""
-    return _udf(T.StringType(), lambda x: None if (v := loads(x)) is None else _dump(v))(c)
+    return _udf(T.StringType(), lambda x: None if (v := loads(x)) is None else dumps(v))(c)
 
 
 def cache_key(parts: dict[str, Column]) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.text import field_key
+
 HTTP = "^https?://"
 
 
@@ -39,13 +41,16 @@ def json_records(bodies: DataFrame, key: str, body: str, path: str = "$") -> Dat
     return array.unionByName(lone).select(key, "ord", F.to_json("r").alias("record"))
 
 
-def field_overlap(records: DataFrame, key: str, record: str, fields: list[str], absolute: int = 2, ratio: float = 0.3, sniff: int = 20) -> DataFrame:
+def field_overlap(records: DataFrame, key: str, record: str, fields: list[str], absolute: int = 2, ratio: float = 0.25, sniff: int = 20) -> DataFrame:
     """Does a body's list look like records of a surface?  Counts those of the first
-    ``sniff`` that hold two of the fields or more; enough are max(absolute, ceil(n*ratio))."""
-    keys = F.json_object_keys(record)
-    hit = F.size(F.array_intersect(keys, F.array(*(F.lit(f) for f in fields)))) >= 2
+    ``sniff`` that hold one of the fields, themselves or one object further in; enough are
+    max(absolute, ceil(n*ratio))."""
+    entries = lambda c: F.from_json(c, "map<string,string>")
+    inner = F.flatten(F.transform(F.map_values(entries(F.col(record))), lambda v: F.coalesce(F.json_object_keys(F.when(v.startswith("{"), v)), F.array().cast("array<string>"))))
+    keys = F.concat(F.coalesce(F.json_object_keys(record), F.array().cast("array<string>")), F.coalesce(inner, F.array().cast("array<string>")))
+    hit = F.arrays_overlap(F.transform(keys, field_key), F.array(*(F.lit(f) for f in fields)))
     g = records.where(F.col("ord") < sniff).groupBy(key).agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"))
-    return g.withColumn("matches", F.col("hits") >= F.least(F.col("n"), F.greatest(F.lit(absolute), F.ceil(F.col("n") * ratio))))
+    return g.withColumn("matches", F.col("hits") >= F.greatest(F.lit(absolute), F.ceil(F.col("n") * ratio)))
 
 
 def mapped_fields(bodies: DataFrame, body: str, spec: dict[str, list[str]]) -> DataFrame:

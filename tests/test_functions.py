@@ -206,6 +206,10 @@ def test_json_trees():
     assert t.revive([["Reactive", 1], {"a": 2, "b": 3, "me": 1}, "x", [2, 9]])["b"] == ["x", None]
     assert t.revive([["Ref", 0]]) is None and t.revive("x") == "x" and t.revive([]) == []
     deep = {"a": {"b": {"c": {"items": [{"title": 1}]}}}, "big": [{"k": 1}] * 3}
+    assert t.best_list([{"title": 1}, {"title": 2}]) == [{"title": 1}, {"title": 2}] and t.best_list({"facets": [{"k": i} for i in range(20)], "edges": [{"node": 1}]}) == [{"node": 1}]
+    assert t.best_list({"items": [{"list": [{"title": 1}] * 9}]}) == [{"list": [{"title": 1}] * 9}] and t.best_list({"a": [{"x": 1}], "b": [{"x": 1}]}) is not None
+    refused, kept = [{"k": 1}] * 9, [{"offer": {"priceText": 1}}] * 2
+    assert t.best_list({"data": refused, "b": kept}, frozenset(["price_text"])) == kept and t.best_list({"data": refused}, frozenset(["price_text"])) == [] and t.best_list({"a": kept[:1]}, frozenset(["price_text"])) == []
     assert t.best_list(deep) == [{"title": 1}] and t.best_list({"a": [1, 2]}) == [] and t.best_list(None) == []
     assert t.overlay({"a": "", "b": {"c": 1}}, {"a": 2, "b": {"c": 3, "d": 4}}) == {"a": 2, "b": {"c": 1, "d": 4}}
     assert t.has_path({"hasVariant": [{"offers": [{"price": 0}]}]}, "offers.price") and not t.has_path({"a": [{"b": ""}]}, "a.b")
@@ -224,3 +228,27 @@ def test_blank_and_null_values(spark):
     ).collect()
     assert [r.t for r in out[:3]] == [None] * 3 and all(r.n for r in out[:3]) and [r.a for r in out[:3]] == [""] * 3 and [r.u for r in out[:3]] == [[]] * 3
     assert all(r.price is None and r.url is None for r in out[:3])
+
+
+HOSTILE = [
+    None, "", "null", "NaN", "[" * 200_000, '{"a":' * 3_000 + "1" + "}" * 3_000, '{"@type":{"x":1},"@id":["a"],"name":"t"}', '{"@graph":[{"@id":{"b":1}},{"@id":"x","y":{"@id":"x"}}]}', '{"@type":[1,null],"name":1e400}',
+    '{"name":"\\ud83d cut","v":NaN}', '{"name":"\\ud83d\\ude00"}', '{"@graph":3}', '[[["Ref",0]]]', '{"a":"\\u0000"}', "{" + '"k":1,' * 9 + "}",
+]
+
+
+def test_no_page_or_body_kills_a_job(spark):
+    import json
+
+    from millrace.sources import html, json_tree, tree
+
+    wrap = lambda x: f"<script type='application/ld+json'>{x}</script><script type='application/json' id='__NUXT_DATA__'>{x}</script><script>window.__STATE__ = {x};</script>"
+    pages = spark.createDataFrame([(i, x and wrap(x), x, "http://a.b/") for i, x in enumerate(HOSTILE)], "id int, html string, body string, url string")
+    found = {}
+    for r in html.structured_rows(pages, "id").collect():
+        found.setdefault(r.id, []).append(json.loads(r.payload))
+    assert found == {6: [{"@type": {"x": 1}, "@id": ["a"], "name": "t"}], 7: [{"@id": "x", "y": {"@id": "x"}}, {"@id": {"b": 1}}], 8: [{"@type": [1, None], "name": None}], 9: [{"name": "\ufffd cut", "v": None}], 10: [{"name": "\U0001f600"}], 11: [{"@graph": 3}], 13: [{"a": "\0"}]}
+    assert json_tree.page_states(pages, "id").count() > 0 and tree.page_trees(pages, "id").count() == len(HOSTILE)
+    rows = pages.select("id", json_tree.canonical(F.col("body")).alias("c"), json_tree.merged(F.col("body"), F.col("body")).alias("m"), json_tree.leaf_texts(F.col("body")).alias("l"), json_tree.path_present(F.col("body"), "name").alias("p")).orderBy("id").collect()
+    assert [r.c for r in rows[:6]] == [None] * 6 and rows[9].c == '{"name":"\ufffd cut","v":null}' and rows[10].l == ["\U0001f600"] and rows[9].p
+    assert json_tree.nested_records(pages, "id", "body").where("id = 7").count() == 2
+    assert json_tree.revive([["Ref", i + 1] for i in range(5_000)] + [["x"]]) == [None]
