@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 
 import pandas as pd
@@ -25,9 +26,43 @@ TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool,
 ITEMS = "conv_id long, turn long, part int, kind string, call_id string, name string, arguments string, needs array<string>, canonical string, problem string"
 
 
+#: Levels that a block's JSON may have, its object included; deeper blocks are malformed.
+DEEP = 100
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def _refuse(text: str):
+    raise ValueError(text)
+
+
+def _number(text: str) -> float:
+    value = float(text)
+    return value if math.isfinite(value) else _refuse(text)
+
+
+def read_block(text: str):
+    """The value of a block.  ValueError for what is no JSON (NaN and numbers beyond a double
+    are none) and for more than DEEP levels."""
+    try:
+        value = json.loads(text, parse_constant=_refuse, parse_float=_number)
+    except RecursionError as deep:
+        raise ValueError("too deep") from deep
+    front = [value]
+    for _ in range(DEEP):
+        front = [y for x in front if isinstance(x, (dict, list)) for y in (x.values() if isinstance(x, dict) else x)]
+        if not front:
+            return value
+    return _refuse("too deep")
+
+
 def canonical(value) -> str:
-    """JSON with sorted keys, no spaces and non-ASCII characters as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys, no spaces and non-ASCII characters as they are; a half of a surrogate
+    pair, which no text can hold, is U+FFFD."""
+    return _LONE.sub("\ufffd", json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def plain(value) -> str:
+    return _LONE.sub("\ufffd", str(value))
 
 
 def references(value) -> set[str]:
@@ -38,22 +73,59 @@ def references(value) -> set[str]:
     return set().union(*map(references, parts))
 
 
-def schema_problem(value, schema: dict, met: frozenset[str] = frozenset(), at: str = "") -> str | None:
-    """The first way, by name, in which a value misses a schema.
+def same(a, b) -> bool:
+    """Equal as JSON: 1 and 1.0 are, true and 1 aren't."""
+    return canonical(a) == canonical(b) or type(a) is not bool and type(b) is not bool and isinstance(a, (int, float)) and isinstance(b, (int, float)) and a == b
+
+
+def _is(value, kind: str) -> bool:
+    """Of a JSON type; an unknown one holds everything, and 1.0 is an integer."""
+    if kind not in TYPES:
+        return True
+    if isinstance(value, bool):
+        return kind == "boolean"
+    return isinstance(value, TYPES[kind]) or kind == "integer" and isinstance(value, float) and value.is_integer()
+
+
+def schema_fault(schema, levels: int = DEEP) -> bool:
+    """Is this no schema: no object or boolean, a keyword of the wrong kind, a bad pattern, too deep?"""
+    if isinstance(schema, bool):
+        return False
+    if not isinstance(schema, dict) or not levels:
+        return True
+    number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool)
+    kinds = {
+        "minimum": number, "maximum": number, "minLength": number, "maxLength": number, "pattern": lambda x: isinstance(x, str), "enum": lambda x: isinstance(x, list), "properties": lambda x: isinstance(x, dict),
+        "required": lambda x: isinstance(x, list) and all(isinstance(y, str) for y in x), "type": lambda x: isinstance(x, str) or isinstance(x, list) and all(isinstance(y, str) for y in x), "items": lambda x: True, "additionalProperties": lambda x: True,
+    }
+    if any(k in kinds and not kinds[k](v) for k, v in schema.items()):
+        return True
+    try:
+        re.compile(schema.get("pattern", ""))
+    except (re.error, RecursionError, OverflowError):
+        return True
+    inner = [*schema.get("properties", {}).values(), *([schema["items"]] if "items" in schema else [])]
+    return any(schema_fault(x, levels - 1) for x in inner)
+
+
+def schema_problem(value, schema, met: frozenset[str] = frozenset(), at: str = "") -> str | None:
+    """The first way, by name, in which a value misses a schema without ``schema_fault``.
 
     Keywords: type, enum, required, properties, additionalProperties (false), items,
-    minimum, maximum, minLength, maxLength, pattern; others are ignored.  A string that
-    refers to one of the calls ``met`` passes: its value is known when that call is answered.
+    minimum, maximum, minLength, maxLength, pattern; others are ignored.  ``true`` takes and
+    ``false`` refuses everything.  A string that refers to one of the calls ``met`` passes: its
+    value is known when that call is answered.
     """
+    name = at or "arguments"
+    if isinstance(schema, bool):
+        return None if schema else f"value of {name}"
     if isinstance(value, str) and (m := REFERENCE.match(value)) and m[1] in met:
         return None
-    name = at or "arguments"
     kinds = schema.get("type", "object" if not at else [])
     kinds = [kinds] if isinstance(kinds, str) else kinds
-    fits = lambda k: k not in TYPES or isinstance(value, TYPES[k]) and not (isinstance(value, bool) and k in ("integer", "number"))
-    if kinds and not any(map(fits, kinds)):
+    if kinds and not any(_is(value, k) for k in kinds):
         return f"type of {name}"
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(same(value, x) for x in schema["enum"]):
         return f"value of {name}"
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         if value < schema.get("minimum", value) or value > schema.get("maximum", value):
@@ -63,7 +135,7 @@ def schema_problem(value, schema: dict, met: frozenset[str] = frozenset(), at: s
             return f"length of {name}"
         if "pattern" in schema and not re.search(schema["pattern"], value):
             return f"pattern of {name}"
-    if isinstance(value, list) and isinstance(schema.get("items"), dict):
+    if isinstance(value, list) and "items" in schema:
         return next((x for i, v in enumerate(value) if (x := schema_problem(v, schema["items"], met, f"{name}[{i}]"))), None)
     if isinstance(value, dict):
         inside = lambda k: f"{at}.{k}" if at else k
@@ -79,6 +151,15 @@ def schema_problem(value, schema: dict, met: frozenset[str] = frozenset(), at: s
     return None
 
 
+def checked(arguments: str, schema: str, met: frozenset[str]) -> str | None:
+    """``schema_problem`` of two texts; ``schema`` where the tool's schema is none."""
+    try:
+        wanted = read_block(schema)
+    except ValueError:
+        return "schema"
+    return "schema" if schema_fault(wanted) else schema_problem(json.loads(arguments), wanted, met)
+
+
 def split_message(role: str | None, text: str | None) -> list[dict]:
     """A message's items: its text without blocks, then its blocks in order."""
     text = text or ""
@@ -87,16 +168,16 @@ def split_message(role: str | None, text: str | None) -> list[dict]:
         item = {"kind": m[1], "canonical": None}
         items.append(item)
         try:
-            body = json.loads(m[2])
-        except (ValueError, RecursionError):
+            body = read_block(m[2])
+        except ValueError:
             body = None
         if not isinstance(body, dict) or body.get("id") is None:
             item["problem"] = "malformed"
             continue
-        item |= {"call_id": str(body["id"]), "canonical": canonical(body)}
+        item |= {"call_id": plain(body["id"]), "canonical": canonical(body)}
         if m[1] == "call":
             arguments = body.get("arguments", {})
-            item |= {"name": str(body.get("name")), "arguments": canonical(arguments), "needs": sorted(references(arguments))}
+            item |= {"name": plain(body.get("name")), "arguments": canonical(arguments), "needs": sorted(references(arguments))}
     return items
 
 
@@ -118,7 +199,7 @@ def parse(conversations: DataFrame, conv_id: str, turn: str, role: str, text: st
 
 @F.pandas_udf(T.StringType())
 def _problem(arguments: pd.Series, schema: pd.Series, met: pd.Series) -> pd.Series:
-    check = lambda a, s, m: None if s is None else schema_problem(json.loads(a), json.loads(s), frozenset(m if m is not None else ()))
+    check = lambda a, s, m: None if s is None else checked(a, s, frozenset(m if m is not None else ()))
     return pd.Series([check(*x) for x in zip(arguments, schema, met, strict=True)], dtype=object)
 
 

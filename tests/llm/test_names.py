@@ -116,3 +116,22 @@ def test_repeats_of_400_bytes_go_and_shorter_ones_stay(spark):
     for i, t in rows:
         assert (got[i].n_removed > 0) == want.get(i, False) or want.get(i) is False and abs(400 - 2 - max(len(t) - 280, 0)) < 5
         assert got[i].n_bytes == len(t.encode())
+
+
+def test_hostile_calls_have_a_defined_problem(spark):
+    """Deep, broken or surrogate-laden blocks and schemas that are none: a row each, no crash."""
+    call = lambda i, args, name="f": '<tool_call>{"name": "%s", "id": "%s", "arguments": %s}</tool_call>' % (name, i, args)
+    deep = '{"a":' * 3_000 + "1" + "}" * 3_000
+    texts = [
+        call("deep", deep), call("nan", '{"a": NaN}'), call("big", '{"a": 1e400}'), call("brackets", "[" * 200_000), call("half", '{"a": "\\ud800"}'), call("\\ud83d", "{}"), call("whole", '{"n": 1.0}', "int"), call("true", '{"n": true}', "one"),
+        call("pattern", '{"a": "x"}', "pattern"), call("minimum", '{"a": 1}', "minimum"), call("yes", '{"a": 1}', "yes"), call("no", '{"a": 1}', "no"), call("text", "{}", "text"), call("digits", '{"a": ' + "1" * 5_000 + "}"), call("list", "[1]", "int"), "<tool_call>" * 50,
+    ]
+    schemas = [("f", "{}"), ("int", '{"properties": {"n": {"type": "integer"}}}'), ("one", '{"properties": {"n": {"enum": [1]}}}'), ("pattern", '{"properties": {"a": {"pattern": "("}}}'), ("minimum", '{"properties": {"a": {"minimum": "1"}}}'), ("yes", '{"properties": {"a": true}}'), ("no", '{"properties": {"a": false}}'), ("text", '"x"')]
+    conv = spark.createDataFrame([(1, i, "assistant", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    out = toolcalls.link(conv, spark.createDataFrame(schemas, "name string, schema string")).where("kind = 'call'").collect()
+    bad = {r.turn for r in out if r.problem == "malformed"}
+    assert bad == {0, 1, 2, 3, 13} and all(r.canonical is None for r in out if r.turn in bad)
+    assert {r.call_id: r.problem for r in out if r.turn not in bad} == {
+        "half": "unanswered", "\ufffd": "unanswered", "whole": "unanswered", "true": "value of n", "pattern": "schema", "minimum": "schema", "yes": "unanswered", "no": "value of a", "text": "schema", "list": "type of arguments",
+    }
+    assert next(r.canonical for r in out if r.call_id == "half") == '{"arguments":{"a":"\ufffd"},"id":"half","name":"f"}'
