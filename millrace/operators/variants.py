@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import coerce, values
 
-#: Spellings of axes, and what sizes may end in (fixed values).
+#: Spellings of axes, and what sizes may end in: short lists of our own.
 AXES = {"colour": "color", "colours": "color", "colors": "color", "sizes": "size", "shoe_size": "size"}
 SIZE_SUFFIX = r"(?i)\s+(size|regular|standard)$"
 
@@ -81,8 +81,9 @@ def without_subsets(rows: DataFrame, product: str) -> DataFrame:
 
 
 def axes(rows: DataFrame, product: str) -> DataFrame:
-    """(product, axis, values): the distinct values of each axis, whatever their case, in order."""
-    each = rows.select(product, "ord", F.explode("options").alias("k", "v")).select(product, "ord", axis_key(F.col("k")).alias("axis"), F.trim("v").alias("v")).where("v <> ''")
+    """(product, axis, values): the distinct canonical values of each axis, whatever their case, in order."""
+    each = rows.select(product, "ord", F.explode("options").alias("k", "v")).select(product, "ord", axis_key(F.col("k")).alias("axis"), "v")
+    each = each.withColumn("v", axis_value(F.col("axis"), F.col("v"))).where("v <> ''")
     first = each.groupBy(product, "axis", F.lower("v").alias("low")).agg(F.min(F.struct("ord", "v")).alias("f"))
     return first.groupBy(product, "axis").agg(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["v"]).alias("values"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import url as u
-from millrace.sources import selectors, tree
+from millrace.operators import variants
+from millrace.sources import html, options, selectors, tree
 
 from .registry import query, table
 from .relational import DOMAIN_SQL
@@ -47,3 +48,40 @@ _NAV = "regexp_extract_all(html, '<li><a href=\"([^\"]*)\"', 1)"
 def selector_rules(spark, d):
     trees = stored_trees(spark, d)
     return selectors.apply_rules(trees, rules(trees.select("domain")), "page_id").select("page_id", "field", "kind", "value", "problem")
+
+
+def option_pages(spark, d):
+    """Pages of parts with three groups of choices, nested and unclosed as found, and structured variants of which some are missing.
+
+    The variant of bits i (colour, size, fit) exists where bit i of the part's number is set, and the first always; a
+    green one is not on the page.
+    """
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey")
+    body = c(
+        lit('<form><label for=c1>Choose a Colour:</label><select id=c1 name="options[x]"><option value="">-- choose --<option value=1>Red<option disabled value=2>Blue</select>'),
+        lit('<fieldset class=variants><legend>Size</legend><label><input type=radio name=s value=a>'), size, lit('</label><label for=r2>'), size, lit('XL Regular</label><input type=radio id=r2 name=s value=b></fieldset>'),
+        lit('<div class="swatches" data-option-name=Fit><ul><li data-value=Slim>slim fit<li data-value="Wide" class="big sold-out">wide fit</ul></div><select name=quantity><option>1<option>2</select></form>'),
+    )
+    one = lambda i, color, s, fit: F.when((F.bit_get(key, lit(i)) == 1) | lit(i == 0), F.to_json(F.struct(lit(f"v{i}").alias("sku"), lit(color).alias("color"), s.alias("size"), lit(fit).alias("material"))))
+    each = [one(i, ("red", "Blue")[i & 1], (size, c(size, lit("xl")))[i >> 1 & 1], "wool") for i in range(4)]
+    known = F.array_compact(F.array(*each, F.to_json(F.struct(lit("g").alias("sku"), lit("Green").alias("color")))))
+    ld = c(lit('<script type="application/ld+json">{"@type":"ProductGroup","hasVariant":['), F.array_join(known, ","), lit("]}</script>"))
+    return table(spark, d, "part").select("p_partkey", c(F.when(key % 5 != 0, ld).otherwise(""), F.when(key % 10 == 0, "<select name=Size><option>S<option>M - sold out<option>M</select>").otherwise(body)).alias("html"))
+
+
+@query("option_variants", """with v as (select *, unnest([0, 1, 2, 3]) i from part where p_partkey % 5 <> 0)
+ select p_partkey, case when i % 2 = 0 then 'red' else 'Blue' end as color, p_size || case when i > 1 then 'xl' else '' end as size, i % 2 = 0 as available from v where i = 0 or (p_partkey >> i) % 2 = 1
+ union all select p_partkey, null, unnest(['S', 'M']), true from part where p_partkey % 10 = 0""")
+def option_variants(spark, d):
+    pages = option_pages(spark, d)
+    found = options.option_rows(tree.page_trees(pages, "p_partkey", keep=()), "p_partkey")
+    ld = html.structured_rows(pages, "p_partkey", url=None).where("source = 'json_ld'")
+    known = variants.from_products(ld, "p_partkey", "payload")
+    return options.existing_variants(found, known, "p_partkey").select("p_partkey", F.col("options")["color"].alias("color"), F.col("options")["size"].alias("size"), "available")
+
+
+@query("option_axes", """select p_partkey, axis, values from (select p_partkey, unnest(['color', 'fit', 'size']) axis, p_size from part where p_partkey % 10 <> 0), lateral (select case axis when 'color' then ['Blue', 'Red'] when 'fit' then ['Slim', 'Wide'] else [p_size::varchar, p_size || 'XL'] end values)
+ union all select p_partkey, 'size', ['M', 'S'] from part where p_partkey % 10 = 0""")
+def option_axes(spark, d):
+    found = options.option_rows(tree.page_trees(option_pages(spark, d), "p_partkey", keep=()), "p_partkey")
+    return options.choices(found, "p_partkey").groupBy("p_partkey", "axis").agg(F.array_sort(F.collect_list("value")).alias("values"))

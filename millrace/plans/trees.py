@@ -103,9 +103,11 @@ def whole_variants(spark, d):
     return variants.without_subsets(variants.sanitize(rows(spark, d)), "p_partkey").select("p_partkey", "ord")
 
 
-@query("variant_choices", """select p_partkey, 'Red|Blue' as colors, p_size::varchar || ' Regular|' || p_size as sizes, 2 as groups from part""")
+@query("variant_choices", """select p_partkey, 'Red|Blue' as colors, case when p_size % 2 = 0 then p_size || '|' || p_size + 1 else p_size::varchar end as sizes, 1 + (p_size % 2 = 0)::int as groups from part""")
 def variant_choices(spark, d):
-    found = variants.axes(variants.sanitize(rows(spark, d)), "p_partkey")
+    """A size and the same with "Regular" are one choice; every other part has a second size."""
+    more = table(spark, d, "part").where("p_size % 2 = 0").select("p_partkey", lit(9).alias("ord"), F.create_map(lit("Sizes"), c((F.col("p_size") + 1).cast("string"), lit(" standard"))).alias("options"))
+    found = variants.axes(variants.sanitize(rows(spark, d)).unionByName(more, allowMissingColumns=True), "p_partkey")
     split = variants.split_axes(found, "p_partkey", always=("size",))
     groups = variants.valid_groups(found).groupBy("p_partkey").agg(F.count("*").cast("int").alias("groups"))
     return split.join(groups, "p_partkey").select("p_partkey", F.col("selectable")["color"].alias("colors"), F.col("selectable")["size"].alias("sizes"), "groups")

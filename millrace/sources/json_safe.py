@@ -28,12 +28,16 @@ def _within(value) -> bool:
 
 def loads(text: str | None):
     """The value of a JSON text; None for what is none, is deeper than DEEP or is null.  NaN,
-    infinities and numbers beyond a double are null."""
+    infinities and numbers beyond a double are null, halves of surrogate pairs U+FFFD."""
     try:
         value = json.loads(text, parse_constant=lambda _: None, parse_float=_number) if text else None
     except (ValueError, RecursionError):
         return None
-    return value if _within(value) else None
+    if not _within(value):
+        return None
+    if text and "\\ud" in text.lower():  # an escape may be half of a pair
+        value = json.loads(_LONE.sub("\ufffd", json.dumps(value, ensure_ascii=False)))
+    return value
 
 
 def dumps(value, compact: bool = True) -> str:

@@ -124,3 +124,36 @@ def test_node_rows(spark):
     pages = spark.createDataFrame([("k", "<p>a<b>b</b></p><p>c"), (None, None)], "id string, html string")
     rows = tree.node_rows(tree.page_trees(pages, "id", keep=()), "id").collect()
     assert [(r.node, r.parent, r.last, r.tag, r.value) for r in rows] == [(0, -1, 1, "p", "a b"), (1, 0, 1, "b", "b"), (2, -1, 2, "p", "c")]
+
+
+def test_option_groups_and_existing_combinations(spark):
+    """Existing variants against brute force over the product of the axes."""
+    import itertools
+
+    from millrace.sources import options
+
+    rng, pages, known, want = random.Random(9), [], [], set()
+    axes = {"color": ["Red", "Blue", "Teal"], "size": ["5", "6", "7"], "fit": ["Slim", "Wide"]}
+    for page in range(12):
+        shown = {a: rng.sample(v, rng.randrange(2, len(v) + 1)) for a, v in axes.items() if rng.random() < 0.8}
+        gone = {(a, v) for a, vs in shown.items() for v in vs if rng.random() < 0.2}
+        html = "".join(f"<select name='{a}'><option value=''>Choose {a}" + "".join(f"<option{' disabled' * ((a, v) in gone)}>{v}{' Regular' * (a == 'size')}" for v in vs) + "</select>" for a, vs in shown.items())
+        pages.append((page, html))
+        real = [c for c in itertools.product(*axes.values()) if rng.random() < 0.4]
+        for ord_, combo in enumerate(real):
+            o = dict(zip(axes, combo, strict=True))
+            known.append((page, ord_, {k.upper(): v.lower() for k, v in o.items()}, rng.random() < 0.9))
+            if all(o[a] in vs for a, vs in shown.items()):
+                want.add((page, ord_, known[-1][3] and not any((a, o[a]) in gone for a in shown)))
+    p = spark.createDataFrame([*pages, (90, "<ul role=listbox aria-label=Color><li role=option>A<li role=option aria-disabled=true>B</ul>"), (91, ""), (92, None), (93, "<select name=size><option>1<option>2</select><select name=color><option>1<option>2</select>")], "id long, html string")
+    found = options.option_rows(tree.page_trees(p, "id", keep=()), "id")
+    out = options.existing_variants(found, spark.createDataFrame(known, "id long, ord int, options map<string,string>, available boolean"), "id").collect()
+    assert {(r.id, r.ord, r.available) for r in out if r.id < 90} == want
+    assert sorted((r.options["color"], r.available) for r in out if r.id == 90) == [("A", True), ("B", False)] and {r.id for r in out if r.id > 90} == set()
+
+
+def test_sizes_with_and_without_suffix_are_one_choice(spark):
+    from millrace.operators import variants
+
+    rows = spark.createDataFrame([(1, 0, {"Size": "5 Regular"}), (1, 1, {"sizes": "5"}), (1, 2, {"size": "6"})], "p int, ord int, options map<string,string>")
+    assert [(r.axis, r["values"]) for r in variants.axes(rows, "p").collect()] == [("size", ["5", "6"])]
