@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import bisect
+from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,73 +13,96 @@ from millrace.functions import coerce, price
 from millrace.functions import url as u
 
 from . import html as pages_html
+from .json_safe import dumps
+from .selectors import Nodes
+from .tree import SEAM, Tree
 
-#: Elements that may be a card, and those whose links only navigate (fixed values).
-CARD_TAGS = frozenset("article div li section tr".split())
+#: Elements that may be a card, those whose links only navigate, and those that name a card.
+CARD_TAGS = frozenset("a article div li section td tr".split())
 CHROME = frozenset("nav footer header aside".split())
-VOID = pages_html.VOID
-CARD = "array<struct<ord:int,href:string,title:string,image:string,text:string,shape:string>>"
+NAMES = frozenset("h1 h2 h3 h4".split())
+#: How far up from its link a card is looked for.
+CLIMB = 40
+ENTRY = "source string, ord int, href string, title string, image string, text string, shape string, item string"
 #: Where a field's value comes from, best first (fixed values).
 TIERS = ("json_ld", "microdata", "opengraph", "table", "dom")
 
 
-class _Cards(HTMLParser):
-    """The innermost elements that hold a link, with their heading, image, text and shape."""
-
-    def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
-        self.cards, self.open, self.frames, self.chrome = [], [], [], 0
-        self.feed(html)
-        self.close()
-        while self.open:
-            self._shut(self.open[-1])
-
-    def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
-        self.chrome += tag in CHROME
-        if tag in CARD_TAGS:
-            self.frames.append({"at": len(self.open), "href": "", "link": [], "head": [], "image": "", "text": [], "shape": [tag, *sorted(a.get("class", "").split())], "inner": False})
-        elif self.frames:
-            f = self.frames[-1]
-            f["shape"].append(tag)
-            if tag == "a" and not f["href"]:
-                f["href"] = a.get("href", "")
-            if tag == "img" and not f["image"]:
-                f["image"] = a.get("src", "")
-        if tag not in VOID:
-            self.open.append(tag)
-
-    def handle_endtag(self, tag):
-        if tag in self.open:
-            while self._shut(self.open[-1]) != tag:
-                pass
-
-    def _shut(self, tag):
-        self.open.pop()
-        self.chrome -= tag in CHROME
-        if self.frames and self.frames[-1]["at"] == len(self.open):
-            f = self.frames.pop()
-            if f["href"] and not f["inner"] and not self.chrome:
-                clean = lambda x: " ".join(" ".join(x).split())
-                self.cards.append({"ord": len(self.cards), "href": f["href"], "title": clean(f["head"]) or clean(f["link"]), "image": f["image"], "text": clean(f["text"]), "shape": " ".join(f["shape"][:12])})
-            if self.frames:
-                self.frames[-1]["inner"] |= f["inner"] or bool(f["href"])
-        return tag
-
-    def handle_data(self, data):
-        if self.frames and not {"script", "style"}.intersection(self.open[-2:]):
-            f = self.frames[-1]
-            f["text"].append(data)
-            if "a" in self.open[f["at"] :]:
-                f["link"].append(data)
-            if {"h1", "h2", "h3", "h4"}.intersection(self.open[f["at"] :]):
-                f["head"].append(data)
-
-
-def cards(pages: DataFrame, key: str, html: str = "html", url: str = "url") -> DataFrame:
-    """(key, page_url, ord, href, title, image, text, shape) of each card of each page."""
-    find = F.pandas_udf(lambda s: pd.Series([_Cards(x or "").cards for x in s], dtype=object), CARD)
-    return pages.select(key, F.col(url).alias("page_url"), F.inline(find(F.col(html))))
+def card_nodes(n: Nodes) -> list[tuple[int, int]]:
+    """(card, its first link) of a page.
+
+    A link's card is the nearest element around it that repeats: a sibling of the same tag and
+    classes holds a link too.  A link is a card itself only if it holds a heading or an image.
+    Where nothing repeats, it is the widest element without another address.  Of cards in cards the inner
+    ones count; links of navigation, headers and footers make none.
+    """
+    size = len(n.tag)
+    chrome, links = [False] * size, []
+    for i in range(size):
+        chrome[i] = n.tag[i] in CHROME or n.parent[i] >= 0 and chrome[n.parent[i]]
+        if n.tag[i] == "a" and n.attrs[i].get("href") and not chrome[i]:
+            links.append(i)
+    holds = lambda i: bisect.bisect_right(links, n.last[i]) > bisect.bisect_left(links, i)
+    sign = lambda i: (n.parent[i], n.tag[i], n.attrs[i].get("class", ""))
+    alike = Counter(sign(i) for i in range(size) if n.tag[i] in CARD_TAGS and holds(i))
+    rich = lambda i: any(n.tag[k] in NAMES or n.tag[k] == "img" for k in range(i + 1, n.last[i] + 1))
+    cards: dict[int, int] = {}
+    for link in links:
+        at, card = link, None
+        for _ in range(CLIMB):
+            if n.tag[at] in CARD_TAGS and alike[sign(at)] > 1 and (at != link or rich(link)):
+                card = at
+                break
+            at = n.parent[at]
+            if at < 0:
+                break
+        if card is None:
+            card, at, own = link, n.parent[link], n.attrs[link]["href"]
+            for _ in range(CLIMB):
+                inside = links[bisect.bisect_left(links, at) : bisect.bisect_right(links, n.last[at])] if at >= 0 else []
+                if not inside or any(n.attrs[k]["href"] != own for k in (inside[0], inside[-1])) or n.tag[at] in ("body", "html", "main"):
+                    break
+                card, at = at if n.tag[at] in CARD_TAGS else card, n.parent[at]
+        cards.setdefault(card, link)
+    order = sorted(cards)
+    return [(c, cards[c]) for k, c in enumerate(order) if k + 1 == len(order) or order[k + 1] > n.last[c]]
+
+
+def _entries(page: str) -> list[tuple]:
+    """ENTRY of a page, from one parse: its cards, and its JSON-LD nodes in their order."""
+    row = Tree(page).row()
+    n = Nodes(row["text"], *([x[k] for x in row["nodes"]] for k in ("parent", "last", "nth", "of_type", "tag", "attrs", "start", "end")))
+    clean = lambda i: " ".join(n.within(i).replace(SEAM, " ").split())
+    out = []
+    for k, (card, link) in enumerate(card_nodes(n)):
+        inside = range(card, n.last[card] + 1)
+        named = next((t for i in inside if n.tag[i] in NAMES and (t := clean(i))), None)
+        title = named or next((t for i in inside if n.tag[i] == "a" and n.attrs[i].get("href") == n.attrs[link]["href"] and (t := clean(i))), "")
+        image = next((v for i in inside if n.tag[i] == "img" and (v := n.attrs[i].get("src") or n.attrs[i].get("data-src"))), "")
+        shape = [n.tag[card], *sorted(n.attrs[card].get("class", "").split()), *(n.tag[i] for i in inside[1:])]
+        out.append(("cards", k, n.attrs[link]["href"], title, image, clean(card), " ".join(shape[:12]), None))
+    scripts = [x["body"] for x in row["scripts"] if n.attrs[x["node"]].get("type") == "application/ld+json"]
+    return out + [("structured", k, *[None] * 5, dumps(x)) for k, x in enumerate(pages_html.ld_nodes(scripts))]
+
+
+def entries(pages: DataFrame, key: str, html: str = "html", url: str = "url") -> DataFrame:
+    """(key, page_url, ENTRY): the cards and JSON-LD nodes of each page, each page parsed once."""
+    picked = pages.select(key, F.col(url).cast("string").alias("page_url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("_page"))
+    types = [pa.string(), pa.int32(), *[pa.string()] * 6]
+
+    def run(batches):
+        for batch in batches:
+            rows, owners = [], []
+            for k, page in enumerate(batch.column("_page")):
+                got = _entries(page.as_py())
+                rows += got
+                owners += [k] * len(got)
+            at = pa.array(owners, pa.int32())
+            columns = zip(*rows, strict=True) if rows else [()] * len(types)
+            names = [c.split()[0] for c in ENTRY.split(", ")]
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(at), batch.column("page_url").take(at), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], [key, "page_url", *names])
+
+    return picked.mapInArrow(run, f"{key} {pages.select(key).schema[0].dataType.simpleString()}, page_url string, {ENTRY}")
 
 
 def noise_record(title: Column, link: Column, page: Column) -> Column:
@@ -103,52 +127,47 @@ def dedupe_key(link: Column, title: Column) -> Column:
     return F.coalesce(F.nullif(u.compare_form(link), F.lit("")), F.lower(F.trim(title)))
 
 
-def card_records(found: DataFrame, key: str) -> DataFrame:
-    """Cards as rows with resolved URLs, prices and points; noise and unsupported rows go."""
-    link = u.absolute(F.col("page_url"), F.col("href"))
-    amounts = price.price_texts(F.col("text"))
-    amount, marked = price.as_float(F.get(amounts, F.lit(0))), F.get(amounts, F.lit(0))
-    rows = found.select(
-        key, "page_url", "ord", F.trim("title").alias("title"), link.alias("url"), amount.alias("price"), F.nullif(price.currency(F.coalesce(marked, F.lit(""))), F.lit("")).alias("currency"),
-        F.nullif(u.absolute(F.col("page_url"), F.col("image")), F.lit("")).alias("image_url"), "shape",
+def records(found: DataFrame, key: str) -> DataFrame:
+    """Entries as rows (key, page_url, source, ord, title, url, price, currency, image_url, shape): cards,
+    typed items, and the items of lists that are on the page's own site."""
+    page, none = F.col("page_url"), F.array().cast("array<string>")
+    listed = F.coalesce(F.from_json(F.get_json_object("item", "$.itemListElement"), "array<variant>"), F.array().cast("array<variant>"))
+    inner = F.transform(listed, lambda v: F.coalesce(F.get_json_object(F.to_json(v), "$.item"), F.to_json(v)))
+    own = F.when(F.get_json_object("item", "$['@type']").isin("Product", "JobPosting", "Article"), F.array("item")).otherwise(none)
+    get = lambda x, *paths: F.coalesce(*(coerce.text_or_none(F.get_json_object(x, f"$.{p}")) for p in paths))
+    amounts = F.get(price.price_texts(F.col("text")), F.lit(0))
+
+    def row(at, title, link, amount, currency, image):
+        named = zip(("ord", "title", "link", "amount", "currency", "image"), (at, title, link, amount, currency, image), strict=True)
+        return F.struct(*(v.alias(n) for n, v in named))
+
+    card = row(F.col("ord"), F.trim("title"), F.col("href"), amounts, F.nullif(price.currency(F.coalesce(amounts, F.lit(""))), F.lit("")), F.col("image"))
+    item = lambda x, i: row((F.col("ord") * 1000 + i).cast("int"), get(x, "name", "title"), get(x, "url", "['@id']"), get(x, "offers.price", "price"), get(x, "offers.priceCurrency", "priceCurrency"), get(x, "image", "image.url"))
+    rows = found.select(key, "page_url", "source", "shape", F.inline(F.when(F.col("source") == "cards", F.array(card)).otherwise(F.transform(F.concat(inner, own), item))))
+    rows = rows.select(
+        key, "page_url", "source", "ord", "title", u.absolute(page, F.col("link")).alias("url"), price.as_float(F.col("amount")).alias("price"), "currency", F.nullif(u.absolute(page, F.col("image")), F.lit("")).alias("image_url"),
+        F.coalesce("shape", F.lit("")).alias("shape"),
     )
-    args = (F.col("title"), F.col("url"), F.col("price"), F.col("image_url"))
-    rows = rows.where(~F.coalesce(noise_record(F.col("title"), F.col("url"), F.col("page_url")), F.lit(True)) & supported(*args)).withColumn("points", quality(*args))
-    return rows.where("points >= 0")
+    return rows.where((F.col("source") == "cards") | F.expr("title is not null and url <> '' and url <> page_url") & u.same_host(page, F.col("url")))
 
 
 def listing_records(pages: DataFrame, key: str, html: str = "html", url: str = "url", least: int = 2) -> DataFrame:
     """(key, ord, title, url, price, currency, image_url, source): the best candidate set of each page.
 
-    Sets are the structured items and, by shape, the cards.  A set needs ``least`` rows; the
-    one of most points wins, structured ones first.  URLs are distinct within a page.
+    Sets are the structured items and, by shape, the cards without noise that something
+    supports.  A set needs ``least`` rows; the one of most points wins, structured ones first.  URLs are
+    distinct within a page.  A page is parsed once and its rows are shuffled once, by ``key``.
     """
-    by_card = card_records(cards(pages, key, html, url), key).withColumn("source", F.lit("cards"))
-    items = structured_items(pages, key, html, url).withColumn("shape", F.lit("")).withColumn("source", F.lit("structured"))
-    items = items.withColumn("points", quality(F.col("title"), F.col("url"), F.col("price"), F.col("image_url")))
-    rows = by_card.drop("page_url").unionByName(items)
-    rows = rows.withColumn("same", dedupe_key(F.col("url"), F.col("title")))
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(key, "source", "shape", "same").orderBy(F.desc("points"), "ord"))).where("n = 1")
-    sets = rows.groupBy(key, "source", "shape").agg(F.sum("points").alias("total"), F.count("*").alias("size")).where(F.col("size") >= least)
-    best = sets.groupBy(key).agg(F.max_by(F.struct("source", "shape"), F.struct("total", "source", "size", "shape")).alias("best"))
-    kept = rows.join(best, key).where((F.col("source") == F.col("best.source")) & (F.col("shape") == F.col("best.shape")))
-    return kept.select(key, "ord", "title", "url", "price", "currency", "image_url", "source")
-
-
-def structured_items(pages: DataFrame, key: str, html: str = "html", url: str = "url") -> DataFrame:
-    """(key, ord, title, url, price, currency, image_url) of typed items and item lists, on the page's own site."""
-    nodes = pages_html.structured_rows(pages, key, html, url).where("source = 'json_ld'")
-    node = F.col("payload")
-    listed = F.from_json(F.get_json_object(node, "$.itemListElement"), "array<variant>")
-    inner = F.transform(F.coalesce(listed, F.array().cast("array<variant>")), lambda v: F.coalesce(F.get_json_object(F.to_json(v), "$.item"), F.to_json(v)))
-    own = F.when(F.get_json_object(node, "$['@type']").isin("Product", "JobPosting", "Article"), F.array(node)).otherwise(F.array().cast("array<string>"))
-    each = nodes.select(key, (F.col("ord") * 1000).alias("base"), F.posexplode(F.concat(inner, own)).alias("i", "item"))
-    get = lambda *paths: F.coalesce(*(coerce.text_or_none(F.get_json_object("item", f"$.{p}")) for p in paths))
-    rows = each.join(pages.select(key, F.col(url).alias("page_url")), key).select(
-        key, (F.col("base") + F.col("i")).alias("ord"), get("name", "title").alias("title"), u.absolute(F.col("page_url"), get("url", "['@id']")).alias("url"), price.as_float(get("offers.price", "price")).alias("price"),
-        get("offers.priceCurrency", "priceCurrency").alias("currency"), F.nullif(u.absolute(F.col("page_url"), get("image", "image.url")), F.lit("")).alias("image_url"), "page_url",
-    )
-    return rows.where("title is not null and url <> '' and url <> page_url").where(u.same_host(F.col("page_url"), F.col("url"))).drop("page_url")
+    args = (F.col("title"), F.col("url"), F.col("price"), F.col("image_url"))
+    rows = records(entries(pages, key, html, url), key).withColumn("points", quality(*args))
+    fit = ~F.coalesce(noise_record(F.col("title"), F.col("url"), F.col("page_url")), F.lit(True)) & supported(*args) & (F.col("points") >= 0)
+    rows = rows.where((F.col("source") == "structured") | fit).withColumn("same", dedupe_key(F.col("url"), F.col("title"))).repartition(key)
+    one = F.row_number().over(Window.partitionBy(key, "source", "shape", "same").orderBy(F.desc("points"), "ord"))
+    whole = Window.partitionBy(key, "source", "shape")
+    rows = rows.withColumn("n", one).where("n = 1").withColumn("total", F.sum("points").over(whole)).withColumn("size", F.count("*").over(whole)).where(F.col("size") >= least)
+    rank = F.struct("total", "source", "size", "shape")
+    rows = rows.withColumn("best", F.max(rank).over(Window.partitionBy(key))).where(rank == F.col("best"))
+    return rows.select(key, "ord", "title", "url", "price", "currency", "image_url", "source")
 
 
 def meaningful_tables(parsed: DataFrame, key: str) -> DataFrame:

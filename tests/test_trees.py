@@ -157,3 +157,19 @@ def test_sizes_with_and_without_suffix_are_one_choice(spark):
 
     rows = spark.createDataFrame([(1, 0, {"Size": "5 Regular"}), (1, 1, {"sizes": "5"}), (1, 2, {"size": "6"})], "p int, ord int, options map<string,string>")
     assert [(r.axis, r["values"]) for r in variants.axes(rows, "p").collect()] == [("size", ["5", "6"])]
+
+
+def test_cards(spark):
+    from millrace.sources import listing
+
+    def cards(html):
+        return [(e[2], e[3], e[5]) for e in listing._entries(html) if e[0] == "cards"]
+
+    assert cards("<ul>" + "".join(f"<li><div><a href=/{i}>One {i}</a></div><div>${i}</div></li>" for i in (1, 2)) + "</ul>") == [("/1", "One 1", "One 1 $1"), ("/2", "One 2", "One 2 $2")]
+    assert cards("<main>" + "".join(f"<a href=/{i}><div><h3>T{i}</h3></div></a>" for i in (1, 2)) + "</main>") == [("/1", "T1", "T1"), ("/2", "T2", "T2")]
+    assert cards("<ul><li><a href=/1>a<li><a href=/2>b</ul>") == [("/1", "a", "a"), ("/2", "b", "b")]
+    swatches = "".join(f"<div class=card><a href=/p/{i}><img src=i.png></a><h3>Shoe {i}</h3><div class=sw><a href=/p/{i}?c=1>r</a><a href=/p/{i}?c=2>b</a></div><b>$5</b></div>" for i in (1, 2))
+    assert [c[:2] for c in cards(f"<div class=grid>{swatches}</div>")] == [("/p/1", "Shoe 1"), ("/p/2", "Shoe 2")]
+    assert cards("<nav><li><a href=/n>n</a><li><a href=/m>m</a></nav><div><p><a href=/x>only</a> $3</p></div>") == [("/x", "only", "only $3")]
+    pages = spark.createDataFrame([(1, "http://s.com/l", "<ul>" + "".join(f"<li><div><a href=/p/{i}000>Thing no {i}</a></div><div>$ {i}.50</div></li>" for i in (1, 2)) + "</ul>"), (2, "http://s.com/", None), (3, None, "<a href=/p/1>x</a>")], "id long, url string, html string")
+    assert sorted((r.id, r.title, r.price) for r in listing.listing_records(pages, "id").collect()) == [(1, "Thing no 1", 1.5), (1, "Thing no 2", 2.5)]
