@@ -16,7 +16,7 @@ RECALL = 4
 #: Cells of a set's sketch: how many of its tokens fall in each, FULL at most.
 SKETCH, FULL = 128, 127
 #: Rounds of pairs whose number is at most twice that of the prefix tokens.
-ROUNDS = 2
+ROUNDS = 1
 
 
 def _needed(n, percent: int):
