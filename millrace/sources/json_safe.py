@@ -16,7 +16,7 @@ def _number(text: str) -> float | None:
     return value if math.isfinite(value) else None
 
 
-def _within(value) -> bool:
+def within(value) -> bool:
     """Iterative, so that depth costs no stack."""
     front = [value]
     for _ in range(DEEP):
@@ -33,7 +33,7 @@ def loads(text: str | None):
         value = json.loads(text, parse_constant=lambda _: None, parse_float=_number) if text else None
     except (ValueError, RecursionError):
         return None
-    if not _within(value):
+    if not within(value):
         return None
     if text and "\\ud" in text.lower():  # an escape may be half of a pair
         value = json.loads(_LONE.sub("\ufffd", json.dumps(value, ensure_ascii=False)))

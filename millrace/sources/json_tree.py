@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .json_safe import dumps, loads
+from .json_safe import dumps, loads, within
 
 #: How deep lists are looked for, how many items are entered, and how many are judged (fixed values).
 DEPTH, WIDTH, LOOKED_AT = 6, 10, 20
@@ -31,6 +31,8 @@ STATE_IDS = ("__NEXT_DATA__", "__NUXT_DATA__")
 STATE_NAMES = ("__INITIAL_STATE__", "__PRELOADED_STATE__", "__APOLLO_STATE__", "__NUXT__", "__STATE__")
 WRAPPERS = frozenset(("Reactive", "ShallowReactive", "Ref", "ShallowRef"))
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]')
+_PUSH = re.compile(r'self\.__next_f\.push\(\[1,\s*"((?:[^"\\]|\\.)*)"\]\)', re.S)
+_ROW = re.compile(rb"([0-9a-f]+):(?:T([0-9a-f]+),)?")
 _SCRIPT = re.compile(r"<script\b([^>]*)>(.*?)</script>", re.S | re.I)
 
 
@@ -133,6 +135,58 @@ def revive(slots):
     return root
 
 
+def pushed_rows(html: str) -> dict[str, object]:
+    """Rows of a state that a page pushes in pieces: id to value, in order.
+
+    Pieces are joined first, so a row may be cut anywhere.  A row is JSON up to the line's end, or
+    after T and a length in hexadecimal so many bytes of text.  Others (instructions) are left out.
+    """
+    pieces = (loads(f'"{m[1]}"') for m in _PUSH.finditer(html))
+    data, at, rows = "".join(p for p in pieces if isinstance(p, str)).encode("utf-8", "replace"), 0, {}
+    while m := _ROW.match(data, at):
+        name, size = m[1].decode(), m[2]
+        end = m.end() + int(size, 16) if size is not None else data.find(b"\n", m.end())
+        end = len(data) if end < 0 else end
+        body = data[m.end() : end].decode("utf-8", "replace")
+        value = body if size is not None else loads(body.strip())
+        if value is not None:
+            rows[name] = value
+        at = end + (size is None)
+        at += data[at : at + 1] == b"\n" and size is not None
+    return rows
+
+
+def pushed(html: str) -> list:
+    """The objects and lists among the pushed rows.  The first reference to a row ("$3", "$L3") is
+    replaced by its value, later ones stay, so that nothing is written twice; all stay where the whole gets too deep."""
+    rows, met = pushed_rows(html), set()
+    todo = [x for x in reversed(rows.values()) if isinstance(x, (dict, list))]
+    while todo:  # row by row, each to its leaves
+        x = todo.pop()
+        inner = []
+        for k, v in list(x.items() if isinstance(x, dict) else enumerate(x)):
+            m = re.fullmatch(r"\$[L@]?([0-9a-f]+)", v) if isinstance(v, str) else None
+            if m and m[1] in rows and m[1] not in met and not _holds(rows[m[1]], x):
+                met.add(m[1])
+                x[k] = rows[m[1]]
+            elif isinstance(v, (dict, list)):
+                inner.append(v)
+        todo += reversed(inner)
+    made = [x for name, x in rows.items() if isinstance(x, (dict, list)) and x and name not in met]
+    return made if within(made) else [x for x in pushed_rows(html).values() if isinstance(x, (dict, list)) and x]
+
+
+def _holds(node, part) -> bool:
+    """Is ``part`` inside a tree?  A row that holds the reference can't be put in its place."""
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        if x is part:
+            return True
+        todo += [y for y in (x.values() if isinstance(x, dict) else x if isinstance(x, list) else ()) if isinstance(y, (dict, list))]
+    return False
+
+
 def states(html: str) -> Iterator[tuple[str, object]]:
     """(name, payload) of the state objects that a page carries."""
     for attrs, body in _SCRIPT.findall(html):
@@ -144,6 +198,8 @@ def states(html: str) -> Iterator[tuple[str, object]]:
             m = re.search(rf"\b{known}\s*=\s*", body)
             if m and (value := loads(fragment(body[m.end() :]))) is not None:
                 yield known, value
+    if "__next_f" in html and (rows := pushed(html)):
+        yield "__NEXT_F__", rows
 
 
 def embedded(html: str) -> Iterator[object]:
