@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import url as u
 from millrace.operators import variants
-from millrace.sources import html, options, selectors, tree
+from millrace.sources import html, options, selectors, tree, views
 
 from .registry import query, table
 from .relational import DOMAIN_SQL
@@ -85,3 +85,42 @@ def option_variants(spark, d):
 def option_axes(spark, d):
     found = options.option_rows(tree.page_trees(option_pages(spark, d), "p_partkey", keep=()), "p_partkey")
     return options.choices(found, "p_partkey").groupBy("p_partkey", "axis").agg(F.array_sort(F.collect_list("value")).alias("values"))
+
+
+def sale_pages(spark, d):
+    """The stored pages, and pages of parts with a price in the scope, in the page only, or none, and JSON-LD that agrees or not."""
+    k, amount = F.col("p_partkey") % 4, F.col("p_retailprice").cast("decimal(12,2)").cast("string")
+    ld = c(lit('<script type="application/ld+json">[{"@type":"Product"},{"@type":["Product"],"name":"'), F.when(k == 1, "Other").otherwise(F.col("p_name")), lit('","brand":{"name":"'), F.col("p_brand"), lit('"},"offers":[{"price":"'), amount, lit('","priceCurrency":"USD","availability":"https://schema.org/InStock"}]}]</script>'))
+    body = c(
+        F.when(k < 2, ld).otherwise(""), lit("<div class=top>Free shipping from $99</div><main><section><div><h1>"), F.col("p_name"), lit("</h1></div><ul><li>Color:<li>red</ul>"), F.when(k != 2, c(lit("<p>now <b>$"), amount, lit("</b>"))).otherwise(""),
+        F.when(k == 3, "<p>20% off in cart").otherwise(""), lit("<button>Add to cart</button></section><aside>Others from $1.00</aside></main>"),
+    )
+    made = table(spark, d, "part").select((F.col("p_partkey") + 1000000).alias("page_id"), lit("https://x.example.com/p/1").alias("url"), body.alias("html"))
+    return table(spark, d, "pages").select("page_id", "url", "html").unionByName(made)
+
+
+@query("two_views", """with v as (select page_id, string_split_regex(regexp_replace(html, '(?s)<(script|style)>.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]*>|\\n') l from pages)
+ select page_id, 0.0::double as fidelity, null::varchar as name, null::varchar as price, []::varchar[] as only_agents, case when len(list_filter(l, lambda x: contains(x, '$') and regexp_matches(x, '[0-9]'))) > 0 then ['name', 'price'] else ['name'] end as only_people, []::varchar[] as differ from v
+ union all select p_partkey + 1000000, case k when 0 then 1.0 when 1 then 1.0 else 0.0 end, p_name, case k when 2 then '1.00' else p_retailprice::decimal(12,2)::varchar end, case when k < 2 then ['availability', 'brand', 'currency'] else []::varchar[] end,
+  case k when 2 then ['name', 'price'] when 3 then ['name', 'price', 'sale_messaging'] else []::varchar[] end, case when k = 1 then ['name'] else []::varchar[] end from (select *, p_partkey % 4 k from part)""")
+def two_views(spark, d):
+    trees = tree.page_trees(sale_pages(spark, d), "page_id")
+    human, agent = views.human_view(views.product_scope(trees, "page_id"), "page_id"), views.agent_view(trees, "page_id")
+    at = F.when(F.col("page_id") >= 1000000, F.col("human"))
+    shown = human.select("page_id", at["name"].alias("name"), at["price"].alias("price"))
+    return views.view_deltas(agent, human, "page_id").join(shown, "page_id").select("page_id", "fidelity", "name", "price", "only_agents", "only_people", "differ")
+
+
+@query("page_images", """with p as (select *, p_partkey % 3 k from part)
+ select p_partkey, 0 as ord, 'https://x.example.com/big-' || p_partkey || '.jpg' as image_url, 2 as points from p union all select p_partkey, 1, 'https://cdn.example.com/side.png', 2 from p where k = 1
+ union all select p_partkey, case when k = 1 then 2 else 1 end, 'https://x.example.com/text-' || p_size || '.webp', 1 from p where k <> 2""")
+def page_images(spark, d):
+    """A gallery, a picture in the text, and those of navigation, strips of other products, icons and copies in another size."""
+    k, key = F.col("p_partkey") % 3, F.col("p_partkey").cast("string")
+    body = c(
+        lit('<header><img src="/logo-a.jpg"></header><p>'), F.when(k != 2, c(lit('<img src="/text-'), F.col("p_size").cast("string"), lit('.webp" alt=x>'))).otherwise('<img src="/tiny.png" width=16>'), lit('</p><div class="gallery"><a href="/big-'), key, lit('.jpg"><img src="/big-'), key,
+        lit('_400x300.jpg" srcset="/big-'), key, lit('.jpg 2x, /z.jpg 3x"></a><img data-src="/big-'), key, lit('_80x80.jpg?v=2">'), F.when(k == 1, "<img src=//cdn.example.com/side.png>").otherwise("<img src='data:image/png;base64,x'>"),
+        lit('</div><div class="related-products"><img src="/r.jpg"></div><div class=row><a href="/p/other-thing-12345"><span><img src="/other.jpg"></span></a></div><img src="/i/icon-cart.png">'),
+    )
+    pages = table(spark, d, "part").select("p_partkey", c(lit("https://x.example.com/p/part-"), key).alias("url"), body.alias("html"))
+    return views.page_images(tree.page_trees(pages, "p_partkey"), "p_partkey")

@@ -173,3 +173,19 @@ def test_cards(spark):
     assert cards("<nav><li><a href=/n>n</a><li><a href=/m>m</a></nav><div><p><a href=/x>only</a> $3</p></div>") == [("/x", "only", "only $3")]
     pages = spark.createDataFrame([(1, "http://s.com/l", "<ul>" + "".join(f"<li><div><a href=/p/{i}000>Thing no {i}</a></div><div>$ {i}.50</div></li>" for i in (1, 2)) + "</ul>"), (2, "http://s.com/", None), (3, None, "<a href=/p/1>x</a>")], "id long, url string, html string")
     assert sorted((r.id, r.title, r.price) for r in listing.listing_records(pages, "id").collect()) == [(1, "Thing no 1", 1.5), (1, "Thing no 2", 2.5)]
+
+
+def test_scope_views_and_images(spark):
+    from millrace.sources import views
+
+    page = "<h1>Red Shoe</h1><p>only $5"
+    nested = "<body><div id=a><div id=b><h2>x</h2><h1>Shoe</h1></div><p>$7.50</div><p>add to bag"
+    many = "<body><div><h1>Shoe</h1><p>$3</p></div>" + "<p>l</p>" * 300 + "add to cart"
+    pages = spark.createDataFrame([(1, page, "u"), (2, nested, "u"), (3, many, "u"), (4, "no heading $9", None), (5, None, None), (6, "<script type='application/ld+json'>{</script><h1></h1>", "u")], "id long, html string, url string")
+    trees = tree.page_trees(pages, "id")
+    scope = {r.id: r for r in views.product_scope(trees, "id").collect()}
+    assert scope[1].scope == ["Red Shoe", "only $5"] and scope[2].scope == ["x", "Shoe", "$7.50", "add to bag"] and scope[3].scope == ["Shoe", "$3"] and scope[4].scope == ["no heading $9"] and scope[5].scope == []
+    human = {r.id: r.human for r in views.human_view(views.product_scope(trees, "id"), "id").collect()}
+    assert human == {1: {"name": "Red Shoe", "price": "5"}, 2: {"name": "Shoe", "price": "7.50"}, 3: {"name": "Shoe", "price": "3"}, 4: {"price": "9"}, 5: {}, 6: {}}
+    assert {r.id: r.agent for r in views.agent_view(trees, "id").collect()} == {i: {} for i in range(1, 7)}
+    assert views.page_images(trees, "id").collect() == []
