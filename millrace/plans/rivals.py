@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import repairs, rivals
+from millrace.operators import repairs, rivals, terms
 from millrace.sources import json_tree, payloads
 
 from .registry import query, table
@@ -84,3 +84,19 @@ def repaired_details(spark, d):
     )
     out = repairs.repaired(rows, repairs.detail_rules())
     return out.select("p_partkey", "title", "image_url", "availability", "currency", "price", "original_price", "discount_amount", "repairs")
+
+
+@query("term_matches", """with p as (select p_partkey, string_split(p_name, ' ') w, lag(p_name, 1, 'no thing') over (order by p_partkey) o, p_brand from part), q as (select p_partkey, w, string_split(o, ' ') v, p_brand from p),
+ x as (select p_partkey, 0 place, w[1] || ' ' || w[2] pair, w[2] noun from q union all select p_partkey, 1, v[1] || ' ' || v[2], v[2] from q),
+ m as (select p_partkey, place, case when length(pair) % 2 = 0 then pair else noun end as term from x where pair <> 'no thing')
+ select p_partkey, 'name' as dimension, (row_number() over (partition by p_partkey order by place) - 1)::int as ord, upper(term) as value, term from m union all select p_partkey, 'brand', 0, 'house', lower(replace(p_brand, '#', ' ')) from q where p_brand like '%1'""")
+def term_matches(spark, d):
+    """Names of even length and all nouns as terms of one dimension, brands as aliases of another; texts with two names in turn."""
+    p = table(spark, d, "part")
+    noun, even = F.split_part("p_name", lit(" "), lit(-1)), F.length("p_name") % 2 == 0
+    names = p.select(lit("name").alias("dimension"), F.explode(F.array_compact(F.array(F.when(even, F.col("p_name")), noun))).alias("term"))
+    brands = p.where(F.col("p_brand").endswith("1")).select(lit("brand").alias("dimension"), F.col("p_brand").alias("term"))
+    known = names.withColumn("value", F.upper("term")).unionByName(brands.withColumn("value", lit("house"))).distinct()
+    other = p.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("p_name").alias("other"))
+    items = p.join(other, "p_partkey", "left").select("p_partkey", F.concat_ws(" / ", "p_name", "p_brand", F.coalesce("other", lit("no thing"))).alias("text"))
+    return terms.term_matches(items, "p_partkey", "text", known)

@@ -67,3 +67,32 @@ def test_rules_see_what_the_rules_before_left(spark):
     assert out == [(2, 2, "x", ["double", "copy"]), (3, 6, None, ["double", "copy", "halve"]), (None, None, "y", [])]
     many = repairs.repaired(rows, [repairs.Rule(f"r{i}", lambda r: {"a": r["a"] + 1}) for i in range(60)])
     assert many.first().a == 61 and repairs.repaired(rows.limit(0), rules).collect() == []
+
+
+def test_ten_thousand_terms_equal_a_naive_search(spark, tmp_path):
+    from millrace.operators import terms
+
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(60)]
+    known = sorted({(f"d{rng.randrange(3)}", " ".join(rng.choice(words) for _ in range(rng.choice((1, 2, 2, 3, 4))))) for _ in range(10_000)})
+    known = [(d, t, t.upper()) for d, t in known if rng.random() < 0.5 or " " in t]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(30)))) for i in range(60)] + [(90, None), (91, ""), (92, "W1 -- w2!"), (None, "w1")]
+    sets = {}
+    for d, t, _ in known:
+        sets.setdefault(d, set()).add(tuple(t.split()))
+    want = []
+    for i, t in texts:
+        w = [] if t is None or i is None else "".join(c if c.isalnum() else " " for c in t.lower()).split()
+        for d, s in sets.items():
+            at = n = 0
+            while at < len(w):
+                size = next((k for k in (4, 3, 2, 1) if at + k <= len(w) and tuple(w[at : at + k]) in s), 0)
+                if size:
+                    want.append((i, d, n, " ".join(w[at : at + size])))
+                    n += 1
+                at += size or 1
+    out = terms.term_matches(spark.createDataFrame(texts, "id long, text string"), "id", "text", spark.createDataFrame(known, "dimension string, term string, value string"))
+    assert sorted((r.id, r.dimension, r.ord, r.term) for r in out.collect()) == sorted(want) and all(r.value == r.term.upper() for r in out.collect())
+    assert terms.term_matches(spark.createDataFrame(texts, "id long, text string"), "id", "text", spark.createDataFrame([], "dimension string, term string, value string")).collect() == []
+    (tmp_path / "a.json").write_text(json.dumps({"attributes": [{"name": "Color", "values": [{"name": "Navy", "aliases": ["dark blue"]}, {"name": None}]}, {"name": "Fit", "values": [{"name": "Slim"}]}]}, indent=1))
+    assert sorted(map(tuple, terms.dimension_terms(spark, f"{tmp_path}/a.json").collect())) == [("Color", "Navy", "Navy"), ("Color", "dark blue", "Navy"), ("Fit", "Slim", "Slim")]
