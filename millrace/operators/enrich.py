@@ -73,10 +73,22 @@ def known_brand(items: DataFrame, item: str, title: str, brands: DataFrame, bran
     return items.select(item).join(best, item, "left")
 
 
-def brand_from_url(link: Column, title: Column) -> Column:
-    """The words that start a product's URL and its title alike, of one brand: the first such word."""
-    slug, words = text.slug_tokens(u.last_words(link)), text.slug_tokens(title)
-    return F.when((F.get(slug, F.lit(0)) == F.get(words, F.lit(0))) & ~F.get(slug, F.lit(0)).rlike("^[0-9]+$"), F.initcap(F.get(slug, F.lit(0))))
+def brand_from_url(link: Column, title: Column, most: int = 4) -> Column:
+    """The words before the title in a part of the URL's path that holds the whole title, the last such part.
+
+    The title has two words at least; the words before it are ``most`` at most and not all numbers.
+    """
+    pad = lambda x: F.concat(F.lit(" "), F.array_join(text.slug_tokens(x), " "), F.lit(" "))
+    parts = F.reverse(F.transform(F.filter(F.split(u.path(link), "/"), lambda p: p != ""), lambda p: pad(F.split_part(p, F.lit("."), F.lit(1)))))
+    wanted = pad(title)
+
+    def before(p: Column) -> Column:
+        at = F.instr(F.substring(p, F.lit(2), F.length(p)), wanted)
+        return F.when(at > 1, F.substring(p, F.lit(2), at - 1))
+
+    fits = lambda x: x.isNotNull() & (F.size(F.split(x, " ")) <= most) & x.rlike("[a-z]")
+    found = F.filter(F.transform(parts, before), fits)
+    return F.when(F.size(text.slug_tokens(title)) >= 2, F.initcap(F.get(found, 0)))
 
 
 def overlap_mismatch(a: Column, b: Column, share: float = 0.5) -> Column:

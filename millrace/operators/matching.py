@@ -73,11 +73,21 @@ def source_type(domain: Column, kinds: dict[str, tuple[str, ...]]) -> Column:
 def taxonomy_candidates(items: DataFrame, item: str, tokens: Column, categories: DataFrame, threshold: float = 0.5, limit: int = 3) -> DataFrame:
     """The best categories of each item by the share of the item's tokens that they hold.
 
-    Pairs come from a join on tokens, never from a cross join.  ``categories`` has
-    (category, token).
+    ``categories`` has (category, token).  A category that holds k of n tokens holds one of the
+    n - k + 1 that the fewest categories have: only these make candidates, so a token that
+    every category has meets them all only for items without rarer ones.  Candidates are then counted
+    by equality of (category, token).  Items are known by ``item``.
     """
-    own = items.select(item, F.array_distinct(tokens).alias("_t")).withColumn("_n", F.size("_t"))
-    hits = own.select(item, "_n", F.explode("_t").alias("token")).join(categories, "token").groupBy(item, "_n", "category").agg(F.count_distinct("token").alias("shared"))
+    held = categories.select("category", "token").distinct()
+    often = held.groupBy("token").agg(F.count("*").alias("_df"))
+    own = items.select(item, F.explode(F.array_distinct(tokens)).alias("token")).join(often, "token", "left")
+    own = own.groupBy(item).agg(F.array_sort(F.collect_set(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "token"))).alias("_t"))  # of one item
+    own = own.withColumn("_n", F.size("_t"))
+    first = F.slice("_t", 1, (F.col("_n") - F.greatest(F.ceil(F.col("_n") * threshold), F.lit(1)) + 1).cast("int"))
+    rare = own.select(item, F.explode(F.filter(first, lambda t: t["df"] > 0)).alias("t")).select(item, F.col("t.token").alias("token"))
+    met = rare.join(held, "token").select(item, "category").distinct()
+    every = own.select(item, "_n", F.explode("_t").alias("t")).select(item, "_n", F.col("t.token").alias("token"))
+    hits = met.join(every, item).join(held, ["category", "token"]).groupBy(item, "_n", "category").agg(F.count("*").alias("shared"))
     scored = hits.withColumn("overlap", F.round(F.col("shared") / F.col("_n"), 4)).where(F.col("shared") / F.col("_n") >= threshold)
     rank = F.row_number().over(Window.partitionBy(item).orderBy(F.desc("overlap"), "category"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select(item, "category", "overlap", "rank")

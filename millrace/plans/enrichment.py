@@ -75,10 +75,11 @@ def selector_values(spark, d):
     return p.select("page_id", (F.size(classify.regex_values(F.col("html"), "<h1>([^<]+)")) > 0).alias("named"), F.size(links).alias("links"))
 
 
-@query("filtered_values", "select p_partkey, [p_size::varchar] as kept, [p_name, p_brand] as nodes from part")
+@query("filtered_values", """select p_partkey, case when p_size % 2 = 0 then [p_size::varchar, p_partkey::varchar] else [p_partkey::varchar] end as kept, case when p_size % 3 = 0 then [p_brand] else [p_name, p_brand] end as nodes from part""")
 def filtered_values(spark, d):
-    xml = c(lit("<r><i> "), F.col("p_name"), lit(" </i><i/><j><i>"), F.col("p_brand"), lit("</i></j></r>"))
-    found = F.array(c(lit("size "), F.col("p_size").cast("string")), F.col("p_name"))
+    size, key, third = F.col("p_size").cast("string"), F.col("p_partkey").cast("string"), F.col("p_size") % 3 == 0
+    xml = c(lit("<r><i> "), F.when(third, " ").otherwise(F.col("p_name")), lit(" </i><i/><j><i>"), F.col("p_brand"), lit("</i></j></r>"))
+    found = F.array(c(F.when(F.col("p_size") % 2 == 0, "size ").otherwise("sizes "), size), F.col("p_name"), c(lit("x size "), key, lit(" size 0")))
     return table(spark, d, "part").select("p_partkey", classify.kept_by_regex(found, "size ([0-9]+)").alias("kept"), classify.xpath_values(xml, "//i/text()").alias("nodes"))
 
 
@@ -101,12 +102,17 @@ def material_context(spark, d):
     return table(spark, d, "part").select("p_partkey", enrich.without_material_context(c(lit("Cotton "), F.col("p_name"), lit(" feels like silk and no wool PVC-free faux fur"))).alias("material"))
 
 
-@query("known_brands", """with b as (select distinct p_brand, lower(p_brand) l from part) select p_partkey, case when p_partkey % 3 = 0 then null else p_brand end as brand, case when p_partkey % 2 = 0 then upper(split_part(p_name, ' ', 1)[1]) || split_part(p_name, ' ', 1)[2:] end as by_url from part""")
+@query("known_brands", """with b as (select distinct p_brand, lower(p_brand) l from part) select p_partkey, case when p_partkey % 3 = 0 then null else p_brand end as brand, case p_partkey % 4 when 0 then replace(p_brand, '#', ' ') when 2 then 'New Balance' end as by_url from part""")
 def known_brands(spark, d):
     p = table(spark, d, "part")
     titled = p.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(c(F.col("p_name"), lit(" by "), F.upper("p_brand"), lit("!"))).alias("title"))
     found = enrich.known_brand(titled, "p_partkey", "title", p, "p_brand")
-    link = F.when(F.col("p_partkey") % 2 == 0, c(lit("https://x.example.com/p/"), F.replace("p_name", lit(" "), lit("-")), lit("-1.html"))).otherwise("https://x.example.com/p/12")
+    k, slug = F.col("p_partkey") % 4, F.replace("p_name", lit(" "), lit("-"))
+    # a brand and a number after it; a brand in an inner part; the title alone; five words before it
+    link = (
+        F.when(k == 0, c(lit("https://x.example.com/p/"), F.replace(F.lower("p_brand"), lit("#"), lit("-")), lit("-"), slug, lit("-1.html"))).when(k == 2, c(lit("https://x.example.com/new-balance-"), slug, lit("/item-1")))
+        .when(k == 1, c(lit("https://x.example.com/p/"), slug)).otherwise(c(lit("https://x.example.com/a-b-c-d-e-"), slug))
+    )
     return found.join(p.select("p_partkey", enrich.brand_from_url(link, F.col("p_name")).alias("by_url")), "p_partkey")
 
 
@@ -158,9 +164,12 @@ def variant_reports(spark, d):
     return enrich.variant_report(rows, "part").join(signals.select("part", readable.alias("readable")), "part")
 
 
-@query("job_sections", "select p_partkey, 'Duties' as heading, p_name as body from part union all select p_partkey, 'Pay', p_brand from part")
+@query("job_sections", """select p_partkey, case when p_size % 2 = 0 then 'Duties' else 'About ' || p_brand end as heading, p_name as body from part union all select p_partkey, 'Pay', p_brand || case when p_size % 3 = 0 then chr(10) || p_size else '' end from part where p_size % 5 <> 0""")
 def job_sections(spark, d):
-    page = c(lit("<h1>Job</h1><h2>Duties</h2><p>"), F.col("p_name"), lit("</p><h3>Pay</h3><p>"), F.col("p_brand"), lit("</p>"))
+    """Headings that vary, bodies of one part or two, a last section that every fifth size lacks."""
+    more = F.when(F.col("p_size") % 3 == 0, c(lit("<p>"), F.col("p_size").cast("string"), lit("</p>"))).otherwise("")
+    last = F.when(F.col("p_size") % 5 != 0, c(lit("<h3>Pay</h3><p>"), F.col("p_brand"), lit("</p>"), more)).otherwise("")
+    page = c(lit("<h1>Job</h1><h2>"), F.when(F.col("p_size") % 2 == 0, "Duties").otherwise(c(lit("About "), F.col("p_brand"))), lit("</h2><p>"), F.col("p_name"), lit("</p>"), last)
     return listing.sections(html.parse_pages(table(spark, d, "part").select("p_partkey", page.alias("html")), "p_partkey", url=None), "p_partkey")
 
 

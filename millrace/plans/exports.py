@@ -120,11 +120,16 @@ def resolved_config(spark, d):
     return exports.resolved(keys, stored, ["user_id"], [F.desc("created_at"), F.col("run_id")], {"priority": "none", "cost": 0.0})
 
 
-@query("commit_metadata", """select p_partkey, case when p_size % 2 = 0 then 'user' else 'json_ld' end as source, (case when p_size % 2 = 0 then 2 else 1 end) / 3.0::double as covered, ['title', 'price', 'sku'] as wanted from part""")
+@query("commit_metadata", """with k as (select *, p_partkey % 4 k from part)
+ select p_partkey, case k when 0 then 'user' when 1 then 'json_ld' when 2 then p_brand else 'user' end as source, case k when 0 then 2 / 3.0::double when 1 then 1 / 3.0::double when 2 then 2 / 3.0::double else 1 / 4.0::double end as covered,
+  case when k = 3 then ['brand', 'color', 'price', 'sku'] else ['title', 'price', 'sku'] end as wanted from k""")
 def commit_metadata(spark, d):
-    had = F.create_map(F.lit("title"), F.lit("json_ld"))
-    field = F.when(F.col("p_size") % 2 == 0, "price").otherwise("title")
-    asked = F.array(F.lit("title"), F.lit("price"))
+    """A field committed by a user where none is known, where one is and stays, where a brand's source stays, and
+    where what is known is not asked for."""
+    k = F.col("p_partkey") % 4
+    had = F.when(k == 2, F.create_map(F.lit("title"), F.lit("json_ld"), F.lit("price"), F.col("p_brand"))).when(k == 3, F.create_map(F.lit("title"), F.lit("dom"))).otherwise(F.create_map(F.lit("title"), F.lit("json_ld")))
+    field = F.when(k == 1, "title").when(k == 3, "color").otherwise("price")
+    asked = F.when(k == 3, F.array(F.lit("brand"), F.lit("color"))).otherwise(F.array(F.lit("title"), F.lit("price")))
     now = exports.commit_source(had, field, F.lit("user"), keep=True)
     wanted = exports.repaired_fields(asked, ["price", "sku"])
     return table(spark, d, "part").select("p_partkey", F.element_at(now, field).alias("source"), exports.coverage(wanted, now).alias("covered"), wanted.alias("wanted"))

@@ -21,12 +21,19 @@ def page_links(spark, d):
     return html.link_rows(p, "page_id").groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
-@query("page_content")
+_BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
+_TITLE = "trim(regexp_replace(replace(replace(regexp_extract(html, '(?s)<{0}>(.*?)</{0}>', 1), '&amp;', '&'), '&quot;', '\"'), '\\s+', ' ', 'g'))"
+
+
+@query("page_content", f"""with x as (select page_id, html, regexp_replace(regexp_replace(html, '(?s)<script>.*?</script>|<style>.*?</style>|<title>.*?</title>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g'), '</?({_BLOCKS})(\\s[^>]*)?>', chr(10), 'g') t from pages),
+ y as (select page_id, html, replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') t from x),
+ z as (select *, list_filter(list_transform(string_split(t, chr(10)), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g'))), lambda l: l <> '') l from y), w as (select *, array_to_string(l, chr(10)) c, len(regexp_extract_all(array_to_string(l, chr(10)), '[\\p{{L}}\\p{{N}}_]+'))::bigint n from z)
+ select page_id, coalesce(nullif({_TITLE.format("h1")}, ''), {_TITLE.format("title")}) as title, c as content, l[1] as summary, n as words, ceil(n / 200)::bigint as minutes, null::varchar as image, regexp_extract(html, '<html lang="([a-z]*)"', 1) as lang from w""")
 def page_content(spark, d):
     return html.content(html.parse_pages(table(spark, d, "pages"), "page_id"), "page_id")
 
 
-@query("page_headings")
+@query("page_headings", f"select page_id, 0 as ord, 1 as level, {_TITLE.format('h1')} as text from pages where html like '%<h1>%'")
 def page_headings(spark, d):
     return html.parse_pages(table(spark, d, "pages"), "page_id").select("page_id", F.posexplode("headings").alias("ord", "h")).select("page_id", "ord", "h.level", "h.text")
 
@@ -65,12 +72,17 @@ def table_cells(spark, d):
     return rows.select(F.split_part("k", F.lit("|"), F.lit(1)).alias("brand"), F.col("row")["Id"].alias("id"), F.col("row")["Name"].alias("name"))
 
 
-@query("sitemap_links", """select p_partkey, 'https://x.example.com/p/' || replace(p_name, ' ', '-') || '-' || p_partkey || '.html' as url,
-  array_to_string(list_transform(string_split(p_name || ' ' || p_partkey, ' '), lambda w: upper(w[1]) || w[2:]), ' ') as title from part""")
+@query("sitemap_links", """with t as (select p_partkey, 'https://x.example.com/p/' || replace(p_name, ' ', '-') || '-' || p_partkey l, array_to_string(list_transform(string_split(p_name || ' ' || p_partkey, ' '), lambda w: upper(w[1]) || w[2:]), ' ') n from part)
+ select p_partkey, 0 as ord, l || '.html' as url, n as title from t union all select p_partkey, 1, l || '?a=1&b=' || p_partkey, n from t where p_partkey % 3 <> 0 union all select p_partkey, 1, 'https://x.example.com/f/' || p_partkey, p_partkey::varchar from t where p_partkey % 3 = 0""")
 def sitemap_links(spark, d):
-    link = F.concat(F.lit("https://x.example.com/p/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), "p_partkey", F.lit(".html"))
-    xml = F.concat(F.lit('<?xml version="1.0"?><urlset><url><loc> '), link, F.lit("</loc></url><url><loc>"), link, F.lit("</loc></url><url><loc>ftp://no</loc></url></urlset>"))
-    return readers.sitemap_links(table(spark, d, "part").select("p_partkey", xml.alias("xml")), "p_partkey", "xml").select("p_partkey", "url", "title")
+    """Sitemaps with prefixes, CDATA, repeats and entities, and feeds of Atom entries with links to themselves."""
+    key = F.col("p_partkey").cast("string")
+    link = F.concat(F.lit("https://x.example.com/p/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), key)
+    more = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("<loc><![CDATA["), link, F.lit("?a=1&b="), key, F.lit("]]></loc>"))).otherwise(F.concat(F.lit("<image:loc>"), link, F.lit("?a=1&amp;b="), key, F.lit("</image:loc>")))
+    site = F.concat(F.lit('<?xml version="1.0"?><urlset><url><loc> '), link, F.lit(".html</loc></url><url><sm:loc>"), link, F.lit(".html</sm:loc></url><url><loc>ftp://no</loc>"), more, F.lit("</url></urlset>"))
+    feed = F.concat(F.lit('<feed><link rel="self" href="https://x.example.com/feed"/><entry><link rel="alternate" href="'), link, F.lit('.html"/></entry><entry><link href=\'https://x.example.com/f/'), key, F.lit("'></link></entry></feed>"))
+    xml = F.when(F.col("p_partkey") % 3 == 0, feed).otherwise(site)
+    return readers.sitemap_links(table(spark, d, "part").select("p_partkey", xml.alias("xml")), "p_partkey", "xml")
 
 
 @query("json_records", """select event_id, 0 as ord, event_type as kind from events union all select event_id, 1, 'second' from events where event_id % 2 = 0""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import repairs, rivals, terms
+from millrace.operators import asof, repairs, rivals, terms
 from millrace.sources import json_tree, payloads
 
 from .registry import query, table
@@ -100,3 +100,18 @@ def term_matches(spark, d):
     other = p.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("p_name").alias("other"))
     items = p.join(other, "p_partkey", "left").select("p_partkey", F.concat_ws(" / ", "p_name", "p_brand", F.coalesce("other", lit("no thing"))).alias("text"))
     return terms.term_matches(items, "p_partkey", "text", known)
+
+
+_KINDS = ("click", "view", "purchase", "error", "signup")
+
+
+@query("run_recipes", """with e as (select event_id id, ts, user_id % 50 u, event_type k, round(value, 6) v from events), r as (select * from e where id % 3 = 0),
+ h as (select distinct on (u, k, ts) u, k, ts, v, id from e where id % 3 <> 0 order by u, k, ts, id desc)
+ """ + "select r.id as event_id, " + ", ".join(f"h{i}.id as {k}_id, h{i}.v as {k}_value" for i, k in enumerate(_KINDS)) + " from r " + " ".join(f"asof left join (select * from h where k = '{k}') h{i} on h{i}.u = r.u and h{i}.ts <= r.ts" for i, k in enumerate(_KINDS)))
+def run_recipes(spark, d):
+    """Every third event is a run; the others are five histories of its user's group."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("at"), (F.col("user_id") % 50).alias("u"), "event_type", F.round("value", 6).alias("v"))
+    rest = e.where("id % 3 <> 0")
+    histories = {k: (rest.where(F.col("event_type") == k), ["id", "v"]) for k in _KINDS}
+    out = asof.as_of(e.where("id % 3 = 0").select("id", "at", "u"), histories, ["u"])
+    return out.select(F.col("id").alias("event_id"), *(x for k in _KINDS for x in (F.col(k)["id"].alias(f"{k}_id"), F.col(k)["v"].alias(f"{k}_value"))))

@@ -97,10 +97,15 @@ def merged_variants(spark, d):
     return variants.merged(variants.sanitize(rows(spark, d)), "p_partkey", variants.semantic_identity(F.col("options")), ["price", "url"])
 
 
-@query("whole_variants", """select p_partkey, unnest([0, 1, 3, 5]) as ord from part""")
+@query("whole_variants", """select p_partkey, unnest(case p_partkey % 3 when 0 then [0, 1, 3, 5] when 1 then [0, 1, 2, 3, 5] else [0, 1, 3, 5, 7] end) as ord from part""")
 def whole_variants(spark, d):
-    """The bare blue variant goes, since blue in a size exists; "red" is another value than "Red"."""
-    return variants.without_subsets(variants.sanitize(rows(spark, d)), "p_partkey").select("p_partkey", "ord")
+    """The bare blue variant goes where blue in a size exists, and stays where it has a fit of its own; so does a
+    further size, while "red" is another value than "Red"."""
+    k = F.col("p_partkey") % 3
+    own = F.when((F.col("ord") == 2) & (k == 1), F.map_concat("options", F.create_map(lit("fit"), F.col("p_partkey").cast("string")))).otherwise(F.col("options"))
+    made = rows(spark, d).withColumn("options", own)
+    more = made.where((F.col("ord") == 3) & (k == 2)).withColumn("ord", lit(7)).withColumn("options", F.create_map(lit("color"), lit("Blue"), lit("size"), lit("other")))
+    return variants.without_subsets(variants.sanitize(made.unionByName(more)), "p_partkey").select("p_partkey", "ord")
 
 
 @query("variant_choices", """select p_partkey, 'Red|Blue' as colors, case when p_size % 2 = 0 then p_size || '|' || p_size + 1 else p_size::varchar end as sizes, 1 + (p_size % 2 = 0)::int as groups from part""")
@@ -128,10 +133,17 @@ def selected_variants(spark, d):
     return variants.selected(made.join(pages, "p_partkey"), "p_partkey", F.col("page"))
 
 
-@query("product_images", "select p_partkey, ['https://i.example.com/' || p_partkey || '_100x200.jpg', 'https://i.example.com/b.jpg'] as images from part")
+@query("product_images", """with p as (select *, 'https://i.example.com/' || p_partkey i, p_partkey % 3 k from part)
+ select p_partkey, case k when 0 then [i || '_100x200.jpg', 'https://i.example.com/b.jpg'] when 1 then ['https://i.example.com/s' || p_size || '.png', i || '.jpg?w=3'] else [i || '-2.jpg', i || '_400x.jpg', 'https://i.example.com/s' || p_size || '.jpg'] end as images from p""")
 def product_images(spark, d):
-    at = c(lit("https://i.example.com/"), F.col("p_partkey").cast("string"))
-    urls = F.array(c(at, lit("_100x200.jpg")), c(at, lit("_400x.jpg")), c(at, lit(".jpg?w=3")), lit("https://i.example.com/b.jpg"), lit("https://I.example.com/b.jpg#x"))
+    """Copies in other sizes, with queries and in other case, by turns; a number in a name is no size."""
+    at, k = c(lit("https://i.example.com/"), F.col("p_partkey").cast("string")), F.col("p_partkey") % 3
+    own = c(lit("https://i.example.com/s"), F.col("p_size").cast("string"))
+    urls = (
+        F.when(k == 0, F.array(c(at, lit("_100x200.jpg")), c(at, lit("_400x.jpg")), c(at, lit(".jpg?w=3")), lit("https://i.example.com/b.jpg"), lit("https://I.example.com/b.jpg#x")))
+        .when(k == 1, F.array(c(own, lit(".png")), c(at, lit(".jpg?w=3")), c(own, lit("-90x90.PNG")), c(F.upper(own), lit(".png?v=1"))))
+        .otherwise(F.array(c(at, lit("-2.jpg")), c(at, lit("_400x.jpg")), c(at, lit(".jpg")), c(own, lit(".jpg"))))
+    )
     return table(spark, d, "part").select("p_partkey", variants.distinct_images(urls).alias("images"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import field_key
@@ -17,17 +17,29 @@ def csv_urls(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sitemap_links(bodies: DataFrame, key: str, xml: str, limit: int | None = None) -> DataFrame:
-    """(key, ord, url, title) of every <loc> and <link> of sitemaps and feeds.
+    """(key, ord, url, title) of the locations of sitemaps, the links of feeds and the addresses of Atom entries.
 
-    Titles come from the slug.  URLs are distinct within a body, the first one stays.
+    Prefixes and CDATA are allowed, entities are decoded; of Atom links those to the feed itself, to
+    editing and to enclosures are none.  Titles come from the slug.  URLs are distinct within a body, the
+    first one stays; order is the body's.
     """
-    found = F.regexp_extract_all(F.col(xml), F.lit(r"<(?:loc|link)(?:\s[^>]*)?>\s*(?:<!\[CDATA\[)?\s*([^<\]]+?)\s*(?:\]\]>)?\s*</(?:loc|link)>"), F.lit(1))
+    inner, href = r"<(?:\w+:)?(?:loc|link)(?:\s[^>]*)?>\s*(?:<!\[CDATA\[)?\s*([^<\]]+?)\s*(?:\]\]>)?\s*</(?:\w+:)?(?:loc|link)>", r"""<(?:\w+:)?link\s(?:[^>]*\s)?href\s*=\s*["']([^"']+)["'][^>]*>"""
+    whole = F.regexp_extract_all(F.col(xml), F.lit(f"({inner}|{href})"), F.lit(1))
+    other = r"""\srel\s*=\s*["'](?:self|edit|enclosure|hub|search|stylesheet|icon)["']"""
+    value = lambda m: F.coalesce(F.nullif(F.regexp_extract(m, href, 1), F.lit("")), F.regexp_extract(m, inner, 1))
+    found = F.transform(F.filter(whole, lambda m: ~m.rlike(other)), lambda m: F.trim(value(m)))
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;|&#0*39;|&#x0*27;", "'"), ("&amp;|&#0*38;|&#x0*26;", "&")):
+        found = _replaced(found, entity, sign)
     rows = bodies.select(key, F.posexplode(F.array_distinct(F.filter(found, lambda x: x.rlike(HTTP)))).alias("ord", "url"))
     slug = F.element_at(F.split(F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "/+$", ""), "/"), -1)
     rows = rows.withColumn("title", F.initcap(F.trim(F.regexp_replace(F.regexp_replace(slug, r"\.[a-z]{2,5}$", ""), "[-_+]+", " "))))
     return rows.where(F.col("ord") < limit) if limit else rows
 
 
+def _replaced(values: Column, pattern: str, by: str) -> Column:
+    return F.transform(values, lambda x: F.regexp_replace(x, f"(?i){pattern}", by))
+
+
 def json_records(bodies: DataFrame, key: str, body: str, path: str = "$") -> DataFrame:
     """(key, ord, record) of the array at a path of a JSON body; a lone object is one record.
 

@@ -48,9 +48,19 @@ def windowed_failures(events: DataFrame, watermark: str = "1 hour", window: str
     return failed.groupBy(F.window("ts", window).alias("w"), F.col("event_type").alias("provider")).agg(F.count("*").alias("failures"))
 
 
+def last_snapshot(spark, path: str, before: int) -> int | None:
+    """The number of the last whole snapshot of an earlier batch."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot")
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in store.listStatus(folder)] if store.exists(folder) else []
+    whole = lambda n: store.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{n}/_SUCCESS"))
+    return max((int(n) for n in names if n.isdigit() and int(n) < before and whole(n)), default=None)
+
+
 def snapshot_changes(path: str, key: str, fields: list[str], order: str, complete: bool = True):
-    """A ``foreachBatch`` function: compares each batch with the snapshot kept at ``path``
-    (one folder a batch, so a batch that runs again gives the same) and appends events.
+    """A ``foreachBatch`` function: compares each batch with the last snapshot kept at ``path``
+    (one folder a batch, so a batch that runs again gives the same) and appends events.  The first
+    batch may have any number, and numbers may be missing.
 
     A ``complete`` batch holds all pages, so those absent from it are removed.  Otherwise
     it holds some: only its pages are compared, and the snapshot keeps the others.
@@ -61,7 +71,8 @@ def snapshot_changes(path: str, key: str, fields: list[str], order: str, complet
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         current = best_per_key(batch, [key], [F.desc(order), *(F.col(f) for f in fields)]).select(key, *fields)
-        previous = spark.read.parquet(f"{path}/snapshot/{batch_id - 1}") if batch_id else current.limit(0)
+        last = last_snapshot(spark, path, batch_id)
+        previous = current.limit(0) if last is None else spark.read.parquet(f"{path}/snapshot/{last}")
         met = previous if complete else previous.join(current.select(key), key, "left_semi")
         snapshot_diff(met, current, key, fields).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/events/batch_id={batch_id}")
         kept = current if complete else current.unionByName(previous.join(current.select(key), key, "left_anti"))

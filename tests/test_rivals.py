@@ -96,3 +96,72 @@ def test_ten_thousand_terms_equal_a_naive_search(spark, tmp_path):
     assert terms.term_matches(spark.createDataFrame(texts, "id long, text string"), "id", "text", spark.createDataFrame([], "dimension string, term string, value string")).collect() == []
     (tmp_path / "a.json").write_text(json.dumps({"attributes": [{"name": "Color", "values": [{"name": "Navy", "aliases": ["dark blue"]}, {"name": None}]}, {"name": "Fit", "values": [{"name": "Slim"}]}]}, indent=1))
     assert sorted(map(tuple, terms.dimension_terms(spark, f"{tmp_path}/a.json").collect())) == [("Color", "Navy", "Navy"), ("Color", "dark blue", "Navy"), ("Fit", "Slim", "Slim")]
+
+
+def test_as_of_equals_brute_force(spark):
+    from datetime import datetime, timedelta
+
+    from millrace.operators import asof
+
+    rng, start = random.Random(4), datetime(2024, 1, 1)
+    when = lambda: start + timedelta(hours=6 * rng.randrange(60))
+    runs = [(i, rng.choice("ab"), when(), f"x{i}") for i in range(40)] + [(90, "a", None, "n"), (91, None, when(), "k"), (92, "z", when(), "z")]
+    rows = {n: [(i, rng.choice("ab"), when(), i * 10) for i in range(30)] + [(50, "a", None, 1), (51, None, when(), 2)] for n in ("p", "q")}
+    rows["p"] += [(60, "a", start - timedelta(days=40), 7), (61, "b", start, 8), (62, "b", start, 9)]
+    frame = lambda r: spark.createDataFrame(r, "id long, k string, at timestamp, v long")
+    histories = {n: (frame(r).repartition(3), ["v"]) for n, r in rows.items()} | {"none": (frame([]), ["v"])}
+    out = asof.as_of(spark.createDataFrame(runs, "id long, k string, at timestamp, p0 string"), histories, ["k"]).collect()
+    assert len(out) == len(runs)
+    for r in out:
+        for n in ("p", "q"):
+            past = [(t, i, v) for i, k, t, v in rows[n] if k == r.k and k is not None and t is not None and r["at"] is not None and t <= r["at"]]
+            assert (r[n] and (r[n]["at"], r[n].v)) == (max(past) and (max(past)[0], max(past)[2]) if past else None)
+        assert r.none is None and r.p0 is not None
+
+
+def test_brands_before_the_title_in_a_url(spark):
+    from millrace.operators import enrich
+
+    rows = [("https://a.b/p/new-balance-red-shoe-12.html", "Red Shoe", "New Balance"), ("https://a.b/p/red-shoe", "Red Shoe", None), ("https://a.b/acme-red-shoe/x", "Red shoe!", "Acme"), ("https://a.b/12-red-shoe", "Red Shoe", None), ("https://a.b/a-b-c-d-e-red-shoe", "Red Shoe", None), ("https://a.b/acme-shoe", "Shoe", None), (None, "Red Shoe", None), ("https://a.b/acme-red-shoe", None, None)]
+    out = spark.createDataFrame(rows, "url string, title string, want string").select("want", enrich.brand_from_url(F.col("url"), F.col("title")).alias("got")).collect()
+    assert all(r.want == r.got for r in out), out
+
+
+def test_sitemaps_and_feeds(spark):
+    from millrace.sources import readers
+
+    rows = [
+        (1, "<urlset><url><loc> https://a.b/x-y?p=1&amp;q=&#39;2&#39; </loc></url><url><image:loc><![CDATA[https://a.b/c&d]]></image:loc></url><url><loc>https://a.b/x-y?p=1&amp;q=&#39;2&#39;</loc></url></urlset>"),
+        (2, '<feed xmlns="http://www.w3.org/2005/Atom"><link href="https://a.b/feed" rel="self"/><entry><atom:link rel=\'alternate\' href=\'https://a.b/one\'/><link rel="enclosure" href="https://a.b/f.mp3"/></entry></feed>'),
+        (3, "<rss><channel><item><link>https://a.b/item.html</link></item><item><link/></item></channel></rss>"), (4, None), (5, "<loc>ftp://x</loc>"),
+    ]
+    out = [(r.id, r.ord, r.url) for r in readers.sitemap_links(spark.createDataFrame(rows, "id int, xml string"), "id", "xml").orderBy("id", "ord").collect()]
+    assert out == [(1, 0, "https://a.b/x-y?p=1&q='2'"), (1, 1, "https://a.b/c&d"), (2, 0, "https://a.b/one"), (3, 0, "https://a.b/item.html")]
+
+
+def test_categories_meet_items_by_rare_tokens_only(spark):
+    from millrace.operators import matching
+
+    rng = random.Random(7)
+    tokens = [f"t{i}" for i in range(12)]
+    cats = {f"c{i}": {"t0", *rng.sample(tokens, rng.randrange(1, 5))} for i in range(30)}
+    items = {i: rng.sample(tokens, rng.randrange(0, 6)) for i in range(40)}
+    want = set()
+    for i, t in items.items():
+        scored = sorted((-round(len(set(t) & c) / len(t), 4), name) for name, c in cats.items() if t and len(set(t) & c) / len(t) >= 0.5)
+        want |= {(i, name, -s) for s, name in scored[:3]}
+    c = spark.createDataFrame([(n, t) for n, ts in cats.items() for t in ts] + [("c0", "t0")], "category string, token string")
+    d = spark.createDataFrame([(i, t) for i, t in items.items()], "i long, t array<string>")
+    assert {(r.i, r.category, r.overlap) for r in matching.taxonomy_candidates(d, "i", F.col("t"), c).collect()} == want
+
+
+def test_snapshots_may_start_anywhere(spark, tmp_path):
+    from millrace.streaming import monitor
+
+    run = monitor.snapshot_changes(f"{tmp_path}/out", "k", ["price"], "o")
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, price long, o long")
+    run(rows(("a", 1, 1)), 7)
+    run(rows(("a", 2, 1), ("b", 1, 1)), 11)
+    assert monitor.last_snapshot(spark, f"{tmp_path}/out", 11) == 7 and monitor.last_snapshot(spark, f"{tmp_path}/none", 3) is None
+    events = spark.read.parquet(f"{tmp_path}/out/events")
+    assert {r.batch_id for r in events.collect()} == {7, 11} and events.where("batch_id = 11").count() == 2
