@@ -98,9 +98,14 @@ def split_axes(found: DataFrame, product: str, always: tuple[str, ...] = ()) ->
     )
 
 
+def real_value(v: Column) -> Column:
+    """A value that a choice can have: no prompt, no long text, no page."""
+    return coerce.option_scalar(v).isNotNull() & (F.length(v) <= 40) & ~v.rlike("^https?:")
+
+
 def valid_groups(found: DataFrame) -> DataFrame:
-    """Groups of choices that vary a product: two real values or more, none of them a page."""
-    real = F.filter("values", lambda v: coerce.option_scalar(v).isNotNull() & (F.length(v) <= 40) & ~v.rlike("^https?:"))
+    """Groups of choices that vary a product: two real values or more."""
+    real = F.filter("values", real_value)
     return found.withColumn("values", real).where(F.size("values") >= 2)
 
 

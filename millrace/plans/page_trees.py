@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import url as u
-from millrace.operators import variants
+from millrace.operators import tiers, variants
 from millrace.sources import html, options, selectors, tree, views
 
 from .registry import query, table
@@ -124,3 +124,16 @@ def page_images(spark, d):
     )
     pages = table(spark, d, "part").select("p_partkey", c(lit("https://x.example.com/p/part-"), key).alias("url"), body.alias("html"))
     return views.page_images(tree.page_trees(pages, "p_partkey"), "p_partkey")
+
+
+@query("second_tier", """select p_partkey, p_name as title, case when p_partkey % 2 = 0 then p_brand else 'Own' end as brand, p_retailprice::decimal(12,2)::double as price,
+  case p_partkey % 4 when 1 then ['price'] when 2 then ['brand'] when 0 then ['title', 'brand', 'price'] else []::varchar[] end as filled from part""")
+def second_tier(spark, d):
+    """Records that are whole, or lack a price, a brand or all; only the pages of these are walked."""
+    k, amount = F.col("p_partkey") % 4, F.col("p_retailprice").cast("decimal(12,2)")
+    p = table(spark, d, "part")
+    rows = p.select("p_partkey", F.when(k != 0, F.col("p_name")).alias("title"), F.when(k.isin(1, 3), "Own").otherwise(F.when(k == 2, " ")).alias("brand"), F.when(k.isin(2, 3), amount.cast("double")).alias("price"))
+    page = c(lit("<main><h1>"), F.col("p_name"), lit("</h1><p>$"), amount.cast("string"), lit("<p>Brand: "), F.col("p_brand"), lit("<p>Size: 1<button>Add to cart</button></main>"))
+    pages = p.select("p_partkey", page.alias("html"))
+    walk = lambda some: views.shown_values(tree.page_trees(some, "p_partkey", keep=()), "p_partkey")
+    return tiers.completed(rows, pages, "p_partkey", ("title", "brand", "price"), walk)

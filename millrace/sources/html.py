@@ -242,8 +242,15 @@ def _payloads(row: dict) -> list[tuple[str, int, str]]:
     return out + [(name, 0, dump(x)) for name, x in (("microdata", named), ("opengraph", graph)) if x]
 
 
-def structured_rows(pages: DataFrame, key: str, html: str = "html", url: str | None = "url") -> DataFrame:
-    """(key, source, ord, payload): JSON-LD nodes, microdata and Open Graph, in that order.
+def _shown(row: dict) -> list[tuple[str, int, str]]:
+    """(source, ord, JSON) of what one page shows: its labelled values and its first heading."""
+    pairs = [("table", i, dumps({"label": p["label"], "value": p["value"]}, compact=False)) for i, p in enumerate(row["pairs"])]
+    return pairs + [("dom", 0, dumps({"h1": row["h1"]}, compact=False))] * bool(row["h1"])
+
+
+def structured_rows(pages: DataFrame, key: str, html: str = "html", url: str | None = "url", shown: bool = False) -> DataFrame:
+    """(key, source, ord, payload): JSON-LD nodes, microdata and Open Graph, in that order; where
+    ``shown``, labelled values and the heading (sources table and dom) after them.
 
     Each page is parsed once and gives one list of payloads, which is exploded.
     """
@@ -251,10 +258,14 @@ def structured_rows(pages: DataFrame, key: str, html: str = "html", url: str | N
     picked = pages.select(key, F.col(html).cast("string").alias("_html"), (F.col(url) if url else F.lit("")).alias("_base"))
     each = pa.struct([("source", pa.string()), ("ord", pa.int32()), ("payload", pa.string())])
 
+    def found(page: str, base: str) -> list[tuple[str, int, str]]:
+        row = Page(page, base).row()
+        return _payloads(row) + (_shown(row) if shown else [])
+
     def run(batches):
         for batch in batches:
-            found = [_payloads(Page(h or "", b or "").row()) for h, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            rows = [[dict(zip(("source", "ord", "payload"), x, strict=True)) for x in page] for page in found]
+            of = [found(h or "", b or "") for h, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            rows = [[dict(zip(("source", "ord", "payload"), x, strict=True)) for x in page] for page in of]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(each))], [key, "found"])
 
     parsed = picked.mapInArrow(run, f"{key} {kind}, found array<struct<source:string,ord:int,payload:string>>")

@@ -217,21 +217,23 @@ DETAIL = {
 def detail_candidates(pages: DataFrame, key: str, html: str = "html", url: str = "url") -> DataFrame:
     """(key, field, value, tier, ord): every value that a page's sources offer for a field.
 
-    Microdata names end in their place in the page; the first of a name counts.
+    Microdata names end in their place in the page; the first of a name counts.  Each page is parsed once.
     """
-    rows = pages_html.structured_rows(pages, key, html, url)
+    rows = pages_html.structured_rows(pages, key, html, url, shown=True)
     micro = F.from_json("payload", "map<string,string>")
     item = lambda names: F.get(F.map_values(F.map_filter(micro, lambda k, v: F.split_part(k, F.lit("."), F.lit(-2)).isin(*names))), F.lit(0))
     at = lambda paths: F.coalesce(*(coerce.text_or_none(F.get_json_object("payload", f"$.{p}")) for p in paths))
     plain = {"title": ("name",), "image_url": ("image",), "currency": ("priceCurrency",)}
     value = {f: F.when(F.col("source") == "microdata", coerce.text_or_none(item(plain.get(f, (f,))))).otherwise(at(paths)) for f, paths in DETAIL.items()}
-    pairs = F.array(*(F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in value.items()))
-    found = rows.select(key, F.col("source").alias("tier"), "ord", F.explode(pairs).alias("p")).select(key, "p.field", "p.value", "tier", "ord")
-    parsed = pages_html.parse_pages(pages, key, html, url)
+    offer = lambda f, v: F.struct(f.alias("field"), v.alias("value"))
     label = F.create_map(*(F.lit(x) for f in ("brand", "sku") for x in (f, f)), F.lit("item"), F.lit("title"), F.lit("price"), F.lit("price"))
-    table = parsed.select(key, F.posexplode("pairs").alias("ord", "p")).select(key, F.element_at(label, F.lower("p.label")).alias("field"), F.col("p.value").alias("value"), F.lit("table").alias("tier"), "ord")
-    head = parsed.select(key, F.lit("title").alias("field"), coerce.text_or_none(F.col("h1")).alias("value"), F.lit("dom").alias("tier"), F.lit(0).alias("ord"))
-    return found.unionByName(table).unionByName(head).where("field is not null and value is not null")
+    of = (
+        F.when(F.col("source") == "table", F.array(offer(F.element_at(label, F.lower(at(("label",)))), at(("value",)))))
+        .when(F.col("source") == "dom", F.array(offer(F.lit("title"), at(("h1",)))))
+        .otherwise(F.array(*(offer(F.lit(f), v) for f, v in value.items())))
+    )
+    found = rows.select(key, F.col("source").alias("tier"), "ord", F.explode(of).alias("p"))
+    return found.select(key, "p.field", "p.value", "tier", "ord").where("field is not null and value is not null")
 
 
 def detail_records(candidates: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ value, so no product of axes is made.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import coerce
@@ -71,8 +71,8 @@ def choices(found: DataFrame, key: str) -> DataFrame:
     each = found.select(key, "ord", "available", F.explode("options").alias("axis", "v"))
     each = each.select(key, "ord", "available", "axis", variants.axis_value(F.col("axis"), F.col("v")).alias("value"))
     one = each.groupBy(key, "axis", F.lower("value").alias("low")).agg(F.min_by("value", "ord").alias("value"), F.max("available").alias("available"))
-    real = variants.valid_groups(one.groupBy(key, "axis").agg(F.collect_set("value").alias("values")))  # an axis of one page
-    return one.join(real.select(key, "axis"), [key, "axis"], "left_semi")
+    real = F.count_if(variants.real_value(F.col("value"))).over(Window.partitionBy(key, "axis"))  # an axis of one page
+    return one.withColumn("_n", real).where("_n >= 2").drop("_n")
 
 
 def existing_variants(found: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -81,17 +81,20 @@ def existing_variants(found: DataFrame, known: DataFrame, key: str) -> DataFrame
     ``known`` are structured variants (key, ord, options, available, ...).  A row stays where each
     of its options on an axis that the page offers is one of the choices there, and can be had
     where the row and these choices can.  A page without structured variants gives its choices if
-    it offers one axis; of several axes nothing says which combinations exist.
+    it offers one axis; of several axes nothing says which combinations exist.  The choices of a page,
+    a bounded list, meet its variants by key, so the pages behind both are read once.
     """
-    offered = choices(found, key)
+    offer = F.collect_list(F.struct("axis", "low", "value", "available"))
+    page = choices(found, key).groupBy(F.col(key).alias("_key")).agg(offer.alias("offered"))
     keys = F.transform_keys("options", lambda k, v: variants.axis_key(k))
-    rows = known.withColumn("options", F.transform_values(keys, lambda k, v: variants.axis_value(k, v)))
-    pairs = rows.select(key, "ord", F.explode("options").alias("axis", "v")).select(key, "ord", "axis", F.lower("v").alias("low"))
-    met = pairs.join(offered.select(key, "axis").distinct(), [key, "axis"], "left_semi").join(offered.drop("value"), [key, "axis", "low"], "left")
-    judged = met.groupBy(key, "ord").agg(F.every(F.col("available").isNotNull()).alias("_real"), F.every(F.coalesce("available", F.lit(True))).alias("_had"))
-    kept = rows.join(judged, [key, "ord"], "left").where(F.coalesce("_real", F.lit(True)))
-    out = kept.select(key, "ord", "options", (F.col("available") & F.coalesce("_had", F.lit(True))).alias("available"))
-    bare = offered.join(known.select(key).distinct(), key, "left_anti")
-    single = bare.groupBy(key).agg(F.count_distinct("axis").alias("n")).where("n = 1").select(key)
-    own = bare.join(single, key, "left_semi").select(key, F.xxhash64("axis", "low").alias("ord"), F.create_map("axis", "value").alias("options"), "available")
-    return out.withColumn("ord", F.col("ord").cast("long")).unionByName(own)
+    rows = known.select(key, F.struct(F.col("ord").cast("long").alias("ord"), F.transform_values(keys, lambda k, v: variants.axis_value(k, v)).alias("options"), F.col("available")).alias("row"))
+    both = rows.join(page, rows[key] == page["_key"], "full").select(F.coalesce(key, "_key").alias(key), "row", F.coalesce("offered", F.array()).alias("offered"))
+    on = lambda e: F.filter("offered", lambda o: o["axis"] == e["key"])
+    same = lambda e: F.filter("offered", lambda o: (o["axis"] == e["key"]) & (o["low"] == F.lower(e["value"])))
+    entries = F.map_entries(F.col("row.options"))
+    real = F.forall(entries, lambda e: (F.size(on(e)) == 0) | (F.size(same(e)) > 0))
+    had = F.forall(entries, lambda e: (F.size(on(e)) == 0) | F.exists(same(e), lambda o: o["available"]))
+    kept = F.when(real, F.array(F.struct(F.col("row.ord").alias("ord"), F.col("row.options").alias("options"), (F.col("row.available") & had).alias("available"))))
+    own = F.transform("offered", lambda o: F.struct(F.xxhash64(o["axis"], o["low"]).alias("ord"), F.create_map(o["axis"], o["value"]).alias("options"), o["available"].alias("available")))
+    single = F.size(F.array_distinct(F.transform("offered", lambda o: o["axis"]))) == 1
+    return both.select(key, F.inline(F.when(F.col("row").isNotNull(), kept).when(single, own)))

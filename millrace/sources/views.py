@@ -126,3 +126,14 @@ def page_images(trees: DataFrame, key: str, url: str = "url") -> DataFrame:
     urls = variants.distinct_images(F.transform("l", lambda x: x["image_url"]))
     one = listed.select(key, "l", F.posexplode(urls).alias("ord", "image_url"))
     return one.select(key, "ord", "image_url", (-F.get(F.filter("l", lambda x: x["image_url"] == F.col("image_url")), 0)["p"]).alias("points"))
+
+
+def shown_values(trees: DataFrame, key: str) -> DataFrame:
+    """(key, field, value): what a page shows of a product, for records that lack it: title and price from the
+    selling scope, brand, sku and the like from its labelled lines ("Brand: Acme")."""
+    scoped = product_scope(trees, key)
+    human = human_view(scoped, key).select(key, F.explode("human").alias("field", "value"))
+    named = human.select(key, F.when(F.col("field") == "name", "title").otherwise(F.col("field")).alias("field"), "value")
+    label, value = F.regexp_extract("line", r"^([\p{L} ]{2,30}?)\s*:\s*(\S.*)$", 1), F.regexp_extract("line", r"^([\p{L} ]{2,30}?)\s*:\s*(\S.*)$", 2)
+    lined = scoped.select(key, F.explode("scope").alias("line")).select(key, F.lower(F.replace(label, F.lit(" "), F.lit("_"))).alias("field"), value.alias("value")).where("field <> ''")
+    return named.unionByName(lined)

@@ -165,3 +165,20 @@ def test_snapshots_may_start_anywhere(spark, tmp_path):
     assert monitor.last_snapshot(spark, f"{tmp_path}/out", 11) == 7 and monitor.last_snapshot(spark, f"{tmp_path}/none", 3) is None
     events = spark.read.parquet(f"{tmp_path}/out/events")
     assert {r.batch_id for r in events.collect()} == {7, 11} and events.where("batch_id = 11").count() == 2
+
+
+def test_only_incomplete_pages_are_walked(spark):
+    from millrace.operators import tiers
+
+    records = spark.createDataFrame([(1, "a", 1.0, "x"), (2, " ", None, "y"), (3, None, 2.0, None), (4, None, None, "no page"), (None, None, None, "no key")], "id long, title string, price double, other string")
+    pages = spark.createDataFrame([(1, "never"), (2, "page"), (3, "page"), (9, "never")], "id long, html string")
+    seen = []
+
+    def walk(some):
+        seen.extend(r.html for r in some.collect())
+        found = [("title", "new"), ("price", "7.5"), ("price", " "), ("color", "red")]
+        return some.select("id").crossJoin(spark.createDataFrame(found, "field string, value string"))
+
+    out = {r.other: (r.id, r.title, r.price, r.filled) for r in tiers.completed(records, pages, "id", ("title", "price"), walk).collect()}
+    assert out == {"x": (1, "a", 1.0, []), "y": (2, "new", 7.5, ["title", "price"]), None: (3, "new", 2.0, ["title"]), "no page": (4, None, None, []), "no key": (None, None, None, [])}
+    assert seen == ["page", "page"]
