@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import url as u
 from millrace.operators import tiers, variants
-from millrace.sources import html, options, selectors, tree, views
+from millrace.sources import bodies, html, options, selectors, tree, views
 
 from .registry import query, table
 from .relational import DOMAIN_SQL
@@ -137,3 +137,40 @@ def second_tier(spark, d):
     pages = p.select("p_partkey", page.alias("html"))
     walk = lambda some: views.shown_values(tree.page_trees(some, "p_partkey", keep=()), "p_partkey")
     return tiers.completed(rows, pages, "p_partkey", ("title", "brand", "price"), walk)
+
+
+@query("nested_microdata", """select p_partkey, 'Product' as type, p_name as name, p_retailprice::decimal(12,2)::varchar as price, 'Brand' as brand_type, p_brand as brand, case when p_partkey % 3 = 0 then 2 when p_partkey % 3 = 1 then 1 else 0 end as reviews, case when p_partkey % 3 < 2 then p_size::varchar end as first_rating from part""")
+def nested_microdata(spark, d):
+    """Offers, brands and none to two reviews inside a product, whose tags are not all closed."""
+    k, size = F.col("p_partkey") % 3, F.col("p_size").cast("string")
+    review = lambda n: c(lit("<li itemprop=review itemscope itemtype='https://schema.org/Review'><b itemprop=reviewRating itemscope itemtype=Rating><meta itemprop=ratingValue content="), n, lit("></b>fine"))
+    body = c(
+        lit("<p itemprop=name>outside</p><div itemscope itemtype='https://schema.org/Product'><h1 itemprop=name>"), F.col("p_name"), lit("</h1><div itemprop='offers x' itemscope itemtype='http://schema.org/Offer/'><span itemprop=price content='"), F.col("p_retailprice").cast("decimal(12,2)").cast("string"),
+        lit("'>$?</span></div><span itemprop=brand itemscope itemtype=https://schema.org/Brand><i itemprop=name>"), F.col("p_brand"), lit("</i></span><ul>"), F.when(k == 0, c(review(size), review(lit("9")))).when(k == 1, review(size)).otherwise(""), lit("</ul></div>"),
+    )
+    rows = bodies.microdata(tree.page_trees(table(spark, d, "part").select("p_partkey", body.alias("html")), "p_partkey", keep=()), "p_partkey")
+    at = lambda p: F.get_json_object("payload", f"$.{p}")
+    count = F.when(at("review").isNull(), 0).when(at("review").startswith("["), F.json_array_length(at("review"))).otherwise(1)
+    rating = F.coalesce(at("review[0].reviewRating.ratingValue"), at("review.reviewRating.ratingValue"))
+    return rows.select("p_partkey", "type", at("name").alias("name"), at("offers.price").alias("price"), at("brand['@type']").alias("brand_type"), at("brand.name").alias("brand"), count.alias("reviews"), rating.alias("first_rating"))
+
+
+@query("forum_posts", """select p_partkey, i::int as ord, case when i = 1 then null else 'user' || (p_size + i) end as author, case when i = 0 then '2024-01-0' || (p_size % 9 + 1) when i = 2 then 'today' end as published, p_name || ' says ' || i as body from part, range(0, 3) t(i) where i <= p_partkey % 3""")
+def forum_posts(spark, d):
+    """One to three posts a thread, with an author or none, a machine's date, a written one or none, and a quoted post inside."""
+    size, k = F.col("p_size"), F.col("p_partkey") % 3
+    said = lambda n: c(F.col("p_name"), lit(f" says {n}"))
+    user = lambda n: c(lit("user"), (size + n).cast("string"))
+    first = c(lit("<div class='post first'><a class=author-link href=#>"), user(0), lit("</a><time datetime='2024-01-0"), (size % 9 + 1).cast("string"), lit("'>then</time><div class=content>"), said(0), lit("</div><div class=comment>quoted</div></div>"))
+    second = F.when(k >= 1, c(lit("<article class=reply><p>"), F.col("p_name"), lit(" <b>says</b> 1</article>"))).otherwise("")
+    third = F.when(k >= 2, c(lit("<li itemprop=comment><span itemprop=author>"), user(2), lit("</span><time>today</time><span itemprop=text>"), said(2), lit("</span>"))).otherwise("")
+    page = c(lit("<h1>Thread</h1><div class=posts>"), first, second, lit("<ul>"), third, lit("</ul><div class=post> </div></div>"))
+    return bodies.posts(tree.page_trees(table(spark, d, "part").select("p_partkey", page.alias("html")), "p_partkey", keep=()), "p_partkey")
+
+
+@query("article_bodies", f"""with p as (select page_id, regexp_extract(html, '(?s)<article>(.*?)(</article>|</body>|$)', 1) a, page_id % 2 = 0 e from pages)
+ select page_id, case when e then 'Ann Lee' end as author, {_PLAIN.format("a")} as body, list_filter(list_transform(string_split(a, '<p>')[2:], lambda x: {_PLAIN.format("x")}), lambda x: x <> '') as paragraphs from p""")
+def article_bodies(spark, d):
+    """The stored articles; every other page gets a byline in its navigation."""
+    made = F.when(F.col("page_id") % 2 == 0, F.replace("html", lit("<nav>"), lit("<nav><i class=byline>By  Ann Lee</i>"))).otherwise(F.col("html"))
+    return bodies.article_bodies(tree.page_trees(table(spark, d, "pages").select("page_id", made.alias("html")), "page_id", keep=()), "page_id")

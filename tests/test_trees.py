@@ -189,3 +189,22 @@ def test_scope_views_and_images(spark):
     assert human == {1: {"name": "Red Shoe", "price": "5"}, 2: {"name": "Shoe", "price": "7.50"}, 3: {"name": "Shoe", "price": "3"}, 4: {"price": "9"}, 5: {}, 6: {}}
     assert {r.id: r.agent for r in views.agent_view(trees, "id").collect()} == {i: {} for i in range(1, 7)}
     assert views.page_images(trees, "id").collect() == []
+
+
+def test_microdata_posts_and_bodies(spark):
+    import json
+
+    from millrace.sources import bodies
+
+    deep = "<div itemscope itemprop=x>" * 3_000
+    pages = spark.createDataFrame([
+        (1, "<div itemscope itemtype=http://schema.org/Product><a itemprop='url name' href=/u>t</a><img itemprop=image src=1.png><img itemprop=image src=2.png><time itemprop=d datetime=2024>x</time><div itemprop=o itemscope><meta itemprop=p content=5></div></div><p itemprop=lost>y</p>"),
+        (2, deep), (3, None), (4, "<div class=post><div class=comment>inner <span class=author>a</span></div></div><div class=Post></div><div class=post-list><div class='message x'>m"),
+        (5, "<meta name=author content='Meta Name'><main>short</main><article><p>long enough text<p>more</article>"), (6, "plain <b>text</b>"),
+    ], "id long, html string")
+    trees = tree.page_trees(pages, "id", keep=())
+    found = {r.id: json.loads(r.payload) for r in bodies.microdata(trees, "id").collect()}
+    assert found == {1: {"@type": "Product", "url": "/u", "name": "/u", "image": ["1.png", "2.png"], "d": "2024", "o": {"@type": "", "p": "5"}}}
+    assert [(r.id, r.ord, r.author, r.body) for r in bodies.posts(trees, "id").orderBy("id", "ord").collect()] == [(4, 0, "a", "inner a"), (4, 1, None, "m")]
+    got = {r.id: (r.author, r.body, r.paragraphs) for r in bodies.article_bodies(trees, "id").collect()}
+    assert got[5] == ("Meta Name", "long enough text more", ["long enough text", "more"]) and got[6] == (None, "plain text", []) and got[3] == (None, None, [])
