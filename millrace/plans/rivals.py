@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import asof, repairs, rivals, terms
-from millrace.sources import json_tree, payloads
+from millrace.sources import json_tree, network, payloads
 
 from .registry import query, table
 
@@ -115,3 +115,21 @@ def run_recipes(spark, d):
     histories = {k: (rest.where(F.col("event_type") == k), ["id", "v"]) for k in _KINDS}
     out = asof.as_of(e.where("id % 3 = 0").select("id", "at", "u"), histories, ["u"])
     return out.select(F.col("id").alias("event_id"), *(x for k in _KINDS for x in (F.col(k)["id"].alias(f"{k}_id"), F.col(k)["v"].alias(f"{k}_value"))))
+
+
+@query("network_rows", """with p as (select *, p_retailprice::decimal(12,2) r, p_partkey % 3 k from part)
+ select p_partkey, 0 as ord, p_name as title, 'https://x.example.com/p/' || p_partkey as url, p_partkey::varchar as product_id, r::double as price, case when k = 0 then 'EUR' when k = 1 then 'USD' end as currency, case when k = 2 then 'https://x.example.com/c.png' else 'https://x.example.com/i/' || p_size || '.jpg' end as image_url,
+  p_type as description, case when k = 1 then 4.5 end::double as rating, case when k = 1 then p_size end::bigint as review_count from p
+ union all select p_partkey, 1, p_brand, 'https://x.example.com/other', null, null, null, null, null, null, null from p where k <> 2""")
+def network_rows(spark, d):
+    """Rows by link, slug or full slug, with plain or nested prices and images, repeated in a second body beside a row of its own."""
+    k, key, amount = F.col("p_partkey") % 3, F.col("p_partkey").cast("string"), F.col("p_retailprice").cast("decimal(12,2)").cast("string")
+    way = F.when(k == 0, c(lit('"url":"/p/'), key, lit('"'))).when(k == 1, c(lit('"slug":"p/'), key, lit('"'))).otherwise(c(lit('"handle":"https://x.example.com/p/'), key, lit('"')))
+    cost = F.when(k == 0, c(lit('"price":{"value":'), amount, lit('},"currency":"EUR"'))).when(k == 1, c(lit('"salePrice":"$'), amount, lit('","review":{"rating":4.5,"count":'), F.col("p_size").cast("string"), lit("}"))).otherwise(c(lit('"amount":'), amount))
+    image = F.when(k == 2, '"colorOptions":[{"thumbnail":"/c.png"}]').otherwise(c(lit('"image":{"src":"/i/'), F.col("p_size").cast("string"), lit('.jpg"}')))
+    row = c(lit('{"productName":"'), F.col("p_name"), lit('","id":'), key, lit(',"description":"'), F.col("p_type"), lit('",'), way, lit(","), cost, lit(","), image, lit("}"))
+    first = c(lit('{"page":{"title":"x"},"data":[{"edges":[{"node":'), row, lit("}]}]}"))
+    second = F.when(k == 2, "not json").otherwise(c(lit("["), row, lit(',{"name":"'), F.col("p_brand"), lit('","link":"/other"},{"name":"no way"}]')))
+    p = table(spark, d, "part")
+    bodies = p.select("p_partkey", lit(0).alias("place"), first.alias("body")).unionByName(p.select("p_partkey", lit(1).alias("place"), second.alias("body"))).withColumn("at", lit("https://x.example.com/list?page=1"))
+    return network.network_rows(bodies, "p_partkey", "body", "at", "place")

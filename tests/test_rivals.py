@@ -182,3 +182,15 @@ def test_only_incomplete_pages_are_walked(spark):
     out = {r.other: (r.id, r.title, r.price, r.filled) for r in tiers.completed(records, pages, "id", ("title", "price"), walk).collect()}
     assert out == {"x": (1, "a", 1.0, []), "y": (2, "new", 7.5, ["title", "price"]), None: (3, "new", 2.0, ["title"]), "no page": (4, None, None, []), "no key": (None, None, None, [])}
     assert seen == ["page", "page"]
+
+
+def test_network_rows(spark):
+    from millrace.sources import network
+
+    bodies = [
+        (1, 0, "http://s.com/a/list", '[{"title":" T ","url":"x.html","price":{"value":"5"}},{"name":"n","slug":"/q","price":"\\u20ac7"},{"title":true,"url":"/b"},{"title":"z","url":{"a":1}}]'),
+        (1, 1, "http://s.com/a/list", '{"l":{"name":"again","href":"/q"},"m":{"name":"own","permalink":"//c.com/d","image":["x"],"review":{"rating":"x","count":3}}}'),
+        (2, 0, "http://s.com/", "[" * 5_000), (3, 0, None, '{"title":"t","url":"/x"}'), (4, 0, "http://s.com/", None),
+    ]
+    rows = network.network_rows(spark.createDataFrame(bodies, "id long, place int, at string, body string"), "id", "body", "at", "place").where("id = 1").orderBy("ord").collect()
+    assert [(r.title, r.url, r.price, r.currency, r.review_count, r.rating) for r in rows] == [("T", "http://s.com/a/x.html", 5.0, None, None, None), ("n", "http://s.com/q", 7.0, "EUR", None, None), ("own", "http://c.com/d", None, None, 3, None)]
