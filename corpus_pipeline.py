@@ -36,18 +36,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold too much of the benchmark go."""
+    """Documents that hold too much of the benchmark go: a twentieth of their words or more.
+
+    Null and empty texts hold nothing and stay; repeated rows are judged alike; an empty table or
+    benchmark changes nothing.  Other columns, called like the operator's or not, are kept.
+    """
     out = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
     return _columns(out.where(~decontaminate.contaminated()), docs, decontaminate.NEW)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources by weight, documents in training order; documents left out go, others repeat."""
+    """Sources by weight, documents in training order; documents left out go, others repeat.
+
+    A document at the end of its source's demand stays whole.  Null sources are a source; texts without
+    words are never taken and go; an empty table gives an empty result.  Other columns are kept.
+    """
     return mixing.mix_stage(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds ``shard``."""
+    """Adds ``shard``, 0 to 39, near equal in bytes.
+
+    Rows of one text share a shard unless they fill more than half of one; null and empty texts weigh
+    their 16 bytes; an empty table gives an empty result.  A column ``shard`` of the input is kept
+    under another name, all others under their own.
+    """
     return sharding.shard_stage(docs)
 
 
