@@ -63,11 +63,17 @@ def context_conflict(tokens: Column, category: Column) -> Column:
 def known_brand(items: DataFrame, item: str, title: str, brands: DataFrame, brand: str) -> DataFrame:
     """(item, brand): the longest known brand whose words stand in the title one after another.
 
-    Brands meet titles by their first word, so each title is compared with few.
+    Brands meet titles by the one of their words that the fewest brands have, so that a word common among
+    brands ("the", "co") brings a title only the brands that have no rarer one.
     """
-    pad = lambda x: F.concat(F.lit(" "), F.array_join(text.slug_tokens(x), " "), F.lit(" "))
-    b = brands.select(F.col(brand).alias("brand"), pad(F.col(brand)).alias("bt"), F.get(text.slug_tokens(F.col(brand)), F.lit(0)).alias("word")).where("word is not null").distinct()
-    t = items.select(item, pad(F.col(title)).alias("tt"), F.explode(F.array_distinct(text.slug_tokens(F.col(title)))).alias("word"))
+    pad = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    named = brands.select(F.col(brand).alias("brand")).distinct().withColumn("words", text.slug_tokens(F.col("brand"))).where(F.size("words") > 0)
+    each = named.select("brand", F.explode(F.array_distinct("words")).alias("word"))
+    often = each.groupBy("word").agg(F.count("*").alias("df"))
+    rare = each.join(often, "word").groupBy("brand").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
+    b = named.select("brand", pad(F.col("words")).alias("bt")).join(rare, "brand").select("word", "brand", "bt")
+    words = text.slug_tokens(F.col(title))
+    t = items.select(item, pad(words).alias("tt"), F.explode(F.array_distinct(words)).alias("word"))
     hit = t.join(b, "word").where(F.contains("tt", "bt"))
     best = hit.groupBy(item).agg(F.max_by("brand", F.struct(F.length("bt"), "brand")).alias("brand"))
     return items.select(item).join(best, item, "left")

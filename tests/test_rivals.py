@@ -194,3 +194,11 @@ def test_network_rows(spark):
     ]
     rows = network.network_rows(spark.createDataFrame(bodies, "id long, place int, at string, body string"), "id", "body", "at", "place").where("id = 1").orderBy("ord").collect()
     assert [(r.title, r.url, r.price, r.currency, r.review_count, r.rating) for r in rows] == [("T", "http://s.com/a/x.html", 5.0, None, None, None), ("n", "http://s.com/q", 7.0, "EUR", None, None), ("own", "http://c.com/d", None, None, 3, None)]
+
+
+def test_brands_by_their_rarest_word(spark):
+    from millrace.operators import enrich
+
+    brands = spark.createDataFrame([("The Co",), ("The North Face",), ("North",), ("Face Co",), ("!!",), (None,)], "b string")
+    titles = spark.createDataFrame([(1, "Jacket by The North Face"), (2, "north jacket"), (3, "the face co. cream"), (4, "the co"), (5, "northface"), (6, None)], "id long, t string")
+    assert {r.id: r.brand for r in enrich.known_brand(titles, "id", "t", brands, "b").collect()} == {1: "The North Face", 2: "North", 3: "Face Co", 4: "The Co", 5: None, 6: None}
