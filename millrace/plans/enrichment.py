@@ -8,7 +8,6 @@ from millrace.functions import url as u
 from millrace.operators import classify, enrich
 from millrace.sources import html, listing
 
-from .pages import product_pages
 from .registry import query, table
 
 c = F.concat

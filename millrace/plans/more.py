@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import price, text, values
 from millrace.functions import url as u
-from millrace.operators import matching
+from millrace.operators import matching, quality
 
 from .registry import RECORDS, query, records, table
 from .relational import DOMAIN_SQL
@@ -78,21 +78,36 @@ def summary_merge(spark, d):
     return table(spark, d, "customer").select(k.alias("id"), merged["pages"].cast("bigint").alias("pages"), F.get(verdicts, F.lit(0)).alias("first_verdict"))
 
 
-@query("quality_checks", f"""with {RECORDS}, g as (select run_id, count(*) n, count(*) filter (price > 0) priced, count(distinct source_url) urls, avg(discount) disc, count(*) filter (flag = 'R') returned from records group by 1)
-  select run_id, (priced = n)::int + (urls = n)::int + (disc < 0.08 - 1e-9)::int + (returned = 0)::int as passed,
-   case when n = 0 then 'blocked' when priced = n and urls = n and disc < 0.08 - 1e-9 and returned = 0 then 'good' when priced = n and urls = n then 'usable_with_gaps' else 'bad_output' end as verdict,
-   case when priced < n then 'missing_price' when urls < n then 'duplicate_urls' when returned > 0 then 'returned' when disc >= 0.08 - 1e-9 then 'discounts' else 'none' end as failure_mode from g""")
+_FAULTS = ("none", "detail_identity_mismatch", "listing_chrome_noise", "thin_detail", "axis_pollution", "variant_price_missing", "price_magnitude_anomaly", "category_pollution", "long_text_pollution", "variant_artifact_pollution", "variant_currency_mismatch", "identifier_shape_pollution", "title_internal_token", "system_artifact_pollution", "repair_diagnostic_missing", "blocked")
+
+
+@query("quality_checks", f"""with k as (select *, p_partkey % 17 k from part) select p_partkey, case when k = 16 then 'thin_detail' else ([{", ".join(f"'{f}'" for f in _FAULTS)}])[k + 1] end as failure,
+  case when k = 0 then 'good' when k = 15 then 'blocked' when k in (3, 4, 5, 16) then 'usable_with_gaps' else 'bad_output' end as verdict, 14 - case when k in (0, 15) then 0 when k = 16 then 2 else 1 end as passed from k""")
 def quality_checks(spark, d):
-    g = records(spark, d).groupBy("run_id").agg(
-        F.count("*").alias("n"), F.count_if(F.col("price") > 0).alias("priced"), F.count_distinct("source_url").alias("urls"), F.avg("discount").alias("disc"), F.count_if(F.col("flag") == "R").alias("returned")
-    )
-    all_priced, all_urls, fair, none_back = F.col("priced") == F.col("n"), F.col("urls") == F.col("n"), F.col("disc") < 0.08 - 1e-9, F.col("returned") == 0
-    count = sum((c.cast("int") for c in (all_urls, fair, none_back)), all_priced.cast("int"))
-    return g.select(
-        "run_id", count.alias("passed"),
-        F.when(F.col("n") == 0, "blocked").when(all_priced & all_urls & fair & none_back, "good").when(all_priced & all_urls, "usable_with_gaps").otherwise("bad_output").alias("verdict"),
-        F.when(~all_priced, "missing_price").when(~all_urls, "duplicate_urls").when(~none_back, "returned").when(~fair, "discounts").otherwise("none").alias("failure_mode"),
-    )
+    """A record of each part with one fault, each check's in turn, none, a block, or two that meet."""
+    k, none = F.col("p_partkey") % 17, F.lit(None).cast("string")
+    when = lambda n, v, other: F.when(k == n, v).otherwise(other)
+    variant = lambda color, amount, code: F.struct(F.create_map(F.lit("color"), color).alias("options"), amount.alias("price"), code.alias("currency"))
+    red, blue, amount = F.lit("Red"), F.lit("Blue"), F.col("p_retailprice").cast("double")
+    usd, no = F.lit("USD"), F.lit(None).cast("double")
+    bare = F.struct(F.create_map().cast("map<string,string>").alias("options"), amount.alias("price"), usd.alias("currency"))
+    two = F.array(variant(red, amount, usd), variant(blue, amount, usd))
+    variants = (
+        F.when(k.isin(3, 16), F.array(variant(red, amount, usd))).when(k == 4, F.array(variant(red, amount, usd), bare)).when(k == 5, F.array(variant(red, no, usd), variant(blue, no, none)))
+        .when(k == 9, F.array(variant(F.lit("Select color"), amount, usd), variant(blue, amount, usd))).when(k == 10, F.array(variant(red, amount, F.lit("EUR")), variant(blue, amount, usd))).otherwise(two)
+    )
+    listed = F.array(F.struct(F.lit("A fine thing").alias("title"), when(2, F.lit("https://x.example.com/cart"), F.lit("https://x.example.com/p/thing-12345")).alias("url")))
+    asks = ("variant_presence_ok", "variant_labels_ok", "variant_price_ok", "price_sane_ok", "repair_diagnostics_ok", "listing_noise_ok")
+    # a record without a price fails only the check of variant prices: its sanity is not asked for then
+    required = F.create_map(*(x for n in asks for x in (F.lit(n), (k != 5) if n == "price_sane_ok" else F.lit(True))))
+    rows = table(spark, d, "part").select(
+        "p_partkey", F.lit("ecommerce_detail").alias("surface"), (k == 15).alias("blocked"), required.alias("required"), F.when(k == 1, "404").when(k == 12, "Default Title").otherwise(F.col("p_name")).alias("title"),
+        F.when(k == 5, no).when(k == 6, amount + 1_000_000).otherwise(amount).alias("price"), usd.alias("currency"), when(7, F.lit("https://x.example.com/c"), F.col("p_type")).alias("category"),
+        F.when(k.isin(8, 16), "Soft <div>").otherwise(F.col("p_name")).alias("description"), when(13, F.lit("copy-1"), F.lit("S1")).alias("sku"), when(11, F.lit("12x"), F.lit("12345678")).alias("barcode"), none.alias("gender"),
+        F.col("p_type").alias("product_type"), listed.alias("listing_rows"), variants.alias("variants"), F.when(k != 14, F.array(F.lit("two places"))).alias("repairs"),
+    )
+    out = quality.checked(rows)
+    return out.select("p_partkey", "failure", "verdict", F.size(F.filter(F.map_values("checks"), lambda x: x)).alias("passed"))
 
 
 @query("conversions", """select p_partkey as id, case p_partkey % 3 when 0 then 'true' when 1 then 'false' else 'maybe' end as flag, 'USD ' || p_size || case when p_partkey % 2 = 0 then ' - ' || (p_size + 10) else '' end || ' YEAR' as salary,

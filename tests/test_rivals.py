@@ -202,3 +202,14 @@ def test_brands_by_their_rarest_word(spark):
     brands = spark.createDataFrame([("The Co",), ("The North Face",), ("North",), ("Face Co",), ("!!",), (None,)], "b string")
     titles = spark.createDataFrame([(1, "Jacket by The North Face"), (2, "north jacket"), (3, "the face co. cream"), (4, "the co"), (5, "northface"), (6, None)], "id long, t string")
     assert {r.id: r.brand for r in enrich.known_brand(titles, "id", "t", brands, "b").collect()} == {1: "The North Face", 2: "North", 3: "Face Co", 4: "The Co", 5: None, 6: None}
+
+
+def test_quality_of_absent_values(spark):
+    from millrace.operators import quality
+
+    kinds = "surface string, blocked boolean, required map<string,boolean>, title string, url string, price double, currency string, category string, description string, sku string, barcode string, gender string, product_type string, listing_rows array<struct<title:string,url:string>>, variants array<struct<options:map<string,string>,price:double,currency:string>>, repairs array<string>, verdict string"
+    none = [None] * 17
+    rows = [none, ["ecommerce_detail", *none[1:]], ["ecommerce_listing", None, {}, *none[3:]], ["job_detail", True, *none[2:]], ["x", None, {"price_sane_ok": True}, "T", None, 50_000.0, "jpy", *none[7:]], ["x", None, {"price_sane_ok": True}, "T", None, 50_000.0, "usd", *none[7:]], ["ecommerce_detail", None, {"identity_ok": False}, *none[3:13], [], [({"color": None}, None, None)], [], "old"]]
+    out = quality.checked(spark.createDataFrame(rows, kinds)).collect()
+    assert [(r.failure, r.verdict) for r in out] == [("none", "good"), ("detail_identity_mismatch", "bad_output"), ("listing_chrome_noise", "bad_output"), ("blocked", "blocked"), ("none", "good"), ("price_magnitude_anomaly", "bad_output"), ("none", "good")]
+    assert all(len(r.checks) == 14 for r in out)
