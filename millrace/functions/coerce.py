@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from . import price, text
 from . import url as u
 
-#: Kinds of fields by name (fixed values); other fields are texts.
+#: Kinds of fields by name: a short list of our own; other fields are texts.
 KINDS = {
     "price": "price", "sale_price": "price", "original_price": "price", "currency": "currency", "availability": "availability", "rating": "rating", "review_count": "int",
     "url": "url", "image_url": "url", "in_stock": "bool", "description": "long", "brand": "text", "location": "location", "tags": "list", "salary": "salary",
 }
-#: Titles that name no thing (fixed values).
+#: Titles that name no thing: a short list of our own.
 NOISE_TITLES = ("add to cart", "buy now", "click here", "home", "learn more", "login", "menu", "more", "next", "previous", "read more", "search", "see more", "shop now", "sign in", "view all", "view details")
 
 

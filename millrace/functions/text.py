@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Function words that keywords leave out (fixed values).
+#: Function words that keywords leave out: a short list of our own.
 STOPWORDS = ("a", "an", "and", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Query keys that only track (fixed values).
+#: Query keys that only track: a short list of our own.
 TRACKING_KEYS = ("fbclid", "gclid", "msclkid", "ref", "ref_src", "mc_cid", "mc_eid")
 TRACKING_PREFIX = "utm_"
 UTILITY = ("about", "account", "cart", "checkout", "contact", "faq", "help", "login", "privacy", "register", "search", "signin", "terms", "wishlist")
@@ -142,11 +142,11 @@ def surface(c: Column) -> Column:
     return F.when(job_posting(c), "job_detail").when(F.lower(path(c)).rlike(JOB_MARKS) | job_hub(c), "job_listing").when(detail_like(c), "ecommerce_detail").otherwise("ecommerce_listing")
 
 
-#: Query keys that a canonical record URL drops, and their prefixes (fixed values).
+#: Query keys that a canonical record URL drops, and their prefixes: a short list of our own.
 CANONICAL_KEYS, CANONICAL_PREFIX = ("variant", "color", "colour", "size", "sku", "pos", "position", "sort"), "utm_"
 #: Second-level labels under which sites register below country domains.
 SHARED_LABELS = "co|com|org|net|gov|edu|ac"
-#: Top-level domains whose shops price in one currency (fixed values).
+#: Top-level domains whose shops price in one currency: a short list of our own.
 COUNTRY_CURRENCIES = {"uk": "GBP", "in": "INR", "de": "EUR", "fr": "EUR", "es": "EUR", "it": "EUR", "jp": "JPY", "ca": "CAD", "au": "AUD"}
 
 

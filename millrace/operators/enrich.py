@@ -9,7 +9,7 @@ from millrace.functions import coerce, price, text
 from millrace.functions import url as u
 from millrace.sources import json_tree
 
-#: Sizes: spellings of letter sizes, and systems (fixed values).
+#: Sizes: spellings of letter sizes, and systems: short lists of our own.
 SIZES = {"small": "S", "medium": "M", "large": "L", "x-large": "XL", "extra large": "XL", "xx-large": "XXL", "x-small": "XS", "one size": "ONE SIZE"}
 LETTERS = ("XXS", "XS", "S", "M", "L", "XL", "XXL", "XXXL", "ONE SIZE")
 MATERIAL_CONTEXT = (r"\b(?:feels?|looks?) like (?:\w+)", r"\b(?:not|no|without|free of) (?:\w+)", r"\b(?:\w+)[- ]free\b", r"\bfaux \w+")

@@ -19,7 +19,7 @@ POLLUTED_TEXT = r"(?i)<(script|style|div|p|br)\b|\{\{|function\s*\(|add to cart|
 POLLUTED_CATEGORY = r"(?i)://|^/|\.html?$|^(home|shop|all|products?|menu)$|sign in|add to cart"
 GENDERS = ("women", "men", "unisex", "kids", "girls", "boys", "baby")
 #: check, what a surface asks by default ("detail", "listing", "product", or nothing), what its failure is
-#: called, and whether that makes the output bad, in the order in which failures are named (fixed values).
+#: called, and whether that makes the output bad, in the order in which failures are named.
 CHECKS = (
     ("identity_ok", "detail", "detail_identity_mismatch", True), ("listing_noise_ok", "listing", "listing_chrome_noise", True), ("variant_presence_ok", "", "thin_detail", False), ("variant_labels_ok", "", "axis_pollution", False),
     ("variant_price_ok", "", "variant_price_missing", False), ("price_sane_ok", "", "price_magnitude_anomaly", True), ("category_clean_ok", "commerce", "category_pollution", True), ("long_text_clean_ok", "product", "long_text_pollution", True),

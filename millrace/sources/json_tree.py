@@ -26,7 +26,7 @@ MARKS = frozenset("name node title url".split())
 #: objects that must hold a field of the surface (fixed values).
 POINTS = {"named": 20, "graph": 10, "marked": 5}
 LEAST, SHARE = 2, 0.25
-#: Scripts whose id names a page's state, and names that scripts assign it to (fixed values).
+#: Scripts whose id names a page's state, and names that scripts assign it to: short lists of our own.
 STATE_IDS = ("__NEXT_DATA__", "__NUXT_DATA__")
 STATE_NAMES = ("__INITIAL_STATE__", "__PRELOADED_STATE__", "__APOLLO_STATE__", "__NUXT__", "__STATE__")
 WRAPPERS = frozenset(("Reactive", "ShallowReactive", "Ref", "ShallowRef"))

@@ -24,7 +24,7 @@ NAMES = frozenset("h1 h2 h3 h4".split())
 #: How far up from its link a card is looked for.
 CLIMB = 40
 ENTRY = "source string, ord int, href string, title string, image string, text string, shape string, item string"
-#: Where a field's value comes from, best first (fixed values).
+#: Where a field's value comes from, best first: our order.
 TIERS = ("json_ld", "microdata", "opengraph", "table", "dom")
 
 
@@ -207,7 +207,7 @@ def threads(parsed: DataFrame, key: str) -> DataFrame:
     return parsed.select(key, F.coalesce(coerce.text_or_none(F.col("h1")), coerce.text_or_none(F.col("title"))).alias("title"), count("(?:replies|comments)").alias("replies"), count("views").alias("views"))
 
 
-#: Fields of a product detail and the payload paths that may hold them (fixed values).
+#: Fields of a product detail and the payload paths that may hold them: our table.
 DETAIL = {
     "title": ("name", "['og:title']"), "brand": ("brand.name", "brand", "['product:brand']"), "price": ("offers.price", "offers[0].price", "['product:price:amount']"),
     "currency": ("offers.priceCurrency", "offers[0].priceCurrency", "['product:price:currency']"), "sku": ("sku",), "image_url": ("image", "image[0]", "['og:image']"), "description": ("description", "['og:description']"),
