@@ -15,8 +15,9 @@ from .shingles import _M1, _M3, mix, shingle_sets
 RECALL = 4
 #: Cells of a set's sketch: how many of its tokens fall in each, FULL at most.
 SKETCH, FULL = 128, 127
-#: Rounds of pairs whose number is at most twice that of the prefix tokens.
-ROUNDS = 1
+#: Rounds of pairs whose number is at most twice that of the prefix tokens.  A second one spares looser
+#: laws, whose near copies share fewer prefix tokens, most pairs of the last round.
+ROUNDS, LOOSE_ROUNDS = 1, 2
 
 
 def _needed(n, percent: int):
@@ -151,7 +152,7 @@ def _mixed(posted: DataFrame, comp: DataFrame | None, turn: int, scratch: Scratc
     return owned.join(heads, owned["token"] == heads["t"]).drop("t")
 
 
-def _labels(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str, scratch: Scratch) -> DataFrame:
+def _labels(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str, scratch: Scratch, rounds: int) -> DataFrame:
     """doc_id, th, n, node (its set), component (a node): one row per input row."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     made = scratch.write(_sets(source, shingle, percent), "sets")
@@ -195,7 +196,7 @@ def _labels(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str,
     # rounds of few pairs: each token's sets against one of its components, drawn anew each
     # time, and against its largest; both by one set
     near = comp = None
-    for turn in range(ROUNDS):
+    for turn in range(rounds):
         mixed = scratch.write(_mixed(posted, comp, turn, scratch), "mixed")
         fits = lambda one: (100 * F.least("n", f"{one}.n") >= percent * F.greatest("n", f"{one}.n")) & (F.col("comp") != F.col(f"{one}.comp"))
         others = F.array(*(F.when(fits(one), F.col(f"{one}.id")) for one in ("drawn", "main")))
@@ -206,7 +207,7 @@ def _labels(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str,
         scratch.drop(mixed)
 
     # the last round: pairs of different components; the largest of a token is not paired with itself
-    mixed_rows = scratch.write(_mixed(posted, comp, ROUNDS, scratch).withColumn("in_main", F.expr("comp = main.comp")).drop("main", "drawn"), "mixed")
+    mixed_rows = scratch.write(_mixed(posted, comp, rounds, scratch).withColumn("in_main", F.expr("comp = main.comp")).drop("main", "drawn"), "mixed")
     scratch.drop(posted)
     sketches = sets.select(F.col("id").alias("_id"), "sketch", "over", "odd1", "odd2")
     mixed = scratch.write(mixed_rows.join(sketches, mixed_rows["id"] == sketches["_id"]).drop("_id"), "sketched")
@@ -232,7 +233,7 @@ def _labels(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str,
 
 
 def jaccard_components(
-    docs: DataFrame, shingle: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None
+    docs: DataFrame, shingle: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None, rounds: int = ROUNDS
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per input row.
 
@@ -243,7 +244,7 @@ def jaccard_components(
     3. The lengthened prefixes left are ordered by frequency: whatever shares that number
        of tokens shares one of the first in this order.  Candidates share prefix tokens
        under both orders, at lengths and positions that allow the similarity.
-    4. Candidates are verified on sets made from the texts again.  In the first ROUNDS each
+    4. Candidates are verified on sets made from the texts again.  In the first ``rounds`` each
        token's sets meet one set drawn from them and one of its largest component; this
        joins groups of near copies without pairing them all.  Then the pairs that are
        still in different components, unless the counts of their tokens in the cells of a
@@ -255,20 +256,20 @@ def jaccard_components(
     component is null only if none of its rows has a doc_id.  Other columns are not read.
     """
     scratch = scratch or Scratch(docs.sparkSession, "jaccard")
-    rows = scratch.write(_labels(docs, shingle, percent, doc_id, text, scratch), "labelled")
+    rows = scratch.write(_labels(docs, shingle, percent, doc_id, text, scratch, rounds), "labelled")
     least = scratch.write(rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least")).withColumnRenamed("component", "_c"), "least-ids")
     out = rows.join(least, F.when(F.col("n") > 0, F.col("component")) == F.col("_c"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None, rounds: int = LOOSE_ROUNDS) -> DataFrame:
     """The rows of ``docs`` with one row of each component: that of the smallest
     (doc_id, hash of the text), null ids last; of repeated rows one stays.
 
     Rows without words are alone and stay.  All columns are kept under their names.
     """
     scratch = scratch or Scratch(docs.sparkSession, "jaccard-one")
-    rows = scratch.write(_labels(docs, shingle, percent, doc_id, text, scratch), "labelled")
+    rows = scratch.write(_labels(docs, shingle, percent, doc_id, text, scratch, rounds), "labelled")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
     best = rows.where("n > 0").groupBy("component").agg(F.min(place).alias("best"))
     chosen = scratch.write(best.select(F.xxhash64("best.doc_id", "best.th").alias("row")), "chosen")
