@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import price, text
 from . import url as u
+from .bind import once
 
 #: Kinds of fields by name: a short list of our own; other fields are texts.
 KINDS = {
@@ -98,8 +99,8 @@ def location(c: Column) -> Column:
 def string_list(values: Column, most: int, chars: int) -> Column:
     """Cleaned, cut and distinct whatever their case, the first ``most``."""
     cut = F.filter(F.transform(values, lambda v: F.substring(text_or_none(v), 1, chars)), lambda v: v.isNotNull())
-    lows = F.transform(cut, F.lower)
-    return F.slice(F.filter(cut, lambda v, i: F.array_position(lows, F.lower(v)) == i + 1), 1, most)
+    first = lambda cut, lows: F.filter(cut, lambda v, i: F.array_position(lows, F.lower(v)) == i + 1)
+    return F.slice(once(cut, lambda cut: once(F.transform(cut, F.lower), lambda lows: first(cut, lows))), 1, most)
 
 
 def scalar_by_keys(c: Column, keys: list[str]) -> Column:
@@ -109,9 +110,9 @@ def scalar_by_keys(c: Column, keys: list[str]) -> Column:
 
 def price_from_object(c: Column, keys: tuple[str, ...] = ("price", "amount", "value", "lowPrice", "formatted")) -> Column:
     """The first value with a money sign or decimals, else the first that isn't negative."""
-    values = F.filter(F.array(*(text_or_none(F.get_json_object(c, f"$.{k}")) for k in keys)), lambda v: v.isNotNull() & ~v.rlike(r"^-"))
-    strong = F.filter(values, lambda v: v.rlike(r"[$€£¥₹]|[0-9][.,][0-9]{2}\b"))
-    return F.coalesce(F.get(strong, F.lit(0)), F.get(values, F.lit(0)))
+    held = once(c, lambda c: F.array(*(text_or_none(F.get_json_object(c, f"$.{k}")) for k in keys)))
+    strong = lambda values: F.filter(values, lambda v: v.rlike(r"[$€£¥₹]|[0-9][.,][0-9]{2}\b"))
+    return once(F.filter(held, lambda v: v.isNotNull() & ~v.rlike(r"^-")), lambda values: F.coalesce(F.get(strong(values), F.lit(0)), F.get(values, F.lit(0))))
 
 
 def attributes(m: Column, noise: tuple[str, ...] = ("id", "position", "sort_order", "tracking")) -> Column:
@@ -127,24 +128,31 @@ def decimal_text(c: Column) -> Column:
 
 def field(name: str, c: Column, page: Column) -> Column:
     """A value as its field holds it, always as text."""
-    kind = KINDS.get(name, "text")
+    return once(c, lambda c: _as_kind(KINDS.get(name, "text"), c, page))
+
+
+def _as_kind(kind: str, c: Column, page: Column) -> Column:
     if kind == "price":
-        return F.when(F.trim(c).startswith("{"), price.decimal_price(price_from_object(c))).otherwise(price.decimal_price(c))
+        return price.decimal_price(F.when(F.trim(c).startswith("{"), price_from_object(c)).otherwise(c))
     if kind == "currency":
-        return F.nullif(price.currency(scalar_by_keys(c, ["currency", "priceCurrency"])), F.lit(""))
+        return F.nullif(once(scalar_by_keys(c, ["currency", "priceCurrency"]), price.currency), F.lit(""))
     if kind == "url":
         return F.get(u.found_in(c, page), F.lit(0))
     if kind == "list":
         return F.nullif(F.array_join(string_list(F.coalesce(_list_items(c), F.split(c, r"\s*[,;|]\s*")), 20, 80), "; "), F.lit(""))
     made = {
         "availability": price.availability, "rating": lambda x: price.rating(scalar_by_keys(x, ["ratingValue"])).cast("string"), "int": lambda x: price.first_int(x).cast("string"),
-        "bool": price.to_bool, "long": coerce_long_text, "location": location, "salary": lambda x: scalar_by_keys(x, ["value", "minValue"]), "text": lambda x: coerce_text(scalar_by_keys(x, ["name", "title", "value"])),
+        "bool": price.to_bool, "long": coerce_long_text, "location": location, "salary": lambda x: scalar_by_keys(x, ["value", "minValue"]), "text": lambda x: once(scalar_by_keys(x, ["name", "title", "value"]), coerce_text),
     }
     return made[kind](c)
 
 
 def record(m: Column, names: list[str], page: Column) -> Column:
     """A map of raw values with each named field coerced; what is empty goes, others stay."""
-    pairs = F.array(*(F.struct(F.lit(n).alias("k"), field(n, F.element_at(m, F.lit(n)), page).alias("v")) for n in names))
-    made = F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))
-    return F.map_concat(F.map_filter(m, lambda k, v: ~k.isin(*names)), made)
+
+    def coerced(m: Column) -> Column:
+        pairs = F.array(*(F.struct(F.lit(n).alias("k"), field(n, F.element_at(m, F.lit(n)), page).alias("v")) for n in names))
+        made = F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))
+        return F.map_concat(F.map_filter(m, lambda k, v: ~k.isin(*names)), made)
+
+    return once(m, coerced)

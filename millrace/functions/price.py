@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import once
+
 NUMBER = r"[0-9][0-9.,]*[0-9]|[0-9]"
 CURRENCY_CODES = "usd|eur|gbp|jpy|inr|cad|aud"
 CURRENCY = rf"([$€£¥₹]|rs\.?|(^|[^a-z])({CURRENCY_CODES})([^a-z]|$))"
@@ -16,7 +18,10 @@ def canonical_decimal(c: Column) -> Column:
     A lone comma before one or two digits is a point; dots before groups of three, and
     other commas, separate thousands.
     """
-    n = F.nullif(F.regexp_extract(c, f"({NUMBER})", 1), F.lit(""))
+    return once(F.nullif(F.regexp_extract(c, f"({NUMBER})", 1), F.lit("")), _pointed)
+
+
+def _pointed(n: Column) -> Column:
     dot, comma = n.contains("."), n.contains(",")
     last_comma, last_dot = F.length(n) - F.locate(",", F.reverse(n)), F.length(n) - F.locate(".", F.reverse(n))
     no = lambda x, s: F.replace(x, F.lit(s), F.lit(""))
@@ -34,8 +39,10 @@ def canonical_decimal(c: Column) -> Column:
 
 def decimal_price(c: Column, cents: bool = False) -> Column:
     """A price as decimal text; null for negatives and for bare numbers of up to 3 digits."""
-    t = F.trim(c)
-    n = canonical_decimal(t)
+    return once(F.trim(c), lambda t: once(canonical_decimal(t), lambda n: _unless_bare(t, n, cents)))
+
+
+def _unless_bare(t: Column, n: Column, cents: bool) -> Column:
     bare = ~n.contains(".") & (F.length(n) <= 3) & ~F.lower(t).rlike(CURRENCY)
     value = n
     if cents:

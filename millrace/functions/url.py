@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import once
+
 #: Query keys that only track: a short list of our own.
 TRACKING_KEYS = ("fbclid", "gclid", "msclkid", "ref", "ref_src", "mc_cid", "mc_eid")
 TRACKING_PREFIX = "utm_"
@@ -166,7 +168,10 @@ def absolute(base: Column, c: Column) -> Column:
 
     ``&amp;`` is decoded; a bare host gets https.
     """
-    t = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")), "(?i)&(amp|#38|#x26);", "&")
+    return once(F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")), "(?i)&(amp|#38|#x26);", "&"), lambda t: once(base, lambda base: _against(base, t)))
+
+
+def _against(base: Column, t: Column) -> Column:
     root = F.concat(scheme(base), F.lit("://"), F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     folder = F.regexp_extract(path(base), r"^(.*/)", 1)
     here = F.concat(root, path(base))
@@ -187,12 +192,12 @@ def found_in(c: Column, page: Column) -> Column:
     Distinct whatever their case, the first one stays; templates and placeholders go.
     """
     many = F.regexp_extract_all(c, F.lit(r"(https?://(?:(?!https?://)[^\s,])+)"), F.lit(1))
-    each = F.when(F.size(many) >= 2, many).otherwise(F.array(absolute(page, c)))
+    each = once(many, lambda many: F.when(F.size(many) >= 2, many).otherwise(F.array(absolute(page, c))))
     each = F.transform(each, lambda x: F.regexp_replace(x, r"[.,;:!)\]}>'\"]+$", ""))
     fine = F.filter(each, lambda x: (x != "") & ~x.rlike(r"\{\{|\}\}|\$\{|<%") & ~F.lower(x).rlike("placeholder|/blank\\.|spacer\\.gif"))
-    lows = F.transform(fine, F.lower)
+    first = lambda fine, lows: F.filter(fine, lambda x, i: F.array_position(lows, F.lower(x)) == i + 1)
     glued_text = c.rlike(r"[^\s,]https?://")
-    return F.when(c.isNull() | (F.trim(c) == "") | glued_text, F.array().cast("array<string>")).otherwise(F.filter(fine, lambda x, i: F.array_position(lows, F.lower(x)) == i + 1))
+    return F.when(c.isNull() | (F.trim(c) == "") | glued_text, F.array().cast("array<string>")).otherwise(once(fine, lambda fine: once(F.transform(fine, F.lower), lambda lows: first(fine, lows))))
 
 
 def canonical_record(c: Column) -> Column:

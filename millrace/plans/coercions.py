@@ -8,7 +8,7 @@ from millrace.functions import coerce, price
 from millrace.functions import url as u
 from millrace.sources import html
 
-from .registry import query, table
+from .registry import parts, query, table
 
 PAGE = "https://shop.example.co.uk/a/b/page.html?x=1"
 
@@ -77,7 +77,7 @@ def coerced_records(spark, d):
         "rating": F.lit('{"ratingValue": "4.5 of 5"}'), "review_count": F.lit("1,204 reviews"), "image_url": c(F.lit("/i/"), key), "tags": F.lit("a, b; A"), "location": F.lit(" "), "other": F.lit("x"),
     }
     m = F.create_map(*(x for k, v in raw.items() for x in (F.lit(k), v)))
-    out = table(spark, d, "part").select("p_partkey", coerce.record(m, [k for k in raw if k != "other"], F.lit(PAGE)).alias("r"))
+    out = parts(spark, d).select("p_partkey", coerce.record(m, [k for k in raw if k != "other"], F.lit(PAGE)).alias("r"))
     return out.select("p_partkey", *(F.col("r")[k].alias(k) for k in raw if k not in ("other", "location")), F.col("r")["other"].alias("kept"), F.col("r")["location"].alias("dropped"))
 
 
