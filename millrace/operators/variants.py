@@ -74,10 +74,15 @@ def merged(rows: DataFrame, product: str, by: Column, fields: list[str]) -> Data
 
 def without_subsets(rows: DataFrame, product: str) -> DataFrame:
     """Rows whose options aren't a proper part of another row's of the product."""
-    own = rows.withColumn("pairs", _pairs(F.col("options"), True))
-    sets = own.groupBy(product).agg(F.collect_set("pairs").alias("all"))  # option sets of one product
-    wider = F.exists("all", lambda o: (F.size(o) > F.size("pairs")) & (F.size(F.array_except("pairs", o)) == 0))
-    return own.join(sets, product).where((F.size("pairs") == 0) | ~wider).drop("pairs", "all")
+    pairs = F.transform("rows", lambda r: _pairs(r["options"], True))
+    sets = rows.groupBy(product).agg(F.collect_list(F.struct(*(c for c in rows.columns if c != product))).alias("rows"))  # of one product
+    sets = sets.withColumn("all", pairs)
+
+    def kept(r: Column, i: Column) -> Column:
+        own = F.get("all", i)
+        return ~F.exists("all", lambda o: (F.size(own) > 0) & (F.size(o) > F.size(own)) & (F.size(F.array_except(own, o)) == 0))
+
+    return sets.select(product, F.inline(F.filter("rows", kept))).select(*rows.columns)
 
 
 def axes(rows: DataFrame, product: str) -> DataFrame:

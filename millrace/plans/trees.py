@@ -8,7 +8,7 @@ from millrace.functions import values
 from millrace.operators import variants
 from millrace.sources import json_tree
 
-from .registry import RECORDS, query, records, table
+from .registry import RECORDS, parts, query, records, table
 
 c = F.concat
 
@@ -51,7 +51,7 @@ def page_states_json(spark, d):
         lit('<script id="__NEXT_DATA__" type="application/json">{"props":{"title":"'), F.col("p_name"), lit('"}}</script><script>window.__STATE__ = {"props":{"title":"'), F.col("p_brand"), lit(' } \\"x\\""}}; go({});</script>'),
         lit('<script type="application/json" id="__NUXT_DATA__">[["Reactive",1],{"props":2},{"title":3,"self":1},"'), F.col("p_type"), lit('"]</script><script>var x = {"broken": </script>'),
     )
-    rows = json_tree.page_states(table(spark, d, "part").select("p_partkey", F.replace(page, lit('"self":1'), lit('"self":9')).alias("html")), "p_partkey")
+    rows = json_tree.page_states(parts(spark, d).select("p_partkey", F.replace(page, lit('"self":1'), lit('"self":9')).alias("html")), "p_partkey")
     return rows.select("p_partkey", "name", F.get_json_object("payload", "$.props.title").alias("title"))
 
 
@@ -61,7 +61,7 @@ def json_leaves(spark, d):
     tree = c(lit('{"name":"'), F.col("p_name"), lit('","x":[{"size":'), size, lit(',"Brand":["'), F.col("p_brand"), lit('",null,""]}],"deep":{"a":{"b":{"c":{"d":1}}}}}'))
     base, extra = lit('{"a":{"x":1,"y":""},"b":[1]}'), c(lit('{"a":{"x":5,"y":"'), F.col("p_name"), lit('"},"b":[2],"c":2}'))
     offers = c(lit('{"hasVariant":[{"offers":[{"price":""}]},{"offers":{"price":"'), F.when(F.col("p_size") % 2 == 0, "3").otherwise(""), lit('"}}]}'))
-    return table(spark, d, "part").select(
+    return parts(spark, d).select(
         "p_partkey", json_tree.leaf_texts(tree).alias("every"), json_tree.leaf_texts(tree, only=["brand"]).alias("targeted"), json_tree.merged(base, extra).alias("merged"),
         json_tree.path_present(offers, "offers.price").alias("offered"), json_tree.cache_key({"user": F.col("p_name"), "task": F.col("p_brand")}).alias("key"),
     )
@@ -69,7 +69,7 @@ def json_leaves(spark, d):
 
 def rows(spark, d):
     """Variants of each part: by colour and size as two sites spell them, one by a sku, one only by colour."""
-    p = table(spark, d, "part").select("p_partkey", "p_name", "p_size", F.col("p_retailprice").cast("string").alias("price"))
+    p = parts(spark, d).select("p_partkey", "p_name", "p_size", F.col("p_retailprice").cast("string").alias("price"))
     one = lambda o, vid, sku, options, price, available, url: F.struct(lit(o).alias("ord"), vid.alias("variant_id"), sku.alias("sku"), options.alias("options"), price.alias("price"), available.alias("available"), url.alias("url"))
     none, true, size = lit(None).cast("string"), lit(True), F.col("p_size").cast("string")
     options = lambda **kv: F.create_map(*(x for k, v in kv.items() for x in (lit(k), v)))
@@ -111,7 +111,7 @@ def whole_variants(spark, d):
 @query("variant_choices", """select p_partkey, 'Red|Blue' as colors, case when p_size % 2 = 0 then p_size || '|' || p_size + 1 else p_size::varchar end as sizes, 1 + (p_size % 2 = 0)::int as groups from part""")
 def variant_choices(spark, d):
     """A size and the same with "Regular" are one choice; every other part has a second size."""
-    more = table(spark, d, "part").where("p_size % 2 = 0").select("p_partkey", lit(9).alias("ord"), F.create_map(lit("Sizes"), c((F.col("p_size") + 1).cast("string"), lit(" standard"))).alias("options"))
+    more = parts(spark, d).where("p_size % 2 = 0").select("p_partkey", lit(9).alias("ord"), F.create_map(lit("Sizes"), c((F.col("p_size") + 1).cast("string"), lit(" standard"))).alias("options"))
     found = variants.axes(variants.sanitize(rows(spark, d)).unionByName(more, allowMissingColumns=True), "p_partkey")
     split = variants.split_axes(found, "p_partkey", always=("size",))
     groups = variants.valid_groups(found).groupBy("p_partkey").agg(F.count("*").cast("int").alias("groups"))
@@ -128,8 +128,8 @@ def selected_variants(spark, d):
     size = F.col("p_size").cast("string")
     body = c(lit('{"hasVariant":[{"productID":"a","offers":{"price":1,"availability":"https://schema.org/OutOfStock"}},{"id":"b","price":2,"availability":"'), F.when(F.col("p_size") % 2 == 0, "InStock").otherwise("SoldOut"), lit('"},{"productID":"c","color":"x"},{"productID":"v'), size, lit('"}]}'))
     page = F.when(F.col("p_size") % 3 == 0, c(lit("https://x.example.com/p?a=1&variant=v"), size)).otherwise("https://x.example.com/p?variant=gone")
-    made = variants.from_products(table(spark, d, "part").select("p_partkey", body.alias("body")), "p_partkey", "body")
-    pages = table(spark, d, "part").select("p_partkey", page.alias("page"))
+    made = variants.from_products(parts(spark, d).select("p_partkey", body.alias("body")), "p_partkey", "body")
+    pages = parts(spark, d).select("p_partkey", page.alias("page"))
     return variants.selected(made.join(pages, "p_partkey"), "p_partkey", F.col("page"))
 
 
@@ -144,7 +144,7 @@ def product_images(spark, d):
         .when(k == 1, F.array(c(own, lit(".png")), c(at, lit(".jpg?w=3")), c(own, lit("-90x90.PNG")), c(F.upper(own), lit(".png?v=1"))))
         .otherwise(F.array(c(at, lit("-2.jpg")), c(at, lit("_400x.jpg")), c(at, lit(".jpg")), c(own, lit(".jpg"))))
     )
-    return table(spark, d, "part").select("p_partkey", variants.distinct_images(urls).alias("images"))
+    return parts(spark, d).select("p_partkey", variants.distinct_images(urls).alias("images"))
 
 
 @query("richest_products", f"""with {RECORDS}, r as (select *, (case when flag <> 'N' then 1 else 0 end) + (case when line_status = 'F' then 1 else 0 end) rich from records)
