@@ -124,10 +124,20 @@ def rating(c: Column) -> Column:
     return F.bround(first_number(c), 2)
 
 
+def two_places(c: Column) -> Column:
+    """A double to two places by way of its hundredths, halves away from zero, as engines round doubles; Spark's round
+    goes by a double's decimal text, so the two part where the hundredths come to a half only as a double."""
+    return F.round(c * 100) / 100
+
+
+def positive_prices(values: Column) -> Column:
+    """The distinct positive values, to two places."""
+    return F.array_distinct(F.transform(F.filter(values, lambda x: x > 0), two_places))
+
+
 def unanimous(values: Column) -> Column:
     """The one positive value, to two places, that all positive values agree on."""
-    v = F.array_distinct(F.transform(F.filter(values, lambda x: x > 0), lambda x: F.round(x, 2)))
-    return F.when(F.size(v) == 1, F.get(v, F.lit(0)))
+    return once(positive_prices(values), lambda v: F.when(F.size(v) == 1, F.get(v, F.lit(0))))
 
 
 def price_range(c: Column) -> tuple[Column, Column]:

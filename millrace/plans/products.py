@@ -149,9 +149,10 @@ def price_ranges(spark, d):
 @query("variant_prices", """with l as (select l_partkey part, list(l_extendedprice / l_quantity) v, min(l_extendedprice / l_quantity) lo from lineitem group by 1), r as (select part, list_distinct(list_transform(list_filter(v, lambda x: x > 0), lambda x: round(x, 2))) u from l)
   select p_partkey as id, round(case when len(u) = 1 then u[1] else p_retailprice end, 2) as price, len(u) as prices from part join r on part = p_partkey""")
 def variant_prices(spark, d):
-    li = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.collect_set(F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)).alias("v"))
+    li = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.collect_set(F.col("l_extendedprice") / F.col("l_quantity")).alias("v"))
     j = table(spark, d, "part").join(li, F.col("part") == F.col("p_partkey"))
-    return j.select(F.col("p_partkey").alias("id"), F.round(F.coalesce(price.unanimous(F.col("v")), F.col("p_retailprice")), 2).alias("price"), F.size("v").cast("bigint").alias("prices"))
+    one = price.two_places(F.coalesce(price.unanimous(F.col("v")), F.col("p_retailprice")))
+    return j.select(F.col("p_partkey").alias("id"), one.alias("price"), F.size(price.positive_prices(F.col("v"))).cast("bigint").alias("prices"))
 
 
 @query("fingerprints", """select p_partkey as id, sha256('https://x.example.com/' || p_partkey) as identity_key,
