@@ -85,8 +85,8 @@ def sanitize_long_text(c: Column, title: Column) -> Column:
 
 def option_scalar(c: Column) -> Column:
     """An option's value without "select", counts and prices."""
-    t = F.regexp_replace(F.coalesce(text_or_none(c), F.lit("")), r"(?i)\s*(\((?:\+|-)?\s*[$€£][^)]*\)|\([0-9]+ (?:left|in stock)\)|-\s*sold out)\s*$", "")
-    return F.when(~F.lower(t).rlike(r"^(select|choose|please select|pick)\b"), F.nullif(F.trim(t), F.lit("")))
+    value = F.regexp_replace(F.coalesce(text_or_none(c), F.lit("")), r"(?i)\s*(\((?:\+|-)?\s*[$€£][^)]*\)|\([0-9]+ (?:left|in stock)\)|-\s*sold out)\s*$", "")
+    return once(value, lambda t: F.when(~F.lower(t).rlike(r"^(select|choose|please select|pick)\b"), F.nullif(F.trim(t), F.lit(""))))
 
 
 def location(c: Column) -> Column:

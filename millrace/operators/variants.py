@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import coerce, values
+from millrace.functions.bind import once
 
 #: Spellings of axes, and what sizes may end in: short lists of our own.
 AXES = {"colour": "color", "colours": "color", "colors": "color", "sizes": "size", "shoe_size": "size"}
@@ -19,21 +20,20 @@ SIZE_SUFFIX = r"(?i)\s+(size|regular|standard)$"
 def axis_key(c: Column) -> Column:
     k = F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "_")
     names = F.create_map(*(F.lit(x) for kv in AXES.items() for x in kv))
-    return F.coalesce(F.element_at(names, k), k)
+    return once(k, lambda k: F.coalesce(F.element_at(names, k), k))
 
 
 def axis_value(key: Column, c: Column) -> Column:
     """Cleaned; a size without what sizes end in."""
-    t = F.coalesce(coerce.text_or_none(c), F.lit(""))
-    cut = F.regexp_replace(t, SIZE_SUFFIX, "")
-    return F.when((key == "size") & (cut != ""), cut).otherwise(t)
+    cut = lambda t: F.when(key == "size", F.nullif(F.regexp_replace(t, SIZE_SUFFIX, ""), F.lit("")))
+    return once(F.coalesce(coerce.text_or_none(c), F.lit("")), lambda t: F.coalesce(cut(t), t))
 
 
 def _pairs(options: Column, clean: bool) -> Column:
     """Sorted "axis=value" texts of the options that have a value."""
     def pair(e):
-        k = axis_key(e["key"]) if clean else F.trim(e["key"])
-        return F.struct(k.alias("k"), (axis_value(k, e["value"]) if clean else F.coalesce(coerce.text_or_none(e["value"]), F.lit(""))).alias("v"))
+        value = lambda k: axis_value(k, e["value"]) if clean else F.coalesce(coerce.text_or_none(e["value"]), F.lit(""))
+        return once(axis_key(e["key"]) if clean else F.trim(e["key"]), lambda k: F.struct(k.alias("k"), value(k).alias("v")))
 
     kept = F.filter(F.transform(F.map_entries(options), pair), lambda p: (p["k"] != "") & (p["v"] != ""))
     return F.transform(F.array_sort(kept), lambda p: F.concat_ws("=", p["k"], p["v"]))
@@ -42,14 +42,13 @@ def _pairs(options: Column, clean: bool) -> Column:
 def identity(variant_id: Column, sku: Column, options: Column) -> Column:
     """id, else sku, else the options as they are; null where there is none of them."""
     named = lambda tag, c: F.concat(F.lit(tag), coerce.text_or_none(c))
-    pairs = _pairs(options, False)
-    return F.coalesce(named("id:", variant_id), named("sku:", sku), F.when(F.size(pairs) > 0, F.concat(F.lit("options:"), F.array_join(pairs, "|"))))
+    joined = once(_pairs(options, False), lambda pairs: F.when(F.size(pairs) > 0, F.concat(F.lit("options:"), F.array_join(pairs, "|"))))
+    return F.coalesce(named("id:", variant_id), named("sku:", sku), joined)
 
 
 def semantic_identity(options: Column) -> Column:
     """The options under their canonical names and values."""
-    pairs = _pairs(options, True)
-    return F.when(F.size(pairs) > 0, F.concat(F.lit("semantic:"), F.array_join(pairs, "|")))
+    return once(_pairs(options, True), lambda pairs: F.when(F.size(pairs) > 0, F.concat(F.lit("semantic:"), F.array_join(pairs, "|"))))
 
 
 def richness(*cols: str) -> Column:
