@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import coerce
+from millrace.functions.bind import once
 from millrace.operators import variants
 
 from .tree import spaced
@@ -28,7 +29,7 @@ def _attr(n: Column, *names: str) -> Column:
 
 
 def _text(n: Column) -> Column:
-    return F.nullif(spaced(F.substring("text", n["start"] + 1, n["end"] - n["start"])), F.lit(""))
+    return once(spaced(F.substring("text", n["start"] + 1, n["end"] - n["start"])), lambda t: F.nullif(t, F.lit("")))
 
 
 def option_rows(trees: DataFrame, key: str) -> DataFrame:
@@ -45,11 +46,12 @@ def option_rows(trees: DataFrame, key: str) -> DataFrame:
     parts = trees.select(key, "text", F.transform("nodes", lambda n, i: n.withField("node", i.cast("int"))).alias("nodes"))
     parts = parts.select(
         key, "text", F.filter("nodes", group).alias("groups"), F.filter("nodes", choice).alias("choices"), F.filter("nodes", lambda n: n["tag"] == "legend").alias("legends"), F.filter("nodes", lambda n: n["tag"] == "label").alias("labels"),
-    ).where((F.size("groups") > 0) & (F.size("choices") > 0))
+    )
     named = lambda n: _text(F.get(F.filter("labels", lambda x: _attr(x, "for") == _attr(n, "id")), 0))
     legend = lambda g: _text(F.get(F.filter("legends", lambda x: x["parent"] == g["node"]), 0))
     axis = lambda g: F.coalesce(_attr(g, "data-option-name", "data-attribute-name", "aria-label"), named(g), legend(g), _attr(g, "name"))
-    parts = parts.withColumn("groups", F.transform("groups", lambda g: F.struct(g["node"].alias("node"), g["last"].alias("last"), axis(g).alias("axis"))))
+    inner = lambda a: F.regexp_replace(F.regexp_replace(F.regexp_replace(a, r"^.*\[([^\]]+)\]$", "$1"), r"(?i)^(attribute_(pa_)?|(choose|select)( an?| your)? |option-)", ""), r"\s*:?\s*$", "")
+    parts = parts.withColumn("groups", F.transform("groups", lambda g: F.struct(g["node"].alias("node"), g["last"].alias("last"), once(axis(g), lambda a: variants.axis_key(inner(a))).alias("axis"))))
     wrapped = lambda m: _text(F.get(F.filter("labels", lambda x: (x["node"] < m["node"]) & (x["last"] >= m["node"])), 0))
     value = lambda m: F.when(m["tag"] == "option", _text(m)).when(radio(m), F.coalesce(_attr(m, "aria-label", "data-value"), named(m), wrapped(m), _attr(m, "value"))).otherwise(
         F.coalesce(_attr(m, "data-value", "data-option-value", "aria-label"), _text(m))
@@ -57,11 +59,9 @@ def option_rows(trees: DataFrame, key: str) -> DataFrame:
     gone = lambda m: F.map_contains_key(m["attrs"], F.lit("disabled")) | F.coalesce(F.lower(_attr(m, "aria-disabled")) == "true", F.lit(False)) | F.lower(cls(m)).rlike(GONE_CLASS)
     blank = lambda m: (m["tag"] == "option") & F.map_contains_key(m["attrs"], F.lit("value")) & _attr(m, "value").isNull()
     around = lambda m: F.array_max(F.filter("groups", lambda g: (g["node"] < m["node"]) & (g["last"] >= m["node"])))
-    made = F.transform(F.filter("choices", lambda m: ~blank(m)), lambda m: F.struct(m["node"].alias("ord"), around(m).alias("g"), value(m).alias("value"), (~gone(m)).alias("available")))
-    rows = parts.select(key, F.inline(made)).where("g is not null")
-    inner = F.regexp_replace(F.regexp_replace(F.regexp_replace("g.axis", r"^.*\[([^\]]+)\]$", "$1"), r"(?i)^(attribute_(pa_)?|(choose|select)( an?| your)? |option-)", ""), r"\s*:?\s*$", "")
-    clean = coerce.option_scalar(F.col("value"))
-    rows = rows.select(key, "ord", F.col("g.node").alias("group"), variants.axis_key(inner).alias("axis"), clean.alias("value"), "available")
+    made = F.transform(F.filter("choices", lambda m: ~blank(m)), lambda m: F.struct(m["node"].alias("ord"), around(m).alias("g"), coerce.option_scalar(value(m)).alias("value"), (~gone(m)).alias("available")))
+    # cleaned before the rows are made: a filter on rows is not pushed into what makes them, which would be computed again
+    rows = parts.select(key, F.inline(made)).where("g is not null").select(key, "ord", F.col("g.node").alias("group"), F.col("g.axis").alias("axis"), "value", "available")
     rows = rows.where((F.col("axis") != "") & ~F.col("axis").isin(*OTHER_AXES) & F.col("value").isNotNull() & ~F.col("value").rlike(PLACEHOLDER))
     return rows.select(key, "ord", "group", F.create_map("axis", "value").alias("options"), "available")
 
