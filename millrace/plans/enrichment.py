@@ -8,7 +8,7 @@ from millrace.functions import url as u
 from millrace.operators import classify, enrich
 from millrace.sources import html, listing
 
-from .registry import query, table
+from .registry import parts, query, table
 
 c = F.concat
 
@@ -55,7 +55,7 @@ def crawlable_urls(spark, d):
     )
     k = F.col("p_partkey") % 5
     at = c(lit("https://h"), (F.col("p_partkey") % 3).cast("string"), F.when(k == 3, ".example.com/q?x=1").when(k == 4, ".example.com/a.pdf").otherwise(c(lit(".example.com/p/"), k.cast("string"))))
-    urls = table(spark, d, "part").select("p_partkey", at.alias("url"))
+    urls = parts(spark, d).select("p_partkey", at.alias("url"))
     return classify.crawlable(urls, "p_partkey", "url", classify.robots_rules(files, "host", "body"), "host", "Mill")
 
 
@@ -89,7 +89,7 @@ def size_attributes(spark, d):
     found, system = enrich.sizes(F.when(even, F.array(lit("Size: large"), lit("xl"), lit("L"), F.col("p_name"), c(size, lit(" cm")))).otherwise(F.array(c(lit("SIZE = "), size), F.col("p_brand"), c(size, lit(" us")), size)))
     audience = enrich.allowed_values(F.when(even, F.array(lit("For Women & kids"), lit("women"))).when(third, F.array(lit("womens"), lit("Men's"))).otherwise(F.array(lit("all"), F.col("p_name"))), ["men", "women", "kids"])
     tokens = F.when(third, F.array(lit("pet"), lit("bowl"))).otherwise(F.array(lit("bowl"), F.col("p_brand")))
-    return table(spark, d, "part").select(
+    return parts(spark, d).select(
         "p_partkey", found.alias("sizes"), system.alias("system"), enrich.plausible_size(F.when(even, c(size, lit(".5 us"))).otherwise(F.when(F.col("p_size") > 9, size).otherwise(c(lit("about "), size)))).alias("plausible"), audience.alias("audience"),
         enrich.without_material_context(c(lit("Soft "), F.col("p_name"), lit(" shirt, feels like silk, without wool"))).alias("material"),
         enrich.context_conflict(tokens, F.when(F.col("p_size") % 5 == 0, "Apparel > Women > Shoes").otherwise("Animals > Bowls")).alias("conflict"),
@@ -122,7 +122,7 @@ def record_identities(spark, d):
     link = F.when(k == 0, c(lit("https://y.example.com/item/abc"), key)).otherwise("https://y.example.com/item")
     title = F.when(k == 1, "Red shoe").otherwise("Blue shoe")
     other = F.when(F.col("p_partkey") % 2 == 0, c(F.col("p_name"), lit(" new"))).otherwise("entirely different words")
-    return table(spark, d, "part").select(
+    return parts(spark, d).select(
         "p_partkey", enrich.same_identity(page, link, title).alias("same"), enrich.overlap_mismatch(F.col("p_name"), other).alias("mismatch"),
         enrich.search_queries(F.col("p_brand"), F.col("p_name"), c(lit("S"), key), lit("x.example.com")).alias("queries"),
     )
@@ -146,7 +146,7 @@ def schema_scores(spark, d):
     k = F.col("p_partkey")
     offer = F.struct(F.col("p_retailprice").alias("price"), lit("USD").alias("priceCurrency"), F.when(k % 3 == 0, "InStock").alias("availability"))
     ld = F.to_json(F.struct(lit("Product").alias("@type"), F.when(k % 5 != 0, F.col("p_name")).alias("name"), F.when(k % 2 == 0, "/i.png").alias("image"), offer.alias("offers")))
-    pages = table(spark, d, "part").select("p_partkey", "p_name", "p_size", c(lit('<script type="application/ld+json">'), ld, lit("</script>")).alias("html"))
+    pages = parts(spark, d).select("p_partkey", "p_name", "p_size", c(lit('<script type="application/ld+json">'), ld, lit("</script>")).alias("html"))
     rows = html.structured_rows(pages, "p_partkey", url=None).join(pages.drop("html"), "p_partkey")
     score, missing = enrich.schema_score(F.col("payload"))
     shown = F.array_compact(F.array(lit("About"), lit("x"), F.when(F.col("p_size") < 20, F.col("p_name"))))
@@ -169,7 +169,7 @@ def job_sections(spark, d):
     more = F.when(F.col("p_size") % 3 == 0, c(lit("<p>"), F.col("p_size").cast("string"), lit("</p>"))).otherwise("")
     last = F.when(F.col("p_size") % 5 != 0, c(lit("<h3>Pay</h3><p>"), F.col("p_brand"), lit("</p>"), more)).otherwise("")
     page = c(lit("<h1>Job</h1><h2>"), F.when(F.col("p_size") % 2 == 0, "Duties").otherwise(c(lit("About "), F.col("p_brand"))), lit("</h2><p>"), F.col("p_name"), lit("</p>"), last)
-    return listing.sections(html.parse_pages(table(spark, d, "part").select("p_partkey", page.alias("html")), "p_partkey", url=None), "p_partkey")
+    return listing.sections(html.parse_pages(parts(spark, d).select("p_partkey", page.alias("html")), "p_partkey", url=None), "p_partkey")
 
 
 @query("listing_links", """select p_partkey, ['https://x.example.com/p/' || p_partkey, 'https://x.example.com/q'] as links from part""")

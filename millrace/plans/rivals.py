@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.operators import asof, repairs, rivals, terms
 from millrace.sources import json_tree, network, payloads
 
-from .registry import query, table
+from .registry import parts, query, table
 
 lit, c = F.lit, F.concat
 
@@ -23,7 +23,7 @@ def product_choice(spark, d):
         lit('{"menu":[{"title":"Shoes","items":[1,2]}],"x":{"rel":[{"name":"related '), F.col("p_brand"), lit('","id":7,"price":1,"options":[1],"variants":['), some(key % 2, lit('{"size":1}')),
         lit(']}]},"main":{"product":{"title":"'), F.col("p_name"), lit('","sku":"s","price":2,"offers":[1],"options":[2],"variants":['), some(key % 3, own), lit("]}}}"),
     )
-    best = payloads.best_product(payloads.products(table(spark, d, "part").select("p_partkey", body.alias("body")), "p_partkey", "body"), "p_partkey")
+    best = payloads.best_product(payloads.products(parts(spark, d).select("p_partkey", body.alias("body")), "p_partkey", "body"), "p_partkey")
     title = F.coalesce(F.get_json_object("payload", "$.title"), F.get_json_object("payload", "$.name"))
     return best.select("p_partkey", (F.get_json_object("payload", "$.sku") == "s").alias("main"), title.alias("title"), "variants").fillna(False, ["main"])
 
@@ -38,7 +38,7 @@ def pushed_states(spark, d):
     js = lambda x: F.replace(F.replace(x, lit('"'), lit('\\"')), lit("\n"), lit("\\n"))
     push = lambda x: c(lit('<script>self.__next_f.push([1,"'), js(x), lit('"])</script>'))
     page = c(lit('<script>self.__next_f.push([0])</script>'), push(F.substring(state, lit(1), cut)), push(F.substring(state, cut + 1, F.length(state))))
-    rows = json_tree.page_states(table(spark, d, "part").select("p_partkey", page.alias("html")), "p_partkey").where("name = '__NEXT_F__'")
+    rows = json_tree.page_states(parts(spark, d).select("p_partkey", page.alias("html")), "p_partkey").where("name = '__NEXT_F__'")
     at = lambda k: F.get_json_object("payload", f"$[0][3].product.{k}")
     return rows.select("p_partkey", at("title").alias("title"), at("size").alias("size"), at("note").alias("note"))
 
@@ -75,7 +75,7 @@ def rival_sets(spark, d):
 def repaired_details(spark, d):
     """Rules that meet: a parent in cents is mended before its original price is judged, and the discount after it."""
     k, r = F.col("p_partkey") % 4, F.round(F.col("p_retailprice").cast("double"), 2)
-    rows = table(spark, d, "part").select(
+    rows = parts(spark, d).select(
         "p_partkey", F.when(k == 3, "https://x.example.co.uk/p").otherwise("https://x.example.com/p").alias("url"), F.when(k == 0, "404").otherwise(F.col("p_name")).alias("title"), F.when(k == 1, "/own.png").when(k == 2, " ").alias("image_url"),
         F.when(k == 2, "preorder").when(k == 3, "in_stock").otherwise(lit("unknown")).alias("availability"), lit("USD").alias("currency"), F.when(k == 0, r * 100).when(k == 1, lit(None)).otherwise(r).cast("double").alias("price"),
         F.when(k.isin(0, 1), r - 1).when(k == 2, r + 5).cast("double").alias("original_price"), lit(5.0).alias("discount_amount"), lit("/v.png").alias("variant_image"),
@@ -130,6 +130,6 @@ def network_rows(spark, d):
     row = c(lit('{"productName":"'), F.col("p_name"), lit('","id":'), key, lit(',"description":"'), F.col("p_type"), lit('",'), way, lit(","), cost, lit(","), image, lit("}"))
     first = c(lit('{"page":{"title":"x"},"data":[{"edges":[{"node":'), row, lit("}]}]}"))
     second = F.when(k == 2, "not json").otherwise(c(lit("["), row, lit(',{"name":"'), F.col("p_brand"), lit('","link":"/other"},{"name":"no way"}]')))
-    p = table(spark, d, "part")
+    p = parts(spark, d)
     bodies = p.select("p_partkey", lit(0).alias("place"), first.alias("body")).unionByName(p.select("p_partkey", lit(1).alias("place"), second.alias("body"))).withColumn("at", lit("https://x.example.com/list?page=1"))
     return network.network_rows(bodies, "p_partkey", "body", "at", "place")
