@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import coerce
 from millrace.functions import url as u
+from millrace.functions.bind import once
 from millrace.operators import variants
 
 from . import html as pages_html
@@ -47,35 +48,36 @@ def product_scope(trees: DataFrame, key: str, *keep: str) -> DataFrame:
     work = work.select(key, *keep, lines(F.col("text")).alias("page"), F.array_join(lines(sub(F.col("h1"))), " ").alias("name"), F.transform(around, lambda n: lines(sub(n))).alias("parts"))
 
     def score(ls: Column) -> Column:
-        joined = F.lower(F.array_join(ls, "\n"))
-        has = ((_first_price(ls).isNotNull(), PRICE), (joined.rlike("add to (cart|bag)"), CART), (joined.rlike("select size|\ncolor|color:"), OPTIONS))
-        return sum((F.when(c, n).otherwise(0) for c, n in has), F.lit(0))
+        has = lambda joined: ((_first_price(ls).isNotNull(), PRICE), (joined.rlike("(?i)add to (cart|bag)"), CART), (joined.rlike("(?i)select size|\ncolor|color:"), OPTIONS))
+        return once(F.array_join(ls, "\n"), lambda joined: sum((F.when(c, n).otherwise(0) for c, n in has(joined)), F.lit(0)))
 
     judged = F.transform(F.coalesce("parts", F.array().cast("array<array<string>>")), lambda ls, i: F.struct(F.when(F.size(ls) <= LINES, score(ls)).otherwise(-1).alias("score"), (-i).alias("place"), ls.alias("lines")))
     best = F.array_max(F.filter(judged, lambda j: j["score"] >= 0))
     return work.select(key, *keep, F.nullif("name", F.lit("")).alias("name"), F.coalesce(best["lines"], F.col("page")).alias("scope"), "page")
 
 
-def human_view(scoped: DataFrame, key: str) -> DataFrame:
-    """(key, human): name, price and sale message that people see, as a map of what there is.
+def human_view(scoped: DataFrame, key: str, *keep: str) -> DataFrame:
+    """(key, kept columns, human): name, price and sale message that people see, as a map of what there is.
 
     The price is the first near the name in the scope, else the first there, else likewise in the page."""
-    first = lambda ls: F.array_position(F.transform(ls, lambda x: F.contains(F.lower(x), F.lower("name"))), F.lit(True)).cast("int")
-    near = lambda ls: F.when(first(ls) > 0, _first_price(F.slice(ls, F.greatest(first(ls), F.lit(1)), NEAR)))
+    named = scoped.select(key, *keep, "name", F.lower("name").alias("_low"), "scope", "page")
+    first = lambda ls: F.array_position(F.transform(ls, lambda x: F.contains(F.lower(x), F.col("_low"))), F.lit(True)).cast("int")
+    priced = lambda ls: F.exists(ls, lambda x: F.contains(x, F.lit("$")))
+    near = lambda ls: F.when(priced(ls), once(first(ls), lambda at: F.when(at > 0, _first_price(F.slice(ls, F.greatest(at, F.lit(1)), NEAR)))))
     amount = F.coalesce(near(F.col("scope")), _first_price(F.col("scope")), near(F.col("page")), _first_price(F.col("page")))
-    message = lambda ls: F.get(F.filter(ls, lambda x: F.contains(F.lower(x), F.lit("in cart")) & F.lower(x).rlike("off|discount")), 0)
+    message = lambda ls: F.get(F.filter(ls, lambda x: x.rlike("(?i)in cart") & x.rlike("(?i)off|discount")), 0)
     found = F.create_map(F.lit("name"), F.col("name"), F.lit("price"), amount, F.lit("sale_messaging"), F.coalesce(message(F.col("scope")), message(F.col("page"))))
-    return scoped.select(key, F.map_filter(found, lambda k, v: v.isNotNull()).alias("human"))
+    return named.select(key, *keep, F.map_filter(found, lambda k, v: v.isNotNull()).alias("human"))
 
 
-def agent_view(trees: DataFrame, key: str) -> DataFrame:
-    """(key, agent): what the richest JSON-LD product says, as a map of what there is."""
+def agent_view(trees: DataFrame, key: str, *keep: str) -> DataFrame:
+    """(key, kept columns, agent): what the richest JSON-LD product says, as a map of what there is."""
     bodies = F.transform(F.filter("scripts", lambda s: F.lower(F.element_at(F.get("nodes", s["node"])["attrs"], F.lit("type"))) == "application/ld+json"), lambda s: s["body"])
     nodes = F.pandas_udf(lambda s: pd.Series([[dumps(n) for n in pages_html.ld_nodes(list(x))] for x in s], dtype=object), "array<string>")
     kinds = lambda x: F.coalesce(F.get_json_object(x, "$['@type']"), F.lit(""))
     own = F.filter("ld", lambda x: kinds(x).rlike(r"(^|\")(Product|ProductGroup)(\"|$)"))
     rich = lambda x: F.size(F.filter(F.map_values(F.from_json(x, "map<string,string>")), lambda v: F.coalesce(v, F.lit("")) != ""))
-    found = trees.select(key, nodes(bodies).alias("ld")).select(key, F.transform(own, lambda x: F.struct(rich(x).alias("n"), x.alias("x"))).alias("own"))
+    found = trees.select(key, *keep, nodes(bodies).alias("ld")).select(key, *keep, F.transform(own, lambda x: F.struct(rich(x).alias("n"), x.alias("x"))).alias("own"))
     best = F.aggregate("own", F.struct(F.lit(-1).alias("n"), F.lit(None).cast("string").alias("x")), lambda a, b: F.when(b["n"] > a["n"], b).otherwise(a))["x"]
     get = lambda *paths: F.coalesce(*(coerce.text_or_none(F.get_json_object("p", f"$.{p}")) for p in paths))
     offer = lambda k: get(f"offers.{k}", f"offers[0].{k}")
@@ -83,19 +85,24 @@ def agent_view(trees: DataFrame, key: str) -> DataFrame:
         "name": get("name"), "price": offer("price"), "currency": offer("priceCurrency"), "availability": F.nullif(F.regexp_replace(offer("availability"), r"^.*/", ""), F.lit("")), "brand": get("brand.name", "brand"), "description": get("description"),
         "sku": F.coalesce(offer("sku"), get("sku")), "gtin": F.coalesce(offer("gtin"), offer("gtin13"), get("gtin", "gtin13")),
     }
-    out = found.select(key, best.alias("p"))
-    return out.select(key, F.map_filter(F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull()).alias("agent"))
+    out = found.select(key, *keep, best.alias("p"))
+    return out.select(key, *keep, F.map_filter(F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull()).alias("agent"))
 
 
-def view_deltas(agent: DataFrame, human: DataFrame, key: str) -> DataFrame:
-    """(key, fidelity, only_agents, only_people, differ): the share of what people see that agents
-    get, and the names of the values that one side lacks or that differ."""
-    both = agent.join(human, key)
+def both_views(trees: DataFrame, key: str) -> DataFrame:
+    """(key, agent, human) of each page: both views go along its row, so a page is parsed once and nothing is joined."""
+    agent = agent_view(trees, key, "text", "nodes")
+    return human_view(product_scope(agent, key, "agent"), key, "agent")
+
+
+def view_deltas(both: DataFrame, key: str, *keep: str) -> DataFrame:
+    """(key, kept columns, fidelity, only_agents, only_people, differ): the share of what people see that
+    agents get, and the names of the values that one side lacks or that differ."""
     a, h = F.map_keys("agent"), F.map_keys("human")
     shared = F.array_intersect(a, h)
     differ = F.filter(shared, lambda k: F.lower(F.element_at("agent", k)) != F.lower(F.element_at("human", k)))
     share = F.when(F.size(h) == 0, 1.0).otherwise(F.round(F.size(shared) / F.size(h), 4))
-    return both.select(key, share.alias("fidelity"), F.array_sort(F.array_except(a, h)).alias("only_agents"), F.array_sort(F.array_except(h, a)).alias("only_people"), F.array_sort(differ).alias("differ"))
+    return both.select(key, *keep, share.alias("fidelity"), F.array_sort(F.array_except(a, h)).alias("only_agents"), F.array_sort(F.array_except(h, a)).alias("only_people"), F.array_sort(differ).alias("differ"))
 
 
 def page_images(trees: DataFrame, key: str, url: str = "url") -> DataFrame:
