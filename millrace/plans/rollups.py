@@ -140,7 +140,7 @@ def source_shares(spark, d):
    select part, 'field_changed', 'price', xa, xb from j where pa is not null and pb is not null and regexp_extract(xa, '([0-9]+)', 1) is distinct from regexp_extract(xb, '([0-9]+)', 1)""")
 def snapshot_diff(spark, d):
     r = records(spark, d)
-    q = F.col("quantity").cast("bigint").cast("string")
+    q = F.rint("quantity").cast("bigint").cast("string")  # halves to even, as the SQL's cast
     a = ranking.best_per_key(r.where("run_id % 2 = 0"), ["part"], [F.col("record_id")]).select("part", "flag", F.concat(F.lit("$"), q).alias("price"))
     b = ranking.best_per_key(r.where("run_id % 3 = 0"), ["part"], [F.desc("record_id")]).select("part", F.lower("flag").alias("flag"), F.concat(q, F.lit(" USD")).alias("price"))
     return diff.snapshot_diff(a, b, "part", ["flag", "price"])
