@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import coerce, price
 from millrace.functions import url as u
+from millrace.functions.bind import once
 
 from . import html as pages_html
 from .json_safe import dumps
@@ -135,19 +136,17 @@ def records(found: DataFrame, key: str) -> DataFrame:
     inner = F.transform(listed, lambda v: F.coalesce(F.get_json_object(F.to_json(v), "$.item"), F.to_json(v)))
     own = F.when(F.get_json_object("item", "$['@type']").isin("Product", "JobPosting", "Article"), F.array("item")).otherwise(none)
     get = lambda x, *paths: F.coalesce(*(coerce.text_or_none(F.get_json_object(x, f"$.{p}")) for p in paths))
-    amounts = F.get(price.price_texts(F.col("text")), F.lit(0))
 
     def row(at, title, link, amount, currency, image):
-        named = zip(("ord", "title", "link", "amount", "currency", "image"), (at, title, link, amount, currency, image), strict=True)
+        made = once(u.absolute(page, image), lambda i: F.nullif(i, F.lit("")))
+        named = zip(("ord", "title", "url", "price", "currency", "image_url"), (at, title, u.absolute(page, link), price.as_float(amount), currency, made), strict=True)
         return F.struct(*(v.alias(n) for n, v in named))
 
-    card = row(F.col("ord"), F.trim("title"), F.col("href"), amounts, F.nullif(price.currency(F.coalesce(amounts, F.lit(""))), F.lit("")), F.col("image"))
+    card = once(F.get(price.price_texts(F.col("text")), F.lit(0)), lambda amount: row(F.col("ord"), F.trim("title"), F.col("href"), amount, F.nullif(price.currency(F.coalesce(amount, F.lit(""))), F.lit("")), F.col("image")))
     item = lambda x, i: row((F.col("ord") * 1000 + i).cast("int"), get(x, "name", "title"), get(x, "url", "['@id']"), get(x, "offers.price", "price"), get(x, "offers.priceCurrency", "priceCurrency"), get(x, "image", "image.url"))
-    rows = found.select(key, "page_url", "source", "shape", F.inline(F.when(F.col("source") == "cards", F.array(card)).otherwise(F.transform(F.concat(inner, own), item))))
-    rows = rows.select(
-        key, "page_url", "source", "ord", "title", u.absolute(page, F.col("link")).alias("url"), price.as_float(F.col("amount")).alias("price"), "currency", F.nullif(u.absolute(page, F.col("image")), F.lit("")).alias("image_url"),
-        F.coalesce("shape", F.lit("")).alias("shape"),
-    )
+    # resolved before the rows are made: a filter on rows is not pushed into what makes them, which would be computed again
+    rows = found.select(key, "page_url", "source", F.coalesce("shape", F.lit("")).alias("shape"), F.inline(F.when(F.col("source") == "cards", F.array(card)).otherwise(F.transform(F.concat(inner, own), item))))
+    rows = rows.select(key, "page_url", "source", "ord", "title", "url", "price", "currency", "image_url", "shape")
     return rows.where((F.col("source") == "cards") | F.expr("title is not null and url <> '' and url <> page_url") & u.same_host(page, F.col("url")))
 
 
@@ -220,17 +219,18 @@ def detail_candidates(pages: DataFrame, key: str, html: str = "html", url: str =
     Microdata names end in their place in the page; the first of a name counts.  Each page is parsed once.
     """
     rows = pages_html.structured_rows(pages, key, html, url, shown=True)
-    micro = F.from_json("payload", "map<string,string>")
-    item = lambda names: F.get(F.map_values(F.map_filter(micro, lambda k, v: F.split_part(k, F.lit("."), F.lit(-2)).isin(*names))), F.lit(0))
-    at = lambda paths: F.coalesce(*(coerce.text_or_none(F.get_json_object("payload", f"$.{p}")) for p in paths))
+    some = lambda v: once(F.trim(F.regexp_replace(v, r"\s+", " ")), lambda x: F.nullif(x, F.lit("")))  # noqa: E731  as text_or_none, computed once
+    item = lambda micro, names: some(F.get(F.map_values(F.map_filter(micro, lambda k, v: F.split_part(k, F.lit("."), F.lit(-2)).isin(*names))), F.lit(0)))
+    at = lambda paths: F.coalesce(*(some(F.get_json_object("payload", f"$.{p}")) for p in paths))
     plain = {"title": ("name",), "image_url": ("image",), "currency": ("priceCurrency",)}
-    value = {f: F.when(F.col("source") == "microdata", coerce.text_or_none(item(plain.get(f, (f,))))).otherwise(at(paths)) for f, paths in DETAIL.items()}
     offer = lambda f, v: F.struct(f.alias("field"), v.alias("value"))
+    marked = once(F.from_json("payload", "map<string,string>"), lambda m: F.array(*(offer(F.lit(f), item(m, plain.get(f, (f,)))) for f in DETAIL)))
     label = F.create_map(*(F.lit(x) for f in ("brand", "sku") for x in (f, f)), F.lit("item"), F.lit("title"), F.lit("price"), F.lit("price"))
     of = (
         F.when(F.col("source") == "table", F.array(offer(F.element_at(label, F.lower(at(("label",)))), at(("value",)))))
         .when(F.col("source") == "dom", F.array(offer(F.lit("title"), at(("h1",)))))
-        .otherwise(F.array(*(offer(F.lit(f), v) for f, v in value.items())))
+        .when(F.col("source") == "microdata", marked)
+        .otherwise(F.array(*(offer(F.lit(f), at(paths)) for f, paths in DETAIL.items())))
     )
     found = rows.select(key, F.col("source").alias("tier"), "ord", F.explode(of).alias("p"))
     return found.select(key, "p.field", "p.value", "tier", "ord").where("field is not null and value is not null")
