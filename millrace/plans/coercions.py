@@ -8,7 +8,7 @@ from millrace.functions import coerce, price
 from millrace.functions import url as u
 from millrace.sources import html
 
-from .registry import parts, query, table
+from .registry import parts, query, stored_pages, table
 
 PAGE = "https://shop.example.co.uk/a/b/page.html?x=1"
 
@@ -17,7 +17,7 @@ PAGE = "https://shop.example.co.uk/a/b/page.html?x=1"
   select page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || h as link, true as own_site from l""")
 def page_link_urls(spark, d):
     """All links of the stored pages, as found, resolved against their page."""
-    p = html.parse_pages(table(spark, d, "pages").select("page_id", "html"), "page_id", url=None)
+    p = html.parse_pages(stored_pages(spark, d).select("page_id", "html"), "page_id", url=None)
     rows = html.link_rows(p, "page_id").join(table(spark, d, "pages").select("page_id", "url"), "page_id")
     link = u.absolute(F.col("url"), F.col("href"))
     return rows.select("page_id", link.alias("link"), u.same_site(F.col("url"), link).alias("own_site"))
