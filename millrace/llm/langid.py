@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +20,10 @@ MAX_FIT_WORDS = 300_000
 MAX_FIT_CHARS = 2_000
 EPOCHS = 6
 #: Words labelled at once in a task, and words remembered with their emission scores.
-CHUNK_WORDS = 400_000
+CHUNK_WORDS = 200_000
 REMEMBER = 400_000
+#: New words whose features are held at once: a word has some thirty, each a row of weights.
+FRESH = 4_000
 #: Columns that ``identify`` adds.
 NEW = ("lang_pred", "score", "word_counts")
 #: A word is a run of letters.
@@ -71,10 +74,11 @@ class Model:
             known.update(zip(fresh, range(start, start + len(fresh)), strict=True))
             while len(known) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            cells = [features(w) for w in fresh]
-            n = np.array([len(c) for c in cells])
-            flat = np.fromiter((x for c in cells for x in c), np.int64, int(n.sum()))
-            self.rows[start : start + len(fresh)] = np.add.reduceat(self.emit[flat], np.cumsum(n) - n, axis=0) / np.sqrt(n)[:, None]
+            for at in range(0, len(fresh), FRESH):
+                cells = [features(w) for w in fresh[at : at + FRESH]]
+                n = np.array([len(c) for c in cells])
+                flat = np.fromiter((x for c in cells for x in c), np.int64, int(n.sum()))
+                self.rows[start + at : start + at + len(cells)] = np.add.reduceat(self.emit[flat], np.cumsum(n) - n, axis=0) / np.sqrt(n)[:, None]
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def messages(self, scores: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -227,7 +231,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         own = Model(*shared.value)
         k = len(own.labels)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
+            texts = batch.column(at)
             n = len(texts)
             pred, score, counts = ["und"] * n, np.zeros(n), [[0] * k for _ in range(n)]
             if not k:
@@ -250,8 +254,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     pred[i], score[i], counts[i] = own.labels[b], min(1.0, float(m[b])), c.tolist()
                 waiting.clear()
 
-            for i in sorted(range(n), key=lambda i: len(texts[i] or "")):
-                words = LETTERS.findall((texts[i] or "").lower())
+            sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+            for i in np.argsort(sizes, kind="stable").tolist():  # a text is a Python object only while it is read
+                words = LETTERS.findall((texts[i].as_py() or "").lower())
                 if words:
                     waiting.append((i, words))
                     total += len(words)

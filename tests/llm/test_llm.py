@@ -423,3 +423,25 @@ def test_pipeline_keeps_texts_without_any_label(spark):
     d = spark.createDataFrame([(i, t, None, "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.language(spark, d, "")
     assert out.columns == d.columns and sorted(r.doc_id for r in out.collect()) == [0, 1, 5]
+
+
+def test_language_features_of_few_words_at_once():
+    """pipeline: new words are scored some at a time, as their features and rows of weights fill a worker's memory."""
+    rng = np.random.default_rng(1)
+    taken = []
+
+    class Weights(np.ndarray):
+        def __getitem__(self, at):
+            taken.append(len(at))
+            return np.asarray(self)[at]
+
+    emit = rng.normal(size=(langid.BUCKETS, 3)).astype(np.float32)
+    model = langid.Model(["a", "b", "c"], emit, np.zeros((3, 3)))
+    model.emit = emit.view(Weights)
+    words = [f"w{chr(97 + i % 26)}{i}ab" for i in range(20_000)]
+    at = model.ids(words)
+    got = model.rows[at]
+    assert max(taken) <= 200_000 < sum(taken)
+    for i in (0, 3_999, 4_000, 19_999):
+        f = langid.features(words[i])
+        assert np.allclose(got[i], emit[f].sum(axis=0) / np.sqrt(len(f)), atol=1e-5)
