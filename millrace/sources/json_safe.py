@@ -16,6 +16,10 @@ def _number(text: str) -> float | None:
     return value if math.isfinite(value) else None
 
 
+_READER = json.JSONDecoder(parse_constant=lambda _: None, parse_float=_number)
+_WRITERS = {compact: json.JSONEncoder(sort_keys=True, separators=(",", ":") if compact else None, ensure_ascii=False) for compact in (True, False)}
+
+
 def within(value) -> bool:
     """Iterative, so that depth costs no stack."""
     front = [value]
@@ -30,7 +34,7 @@ def loads(text: str | None):
     """The value of a JSON text; None for what is none, is deeper than DEEP or is null.  NaN,
     infinities and numbers beyond a double are null, halves of surrogate pairs U+FFFD."""
     try:
-        value = json.loads(text, parse_constant=lambda _: None, parse_float=_number) if text else None
+        value = _READER.decode(text) if text else None
     except (ValueError, RecursionError):
         return None
     if not within(value):
@@ -42,5 +46,4 @@ def loads(text: str | None):
 
 def dumps(value, compact: bool = True) -> str:
     """Canonical JSON: keys sorted, no spaces; halves of surrogate pairs become U+FFFD."""
-    text = json.dumps(value, sort_keys=True, separators=(",", ":") if compact else None, ensure_ascii=False)
-    return _LONE.sub("�", text)
+    return _LONE.sub("�", _WRITERS[compact].encode(value))
