@@ -36,7 +36,7 @@ def export_metadata(spark, d):
 
 @query("table_export", "select p_partkey, 0 as table_no, 0 as row_no, 'Size' as col_1, p_size::varchar as col_2 from part union all select p_partkey, 0, 1, 'Type', p_type from part")
 def table_export(spark, d):
-    rows = html.table_rows(html.parse_pages(product_pages(spark, d), "p_partkey"), "p_partkey")
+    rows = html.table_rows(html.parse_pages(product_pages(spark, d), "p_partkey", only=("tables",)), "p_partkey")
     return rows.select("p_partkey", "table_no", "row_no", F.col("row")["col_1"].alias("col_1"), F.col("row")["col_2"].alias("col_2"))
 
 
