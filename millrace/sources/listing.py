@@ -187,6 +187,10 @@ def table_records(parsed: DataFrame, key: str, least: int = 3) -> DataFrame:
     return rows.select(key, "ord", F.map_from_entries(F.filter(pairs, lambda p, i: F.array_position(F.transform(pairs, lambda x: x["k"]), p["k"]) == i + 1)).alias("record"))
 
 
+#: Columns of parsed pages that ``articles`` reads.
+ARTICLE = ("title", "h1", "text", "meta")
+
+
 def articles(parsed: DataFrame, key: str) -> DataFrame:
     """Title, author, date, tags, category, words and minutes of an article."""
     m = F.col("meta")
