@@ -18,6 +18,9 @@ SKETCH, FULL = 128, 127
 #: Rounds of pairs whose number is at most twice that of the prefix tokens.  A second one spares looser
 #: laws, whose near copies share fewer prefix tokens, most pairs of the last round.
 ROUNDS, LOOSE_ROUNDS = 1, 2
+#: Slices, by hash, in which all prefixes are shuffled one after another: a shuffle's files on disk are
+#: those of a slice or two.  Each slice reads the sets again.
+SLICES = 3
 
 
 def _needed(n, percent: int):
@@ -39,6 +42,11 @@ def _overlap(n: Column, m: Column, percent: int) -> Column:
     return F.ceil((n + m) * percent / F.lit(100 + percent))
 
 
+def _slice(key: str, k: int) -> Column:
+    """The rows of slice k by ``key``, a hash."""
+    return F.pmod(F.col(key), F.lit(SLICES)) == k
+
+
 def _at_most(x: str, y: str) -> Column:
     """Most tokens that sets of these sketches can share: tokens are shared within a cell.
     ``over`` counts those beyond FULL in their cell."""
@@ -123,8 +131,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, source: DataFrame, shingle: int,
     left = scratch.write(left.select("a", "b"), "candidates")
     nodes = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
     nodes = scratch.write(sets.select("id", "th").join(nodes, "id", "left_semi").withColumnRenamed("th", "_th"), "nodes")
+    scratch.release()
     texts = source.withColumn("th", F.xxhash64("text")).join(nodes, F.col("th") == F.col("_th")).select("id", "text")
     whole = scratch.write(_shingles(texts, shingle).dropDuplicates(["id"]), "whole-sets")
+    scratch.release()
     both = F.size(F.array_intersect("set_a", "set_b"))
     one = lambda k: whole.select(F.col("id").alias(k), F.col("set").alias(f"set_{k}"))
     enough = 100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)
@@ -161,21 +171,28 @@ def _labels(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str,
     classes = made.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("th").alias("th"), F.count("*").alias("copies"))
     classes = scratch.write(classes, "classes")
 
-    # which sets can have a partner
-    tokens = made.select("f1", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"))
-    shared = scratch.write(shared, "shared")
-    scratch.release()
+    # which sets can have a partner: how many tokens of its prefix any other class has
+    def hits_of_slices():
+        for k in range(SLICES):
+            tokens = made.select("f1", F.explode("prefix").alias("token")).where(_slice("token", k))
+            shared = tokens.groupBy("token").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"))
+            shared = scratch.write(shared, "shared")
+            scratch.release()
+            yield tokens.join(shared, tokens["token"] == shared["t"], "left_semi").groupBy("f1").agg(F.count("*").alias("hits"))
+            scratch.drop(shared)
+
+    some_hits = scratch.write_slices(hits_of_slices(), "hits")
     # a prefix lengthened by m tokens shares 1 + m with a partner's of as many; a partner
     # may be smaller, down to the needed overlap, and its own prefix shorter
     first = _first(F.col("n"), percent)
     due = 1 + _first(_due(F.col("n"), percent), percent)
-    hits = tokens.join(shared, tokens["token"] == shared["t"], "left_semi").groupBy("f1").agg(F.count("*").alias("hits"))
+    hits = some_hits.groupBy("f1").agg(F.sum("hits").alias("hits"))
     able = classes.join(hits, "f1").where(F.col("hits") >= due * F.col("copies"))
     ids = scratch.write(able.select(F.col("f1").alias("id"), F.col("th").alias("_th")), "able")
-    scratch.drop(classes, shared)
-    of = made.join(ids, (made["f1"] == ids["id"]) & (made["th"] == ids["_th"]))
-    sets = scratch.write(of.select("id", "th", "n", F.col("prefix").alias("pb"), "sketch", "over", "odd1", "odd2").dropDuplicates(["id"]), "able-sets")
+    scratch.drop(classes, some_hits)
+    of = [made.where(_slice("f1", k)).join(ids, (made["f1"] == ids["id"]) & (made["th"] == ids["_th"])) for k in range(SLICES)]
+    of = [x.select("id", "th", "n", F.col("prefix").alias("pb"), "sketch", "over", "odd1", "odd2").dropDuplicates(["id"]) for x in of]
+    sets = scratch.write_slices(of, "able-sets")
     scratch.drop(ids, made)
 
     # the other order: by frequency, within the long prefixes, of which a pair shares the
