@@ -12,30 +12,28 @@ def compare_value(field: str, c: Column) -> Column:
     text = F.trim(F.regexp_replace(F.lower(c), r"[ \t\n\r\f]+", " "))
     if "price" in field.lower():
         n = F.nullif(F.regexp_extract(c, r"([0-9]+(\.[0-9]+)?)", 1), F.lit(""))
-        text = F.coalesce(n.try_cast("decimal(18,4)").cast("string"), text)
+        text = F.coalesce(n.try_cast("decimal(38,4)").cast("string"), n, text)
     return F.when(F.trim(c) != "", text)
 
 
-def snapshot_diff(previous: DataFrame, current: DataFrame, key: str, fields: list[str]) -> DataFrame:
+def snapshot_diff(previous: DataFrame, current: DataFrame, key: str, fields: list[str], plain: tuple[str, ...] = ()) -> DataFrame:
     """(key, event_type, field_name, old_value, new_value): record_new, record_removed, and
     a field_changed for each tracked field whose compared form differs; values stay raw.
 
-    Keys must be unique on each side (see ``best_per_key``); one shuffle of each side.
+    Fields in ``plain`` are compared in lower case only, so empty text is a value.  Keys must be
+    unique on each side (see ``best_per_key``); a row without one meets none and is both new and
+    removed.  One shuffle of each side.
     """
     p = previous.select(F.col(key).alias("_pk"), *(F.col(f).alias(f"_p_{f}") for f in fields))
     c = current.select(F.col(key).alias("_ck"), *(F.col(f).alias(f"_c_{f}") for f in fields))
     both = p.join(c, F.col("_pk") == F.col("_ck"), "full")
     event = lambda kind, f, a, b: F.struct(F.lit(kind).alias("event_type"), F.lit(f).cast("string").alias("field_name"), a.cast("string").alias("old_value"), b.cast("string").alias("new_value"))
     none = F.lit(None)
-    changes = [
-        F.when(~compare_value(f, F.col(f"_p_{f}")).eqNullSafe(compare_value(f, F.col(f"_c_{f}"))), event("field_changed", f, F.col(f"_p_{f}"), F.col(f"_c_{f}"))) for f in fields
-    ]
-    events = (
-        F.when(F.col("_pk").isNull(), F.array(event("record_new", None, none, none)))
-        .when(F.col("_ck").isNull(), F.array(event("record_removed", None, none, none)))
-        .otherwise(F.array_compact(F.array(*changes)))
-    )
-    return both.select(F.coalesce("_pk", "_ck").alias(key), F.explode(events).alias("e")).select(key, "e.*")
+    form = lambda f, c: F.lower(c) if f in plain else compare_value(f, c)
+    met = F.col("_pk").isNotNull() & F.col("_ck").isNotNull()
+    events = [F.when(F.col("_pk").isNull(), event("record_new", None, none, none)), F.when(F.col("_ck").isNull(), event("record_removed", None, none, none))]
+    events += [F.when(met & ~form(f, F.col(f"_p_{f}")).eqNullSafe(form(f, F.col(f"_c_{f}"))), event("field_changed", f, F.col(f"_p_{f}"), F.col(f"_c_{f}"))) for f in fields]
+    return both.select(F.coalesce("_pk", "_ck").alias(key), F.explode(F.array_compact(F.array(*events))).alias("e")).select(key, "e.*")
 
 
 def page_states(visits: DataFrame, url: str, at: str, tie: str, digest: str) -> DataFrame:
