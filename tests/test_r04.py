@@ -65,6 +65,7 @@ PAGES = [
     "<main>some <article>small</article> and more<br>of it</main>",
     "<nav>n</nav><article> </article><p>outside</p>",
     "<article><p> </p>only a line</article>",
+    "<article>before<p>a</p>loose<ul><li>item</ul><div><p>b</div><h2>c</h2></article>",
     "",
     None,
     None,
@@ -81,7 +82,8 @@ def test_whole_articles(spark, tmp_path):
     assert rows[0] == ("Head first line one two tail & end", ["Head", "first line", "one", "two", "tail & end"])
     assert rows[1] == ("a b", ["a", "b"]) and rows[2] == ("the longer one of two", ["the longer one", "of two"])
     assert rows[3] == ("n no article at all", []) and rows[4] == ("some small and more of it", ["some", "small", "and more", "of it"])
-    assert rows[5] == ("n outside", []) and rows[6] == ("only a line", ["only a line"]) and rows[7] == rows[8] == rows[9] == (None, [])
+    assert rows[5] == ("n outside", []) and rows[6] == ("only a line", ["only a line"]) and rows[8] == rows[9] == rows[10] == (None, [])
+    assert rows[7] == ("before a loose item b c", ["a loose item", "b c"])
 
 
 def test_authors_of_articles(spark):
